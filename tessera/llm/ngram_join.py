@@ -49,7 +49,7 @@ class Sets:
         at = np.concatenate([[0], np.cumsum(n)])
         sums = []
         for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
-            total = np.concatenate([[0], np.cumsum(hashing.mix(flat ^ np.uint64(salt)))]).astype(np.uint64)
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashing.mix(flat ^ np.uint64(salt)))])
             sums.append((total[at[1:]] - total[at[:-1]]).view(np.int64))
         return n, sums[0], sums[1]
 
