@@ -22,11 +22,12 @@ from pyspark.sql import functions as F
 from tessera.llm import hashing
 from tessera.llm.session import ship, spread
 
-SAMPLE_PER_LABEL = {1: 1500, 0: 2500}  # labelled texts that the model is fitted on, at most; the documented bound
+SAMPLE_PER_LABEL = {1: 1200, 0: 3000}  # labelled texts that the model is fitted on, at most; the documented bound
 THRESHOLD = 0.3  # a score from here on is toxic
 SPAN = 0.5  # a token with this marginal or more is part of an offending span
 _WORD = re.compile(r"[^\W_]+")
 _CACHE = 1 << 19
+_TOKENS_AT_ONCE = 100_000  # of the training sample, in one product
 
 
 def features(word: str) -> list[str]:
@@ -133,15 +134,16 @@ class Model:
 
 
 def summary(marginal: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Per text: 1, the log-odds that any token is toxic, and the log of one more than the expected toxic tokens."""
+    """Per text: 1, the log-odds that any token is toxic, and those of the likeliest token."""
     rows = np.zeros((len(at) - 1, 3))
     rows[:, 0] = 1
-    rows[:, 1] = -12
+    rows[:, 1:] = -12
     full = np.flatnonzero(np.diff(at))
     if len(full):
         clean = np.add.reduceat(np.log1p(-np.minimum(marginal, 1 - 1e-9)), at[full])  # log of the chance of no toxic token
         rows[full, 1] = np.clip(np.log(-np.expm1(np.minimum(clean, -1e-9))) - clean, -12, 12)
-        rows[full, 2] = np.log1p(np.add.reduceat(marginal, at[full]))
+        top = np.clip(np.maximum.reduceat(marginal, at[full]), 1e-9, 1 - 1e-9)
+        rows[full, 2] = np.clip(np.log(top / (1 - top)), -12, 12)
     return rows
 
 
@@ -160,7 +162,7 @@ def fresh(texts: list[str], most: float = 0.3) -> list[int]:
     out = []
     for i, t in enumerate(texts):
         w = _WORD.findall(t.lower())
-        runs_ = {hash(x) for x in zip(w, w[1:], w[2:], strict=False)} or {hash(tuple(w))}
+        runs_ = {h for x in zip(w, w[1:], w[2:], strict=False) if not (h := hash(x)) % 4} or {hash(tuple(w))}  # a quarter of the runs will do
         if sum(r in seen for r in runs_) <= most * len(runs_):
             out.append(i)
         seen |= runs_
@@ -174,28 +176,23 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40) -> Model:
     y = np.array(toxic, float)
     n1, n0 = int(y.sum()), int((1 - y).sum())
     flat_curve = np.array([np.log((n1 + 0.5) / (n0 + 0.5)) if n1 + n0 else -5.0, 0, 0])
-    split = [_WORD.findall(t.lower()) for t in texts]
-    words = sorted({w for ws in split for w in ws})
+    number: dict[str, int] = {}
+    by_text = [np.fromiter((number.setdefault(w, len(number)) for w in _WORD.findall(t.lower())), np.int32) for t in texts]
+    words = list(number)
     if not n1 or not n0 or not words:
         return Model({}, -10.0, np.zeros((2, 2)), np.zeros(2), flat_curve)
-    number = {w: i for i, w in enumerate(words)}
-    tokens = np.fromiter((number[w] for ws in split for w in ws), np.int64)
-    at = np.concatenate([[0], np.cumsum([len(w) for w in split])]).astype(np.int64)
-    owner = np.repeat(np.arange(len(split)), np.diff(at))
+    tokens = np.concatenate(by_text)
+    at = np.concatenate([[0], np.cumsum([len(w) for w in by_text])]).astype(np.int64)
+    owner = np.repeat(np.arange(len(by_text)), np.diff(at))
     names: dict[str, int] = {}
-    of = [[names.setdefault(f, len(names)) for f in features(w)] for w in words]
-    width = np.array([len(f) for f in of])
-    feature = np.fromiter((f for fs in of for f in fs), np.int64)
-    word_of = np.repeat(np.arange(len(words)), width)
+    of = [np.array([names.setdefault(f, len(names)) for f in features(w)], np.int32) for w in words]
+    feature = np.concatenate(of)
+    word_of = np.repeat(np.arange(len(words), dtype=np.int32), [len(f) for f in of])
     # document frequency of each feature among toxic and clean documents
-    pairs = np.unique(owner * len(words) + tokens)
-    doc, word = pairs // len(words), pairs % len(words)
-    start = np.concatenate([[0], np.cumsum(width)])
-    jump = np.repeat(start[word] - np.concatenate([[0], np.cumsum(width[word])[:-1]]), width[word]) + np.arange(width[word].sum())
-    seen = np.unique(np.repeat(doc, width[word]) * len(names) + feature[jump])
-    in_doc, which = seen // len(names), seen % len(names)
-    a = np.bincount(which, weights=y[in_doc], minlength=len(names))
-    b = np.bincount(which, weights=1 - y[in_doc], minlength=len(names))
+    a, b = np.zeros(len(names)), np.zeros(len(names))
+    for k, ws in enumerate(by_text):
+        if len(ws):
+            (a if y[k] else b)[np.unique(np.concatenate([of[w] for w in np.unique(ws).tolist()]))] += 1
     common = a + b >= 3
     telling = common & (_g_test(a, b, n1, n0) > 2 * np.log(2 * max(1, common.sum())))
     word_toxic = np.zeros(len(words), bool)
@@ -213,26 +210,34 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40) -> Model:
     move = np.zeros((2, 2))
     np.add.at(move, (gold[:-1][inner].astype(int), gold[1:][inner].astype(int)), 1)
     start_gold = np.array([(~gold[first]).sum(), gold[first].sum()], float)
-    weights, bias, transition, begin = np.zeros(len(names)), -4.0, np.zeros((2, 2)), np.zeros(2)
-    theta = np.concatenate([weights, [bias], transition.ravel(), begin])
+    theta = np.concatenate([np.zeros(len(names)), [-4.0], np.zeros(6)])  # feature weights, bias, transitions, begins
     square = np.zeros(len(theta))
     gold_words = np.bincount(tokens, weights=gold, minlength=len(words))
+    cuts = np.unique(np.append(at[np.searchsorted(at, np.arange(0, at[-1], _TOKENS_AT_ONCE))], at[-1])).tolist()
+
+    def parts(theta: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        per_word = np.bincount(word_of, weights=theta[feature], minlength=len(words)) + theta[len(names)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            p, _, moved = marginals(per_word[tokens[i:j]], first[i:j], theta[-6:-2].reshape(2, 2), theta[-2:])
+            yield slice(i, j), p, moved
+
     for _ in range(rounds):
-        weights, bias, transition, begin = theta[: len(names)], theta[len(names)], theta[-6:-2].reshape(2, 2), theta[-2:]
-        per_word = np.bincount(word_of, weights=weights[feature], minlength=len(words)) + bias
-        p, _, moved = marginals(per_word[tokens], first, transition, begin)
-        gap = gold_words - np.bincount(tokens, weights=p, minlength=len(words))
-        gradient = np.concatenate([np.bincount(feature, weights=gap[word_of], minlength=len(names)), [gap.sum()], (move - moved).ravel(), start_gold - np.array([(1 - p[first]).sum(), p[first].sum()])])
-        gradient -= 1.0 * np.concatenate([theta[: len(names)], np.zeros(1), theta[-6:]])
+        expected, moved, started = np.zeros(len(words)), np.zeros((2, 2)), np.zeros(2)
+        for part, p, m in parts(theta):
+            expected += np.bincount(tokens[part], weights=p, minlength=len(words))
+            moved += m
+            started += [(1 - p[first[part]]).sum(), p[first[part]].sum()]
+        gap = gold_words - expected
+        gradient = np.concatenate([np.bincount(feature, weights=gap[word_of], minlength=len(names)), [gap.sum()], (move - moved).ravel(), start_gold - started])
+        gradient -= np.concatenate([theta[: len(names)], np.zeros(1), theta[-6:]])
         square += gradient**2
         theta = theta + 0.7 * gradient / (np.sqrt(square) + 1e-6)
     weights, bias, transition, begin = theta[: len(names)], float(theta[len(names)]), theta[-6:-2].reshape(2, 2), theta[-2:]
     kept = np.flatnonzero(np.abs(weights) > 0.02)
     listed = list(names)
     model = Model({listed[k]: float(weights[k]) for k in kept}, bias, transition, begin, flat_curve)
-    marginal = marginals(model.potentials([w for ws in split for w in ws]), first, transition, begin)[0]
-    x = summary(marginal, at)
-    curve = prior = np.array([0, 0.5, 0])
+    x = summary(np.concatenate([p for _, p, _ in parts(theta)]), at)
+    curve = prior = np.array([0, 0.5, 0.5])
     for _ in range(100):  # Newton steps, none longer than one, with a penalty that keeps the curve finite
         q = 1 / (1 + np.exp(-np.clip(x @ curve, -50, 50)))
         step = np.linalg.solve((x.T * (q * (1 - q))) @ x + np.eye(3), x.T @ (y - q) - (curve - prior))
