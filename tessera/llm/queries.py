@@ -28,8 +28,7 @@ def language_model(documents: DataFrame) -> langid.Model:
 
 
 def toxicity_model(documents: DataFrame, labels: DataFrame) -> toxicity.Model:
-    taught = labels.where(crc_mod("doc_id", 4) != 2).select("doc_id", "toxic")
-    return toxicity.train(documents.select("doc_id", "text").join(taught, "doc_id"))
+    return toxicity.train(documents, labels.where(crc_mod("doc_id", 4) != 2))
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -246,19 +246,20 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40) -> Model:
     return model
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", per_label: dict[int, int] | None = None) -> Model:
-    """Fit on at most `per_label` whole texts of each label, those that come first in a hashed order of `key`.
-    Rows with a null text or a label other than 0 and 1 are left out. The sample is the only thing collected."""
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", per_label: dict[int, int] | None = None) -> Model:
+    """Fit on at most `per_label` whole texts of each label: the labels that come first in a hashed order of `key`
+    are drawn, and only their texts are fetched, so the documents are scanned and not shuffled. Labels other
+    than 0 and 1, null keys and null texts are left out. The sample is the only thing collected."""
     most = per_label or SAMPLE_PER_LABEL
-    rows = labelled.where(F.col(text).isNotNull() & F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("y"), F.col(text).alias("text"), F.xxhash64(F.col(key)).alias("h"))
-    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    drawn: dict[int, list] = {0: [], 1: []}
-    if counts:
-        share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 1.2 * most[k] / n)))])
-        for r in rows.where((F.col("h").cast("double") / 2.0**64 + 0.5) <= share[F.col("y")]).toLocalIterator():
-            drawn[r["y"]].append((r["h"], r["text"]))
-    chosen = [(t, k) for k, d in sorted(drawn.items()) for _, t in sorted(d)[: most[k]]]
-    return fit([t for t, _ in chosen], [k for _, k in chosen])
+    rows = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key), F.col(label).cast("int").alias("__y"), F.xxhash64(F.col(key)).alias("__h"))
+    counts = {r["__y"]: r["n"] for r in rows.groupBy("__y").agg(F.count("*").alias("n")).collect()}
+    drawn: list = []
+    for k, n in sorted(counts.items()):
+        near = rows.where((F.col("__y") == k) & ((F.col("__h").cast("double") / 2.0**64 + 0.5) <= min(1.0, 2 * most[k] / n)))
+        chosen = F.broadcast(near.orderBy("__h").limit(most[k]))  # at most per_label rows
+        drawn += [(r["__y"], r["__h"], r["t"]) for r in docs.select(F.col(key), F.col(text).alias("t")).where("t is not null").join(chosen, key).select("__y", "__h", "t").toLocalIterator()]
+    drawn.sort(key=lambda r: (-r[0], *r[1:]))  # toxic texts first: of a toxic copy of a clean text, the toxic one counts
+    return fit([t for _, _, t in drawn], [y for y, _, _ in drawn])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
