@@ -2,9 +2,9 @@
 
 The document by n-gram incidence matrix A is never multiplied whole. Under one order of all shingles (those
 found frequent come last, the rest by hash) two sets can only reach the threshold if they share a shingle in
-their leading columns, so a first product over the leading columns alone, one block of columns a task,
-finds which documents can meet: a pair is discarded where the sizes and the positions of the shared column
-bound the overlap below what the threshold needs. Connected candidates make blocks of rows; in each block
+several leading columns, so a first product over the leading columns alone, one block of columns a task,
+accumulates how many a pair shares: a pair is discarded where that count, the sizes and the position of the
+last shared column bound the overlap below what the threshold needs. Connected candidates make blocks of rows; in each block
 the sparse product A A' is accumulated exactly, row by row, and pairs below the threshold are discarded.
 A frequent column emits a chain over its rows in order of size instead of all its pairs, and copies of one
 set are one row, so nothing grows with the square of a group outside the block products, which are split
@@ -25,6 +25,7 @@ from tessera.llm.components import connected_components
 from tessera.llm.session import checkpoint, ship, shuffle_partitions, spread
 
 FREQUENT = 64  # a column in more sets than this comes late in the order; a column with more rows is chained
+SHARED = 4  # columns that two sets must share among their leading ones (all they need, if that is less)
 LATE_COLUMNS = 100_000  # at most this many columns are moved to the end (order only; no pair depends on it)
 BLOCK = 2048  # rows of a block of the product
 
@@ -55,8 +56,8 @@ class Sets:
 
 
 def _leading(n: int, percent: int) -> int:
-    """Columns of a set of n that must hold a shared one, if a partner may have any size."""
-    return n - -(-percent * n // 100) + 1
+    """Columns of a set of n that must hold SHARED shared ones, whatever size the partner has."""
+    return min(n, n - -(-percent * n // 100) + SHARED)
 
 
 def _prints(docs: DataFrame, id_: str, text: str, size: int) -> DataFrame:
@@ -135,17 +136,20 @@ def _candidates(columns: DataFrame, percent: int) -> DataFrame:
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (place[1:] != place[:-1]) | (fa[1:] != fa[:-1])])[: len(h)]
         return [h[new], place[new], fa[new]]
 
-    def pairs(h: np.ndarray, place: np.ndarray, fa: np.ndarray) -> np.ndarray:
-        """Of whole columns, sorted by (h, place, fa), each row once."""
+    names = ["a", "b", "c", "sa", "sb", "need"]
+
+    def pairs(h: np.ndarray, place: np.ndarray, fa: np.ndarray) -> pa.RecordBatch:
+        """Of whole columns, sorted by (h, place, fa), each row once: pairs with the columns they share here, what is
+        left of each set behind the last of them, and the overlap that the threshold needs."""
         edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
         rows = np.diff(edge)
         many = np.repeat(rows, rows)
         keep = many > 1
         h, n, i, fa, many = h[keep], place[keep] >> 32, place[keep] & 0xFFFFFFFF, fa[keep], many[keep]
-        out = []
         same = h[1:] == h[:-1]
         chain = np.flatnonzero(same & (many[1:] > FREQUENT) & (percent * n[1:] <= 100 * n[:-1]))
-        out.append(np.stack([fa[chain], fa[chain + 1]]))
+        whole = np.full(len(chain), 1 << 20, np.int64)  # a chain's edge stands as it is
+        out = [np.stack([fa[chain], fa[chain + 1], whole, whole, whole, np.zeros(len(chain), np.int64)])]
         few = np.flatnonzero(many <= FREQUENT)
         h, n, i, fa = h[few], n[few], i[few], fa[few]
         for d in range(1, FREQUENT):
@@ -154,10 +158,18 @@ def _candidates(columns: DataFrame, percent: int) -> DataFrame:
                 break
             y = x + d
             need = -(-percent * (n[x] + n[y]) // (100 + percent))
-            ok = (np.minimum(n[x] - i[x], n[y] - i[y]) >= need) & (percent * n[y] <= 100 * n[x]) & (fa[x] != fa[y])
-            out.append(np.stack([fa[x[ok]], fa[y[ok]]]))
-        both = np.concatenate(out, axis=1)
-        return np.unique(np.stack([both.min(0), both.max(0)]), axis=1) if both.shape[1] else both
+            ok = (np.minimum(n[x] - i[x], n[y] - i[y]) > need - SHARED) & (percent * n[y] <= 100 * n[x]) & (fa[x] != fa[y])
+            x, y, need = x[ok], y[ok], need[ok]
+            out.append(np.stack([fa[x], fa[y], np.ones(len(x), np.int64), n[x] - 1 - i[x], n[y] - 1 - i[y], need]))
+        a, b, c, sa, sb, need = np.concatenate(out, axis=1)
+        turned = a > b
+        a, b, sa, sb = np.where(turned, b, a), np.where(turned, a, b), np.where(turned, sb, sa), np.where(turned, sa, sb)
+        order = np.lexsort((b, a))
+        a, b, c, sa, sb, need = (v[order] for v in (a, b, c, sa, sb, need))
+        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+        if len(first):
+            c, sa, sb, need = np.add.reduceat(c, first), np.minimum.reduceat(sa, first), np.minimum.reduceat(sb, first), np.maximum.reduceat(need, first)
+        return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), *(pa.array(np.minimum(v, 1 << 20).astype(np.int32)) for v in (c, sa, sb, need))], names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
@@ -166,19 +178,19 @@ def _candidates(columns: DataFrame, percent: int) -> DataFrame:
             if len(held[0]) < 200_000:
                 continue
             cut = int(np.searchsorted(held[0], held[0][-1]))  # the last column may go on
-            if cut == 0:  # one long column: what is here is chained, its last row goes on
-                found, held = pairs(*held) if len(held[0]) > FREQUENT else np.zeros((2, 0), np.int64), [k[-FREQUENT - 2 :] for k in held]
-            else:
-                found, held = pairs(*(k[:cut] for k in held)), [k[cut:] for k in held]
-            if found.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+            if cut:
+                yield pairs(*(k[:cut] for k in held))
+                held = [k[cut:] for k in held]
+            else:  # one long column: what is here is chained, its last rows go on
+                yield pairs(*held)
+                held = [k[-FREQUENT - 2 :] for k in held]
         if len(held[0]):
-            found = pairs(*held)
-            if found.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+            yield pairs(*held)
 
     dealt = columns.repartition(shuffle_partitions(columns.sparkSession), "h").sortWithinPartitions("h", "place", "fa")
-    return dealt.mapInArrow(run, "a long, b long")
+    found = dealt.mapInArrow(run, "a long, b long, c int, sa int, sb int, need int")
+    shared = found.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("sa").alias("sa"), F.min("sb").alias("sb"), F.max("need").alias("need"))
+    return shared.where((F.col("c") >= F.least("need", F.lit(SHARED))) & (F.col("c") + F.least("sa", "sb") >= F.col("need"))).select("a", "b")
 
 
 def product_links(ids: list, chunk: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple]:
