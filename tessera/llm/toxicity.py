@@ -11,6 +11,7 @@ curve fitted on the documents' labels.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterable, Iterator
 
@@ -249,17 +250,28 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40) -> Model:
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", per_label: dict[int, int] | None = None) -> Model:
     """Fit on at most `per_label` whole texts of each label: the labels that come first in a hashed order of `key`
     are drawn, and only their texts are fetched, so the documents are scanned and not shuffled. Labels other
-    than 0 and 1, null keys and null texts are left out. The sample is the only thing collected."""
+    than 0 and 1, null keys and null texts are left out. The bounded sample meets in one task, which fits the
+    model; the model alone comes to the driver."""
+    ship(docs.sparkSession)
     most = per_label or SAMPLE_PER_LABEL
     rows = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key), F.col(label).cast("int").alias("__y"), F.xxhash64(F.col(key)).alias("__h"))
     counts = {r["__y"]: r["n"] for r in rows.groupBy("__y").agg(F.count("*").alias("n")).collect()}
-    drawn: list = []
+    texts = docs.select(F.col(key), F.col(text).alias("__t")).where("__t is not null")
+    drawn = None
     for k, n in sorted(counts.items()):
         near = rows.where((F.col("__y") == k) & ((F.col("__h").cast("double") / 2.0**64 + 0.5) <= min(1.0, 2 * most[k] / n)))
-        chosen = F.broadcast(near.orderBy("__h").limit(most[k]))  # at most per_label rows
-        drawn += [(r["__y"], r["__h"], r["t"]) for r in docs.select(F.col(key), F.col(text).alias("t")).where("t is not null").join(chosen, key).select("__y", "__h", "t").toLocalIterator()]
-    drawn.sort(key=lambda r: (-r[0], *r[1:]))  # toxic texts first: of a toxic copy of a clean text, the toxic one counts
-    return fit([t for _, _, t in drawn], [y for y, _, _ in drawn])
+        chosen = near.orderBy("__h").limit(most[k])
+        drawn = chosen if drawn is None else drawn.unionByName(chosen)
+    if drawn is None:
+        return fit([], [])
+    sample = texts.join(F.broadcast(drawn), key).select("__y", "__h", "__t")  # at most per_label rows are broadcast
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        held.sort(key=lambda r: (-r[0], *r[1:]))  # toxic texts first: of a toxic copy of a clean text, the toxic one counts
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([t for _, _, t in held], [y for y, _, _ in held]))], pa.binary())], ["model"])
+
+    return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").first()["model"])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = THRESHOLD) -> DataFrame:
