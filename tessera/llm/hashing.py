@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +63,14 @@ def runs(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         a = min(b, n)
 
 
+def pieces(batches: Iterable[pa.RecordBatch], text: int, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about `most` bytes of the column `text`."""
+    for batch in batches:
+        _, offsets = buffers(batch.column(text))
+        for a, b in runs(offsets, most):
+            yield batch.slice(a, b - a)
+
+
 def words(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word (a run of bytes outside `blank`) and len+1 offsets of words by text."""
     solid = ~blank[data]

@@ -62,7 +62,7 @@ def _leading(n: int, percent: int) -> int:
 
 def _prints(docs: DataFrame, id_: str, text: str, size: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in hashing.pieces(batches, 1):
             n, a, b = Sets(batch.column(1), size).prints()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(a), pa.array(b)], ["id", "n", "fa", "fb"])
 
@@ -74,7 +74,7 @@ def _low_columns(docs: DataFrame, text: str, size: int, percent: int) -> DataFra
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in hashing.pieces(batches, 0):
             sets = Sets(batch.column(0), size)
             n, fa, _ = sets.prints()
             new = []
@@ -104,7 +104,7 @@ def _columns(docs: DataFrame, text: str, size: int, percent: int, late: np.ndarr
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in hashing.pieces(batches, 0):
             sets = Sets(batch.column(0), size)
             n, fa, _ = sets.prints()
             hs, places, owners = [], [], []
@@ -290,14 +290,12 @@ def jaccard_components(docs: DataFrame, id_: str = "doc_id", text: str = "text",
     members = checkpoint(members.join(sizes, "component").withColumn("halves", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")))
 
     def shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                sets = Sets(part.column(3), size)
-                n, fa, fb = sets.prints()
-                right = (fa == np.asarray(part.column(4))) & (fb == np.asarray(part.column(5)))  # of a repeated id, the row that is meant
-                sent = pa.array([s.tobytes() if ok else None for s, ok in zip(sets.sets, right.tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), sent], ["component", "id", "halves", "shingles"])
+        for part in hashing.pieces(batches, 3):
+            sets = Sets(part.column(3), size)
+            n, fa, fb = sets.prints()
+            right = (fa == np.asarray(part.column(4))) & (fb == np.asarray(part.column(5)))  # of a repeated id, the row that is meant
+            sent = pa.array([s.tobytes() if ok else None for s, ok in zip(sets.sets, right.tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), sent], ["component", "id", "halves", "shingles"])
 
     texts = docs.select(F.col(id_).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
     wanted = members.select("component", F.col("rep").alias("id"), "halves", "fa", "fb")

@@ -27,7 +27,7 @@ SAMPLE_PER_LABEL = {1: 1200, 0: 3000}  # labelled texts that the model is fitted
 THRESHOLD = 0.3  # a score from here on is toxic
 SPAN = 0.5  # a token with this marginal or more is part of an offending span
 _WORD = re.compile(r"[^\W_]+")
-_CACHE = 1 << 19
+_CACHE = 1 << 17
 _TOKENS_AT_ONCE = 100_000  # of the training sample, in one product
 
 
