@@ -107,17 +107,28 @@ class Benchmark:
             self.groups.append((m, np.array([items[k][0] for k in ks], np.int64), bags, Near(fingerprints(flat, np.ones(len(flat)), owner, len(ks)))))
         self.sizes = np.array([m for m, *_ in self.groups])
 
+    @staticmethod
+    def _short(hashes: np.ndarray, by: np.ndarray, m: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and first word of every run of m words within a text that is one of the wanted shingles."""
+        span = max(0, len(hashes) - m + 1)
+        rolled = np.full(span, m, np.uint64)
+        for k in range(m):
+            rolled += hashes[k : k + span] * hashing._POSITION[k]
+        rolled = hashing.mix(rolled)
+        first = np.flatnonzero(np.isin(rolled, wanted))
+        text = np.searchsorted(by, first, side="right") - 1
+        first = first[first + m <= by[text + 1]]
+        return rolled[first], first
+
     def matches(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int, float, int, int]]:
         """(text, item, similarity, first byte, byte after the last) of each text's best window for each item."""
         if not len(self.known):
             return []
         start, end, by = hashing.words(data, offsets, NOT_WORD)
-        shingles, at = hashing.shingle_hashes(hashing.word_hashes(data, start, end), by, self.size)
+        hashes = hashing.word_hashes(data, start, end)
+        shingles, at = hashing.shingle_hashes(hashes, by, self.size)
         place = np.minimum(np.searchsorted(self.known, shingles), len(self.known) - 1)
-        hit = self.known[place] == shingles
-        if not hit.any():
-            return []
-        hits = np.concatenate([[0], np.cumsum(hit)])
+        hits = np.concatenate([[0], np.cumsum(self.known[place] == shingles)])
         n_words = np.diff(by)
         touched = np.flatnonzero(hits[at[1:]] > hits[at[:-1]])
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
@@ -125,31 +136,37 @@ class Benchmark:
             width = max(1, m - self.size + 1)  # shingles of a window
             least = self.similarity * 2 / (1 + self.similarity) * width
             texts, firsts = [], []
-            for t in touched.tolist():
-                a, b = at[t], at[t + 1]
-                if n_words[t] < m:  # a text shorter than the item is one window
-                    if b - a >= self.similarity * width and hits[b] - hits[a] >= self.similarity * width:
-                        texts.append(np.array([t]))
-                        firsts.append(np.array([a]))
-                    continue
-                inside = hits[a + width : b + 1] - hits[a : b - width + 1]
-                found = np.flatnonzero(inside >= least - 1e-9)
-                if len(found):
+            if m < self.size:  # an item of few words is one shingle: so are the text's windows of as many words
+                bag, first = self._short(hashes, by, m, np.array([k for b in bags for k in b], np.uint64))
+                text = np.searchsorted(by, first, side="right") - 1
+                length, flat = np.ones(len(first), np.int64), bag
+                word = first
+            else:
+                for t in touched.tolist():
+                    a, b = at[t], at[t + 1]
+                    if n_words[t] < m:  # a text shorter than the item is one window
+                        if hits[b] - hits[a] >= self.similarity * width - 1e-9:
+                            texts.append(np.array([t]))
+                            firsts.append(np.array([a]))
+                        continue
+                    inside = hits[a + width : b + 1] - hits[a : b - width + 1]
+                    found = np.flatnonzero(inside >= least - 1e-9)
                     texts.append(np.full(len(found), t))
                     firsts.append(a + found)
-            if not texts:
+                text, first = np.concatenate([*texts, np.zeros(0, np.int64)]), np.concatenate([*firsts, np.zeros(0, np.int64)])
+                length = np.minimum(width, at[text + 1] - first)
+                flat = shingles[np.repeat(first - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())] if len(first) else shingles[:0]
+                word = by[text] + first - at[text]
+            if not len(first):
                 continue
-            text, first = np.concatenate(texts), np.concatenate(firsts)
-            length = np.minimum(width, at[text + 1] - first)
+            begin = np.concatenate([[0], np.cumsum(length)])
             owner = np.repeat(np.arange(len(first)), length)
-            flat = shingles[np.repeat(first - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())]
             row, item = near.find(fingerprints(flat, np.ones(len(flat)), owner, len(first)))
             for r, k in zip(row.tolist(), item.tolist(), strict=True):
-                bag = Counter(shingles[first[r] : first[r] + length[r]].tolist())
-                alike = weighted_jaccard(bag, bags[k])
+                alike = weighted_jaccard(Counter(flat[begin[r] : begin[r + 1]].tolist()), bags[k])
                 key = (int(text[r]), int(names[k]))
                 if alike >= self.similarity and alike > best.get(key, (0.0,))[0]:
-                    w = int(by[text[r]] + first[r] - at[text[r]])
+                    w = int(word[r])
                     best[key] = (alike, int(start[w]), int(end[min(w + m, by[text[r] + 1]) - 1]))
         return [(t, name, *found) for (t, name), found in sorted(best.items())]
 
