@@ -32,9 +32,9 @@ _TOKENS_AT_ONCE = 100_000  # of the training sample, in one product
 
 
 def features(word: str) -> list[str]:
-    """The word and, for words long enough, its first 3 to 6 and last 4 and 5 characters."""
+    """The word and, for words long enough, its first 3 to 9 and last 4 and 5 characters."""
     out = [word]
-    out += ["^" + word[:k] for k in (3, 4, 5, 6) if len(word) > k]
+    out += ["^" + word[:k] for k in range(3, 10) if len(word) > k]
     out += ["$" + word[-k:] for k in (4, 5) if len(word) > k]
     return out
 
@@ -230,7 +230,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40) -> Model:
             started += [(1 - p[first[part]]).sum(), p[first[part]].sum()]
         gap = gold_words - expected
         gradient = np.concatenate([np.bincount(feature, weights=gap[word_of], minlength=len(names)), [gap.sum()], (move - moved).ravel(), start_gold - started])
-        gradient -= np.concatenate([theta[: len(names)], np.zeros(1), theta[-6:]])
+        gradient -= 0.2 * np.concatenate([theta[: len(names)], np.zeros(1), theta[-6:]])
         square += gradient**2
         theta = theta + 0.7 * gradient / (np.sqrt(square) + 1e-6)
     weights, bias, transition, begin = theta[: len(names)], float(theta[len(names)]), theta[-6:-2].reshape(2, 2), theta[-2:]
