@@ -62,8 +62,8 @@ def read_test_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """(problem, test, input, output) from folders of test files: a file belongs to test i if its name starts with 'i.'
     or ends with '.i'; of the two, the one with an 'o' in its lower-cased name is the output. A test without
     exactly one of each is an error."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(folder).withColumn("f", F.input_file_name())
-    named = files.select(F.element_at(F.split("f", "/"), -2).alias("problem"), F.lower(F.element_at(F.split("f", "/"), -1)).alias("name"), F.col("value").alias("body"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)  # whole files, line ends as they are
+    named = files.select(F.element_at(F.split("path", "/"), -2).alias("problem"), F.lower(F.element_at(F.split("path", "/"), -1)).alias("name"), F.decode("content", "UTF-8").alias("body"))
     test = F.coalesce(F.nullif(F.regexp_extract("name", r"^(\d+)\.", 1), F.lit("")), F.nullif(F.regexp_extract("name", r"\.(\d+)$", 1), F.lit("")))
     kind = F.when(F.col("name").contains("o"), "output").when(F.col("name").contains("i"), "input")
     found = named.withColumn("test", test.cast("int")).where("test is not null").withColumn("kind", kind)
