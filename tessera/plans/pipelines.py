@@ -150,7 +150,7 @@ def test_bank(tests: DataFrame, column: str = "test") -> DataFrame:
     return tests.select(F.col(column).alias("test")).where("test is not null").distinct().withColumn("hash", text.md5_hex("test"))
 
 
-def lcb_problem(rows: DataFrame) -> DataFrame:
+def raw_benchmark_problems(rows: DataFrame) -> DataFrame:
     """Raw benchmark rows (public and private tests as JSON lists, metadata) to one test spec: private after public
     tests; a named function's inputs are JSON lines, decoded one by one."""
     case = "array<struct<input:string,output:string>>"

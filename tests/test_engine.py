@@ -272,7 +272,7 @@ def test_data_sets(spark):
     assert pipelines.training_rows(train, "all").count() == 4 and pipelines.training_rows(train, "random").count() == 3 and pipelines.training_rows(train, "high_loc").count() == 3
     assert pipelines.training_rows(train, "clip", 1, split_response=True).columns == ["item", "idx", "prompt", "response"]
     raw = spark.createDataFrame([('[{"input": "1\\n2", "output": "3"}]', None, '{"func_name": "f"}')], "public_test_cases string, private_test_cases string, metadata string")
-    spec = pipelines.lcb_problem(raw).first()
+    spec = pipelines.raw_benchmark_problems(raw).first()
     assert json.loads(spec.input_output)["fn_name"] == "f" and spec.input_list == ["[1,2]"]
     code = spark.createDataFrame([("i", 1, "x = 1 + 2\nprint(x)")], "item string, idx int, code string")
     out = pipelines.mutated_rows(code, lambda jobs: jobs.withColumn("passing", F.lit(False))).collect()
