@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import pickle
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -163,7 +164,8 @@ def fresh(texts: list[str], most: float = 0.3) -> list[int]:
     out = []
     for i, t in enumerate(texts):
         w = _WORD.findall(t.lower())
-        runs_ = {h for x in zip(w, w[1:], w[2:], strict=False) if not (h := hash(x)) % 4} or {hash(tuple(w))}  # a quarter of the runs will do
+        marks = [zlib.crc32(" ".join(x).encode()) for x in zip(w, w[1:], w[2:], strict=False)]  # alike in every process
+        runs_ = {h for h in marks if not h % 4} or {zlib.crc32(" ".join(w).encode())}  # a quarter of the runs will do
         if sum(r in seen for r in runs_) <= most * len(runs_):
             out.append(i)
         seen |= runs_
@@ -230,7 +232,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40) -> Model:
             started += [(1 - p[first[part]]).sum(), p[first[part]].sum()]
         gap = gold_words - expected
         gradient = np.concatenate([np.bincount(feature, weights=gap[word_of], minlength=len(names)), [gap.sum()], (move - moved).ravel(), start_gold - started])
-        gradient -= 0.2 * np.concatenate([theta[: len(names)], np.zeros(1), theta[-6:]])
+        gradient -= np.concatenate([theta[: len(names)], np.zeros(1), theta[-6:]])
         square += gradient**2
         theta = theta + 0.7 * gradient / (np.sqrt(square) + 1e-6)
     weights, bias, transition, begin = theta[: len(names)], float(theta[len(names)]), theta[-6:-2].reshape(2, 2), theta[-2:]
