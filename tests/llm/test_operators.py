@@ -496,6 +496,20 @@ def test_pipeline_on_odd_and_empty_tables(spark):
             stage(spark, docs, SF).count()
 
 
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_near_duplicate_stage_on_repeated_rows(spark, monkeypatch, few):
+    import corpus_pipeline as pipeline
+
+    monkeypatch.setattr(pipeline, "FEW_IDS", few)
+    long = "one two three four five six seven eight nine ten"
+    rows = [(1, "a b c d e", "en", "s", 9)] * 5 + [(2, "f g h i j", "en", "t", 9), (2, "f g h i j", "de", "t", 9), (2, long, "en", "s", 48)]
+    rows += [(3, long, "en", "s", 48), (3, long, "en", "s", 48), (4, None, None, None, None), (4, None, None, None, None), (None, "x", None, None, None), (None, "x", None, None, None), (5, "k l m n o", None, None, None)]
+    kept = pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, DOCS), SF)
+    assert kept.columns == list(pipeline.COLUMNS)
+    want = [(1, "a b c d e", "en", "s", 9), (2, "f g h i j", "de", "t", 9), (2, long, "en", "s", 48), (4, None, None, None, None), (None, "x", None, None, None), (None, "x", None, None, None), (5, "k l m n o", None, None, None)]
+    assert Counter(tuple(r) for r in kept.collect()) == Counter(want)
+
+
 def test_entry_without_llm(tmp_path):
     import shutil
     import subprocess
