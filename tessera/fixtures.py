@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-ATTEMPTS = 40  # of an item: every user has more events than that
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event of a user, so items differ in size."""
     w = Window.partitionBy("user_id").orderBy("event_id")
-    e = table(spark, sf_dir, "events").withColumn("idx", F.row_number().over(w)).where(F.col("idx") <= ATTEMPTS)
+    e = table(spark, sf_dir, "events").withColumn("idx", F.row_number().over(w))
     return e.select(
         F.col("user_id").alias("item"), "idx", (F.col("event_type") == "purchase").cast("int").alias("passing"),
         F.col("event_type").isin("purchase", "click").cast("int").alias("passing_public"), F.col("value").alias("score"),
@@ -27,7 +26,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 ATTEMPTS_SQL = """attempts as (select user_id as item, cast(idx as integer) as idx, cast(event_type = 'purchase' as integer) as passing,
   cast(event_type in ('purchase', 'click') as integer) as passing_public, value as score, cast(value >= 50 as integer) as label, event_type as output,
   cast(regexp_extract(props, '([0-9]+)', 1) as bigint) as num_tokens, value / -100 as cumulative_logprob, 'code ' || (event_id % 7) as code, event_id
-  from (select *, row_number() over (partition by user_id order by event_id) as idx from events) where idx <= 40)"""
+  from (select *, row_number() over (partition by user_id order by event_id) as idx from events))"""
 
 
 def problems(spark: SparkSession, sf_dir: str) -> DataFrame:

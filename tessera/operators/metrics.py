@@ -45,6 +45,20 @@ def pass_one_stderr(attempts: DataFrame) -> DataFrame:
     return means.agg((F.avg("m") * 100).alias("pass_one"), (F.stddev_pop("m") / F.sqrt(F.count("*")) * 100).alias("stderr"))
 
 
+def pass_one_by_item(attempts: DataFrame) -> DataFrame:
+    """Mean pass rate of the items, which may differ in size, and its standard error over the attempt indexes, in per cent.
+
+    An index adds the sum of (passing - c / n) / n over the items that have it, divided by the items; the error is the
+    root of the sum of their squares. If all items have n attempts, that is the deviation of the n indexes' pass rates
+    divided by the root of n."""
+    counts = item_counts(attempts)
+    off = (_hit() - F.col("c") / F.col("n")) / F.col("n")
+    by_index = attempts.select("item", "idx", "passing").join(counts, "item").groupBy("idx").agg(F.sum(off).alias("d"))
+    spread = by_index.agg(F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("e")).withColumn("__one", F.lit(1))
+    mean = counts.agg(F.avg(F.col("c") / F.col("n")).alias("m"), F.count("*").alias("items")).withColumn("__one", F.lit(1))
+    return mean.join(spread, "__one").select((F.col("m") * 100).alias("pass_one"), (F.col("e") / F.col("items") * 100).alias("stderr"))
+
+
 def ranked(attempts: DataFrame, score: str | Column = "score", name: str = "rk") -> DataFrame:
     """Rank from 1 by score, high first, ties to the smaller idx, nulls last."""
     order = Window.partitionBy("item").orderBy((F.col(score) if isinstance(score, str) else score).desc_nulls_last(), "idx")

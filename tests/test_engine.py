@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tessera import fixtures
 from tessera.functions import pyudfs, scoring, text
 from tessera.operators import joins, metrics, selection
 from tessera.plans import catalog, evaluate, pipelines
@@ -158,6 +159,38 @@ def test_merge_back_and_redo(spark):
         joins.redo_selection(a, "other", F.lit(""))
 
 
+def test_attempts_are_all_events(spark, tmp_path):
+    import duckdb
+
+    rows = [(i, 7 if i % 3 == 0 else i % 5, "purchase" if i % 4 == 0 else "view", float(i % 100), '{"k": 1}') for i in range(300)]  # item 7: a third of all
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    want = Counter(r[1] for r in rows)
+    assert {r.item: r["count"] for r in fixtures.attempts(spark, str(tmp_path)).groupBy("item").count().collect()} == want
+    for name, sf in (("events", f"{tmp_path}/events.parquet/*.parquet"), ("whole", f"{SF}/events.parquet")):
+        con = duckdb.connect()
+        con.execute(f"create view events as select * from '{sf}'")
+        assert con.execute(f"with {fixtures.ATTEMPTS_SQL} select count(*) from attempts").fetchone() == con.execute("select count(*) from events").fetchone(), name
+    assert fixtures.attempts(spark, SF).count() == 10_000
+
+
+def test_pass_one_of_unequal_items(spark):
+    def brute(items):
+        rates = [sum(x) / len(x) for x in items]
+        off = [sum((x[j] - p) / len(x) for x, p in zip(items, rates, strict=True) if j < len(x)) / len(items) for j in range(max(map(len, items)))]
+        return sum(rates) / len(items) * 100, math.sqrt(sum(d * d for d in off)) * 100
+
+    draw = random.Random(5)
+    for sizes in ([4, 4, 4], [1, 9, 3, 40], [2, 60]):
+        items = [[draw.randrange(2) for _ in range(n)] for n in sizes]
+        got = metrics.pass_one_by_item(attempts(spark, {str(i): [(0, p, 0, 0) for p in x] for i, x in enumerate(items)})).first()
+        assert got[:] == pytest.approx(brute(items))
+        assert got.pass_one == pytest.approx(metrics.pass_at_k_mean(attempts(spark, {str(i): [(0, p, 0, 0) for p in x] for i, x in enumerate(items)}), 1).first().pass_at_k)
+        if len(set(sizes)) == 1:
+            means = [sum(c) / len(items) for c in zip(*items, strict=True)]
+            m = sum(means) / len(means)
+            assert got.stderr == pytest.approx(math.sqrt(sum((x - m) ** 2 for x in means)) / len(means) * 100)
+
+
 # text
 
 
