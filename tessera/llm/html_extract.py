@@ -5,8 +5,8 @@ content go first. Each node then has C characters and T tags beneath it, and LC
 links; its composite density is C/T scaled by a logarithm of (C * T) / (LC * LT), whose base grows with the
 share of links in the node and in the body, so many linked characters make it small. A node's density sum adds
 its children's densities. The node of maximum density sum marks the content; the smallest density on the path
-from the body to it is the threshold, and the content is the subtree under the highest ancestor below the
-body that is that dense and whose density sum holds up.
+from the body to it is the threshold. From the body down, every subtree that is that dense gives its part of
+maximum sum; an article around the marked node is kept whole, and headings right before a kept part go with it.
 """
 
 from __future__ import annotations
@@ -159,30 +159,71 @@ def density(node: Node, body: Node) -> float:
     return node.c / tags * max(scale, 0.0)
 
 
-def content(body: Node) -> Node:
-    """The subtree of maximum density sum; upwards from it, the threshold of the body's path decides."""
-    best, todo = body, [body]
+def content(body: Node) -> list[Node]:
+    """The kept subtrees, in page order. The node of maximum density sum gives the threshold, the least density on its
+    path from the body; from the body down, through nodes that reach it, each node's subtree of maximum sum is kept."""
+    order, todo = [], [body]
     while todo:
         node = todo.pop()
-        if node.total > best.total or node is not body and best is body and node.total >= best.total:
-            best = node
-        todo += [c for c in node.children if isinstance(c, Node) and not c.out]
+        order.append(node)
+        todo += reversed([c for c in node.children if isinstance(c, Node) and not c.out])
+    top: dict[Node, Node] = {}
+    for node in reversed(order):
+        tops = [top[c] for c in node.children if isinstance(c, Node) and not c.out]
+        top[node] = max([*tops, node] if node is body else [node, *tops], key=lambda x: x.total)
+    best = top[body]
     path = [best]
     while path[-1] is not body:
         path.append(path[-1].parent)
-    threshold = min(node.density for node in path)
-    while best is not body and best.tag in INNER:  # blocks and inline marks are parts of a content node, not one
-        best = best.parent
-    while best is not body and best.parent is not body and best.parent.density >= threshold and best.c < 0.5 * best.parent.c:
-        best = best.parent
-    return best
+    least = min(path, key=lambda x: x.density)
+    threshold, a_tag = least.density * (1 - 1e-9), least.c / max(least.t, 1)
+    whole = best
+    while whole is not body and whole.tag in INNER:  # blocks and inline marks are parts of a content node, not one
+        whole = whole.parent
+    kept, todo = {_article(path) or whole}, [body]
+    while todo:
+        node = todo.pop()
+        short = (node.c - node.lc) / max(node.t, 1) < a_tag  # the logarithm grows with size, so a small part has its unlinked text a tag as well
+        if node.density < threshold and short or node in kept:
+            continue
+        if top[node] is not best and top[node].c:
+            kept.add(top[node])
+        todo += [c for c in node.children if isinstance(c, Node) and not c.out]
+    kept |= {h for node in kept for h in _headings(node)}
+    out, todo = [], [body]
+    while todo:
+        node = todo.pop()
+        if node in kept:
+            out.append(node)
+        else:
+            todo += reversed([c for c in node.children if isinstance(c, Node) and not c.out])
+    return out
+
+
+def _article(path: list[Node]) -> Node | None:
+    """The nearest article around the content: its title and short parts are under any threshold, and belong to it."""
+    return next((node for node in path if node.tag == "article"), None)
+
+
+def _headings(node: Node) -> list[Node]:
+    """The headings that stand right before a node."""
+    found: list[Node] = []
+    for child in node.parent.children if node.parent else ():
+        if child is node:
+            return found
+        if isinstance(child, Node) and not child.out and child.tag in HEADINGS:
+            found.append(child)
+        elif isinstance(child, Node) and not child.out and child.c or isinstance(child, str) and not child.isspace():
+            found = []
+    return []
 
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 INNER = frozenset("a abbr b big blockquote br cite code dd dfn dl dt em font h1 h2 h3 h4 h5 h6 i kbd li mark ol p pre q s samp small span strike strong sub sup td th tr tbody thead tfoot table tt u ul var".split())
 
 
-def blocks(node: Node) -> list[str]:
-    """The texts of the node's blocks in page order, white space made one space; a line break ends a block
+def blocks(nodes: list[Node]) -> list[str]:
+    """The texts of the nodes' blocks in page order, white space made one space; a line break ends a block
     only where it stands next to another block."""
     out, run = [], []
 
@@ -192,7 +233,7 @@ def blocks(node: Node) -> list[str]:
         if text:
             out.append(text)
 
-    todo: list[Node | str | None] = [node]
+    todo: list[Node | str | None] = [x for node in reversed(nodes) for x in (None, node)]
     while todo:
         item = todo.pop()
         if item is None:

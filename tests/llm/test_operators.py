@@ -335,6 +335,22 @@ def test_html_extraction(spark):
     assert html_extract.extract(frame.limit(0)).count() == 0
 
 
+def paragraphs(*sizes):
+    return ["w" * (n - 9) + f" {k:08d}" for k, n in enumerate(sizes)]
+
+
+def test_html_content_is_whole():
+    tagged = lambda ps: "".join(f"<p>{p}</p>" for p in ps)
+    ps, title = paragraphs(*[400] * 10), "A title of 20 letter"
+    assert html_extract.main_text(f"<article><h1>{title}</h1><div>{tagged(ps)}</div></article>") == "\n\n".join([title, *ps])
+    for a, b in (("<article>", "</article>"), ("<div>", "</div>"), ("", "")):  # several parts, with and without an article
+        assert html_extract.main_text(f"{a}<section>{tagged(ps[:6])}</section><section>{tagged(ps[6:])}</section>{b}") == "\n\n".join(ps)
+    assert html_extract.main_text(f"<article><div>{tagged(ps[:9])}</div><div>{tagged(ps[9:])}</div></article>") == "\n\n".join(ps)
+    assert html_extract.main_text(f"<div><h1>{title}</h1><div>{tagged(ps)}</div></div>") == "\n\n".join([title, *ps])
+    links = "".join(f"<li><a href=/{i}>link {i}</a></li>" for i in range(40))
+    assert html_extract.main_text(f"<div><ul>{links}</ul></div><div>{tagged(ps)}</div><div><ul>{links}</ul></div>") == "\n\n".join(ps)
+
+
 # 8: n-gram join
 
 
