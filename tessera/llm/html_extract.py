@@ -11,6 +11,7 @@ maximum sum; an article around the marked node is kept whole, and headings right
 
 from __future__ import annotations
 
+import heapq
 import html
 import math
 import re
@@ -29,11 +30,14 @@ BLOCKS = frozenset("address article blockquote body caption center dd details di
 CLOSES_P = BLOCKS - frozenset("body caption html legend option optgroup tbody td tfoot th thead tr dd dt li".split()) | {"li", "dd", "dt"}
 CLOSED_BY = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 NO_CONTENT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|notices|alert|newsletter|subscribe|signup|login|popup|modal|overlay"
+    r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|notices|alert|newsletter|subscribe|signup|login|popup|modal|overlay"
     r"|nav|navbar|navigation|menu|menubar|breadcrumbs?|pagination|pager|sidebar|side|aside|footer|foot|header|masthead|toolbar|share|sharing|social|related|recommended"
-    r"|comments?|commentlist|respond|replies|reply|disqus|widget|skip|hidden)(?:$|[\s_-])",
+    r"|comments?|commentlist|respond|replies|reply|disqus|widget|skip|hidden)",
     re.I,
 )
+BESIDE = frozenset("site page main global top bottom left right upper lower primary secondary first second third mobile desktop list lists item items link links bar box area section form block container wrapper wrap inner button buttons icon icons post posts article articles story stories content media text slot unit policy message toggle body to".split())  # with a listed word they name no content; with, no, has, overflow and so on turn its meaning
+HEADS, OF_ARTICLES = frozenset("header masthead".split()), frozenset("article post story content".split())
+UNWRAPPED = frozenset("form nav header footer aside menu dialog".split())  # of DROPPED: may hold the article of a badly made page
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</[^a-zA-Z][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -41,27 +45,83 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "out", "c", "t", "lc", "lt", "density", "total")
+    __slots__ = ("tag", "parent", "children", "out", "article", "c", "t", "lc", "lt", "density", "total")
 
     def __init__(self, tag: str, parent: Node | None, out: bool):
         self.tag, self.parent, self.out = tag, parent, out
+        self.article = tag in ("article", "main") or parent is not None and parent.article
         self.children: list[Node | str] = []
 
 
-def _named_away(tag: str, attributes: str) -> bool:
-    if tag in DROPPED:
+def _no_content(value: str, article: bool) -> bool:
+    """Whether a class or id is, as a whole, a listed word, or listed words with words beside them ('site-nav'). What
+    heads an article is its title."""
+    for token in value.lower().split():
+        words = [w for w in re.split(r"[_-]+", token) if w]
+        listed = [w for w in words if NO_CONTENT.fullmatch(w)]
+        if listed and all(w in BESIDE or w.isdigit() or NO_CONTENT.fullmatch(w) for w in words) and not (HEADS.issuperset(listed) and (article or not OF_ARTICLES.isdisjoint(words))):
+            return True
+    return False
+
+
+def _named_away(tag: str, attributes: str, article: bool) -> bool:
+    if tag in DROPPED and not (tag == "header" and article):
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
-        if name in ("class", "id") and NO_CONTENT.search(value) or name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+        if name in ("class", "id") and _no_content(value, article) or name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
     return False
 
 
+def unwrap(body: Node) -> None:
+    """Dropped nodes that hold an article are taken for wrappers and kept, the largest first, unless an article with a
+    tenth of the page's unlinked text stands outside all dropped nodes; so are forms and nodes dropped for their name
+    that hold most of that text, if no article stands outside."""
+    text: dict[Node, int] = {}
+    holds: set[Node] = set()
+    order, todo = [], [body]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += [c for c in node.children if isinstance(c, Node) and not _gone(c)]
+    for node in reversed(order):
+        own = sum(len(_SPACE.sub("", c)) for c in node.children if isinstance(c, str))
+        text[node] = 0 if node.tag == "a" else own + sum(text[c] for c in node.children if isinstance(c, Node) and not _gone(c))
+        if node.tag == "article" or any(c in holds for c in node.children if isinstance(c, Node)):
+            holds.add(node)
+    whole, kept, found, todo = text[body], 0, [], [body]
+    while True:
+        while todo:
+            node = todo.pop()
+            for child in node.children:
+                if isinstance(child, str):
+                    kept += len(_SPACE.sub("", child)) if node.article and text[node] else 0
+                elif not _gone(child):
+                    if child.out:
+                        heapq.heappush(found, (-text[child], len(found), id(child), child))
+                    else:
+                        todo.append(child)
+        if not whole or kept * 10 >= whole:
+            return
+        while found:
+            size, _, _, node = heapq.heappop(found)
+            if node in holds and size or -size * 2 > whole and not kept and (node.tag == "form" or node.tag not in DROPPED):
+                node.out = False
+                todo.append(node)
+                break
+        else:
+            return
+
+
+def _gone(node: Node) -> bool:
+    return node.out and node.tag in DROPPED and node.tag not in UNWRAPPED
+
+
 def parse(page: str) -> Node:
     """A tree that follows the rules of HTML for what closes what, as far as text needs them."""
     root = Node("html", None, False)
@@ -78,9 +138,9 @@ def parse(page: str) -> Node:
             tag = tag.lower()
             if match[1]:
                 if tag == "p" and not _inside(now, "p"):
-                    now.children.append(Node("p", now, now.out))
+                    now.children.append(Node("p", now, False))
                 elif tag == "br":
-                    now.children.append(Node("br", now, now.out))
+                    now.children.append(Node("br", now, False))
                 elif tag not in ("html", "body"):
                     up = now
                     while up is not body and up.tag != tag and not (up.tag in ("article", "main", "section", "td") and tag not in BLOCKS):
@@ -101,7 +161,7 @@ def parse(page: str) -> Node:
                         now = up.parent
                         if tag in ("tr", "td", "th") and now.tag in closed and tag == "tr":
                             now = now.parent
-                node = Node(tag, now, now.out or _named_away(tag, match[3]))
+                node = Node(tag, now, _named_away(tag, match[3], now.article))
                 now.children.append(node)
                 if tag in RAW:
                     end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
@@ -255,6 +315,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     body = parse(page)
+    unwrap(body)
     measure(body)
     return "\n\n".join(blocks(content(body)))
 

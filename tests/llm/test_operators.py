@@ -351,6 +351,22 @@ def test_html_content_is_whole():
     assert html_extract.main_text(f"<div><ul>{links}</ul></div><div>{tagged(ps)}</div><div><ul>{links}</ul></div>") == "\n\n".join(ps)
 
 
+def test_html_names_of_wrappers():
+    ps = paragraphs(*[200] * 6)
+    article = "<h1>A title</h1>" + "".join(f"<p>{p}</p>" for p in ps)
+    want = "\n\n".join(["A title", *ps])
+    noise = "<nav><a href=x>A</a></nav><div class='site-footer'><p>All rights of the site are reserved by it.</p></div>"
+    for name in ("overflow-hidden", "no-sidebar", "with-sidebar", "has-comments", "layout sidebar-right", "hidden", "skip-none"):
+        assert html_extract.main_text(f'<div class="{name}">{article}</div>{noise}') == want, name
+        assert html_extract.main_text(f'<div class="{name}"><article>{article}</article></div>{noise}') == want, name
+    assert html_extract.main_text(f"<body><form action=x><nav><a href=x>A</a></nav><div>{article}</div></form></body>") == want
+    headed = article.replace("<h1>A title</h1>", "<header class='entry-header'><h1>A title</h1></header>")
+    assert html_extract.main_text(f"<header><h1>Site</h1></header><article>{headed}</article>{noise}") == want
+    long = "<p>" + "a reader says much " * 400 + "</p>"
+    for name in ("comments", "comment-list", "related-posts", "cookie-notice", "main-menu"):
+        assert html_extract.main_text(f"<article>{article}</article><section class='{name}'><article>{long}</article></section>") == want, name
+
+
 # 8: n-gram join
 
 
