@@ -134,29 +134,54 @@ def balanced(rows: DataFrame, label: str, key: str, seed: int | None = None) ->
     return parts[0].unionByName(parts[1])
 
 
-def insertion_places(known: int, unknowns: int) -> tuple[list[int], list[int]]:
-    """Final places of known rows and of unknown rows, if unknown row i goes in at i * ((known + i) // unknowns)."""
-    rows: list[tuple[int, int]] = [(0, r) for r in range(known)]
-    for i in range(unknowns):
-        rows.insert(i * ((known + i) // unknowns), (1, i))
-    out: tuple[list[int], list[int]] = ([0] * known, [0] * unknowns)
-    for at, (kind, r) in enumerate(rows):
-        out[kind][r] = at
-    return out
+def insertion_places(known: int, unknowns: int) -> tuple[Column, Column]:
+    """Final places of known row __r and of unknown row __r, if unknown row i goes in at i * ((known + i) // unknowns).
+
+    While that is 0 (known + i < unknowns) rows go to the front, so they end in reverse; from then on each goes in
+    behind all before it and stays there. So known row r has before it the unknown rows j with place(j) - j <= r:
+    j * (q - 1) <= r for the first ones, whose quotient is q = known // unknowns, and j * q <= r for the rest."""
+    r = F.col("__r").cast("long")
+    if not unknowns:
+        return r, r
+    q, first = known // unknowns, unknowns - known % unknowns  # from row `first` on the quotient is q + 1
+
+    def upto(step: int) -> Column:
+        return F.least(F.expr(f"cast(__r as bigint) div {step} + 1"), F.lit(unknowns)) if step > 0 else F.lit(unknowns)
+
+    before = F.least(upto(q - 1), F.lit(first)) + F.greatest(upto(q) - first, F.lit(0))
+    loose = F.when(r + known < unknowns, F.lit(unknowns - known - 1) - r).otherwise(r * F.when(r < first, q).otherwise(q + 1))
+    return r + before, loose
+
+
+def numbered(rows: DataFrame, group: Column, idx: str, name: str = "__r", parts: int = 64) -> DataFrame:
+    """Row numbers from 0 by group and idx over the whole table, the columns kept.
+
+    Ranges of idx, cut at a hashed sample of its values, are numbered apart and start where the ranges before them
+    end, so no task takes all rows; what the driver holds is the cuts and the counts of the ranges."""
+    sample = hash_sample(rows.select(idx).where(F.col(idx).isNotNull()).distinct(), 32 * parts, 42, idx).orderBy(idx).collect()
+    cuts = [r[0] for r in sample[:: max(1, len(sample) // parts)]][:parts]
+    above = F.lit(0) + sum((F.coalesce((F.col(idx) >= F.lit(c)).cast("int"), F.lit(0)) for c in cuts), F.lit(0))
+    apart = rows.withColumn("__g", group).withColumn("__b", above)
+    counts = sorted(apart.groupBy("__g", "__b").agg(F.count("*").alias("n")).collect())
+    starts, total = [], 0
+    for g, b, n in counts:
+        starts.append((g, b, total))
+        total += n
+    within = F.row_number().over(Window.partitionBy("__g", "__b").orderBy(idx)) - 1
+    offsets = rows.sparkSession.createDataFrame(starts, "__g long, __b int, __s long")
+    out = apart.withColumn("__w", within).join(F.broadcast(offsets), ["__g", "__b"])
+    return out.withColumn(name, F.col("__s") + F.col("__w")).select(*rows.columns, name)
 
 
 def curriculum(rows: DataFrame, group: str, order: list[str], unknown: str, idx: str, name: str = "position") -> DataFrame:
     """Groups in the given order (others dropped), each by idx; then unknown row i is inserted at
     i * ((known + i) // unknowns), one after the other. `name` sorts the result.
 
-    Inserting is sequential by definition; it is done on row numbers alone, in one task, and joined back. For
-    tables too large for that, `interleaved` spreads the unknown rows evenly without it."""
+    The places come from row numbers in closed form (`insertion_places`); no task and no list holds all rows."""
     place = F.array_position(F.array(*map(F.lit, order)), F.col(group))
-    known = rows.where(place > 0).withColumn("__r", F.row_number().over(Window.orderBy(place, idx)) - 1)
-    loose = rows.where(F.col(group) == unknown).withColumn("__r", F.row_number().over(Window.orderBy(idx)) - 1)
+    known, loose = rows.where(place > 0), rows.where(F.col(group) == unknown)
     places = insertion_places(known.count(), loose.count())
-    spark = rows.sparkSession
-    out = [t.join(spark.createDataFrame(list(enumerate(p)), f"`__r` int, `{name}` long"), "__r").drop("__r") for t, p in ((known, places[0]), (loose, places[1]))]
+    out = [numbered(t, g, idx).withColumn(name, p).drop("__r") for t, g, p in ((known, place, places[0]), (loose, F.lit(0).cast("long"), places[1]))]
     return out[0].unionByName(out[1])
 
 

@@ -376,11 +376,11 @@ def union_parts(spark, d):
 
 
 @query(
-    """with k as (select o_orderkey, o_orderpriority, row_number() over (order by list_position(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED'], o_orderpriority), o_orderkey) - 1 as r from orders where o_orderpriority <> '5-LOW' and o_custkey % 10 = 0),
-u as (select o_orderkey, o_orderpriority, row_number() over (order by o_orderkey) - 1 as r from orders where o_orderpriority = '5-LOW' and o_custkey % 10 = 0) select o_orderkey, o_orderpriority from k union all select o_orderkey, o_orderpriority from u"""
+    """with k as (select o_orderkey, o_orderpriority, row_number() over (order by list_position(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED'], o_orderpriority), o_orderkey) - 1 as r from orders where o_orderpriority <> '5-LOW'),
+u as (select o_orderkey, o_orderpriority, row_number() over (order by o_orderkey) - 1 as r from orders where o_orderpriority = '5-LOW') select o_orderkey, o_orderpriority from k union all select o_orderkey, o_orderpriority from u"""
 )
 def curriculum_rows(spark, d):
-    o = X.table(spark, d, "orders").where("o_custkey % 10 = 0").select("o_orderkey", "o_orderpriority")
+    o = X.table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
     return S.curriculum(o, "o_orderpriority", ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"], "5-LOW", "o_orderkey").select("o_orderkey", "o_orderpriority")
 
 

@@ -191,6 +191,24 @@ def test_pass_one_of_unequal_items(spark):
             assert got.stderr == pytest.approx(math.sqrt(sum((x - m) ** 2 for x in means)) / len(means) * 100)
 
 
+@pytest.mark.parametrize(("known", "unknowns"), [(0, 5), (5, 0), (3, 8), (8, 3), (7, 7), (40, 11), (11, 40), (100, 1), (1, 30), (60, 20)])
+def test_curriculum_against_insertion(spark, known, unknowns):
+    draw = random.Random(known)
+    kinds = [draw.choice(["B", "A"]) for _ in range(known)] + ["U"] * unknowns + ["OTHER"] * 3
+    draw.shuffle(kinds)
+    rows = list(enumerate(kinds))
+    want = [r for g in "AB" for r in rows if r[1] == g]
+    loose = [r for r in rows if r[1] == "U"]
+    for i, r in enumerate(loose):
+        want.insert(i * (len(want) // len(loose)), r)
+    got = selection.curriculum(spark.createDataFrame(rows, "i int, d string"), "d", ["A", "B"], "U", "i").orderBy("position").collect()
+    assert [(r.i, r.d) for r in got] == want and [r.position for r in got] == list(range(known + unknowns))
+
+
+def test_curriculum_takes_all_orders(spark):
+    assert entry.queries()["curriculum_rows"](spark, SF).count() == spark.read.parquet(f"{SF}/orders.parquet").count()
+
+
 # text
 
 
