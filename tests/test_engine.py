@@ -209,6 +209,15 @@ def test_curriculum_takes_all_orders(spark):
     assert entry.queries()["curriculum_rows"](spark, SF).count() == spark.read.parquet(f"{SF}/orders.parquet").count()
 
 
+def test_dedup_then_filter_takes_all_orders(spark):
+    orders = Counter(r.o_custkey for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_custkey").collect())
+    first = {}
+    for c in sorted(orders):
+        first.setdefault(f"q {c % 40}", c)
+    want = {(c, q, orders[c]) for q, c in first.items() if orders[c] >= 2}
+    assert {tuple(r) for r in entry.queries()["dedup_then_filter"](spark, SF).collect()} == want
+
+
 # text
 
 
