@@ -255,10 +255,11 @@ def checkpoint_mean_std(spark, d):
     return _rounded(M.run_spread(v), "mean", "std", "percent")
 
 
-@query(f"{A}, g as (select idx % 4 as k, idx // 10 as step, round(avg(score), 5) as v from attempts group by 1, 2) select k, max(v) filter (where step = 0) as s0, max(v) filter (where step = 1) as s1, max(v) filter (where step = 2) as s2 from g group by k")
+@query(f"{A}, g as (select idx % 4 as k, idx // 10 as step, round(avg(score), 5) as v from attempts group by 1, 2) pivot (select k, 's' || step as step, v from g) on step using max(v) group by k")
 def pivot_grid(spark, d):
     g = X.attempts(spark, d).groupBy(F.expr("idx % 4").alias("k"), F.expr("idx div 10").alias("step")).agg(F.round(F.avg("score"), 5).alias("v"))
-    return J.wide(g, "k", "step", "v", [0, 1, 2]).withColumnsRenamed({"0": "s0", "1": "s1", "2": "s2"})
+    steps = sorted(r.step for r in g.select("step").distinct().collect())
+    return J.wide(g, "k", "step", "v", steps).withColumnsRenamed({str(s): f"s{s}" for s in steps})
 
 
 # selection
@@ -369,10 +370,10 @@ def last_wins_dedup(spark, d):
     return rows.select(text.md5_hex("question").alias("question"), "doc_id", "position")
 
 
-@query("select o_orderkey, o_custkey from orders where o_orderkey % 2 = 0 union all select o_orderkey, o_custkey from orders where o_orderkey % 3 = 0")
+@query("select o_orderkey, o_custkey from orders where o_orderkey % 2 = 0 union all select o_orderkey, o_custkey from orders where o_orderkey % 2 = 1 or o_orderkey % 3 = 0")
 def union_parts(spark, d):
     o = X.table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    return S.union_all(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 3 = 0"))
+    return S.union_all(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1 or o_orderkey % 3 = 0"))
 
 
 @query(
@@ -521,9 +522,9 @@ def comment_ratios(spark, d):
     return _commented(spark, d).select("conv_id", "turn", F.round(text.comment_ratio("code"), 9).alias("ratio"))
 
 
-@query("select conv_id, turn, regexp_replace(role || ' ' || text, '[\\n\\r\\t/ ]', '_', 'g') as name from conversations where turn < 2")
+@query("select conv_id, turn, regexp_replace(role || ' ' || text, '[\\n\\r\\t/ ]', '_', 'g') as name from conversations")
 def sanitised_names(spark, d):
-    return X.table(spark, d, "conversations").where("turn < 2").select("conv_id", "turn", text.sanitised_name(F.concat_ws(" ", "role", "text"), F.col("turn")).alias("name"))
+    return X.table(spark, d, "conversations").select("conv_id", "turn", text.sanitised_name(F.concat_ws(" ", "role", "text"), F.col("turn")).alias("name"))
 
 
 @query("with t as (select distinct text as test from benchmark) select test, md5(test) as hash from t")

@@ -218,6 +218,20 @@ def test_dedup_then_filter_takes_all_orders(spark):
     assert {tuple(r) for r in entry.queries()["dedup_then_filter"](spark, SF).collect()} == want
 
 
+def test_no_rows_left_out(spark):
+    q = entry.queries()
+    talks = {(r.conv_id, r.turn) for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()}
+    assert {(r.conv_id, r.turn) for r in q["sanitised_names"](spark, SF).collect()} == talks
+    orders = {r.o_orderkey for r in spark.read.parquet(f"{SF}/orders.parquet").collect()}
+    assert Counter(r.o_orderkey for r in q["union_parts"](spark, SF).collect()) == Counter({o: 2 if o % 6 == 0 else 1 for o in orders})
+    cells, at = {}, Counter()
+    for r in sorted(spark.read.parquet(f"{SF}/events.parquet").collect(), key=lambda r: r.event_id):
+        at[r.user_id] += 1
+        cells.setdefault((at[r.user_id] % 4, at[r.user_id] // 10), []).append(r.value)
+    got = {(r["k"], int(c[1:])): r[c] for r in q["pivot_grid"](spark, SF).collect() for c in r.__fields__ if c != "k" and r[c] is not None}
+    assert got == pytest.approx({c: sum(v) / len(v) for c, v in cells.items()}, abs=2e-5)
+
+
 # text
 
 
