@@ -70,10 +70,12 @@ def accumulate(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
     """For each query, the columns of its k best candidates other than itself (more where scores tie at the end)."""
+    sorted_ids = np.sort(ids)
+    own_rows = np.searchsorted(sorted_ids, own, "right") - np.searchsorted(sorted_ids, own, "left")
     for q in range(len(scores)):
-        row = scores[q]
-        if len(row) > k + 1:
-            edge = np.partition(row, len(row) - k - 1)[len(row) - k - 1]  # one more than k: the query's own row may be among them
+        row, most = scores[q], max(k + int(own_rows[q]), 1)  # the query's own rows may be among the highest
+        if len(row) > most:
+            edge = np.partition(row, len(row) - most)[len(row) - most]
             at = np.flatnonzero(row >= edge)
         else:
             at = np.arange(len(row))

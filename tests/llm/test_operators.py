@@ -495,6 +495,17 @@ def test_sql_of_the_queries(spark):
         assert Counter(tuple(r[c] for c in order) for r in frame.collect()) == Counter(tuple(r[i] for i in at) for r in want.fetchall()), name
 
 
+@pytest.mark.parametrize("own_rows", [0, 1, 2, 5])
+def test_topk_with_repeated_own_rows(own_rows):
+    draw = np.random.default_rng(own_rows)
+    scores = draw.integers(0, 50, (1, 40))
+    ids = np.arange(100, 140)
+    ids[:own_rows], scores[0, :own_rows] = 7, 90
+    want = sorted((-s, i) for s, i in zip(scores[0].tolist(), ids.tolist(), strict=True) if i != 7)[:5]
+    [(_, at)] = topk.best(scores, ids, np.array([7]), 5)
+    assert [(-scores[0, a], ids[a]) for a in at] == want
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as pipeline
 
