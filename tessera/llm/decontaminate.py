@@ -2,9 +2,9 @@
 
 Every window of as many words as an item has is compared to the items of that size: its SimHash (64 bits over
 weighted word shingles) is looked up by multi-index hashing (the fingerprint is cut into blocks; within a radius
-r two fingerprints differ in some block by at most r / blocks bits, and a table of each block's values lists
-the items that near, so no fingerprint within the radius is missed), and the exact weighted Jaccard similarity
-of the shingles decides. Windows that hold too few of the benchmark's shingles to reach the threshold can't
+r two fingerprints differ in some block by at most r / blocks bits, and each block's index gives the items that
+near, so no fingerprint within the radius is missed), and the exact weighted Jaccard similarity of the shingles
+decides. Windows that hold too few of the benchmark's shingles to reach the threshold can't
 match; running sums of shingle hits find them for all positions at once, and their fingerprints are not made.
 """
 
@@ -25,7 +25,9 @@ SHINGLE = 5  # words
 SIMILARITY = 0.8
 RADIUS = 19  # bits; two sets of similarity 0.8 are some 10 bits apart, so this is three deviations out
 BLOCKS = 4  # of 16 bits
-ITEMS_AT_ONCE = 4096  # items of a broadcast table; a larger benchmark takes several passes
+ITEMS_AT_ONCE = 1 << 16  # items of a broadcast index, and bytes of their texts; a larger benchmark is cut into slices
+BYTES_AT_ONCE = 32 << 20
+_BAGS = 4096  # items whose shingles a worker holds counted
 
 # letters, digits and bytes beyond ASCII make words; everything else parts them
 NOT_WORD = np.ones(256, bool)
@@ -52,44 +54,51 @@ def weighted_jaccard(a: Counter, b: Counter) -> float:
 
 
 class Near:
-    """Multi-index hashing over item fingerprints."""
+    """Multi-index hashing over item fingerprints. A block's index is the items in order of their value there; a query
+    tries all values within the block's share of the radius, or all items where those are fewer."""
 
     def __init__(self, prints: np.ndarray, radius: int = RADIUS, blocks: int = BLOCKS):
         self.prints, self.radius, self.blocks = prints, radius, blocks
         self.width = 64 // blocks
         values = np.arange(1 << self.width, dtype=np.uint64)
-        self.tables = []
-        for b in range(blocks):
-            part = (prints >> np.uint64(b * self.width)) & np.uint64((1 << self.width) - 1)
-            near = [np.flatnonzero(np.bitwise_count(values ^ p) <= radius // blocks) for p in part]
-            value = np.concatenate([*near, np.zeros(0, np.int64)]).astype(np.int64)
-            item = np.repeat(np.arange(len(prints)), [len(x) for x in near])
-            order = np.argsort(value, kind="stable")
-            self.tables.append((np.searchsorted(value[order], np.arange(len(values) + 1)), item[order]))
-
-    def __reduce__(self):  # workers build the tables anew; only the fingerprints travel
+        self.masks = values[np.bitwise_count(values) <= radius // blocks]
+        self.parts = [self._part(prints, b) for b in range(blocks)]
+        self.orders = [np.argsort(p, kind="stable") for p in self.parts]
+
+    def __reduce__(self):  # workers build the index anew; only the fingerprints travel
         return Near, (self.prints, self.radius, self.blocks)
 
+    def _part(self, prints: np.ndarray, b: int) -> np.ndarray:
+        return (prints >> np.uint64(b * self.width)) & np.uint64((1 << self.width) - 1)
+
     def find(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All (row of `prints`, item) within the radius, each once."""
-        found = []
-        for b, (at, item) in enumerate(self.tables):
-            part = ((prints >> np.uint64(b * self.width)) & np.uint64((1 << self.width) - 1)).astype(np.int64)
-            n = at[part + 1] - at[part]
-            row = np.repeat(np.arange(len(prints)), n)
-            jump = np.repeat(at[part] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            it = item[jump]
-            ok = distance(prints[row], self.prints[it]) <= self.radius
-            found.append(row[ok] * len(self.prints) + it[ok])
-        pair = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        return pair // max(1, len(self.prints)), pair % max(1, len(self.prints))
+        n, found = len(self.prints), [np.zeros(0, np.int64)]
+        for a in range(0, len(prints) if n else 0, 512):
+            some = prints[a : a + 512]
+            for b in range(self.blocks):
+                part = self._part(some, b)
+                if n <= len(self.masks):
+                    row, it = np.nonzero(np.bitwise_count(part[:, None] ^ self.parts[b][None, :]) <= self.radius // self.blocks)
+                else:
+                    listed = self.parts[b][self.orders[b]]
+                    tried = (part[:, None] ^ self.masks[None, :]).ravel()
+                    low, high = np.searchsorted(listed, tried, "left"), np.searchsorted(listed, tried, "right")
+                    many = high - low
+                    row = np.repeat(np.repeat(np.arange(len(some)), len(self.masks)), many)
+                    it = self.orders[b][np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())]
+                ok = distance(some[row], self.prints[it]) <= self.radius
+                found.append((a + row[ok]) * n + it[ok])
+        pair = np.unique(np.concatenate(found))
+        return pair // max(1, n), pair % max(1, n)
 
 
 class Benchmark:
-    """Items by size with their shingles, fingerprints and tables; a bounded number of items."""
+    """Items by size with their shingles and fingerprints; a bounded number of items. With `radius` None every
+    window that holds enough benchmark shingles is verified against every item of its size, whatever the fingerprints."""
 
-    def __init__(self, items: list[tuple[int, str]], size: int = SHINGLE, similarity: float = SIMILARITY):
-        self.size, self.similarity = size, similarity
+    def __init__(self, items: list[tuple[int, str]], size: int = SHINGLE, similarity: float = SIMILARITY, radius: int | None = RADIUS):
+        self.size, self.similarity, self.exact = size, similarity, radius is None
         column = pa.array([t for _, t in items], pa.string())
         data, offsets = hashing.buffers(column)
         start, end, by = hashing.words(data, offsets, NOT_WORD)
@@ -101,11 +110,18 @@ class Benchmark:
             groups.setdefault(int(words[k]), []).append(int(k))
         self.groups = []
         for m, ks in sorted(groups.items()):
-            bags = [Counter(shingles[at[k] : at[k + 1]].tolist()) for k in ks]
             owner = np.repeat(np.arange(len(ks)), [at[k + 1] - at[k] for k in ks])
             flat = np.concatenate([shingles[at[k] : at[k + 1]] for k in ks])
-            self.groups.append((m, np.array([items[k][0] for k in ks], np.int64), bags, Near(fingerprints(flat, np.ones(len(flat)), owner, len(ks)))))
-        self.sizes = np.array([m for m, *_ in self.groups])
+            prints = fingerprints(flat, np.ones(len(flat)), owner, len(ks))
+            self.groups.append((m, np.array([items[k][0] for k in ks], np.int64), flat.reshape(len(ks), -1), Near(prints, RADIUS if radius is None else radius)))
+        self.counted: dict[tuple[int, int], Counter] = {}
+
+    def bag(self, g: int, k: int) -> Counter:
+        if (g, k) not in self.counted:
+            if len(self.counted) >= _BAGS:
+                self.counted.clear()
+            self.counted[g, k] = Counter(self.groups[g][2][k].tolist())
+        return self.counted[g, k]
 
     @staticmethod
     def _short(hashes: np.ndarray, by: np.ndarray, m: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,29 +147,26 @@ class Benchmark:
         hits = np.concatenate([[0], np.cumsum(self.known[place] == shingles)])
         n_words = np.diff(by)
         touched = np.flatnonzero(hits[at[1:]] > hits[at[:-1]])
+        # the shingles of the touched texts, one text after the other, each with the end of its text's
+        many = (at[touched + 1] - at[touched]).astype(np.int64)
+        spots = np.repeat(at[touched] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+        stops = np.repeat(at[touched + 1], many)
+        owners = np.repeat(touched, many)
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
-        for m, names, bags, near in self.groups:
+        for g, (m, names, sets, near) in enumerate(self.groups):
             width = max(1, m - self.size + 1)  # shingles of a window
             least = self.similarity * 2 / (1 + self.similarity) * width
-            texts, firsts = [], []
             if m < self.size:  # an item of few words is one shingle: so are the text's windows of as many words
-                bag, first = self._short(hashes, by, m, np.array([k for b in bags for k in b], np.uint64))
+                flat, first = self._short(hashes, by, m, sets.ravel())
                 text = np.searchsorted(by, first, side="right") - 1
-                length, flat = np.ones(len(first), np.int64), bag
+                length = np.ones(len(first), np.int64)
                 word = first
             else:
-                for t in touched.tolist():
-                    a, b = at[t], at[t + 1]
-                    if n_words[t] < m:  # a text shorter than the item is one window
-                        if hits[b] - hits[a] >= self.similarity * width - 1e-9:
-                            texts.append(np.array([t]))
-                            firsts.append(np.array([a]))
-                        continue
-                    inside = hits[a + width : b + 1] - hits[a : b - width + 1]
-                    found = np.flatnonzero(inside >= least - 1e-9)
-                    texts.append(np.full(len(found), t))
-                    firsts.append(a + found)
-                text, first = np.concatenate([*texts, np.zeros(0, np.int64)]), np.concatenate([*firsts, np.zeros(0, np.int64)])
+                whole = np.flatnonzero(spots + width <= stops)
+                found = whole[hits[spots[whole] + width] - hits[spots[whole]] >= least - 1e-9]
+                small = touched[n_words[touched] < m]  # a text shorter than the item is one window
+                small = small[hits[at[small + 1]] - hits[at[small]] >= self.similarity * width - 1e-9]
+                text, first = np.concatenate([owners[found], small]), np.concatenate([spots[found], at[small]])
                 length = np.minimum(width, at[text + 1] - first)
                 flat = shingles[np.repeat(first - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum())] if len(first) else shingles[:0]
                 word = by[text] + first - at[text]
@@ -161,9 +174,15 @@ class Benchmark:
                 continue
             begin = np.concatenate([[0], np.cumsum(length)])
             owner = np.repeat(np.arange(len(first)), length)
-            row, item = near.find(fingerprints(flat, np.ones(len(flat)), owner, len(first)))
+            if self.exact:
+                row, item = np.repeat(np.arange(len(first)), len(names)), np.tile(np.arange(len(names)), len(first))
+            else:
+                row, item = near.find(fingerprints(flat, np.ones(len(flat)), owner, len(first)))
+            window, last = Counter(), -1
             for r, k in zip(row.tolist(), item.tolist(), strict=True):
-                alike = weighted_jaccard(Counter(flat[begin[r] : begin[r + 1]].tolist()), bags[k])
+                if r != last:
+                    window, last = Counter(flat[begin[r] : begin[r + 1]].tolist()), r
+                alike = weighted_jaccard(window, self.bag(g, k))
                 key = (int(text[r]), int(names[k]))
                 if alike >= self.similarity and alike > best.get(key, (0.0,))[0]:
                     w = int(word[r])
@@ -171,26 +190,37 @@ class Benchmark:
         return [(t, name, *found) for (t, name), found in sorted(best.items())]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def _indexes(benchmark: DataFrame, item: str, item_text: str, size: int, similarity: float, radius: int | None) -> list:
+    """The benchmark as broadcast indexes of at most about ITEMS_AT_ONCE items and BYTES_AT_ONCE bytes of text each;
+    items that share an id stand in one."""
+    items = benchmark.select(F.col(item).cast("long").alias("k"), F.col(item_text).cast("string").alias("t")).where("k is not null and t is not null").distinct()
+    facts = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first()
+    slices = max(-(-facts["n"] // ITEMS_AT_ONCE), -(-facts["b"] // BYTES_AT_ONCE))
+    out = []
+    for s in range(slices):
+        mine = items.where(F.expr(f"pmod(xxhash64(k), {slices}) = {s}")).orderBy("k", "t").collect()
+        out.append(benchmark.sparkSession.sparkContext.broadcast(Benchmark([(r["k"], r["t"]) for r in mine], size, similarity, radius)))
+    return out
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, id_: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY, radius: int | None = RADIUS) -> DataFrame:
     """(id, item_id, similarity, first_byte, end_byte): for each document and item the window of the text most
     alike to the item, if the similarity is reached (ties: the first window). Bytes count in the text's UTF-8.
 
     Words are runs of letters and digits (any character beyond ASCII counts as one), ASCII letters in lower
     case; shingles weigh their number of occurrences. An item of fewer words than a shingle is one shingle; an
     item without words, or with a null id or text, matches nothing; a document shorter than an item is one
-    window. Null, empty or null-id documents give no rows; documents or items given twice give their rows
-    twice or once (items: once). Extra columns take no part. The benchmark is read in slices of bounded size,
-    each broadcast, with one pass over the documents a slice; documents are never shuffled."""
+    window; items that share an id give one row, of the best of them. Null, empty or null-id documents give no rows;
+    documents or items given twice give their rows twice or once (items: once). Extra columns take no part.
+    `radius`: bits; None verifies without fingerprints. The benchmark is broadcast in one index up to a checked size;
+    beyond it each slice has its own branch of the same job over the documents, which are never shuffled."""
     spark = docs.sparkSession
     ship(spark)
-    items = benchmark.select(F.col(item).cast("long").alias("k"), F.col(item_text).cast("string").alias("t")).where("k is not null and t is not null").distinct()
-    slices = -(-items.count() // ITEMS_AT_ONCE)
     part = spread(docs.select(F.col(id_).cast("long").alias("id"), F.col(text).cast("string").alias("t")).where("id is not null and t is not null"))
     schema = f"`{id_}` long, item_id long, similarity double, first_byte int, end_byte int"
     out = spark.createDataFrame([], schema)
-    for s in range(slices):
-        mine = items.where(F.expr(f"pmod(xxhash64(k), {slices}) = {s}")).orderBy("k", "t").collect()
-        shared = spark.sparkContext.broadcast(Benchmark([(r["k"], r["t"]) for r in mine], size, similarity))
+    indexes = _indexes(benchmark, item, item_text, size, similarity, radius)
+    for shared in indexes:
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             known = shared.value
@@ -205,5 +235,28 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_: str = "doc_id", text: str
                         yield pa.RecordBatch.from_arrays([pa.array([ids[a + x] for x in t], pa.int64()), pa.array(k, pa.int64()), pa.array(alike, pa.float64()), pa.array([f - int(at[x]) for f, x in zip(first, t, strict=True)], pa.int32()), pa.array([e - int(at[x]) for e, x in zip(end, t, strict=True)], pa.int32())], [id_, "item_id", "similarity", "first_byte", "end_byte"])
 
         found = part.mapInArrow(run, schema)
-        out = found if slices == 1 else out.unionByName(found)
+        out = found if len(indexes) == 1 else out.unionByName(found)
+    return out
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", size: int = SHINGLE, similarity: float = SIMILARITY, radius: int | None = RADIUS) -> DataFrame:
+    """The rows of `docs`, all columns, whose own text holds no window alike to a benchmark item, as `leaks` finds them.
+
+    Each row is judged by its text alone, so null and repeated ids don't matter; a null or empty text stays. One map
+    over the scan for each index; a row that one index drops isn't looked at by the next. No join, no shuffle."""
+    ship(docs.sparkSession)
+    place = docs.columns.index(text)
+    out = spread(docs)
+    for shared in _indexes(benchmark, item, item_text, size, similarity, radius):
+
+        def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            known = shared.value
+            for batch in batches:
+                data, offsets = hashing.buffers(batch.column(place))
+                clean = np.ones(batch.num_rows, bool)
+                for a, b in hashing.runs(offsets):
+                    clean[[a + t for t, *_ in known.matches(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]] = False
+                yield batch.filter(pa.array(clean))
+
+        out = out.mapInArrow(run, docs.schema)
     return out
