@@ -15,14 +15,15 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import hashing
-from tessera.llm.session import ship, spread
+from tessera.llm.session import checkpoint, ship, spread
 
 ORDER = 3  # longest context in bytes
 SAMPLE_PER_LANGUAGE = 400  # texts of a language that the statistics come from, at most; the documented bound
+SAMPLE_IN_ALL = 20_000  # texts of all languages together, at most
 UNDETERMINED = "und"
 _LEAD = b"\n" * ORDER  # what stands before every text
 
@@ -158,20 +159,24 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE, order: int = ORDER) -> Model:
-    """Fit on at most `per_language` whole texts of each language, those that come first in a hashed order of
-    `key`; rows with a null text or language are left out. The sample is the only thing collected."""
-    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key)).alias("h"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE, most: int = SAMPLE_IN_ALL, order: int = ORDER) -> Model:
+    """Fit on at most `per_language` whole texts of each language, and on `most` in all (fewer a language, one at
+    least, where there are many languages): those that come first in a hashed order of `key` and
+    text. Rows with a null text or language are left out; rows that share a key are taken one by one. The ranked
+    sample, which no repetition of keys or texts makes longer, is the only thing collected."""
+    rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("h"))
+    counts = checkpoint(rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")))
+    languages = counts.count()
+    if not languages:
+        return Model({}, order)
+    wanted = max(1, min(per_language, most // languages))
+    # a share that leaves about twice the wanted rows, and the first row in any case; then the first of them by the hash
+    share = F.col("h").cast("double") / 2.0**64 + 0.5 <= F.lit(2.0 * wanted) / F.col("n")
+    near = rows.join(F.broadcast(counts) if languages <= most else counts, "lang").where(share | (F.col("h") == F.col("least")))
+    first = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= wanted)
     texts: dict[str, list[bytes]] = {}
-    if counts:
-        # a share that leaves about twice the wanted rows, then the first of them by the hash
-        share = F.create_map(*[x for name, n in counts.items() for x in (F.lit(name), F.lit(min(1.0, 2 * per_language / n)))])
-        near = rows.where((F.col("h").cast("double") / 2.0**64 + 0.5) <= share[F.col("lang")])
-        drawn: dict[str, list] = {}
-        for r in near.collect():
-            drawn.setdefault(r["lang"], []).append((r["h"], r["text"]))
-        texts = {name: [t.encode() for _, t in sorted(d)[:per_language]] for name, d in drawn.items()}
+    for r in sorted(first.select("lang", "r", "text").collect()):
+        texts.setdefault(r["lang"], []).append(r["text"].encode())
     return Model(texts, order)
 
 
