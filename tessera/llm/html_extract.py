@@ -38,6 +38,7 @@ NO_CONTENT = re.compile(
 BESIDE = frozenset("site page main global top bottom left right upper lower primary secondary first second third mobile desktop list lists item items link links bar box area section form block container wrapper wrap inner button buttons icon icons post posts article articles story stories content media text slot unit policy message toggle body to".split())  # with a listed word they name no content; with, no, has, overflow and so on turn its meaning
 HEADS, OF_ARTICLES = frozenset("header masthead".split()), frozenset("article post story content".split())
 UNWRAPPED = frozenset("form nav header footer aside menu dialog".split())  # of DROPPED: may hold the article of a badly made page
+WEAK = re.compile(r"(?:related|recommended|widget|side|foot|toolbar|skip)", re.I)  # inside an article these drop a node only if it is mostly links
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</[^a-zA-Z][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -45,44 +46,51 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "out", "article", "c", "t", "lc", "lt", "density", "total")
+    __slots__ = ("tag", "parent", "children", "out", "weak", "article", "c", "t", "lc", "lt", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool):
-        self.tag, self.parent, self.out = tag, parent, out
+    def __init__(self, tag: str, parent: Node | None, out: bool, weak: bool = False):
+        self.tag, self.parent, self.out, self.weak = tag, parent, out, weak
         self.article = tag in ("article", "main") or parent is not None and parent.article
         self.children: list[Node | str] = []
 
 
-def _no_content(value: str, article: bool) -> bool:
-    """Whether a class or id is, as a whole, a listed word, or listed words with words beside them ('site-nav'). What
-    heads an article is its title."""
+def _no_content(value: str, article: bool) -> str:
+    """The listed words of the class or id that is, as a whole, a listed word, or listed words with words beside them
+    ('site-nav'); none: ''. What heads an article is its title."""
     for token in value.lower().split():
         words = [w for w in re.split(r"[_-]+", token) if w]
         listed = [w for w in words if NO_CONTENT.fullmatch(w)]
         if listed and all(w in BESIDE or w.isdigit() or NO_CONTENT.fullmatch(w) for w in words) and not (HEADS.issuperset(listed) and (article or not OF_ARTICLES.isdisjoint(words))):
-            return True
-    return False
+            return " ".join(listed)
+    return ""
 
 
-def _named_away(tag: str, attributes: str, article: bool) -> bool:
+def _named_away(tag: str, attributes: str, article: bool) -> tuple[bool, bool]:
+    """Whether the node is taken for no content, and whether only a weak name inside an article says so."""
     if tag in DROPPED and not (tag == "header" and article):
-        return True
+        return True, False
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return False, False
+    weak = False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
-        if name in ("class", "id") and _no_content(value, article) or name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+        if name in ("class", "id") and (listed := _no_content(value, article)):
+            if not article or not all(map(WEAK.fullmatch, listed.split())):
+                return True, False
+            weak = True
+        if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+            return True, False
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return True, False
+    return weak, weak
 
 
 def unwrap(body: Node) -> None:
-    """Dropped nodes that hold an article are taken for wrappers and kept, the largest first, unless an article with a
+    """Weakly named nodes whose text is mostly unlinked are kept. Dropped nodes that hold an article are taken for wrappers and kept, the largest first, unless an article with a
     tenth of the page's unlinked text stands outside all dropped nodes; so are forms and nodes dropped for their name
     that hold most of that text, if no article stands outside."""
     text: dict[Node, int] = {}
+    all_text: dict[Node, int] = {}
     holds: set[Node] = set()
     order, todo = [], [body]
     while todo:
@@ -92,6 +100,9 @@ def unwrap(body: Node) -> None:
     for node in reversed(order):
         own = sum(len(_SPACE.sub("", c)) for c in node.children if isinstance(c, str))
         text[node] = 0 if node.tag == "a" else own + sum(text[c] for c in node.children if isinstance(c, Node) and not _gone(c))
+        all_text[node] = own + sum(all_text[c] for c in node.children if isinstance(c, Node) and not _gone(c))
+        if node.weak and 2 * text[node] > all_text[node]:
+            node.out = False
         if node.tag == "article" or any(c in holds for c in node.children if isinstance(c, Node)):
             holds.add(node)
     whole, kept, found, todo = text[body], 0, [], [body]
@@ -161,7 +172,7 @@ def parse(page: str) -> Node:
                         now = up.parent
                         if tag in ("tr", "td", "th") and now.tag in closed and tag == "tr":
                             now = now.parent
-                node = Node(tag, now, _named_away(tag, match[3], now.article))
+                node = Node(tag, now, *_named_away(tag, match[3], now.article))
                 now.children.append(node)
                 if tag in RAW:
                     end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
@@ -288,7 +299,7 @@ def blocks(nodes: list[Node]) -> list[str]:
     out, run = [], []
 
     def close() -> None:
-        text = _SPACE.sub(" ", html.unescape("".join(run))).strip()
+        text = _SPACE.sub(" ", "".join(run)).strip()
         run.clear()
         if text:
             out.append(text)
@@ -299,7 +310,7 @@ def blocks(nodes: list[Node]) -> list[str]:
         if item is None:
             close()
         elif isinstance(item, str):
-            run.append(item)
+            run.append(html.unescape(item) if "&" in item else item)  # by itself: a reference does not reach over a tag
         elif not item.out:
             if item.tag == "br":
                 run.append(" ")
