@@ -8,7 +8,7 @@ last shared column bound the overlap below what the threshold needs. Connected c
 the sparse product A A' is accumulated exactly, row by row, and pairs below the threshold are discarded.
 A frequent column emits a chain over its rows in order of size instead of all its pairs, and copies of one
 set are one row, so nothing grows with the square of a group outside the block products, which are split
-into pairs of bounded blocks.
+into pairs of bounded chunks of like sizes; chunks too far apart in size never meet.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import hashing
@@ -27,7 +27,8 @@ from tessera.llm.session import checkpoint, ship, shuffle_partitions, spread
 FREQUENT = 64  # a column in more sets than this comes late in the order; a column with more rows is chained
 SHARED = 4  # columns that two sets must share among their leading ones (all they need, if that is less)
 LATE_COLUMNS = 100_000  # at most this many columns are moved to the end (order only; no pair depends on it)
-BLOCK = 2048  # rows of a block of the product
+FEW_IDS = 1_000_000  # ids that are broadcast, at most; their number is counted first
+BLOCK = 128  # rows of a chunk; a block of the product is one chunk or a pair
 
 
 class Sets:
@@ -269,6 +270,32 @@ def _links(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _chunked(members: DataFrame, percent: int) -> DataFrame:
+    """Members of components of more than one set, with their place: a component of more than BLOCK sets is cut into
+    bands by size, so wide that linked sets stand in one band or in neighbours, and a band into chunks of about BLOCK
+    sets; with the numbers of chunks of the band before, of the own and of the band after."""
+    whole = members.groupBy("component").agg(F.count("*").alias("m")).where("m > 1")
+    width = float(-np.log(percent / 100)) * (1 + 1e-9) if percent < 100 else 1e-9
+    band = F.floor(F.log("n") / F.lit(width)).cast("int") if percent < 100 else F.col("n").cast("int")
+    rows = members.join(whole, "component").withColumn("band", F.when(F.col("m") > BLOCK, band).otherwise(0))
+    w = Window.partitionBy("component").orderBy("band")  # of bands, of which a component has few whatever its size
+    chunks = rows.groupBy("component", "band").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("own"))
+    near = lambda other, gap: F.when(other(F.col("band")).over(w) == F.col("band") + gap, other(F.col("own")).over(w)).otherwise(0)
+    chunks = chunks.select("component", "band", "own", near(F.lag, -1).alias("before"), near(F.lead, 1).alias("after"))
+    placed = rows.join(chunks, ["component", "band"]).withColumn("chunk", F.expr("cast(pmod(xxhash64(rep), own) as int)"))
+    return placed.withColumn("place", F.struct("band", "chunk", "before", "own", "after")).select("component", "rep", "place", "fa", "fb")
+
+
+def _blocks(sets: DataFrame) -> DataFrame:
+    """(component, i, j, id, chunk, shingles): each set in every block of two chunks that its own chunk is half of."""
+    code = lambda band, chunk: band.cast("long") * F.lit(1 << 32) + chunk
+    p = F.col("place")
+    mine = code(p["band"], p["chunk"])
+    listed = lambda n, gap: F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda o: code(p["band"] + gap, o))).otherwise(F.array().cast("array<bigint>"))
+    others = sets.withColumn("chunk", mine).withColumn("o", F.explode(F.concat(listed(p["own"], 0), listed(p["before"], -1), listed(p["after"], 1))))
+    return others.select("component", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "id", "chunk", "shingles")
+
+
 def jaccard_components(docs: DataFrame, id_: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85) -> DataFrame:
     """One row per row of `docs`: its id, n_shingles and component_id, the smallest id reachable by links.
 
@@ -286,8 +313,7 @@ def jaccard_components(docs: DataFrame, id_: str = "doc_id", text: str = "text",
     met = connected_components(_candidates(_columns(docs, text, size, percent, late), percent))
     kinds = prints.where("n > 0 and id is not null").groupBy("fa", "fb", "n").agg(F.min("id").alias("rep"))
     members = kinds.join(met.select(F.col("id").alias("fa"), "component"), "fa")
-    sizes = members.groupBy("component").agg(F.count("*").alias("m")).where("m > 1")
-    members = checkpoint(members.join(sizes, "component").withColumn("halves", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int")))
+    members = checkpoint(_chunked(members, percent))
 
     def shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in hashing.pieces(batches, 3):
@@ -295,14 +321,15 @@ def jaccard_components(docs: DataFrame, id_: str = "doc_id", text: str = "text",
             n, fa, fb = sets.prints()
             right = (fa == np.asarray(part.column(4))) & (fb == np.asarray(part.column(5)))  # of a repeated id, the row that is meant
             sent = pa.array([s.tobytes() if ok else None for s, ok in zip(sets.sets, right.tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), sent], ["component", "id", "halves", "shingles"])
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), sent], ["component", "id", "place", "shingles"])
 
     texts = docs.select(F.col(id_).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
-    wanted = members.select("component", F.col("rep").alias("id"), "halves", "fa", "fb")
-    sets = wanted.join(texts, "id").select("component", "id", "halves", "t", "fa", "fb").mapInArrow(shingles, "component long, id long, halves int, shingles binary")
-    sets = sets.where("shingles is not null").withColumn("chunk", F.expr("cast(pmod(xxhash64(id), halves) as int)"))
-    others = sets.withColumn("o", F.explode(F.expr("sequence(0, halves - 1)")))
-    links = _links(others.select("component", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "id", "chunk", "shingles"), percent)
+    if members.count() <= FEW_IDS:  # few sets to fetch: the other texts needn't be shuffled
+        texts = texts.join(F.broadcast(members.select(F.col("rep").alias("id"))), "id", "left_semi")
+    place = "struct<band:int,chunk:int,before:int,own:int,after:int>"
+    wanted = members.select("component", F.col("rep").alias("id"), "place", "fa", "fb")
+    sets = wanted.join(texts, "id").select("component", "id", "place", "t", "fa", "fb").mapInArrow(shingles, f"component long, id long, place {place}, shingles binary")
+    links = _links(_blocks(sets.where("shingles is not null")), percent)
     groups = connected_components(links)
     named = kinds.join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
