@@ -23,12 +23,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that the session names in spark.checkpoint.dir; a folder of our own
-    is set only where that setting is missing (single-machine tests)."""
+    """Cut the lineage in the folder that the session names in spark.checkpoint.dir. Where that setting is missing, a
+    folder of our own serves if driver and executors are one process; on a cluster it is an error."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-ck-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-ck-"))
     return df.checkpoint()
 
 
