@@ -6,8 +6,10 @@ import hashlib
 import itertools
 import json
 import math
+import os
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -154,8 +156,29 @@ def test_licenses(spark):
     for r in found:
         got[r.doc_id].add(r.license_id)
     assert len(found) == len(rows) and got == {1: {"MIT"}, 2: {"MIT"}, 3: {None}, 4: {None}, 5: {None}, 6: {None}, 7: {"MIT"}, 8: {"ISC", "0BSD"}, None: {"MIT"}, 9: {None}}
-    spelt = spark.createDataFrame([(1, "This licence, whilst the copyright owner.")], "doc_id long, text string")
-    assert spelt.select(licenses.canonical()).first()[0] == "this license while the copyright holder"
+    spelt = spark.createDataFrame([("This licence, whilst the copyright owner. Licence licence LICENCE per cent per cent",)], "text string")
+    assert spelt.select(licenses.canonical()).first()[0] == "this license while the copyright holder license license license percent percent"
+
+
+def test_licenses_in_other_dress(spark):
+    mit = licenses.KNOWN["MIT"]
+    curly = re.sub('"([^"]*)"', "“\\1”", mit)
+    rows = [(1, "MIT License\n\n" + mit), (2, "The MIT License (MIT)\r\n\r\nCopyright (c) <year> <owner>\r\n" + mit), (3, curly), (4, "Copyright Jane Doe 2020\n" + mit), (5, "Copyright Jane Doe\nAll rights reserved.\n" + mit), (6, mit.replace("copyright notice", "notice")), (7, "MIT License"), (8, "# © Jane\n" + mit.replace("\n", "\n\n"))]
+    got = {r.doc_id: r.license_id for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "MIT", 2: "MIT", 3: "MIT", 4: "MIT", 5: "MIT", 6: None, 7: None, 8: "MIT"}
+    assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    twice = spark.createDataFrame([("d", "b"), ("d", "a")], "digest string, license_id string")
+    assert licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), twice).count() == len(rows)
+
+
+def test_license_digests_are_those_of_the_texts(spark):
+    folder = "/usr/share/common-licenses"
+    files = {n: n + ".0" if n in ("GPL-1", "GPL-2", "GPL-3", "LGPL-2", "LGPL-3") else n for n in ("Apache-2.0", "CC0-1.0", "GPL-1", "GPL-2", "GPL-3", "LGPL-2", "LGPL-2.1", "LGPL-3", "MPL-1.1", "MPL-2.0")}
+    if not all(os.path.exists(f"{folder}/{n}") for n in files):
+        pytest.skip("no licence texts here")
+    rows = [(i, open(f"{folder}/{n}", encoding="utf8").read()) for i, n in enumerate(files)]
+    got = {r.doc_id: r.license_id for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(files.values()))
 
 
 # 4: decontamination
@@ -204,6 +227,37 @@ def test_decontamination_against_brute_force(spark):
     assert decontaminate.leaks(odd_docs(spark).limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_decontamination_without_fingerprints_and_in_slices(spark, monkeypatch):
+    draw = random.Random(8)
+    items = [(k // 2, " ".join(draw.choices("abcdefghijklmnop", k=draw.choice([4, 12, 20])))) for k in range(30)]  # ids are shared
+    docs = [(i % 40, " ".join([*draw.choices("qrstuvwxyz", k=9), draw.choice(items)[1] if i % 2 else "", *draw.choices("qrstuvwxyz", k=9)])) for i in range(80)]
+    frame, listed = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    plain = sorted(tuple(r) for r in decontaminate.leaks(frame, listed, radius=None).collect())
+    assert len(plain) >= 40 and set(plain) >= set(tuple(r) for r in decontaminate.leaks(frame, listed).collect())
+    monkeypatch.setattr(decontaminate, "ITEMS_AT_ONCE", 4)
+    assert sorted(tuple(r) for r in decontaminate.leaks(frame, listed, radius=None).collect()) == plain
+    kept = decontaminate.without_leaks(frame, listed, radius=None).collect()
+    assert len(kept) == sum(not brute_leaks([(0, t)], items) for _, t in docs)
+
+
+def test_multi_index_on_many_items():
+    draw = np.random.default_rng(1)
+    prints = draw.integers(0, 1 << 63, 4000).astype(np.uint64)
+    near = prints[:50] ^ (np.uint64(1) << draw.integers(0, 64, 50).astype(np.uint64))
+    index = decontaminate.Near(prints)
+    assert len(prints) > len(index.masks)
+    row, item = index.find(near)
+    want = {(int(i), int(j)) for i, j in zip(*np.nonzero(np.bitwise_count(near[:, None] ^ prints[None, :]) <= decontaminate.RADIUS), strict=True)}
+    assert set(zip(row.tolist(), item.tolist(), strict=True)) == want and len(want) >= 50
+
+
+def test_radius_against_no_fingerprints_on_the_tables(spark):
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    pairs = lambda radius: {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items, radius=radius).collect()}
+    every = pairs(None)
+    assert every and pairs(decontaminate.RADIUS) == every
+
+
 def test_multi_index_finds_all_within_the_radius():
     draw = np.random.default_rng(0)
     prints = draw.integers(0, 1 << 63, 60).astype(np.uint64)
@@ -218,14 +272,17 @@ def test_multi_index_finds_all_within_the_radius():
 # 5: language
 
 
-def brute_bits(texts, order, text):
+def brute_table(texts, order):
     counts = defaultdict(Counter)
     for t in texts:
         body = b"\n" * order + t.lower()
         for i in range(order, len(body)):
             for k in range(order + 1):
                 counts[body[i - k : i]][body[i]] += 1
+    return counts
 
+
+def brute_bits_of(counts, order, text):
     def cost(context, byte):
         seen, add = counts.get(context), 0.0
         if seen:
@@ -239,6 +296,10 @@ def brute_bits(texts, order, text):
     return sum(cost(body[i - order : i], body[i]) for i in range(order, len(body)))
 
 
+def brute_bits(texts, order, text):
+    return brute_bits_of(brute_table(texts, order), order, text)
+
+
 def test_ppm_code_lengths():
     texts = {"en": [b"the cat sat on the mat", b"hello there", b""], "fr": ["le chat est assis là".encode(), b"bonjour"]}
     model = langid.Model(texts)
@@ -247,6 +308,38 @@ def test_ppm_code_lengths():
         assert np.allclose(lengths, [brute_bits(texts[k], langid.ORDER, t) for k in model.languages], rtol=1e-4)
 
 
+def test_language_sample_is_bounded_and_odd_ids_count(spark):
+    rows = [(7, f"alpha beta {i % 3}", "en") for i in range(300)] + [(None, "gamma delta", "xx"), (None, "gamma", "xx"), (9, None, "en"), (10, "no lang", None)] + [(i, "ñandú está", "es") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, per_language=5)
+    assert model.languages == ["en", "es", "xx"]
+    assert langid.train(docs, per_language=5, most=3).languages == ["en", "es", "xx"]
+    named = {(r.doc_id, r.lang_pred) for r in langid.predict(spark.createDataFrame([(1, "está ñandú"), (2, "beta alpha"), (3, "gamma"), (4, None), (5, "123"), (None, "beta"), (None, "")], "doc_id long, text string"), model).collect()}
+    assert named == {(1, "es"), (2, "en"), (3, "xx"), (4, "und"), (5, "und"), (None, "en"), (None, "und")}
+    assert langid.predict(docs.limit(0), model).count() == 0 and langid.train(docs.limit(0)).languages == []
+    same = langid.Model({"b": [b"abc"], "a": [b"abc"]})
+    assert langid.decide(same, same.lengths(np.frombuffer(b"abc", np.uint8), np.array([0, 3])), np.array([True]))[0] == ["a"]  # a tie goes to the first name
+
+
+def test_language_query_against_brute_force(spark):
+    sf = SF
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op5_language_id(spark, sf).collect()}
+    rows = [(r.doc_id, r.text, r.lang) for r in documents.collect()]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    texts = defaultdict(list)
+    for i, t, lang in rows:
+        if not held(i) and t is not None and lang is not None:
+            texts[lang].append(t.encode())
+    tables = {lang: brute_table([t.lower() for t in ts], langid.ORDER) for lang, ts in texts.items()}  # under the bound: all are learnt from
+    for i, t, _ in rows[::9]:
+        short = (t or "").encode().lower()
+        if not langid.has_letter(t) or len(short) > 1500:
+            continue
+        bits = {lang: brute_bits_of(table, langid.ORDER, short) for lang, table in tables.items()}
+        assert got[i].lang_pred == min(sorted(bits), key=bits.get) and got[i].held_out == held(i)
+
+
 def test_language_query(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = queries.op5_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").collect()
@@ -304,12 +397,29 @@ def test_toxicity_learns_and_marks_spans(spark):
     assert 0 <= toxicity.train(docs.limit(0), spark.createDataFrame([], "doc_id long, toxic int")).score(np.zeros(0), np.array([0, 0]))[0] <= 1
 
 
+def test_toxicity_spans_of_letters_that_grow(spark):
+    assert [("İstanbul bad", [(0, 1), (1, 8), (9, 12)]), ("aİb", [(0, 2), (2, 3)]), ("", [])] == [(t, toxicity.word_spans(t)) for t in ("İstanbul bad", "aİb", "")]
+    model = toxicity.Model({"bad": 20.0}, -10.0, np.zeros((2, 2)), np.zeros(2), np.array([0, 0.5, 0.5, 0, 0]))
+    [row] = toxicity.score(spark.createDataFrame([(1, "İstanbul bad İ")], "doc_id long, text string"), model).collect()
+    assert [tuple(x) for x in row.spans] == [(9, 12)] and row.predicted == 1
+
+
+def test_toxicity_sample_with_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(i, f"vile word{i}") for i in range(2, 30)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0)] * 50 + [(i, i % 2) for i in range(2, 30)] + [(None, 1), (3, None), (4, 7)], "doc_id long, toxic int")
+    seen = []
+    assert toxicity.train(docs, labels, per_label={0: 5, 1: 5}) is not None
+    met = docs.join(labels.distinct(), "doc_id").groupBy("doc_id", "toxic").count()
+    assert met.count() < 70 and not seen
+
+
 def test_toxicity_query(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     held = [r for r in queries.op6_toxicity(spark, sf).join(labels, "doc_id").collect() if r.held_out]
     hits = sum(r.predicted == 1 and r.toxic == 1 for r in held)
-    assert hits >= 0.85 * sum(r.toxic for r in held) and hits >= 0.9 * sum(r.predicted for r in held)
+    assert hits >= 0.85 * sum(r.toxic for r in held) and hits >= 0.95 * sum(r.predicted for r in held)
+    assert all((r.n_spans == 0) == (r.span_offsets == "") for r in held)
 
 
 # 7: main text
@@ -351,6 +461,16 @@ def test_html_content_is_whole():
     assert html_extract.main_text(f"<div><ul>{links}</ul></div><div>{tagged(ps)}</div><div><ul>{links}</ul></div>") == "\n\n".join(ps)
 
 
+def test_html_parts_lists_and_references():
+    words = lambda n, w: " ".join([w] * n)
+    two = html_extract.main_text(f"<body><nav><a href=x>home</a></nav><div id=main><div>{words(180, 'alpha')}</div><div>{words(90, 'beta')}</div></div><footer>foot</footer></body>")
+    assert two == words(180, "alpha") + "\n\n" + words(90, "beta")
+    inside = html_extract.main_text(f"<article><p>{words(60, 'one')}</p><div class='notice-board'>{words(80, 'two')}</div><p class='related'>{words(60, 'three')}</p><div class=related><a href=1>{words(10, 'four')}</a> x</div><div class=ad>{words(9, 'five')}</div></article>")
+    assert inside == "\n\n".join([words(60, "one"), words(80, "two"), words(60, "three")])
+    assert html_extract.main_text("<p>a &<b>lt;</b> b</p>") == "a &lt; b"
+    assert html_extract.main_text("<article><pre>a\n  b</pre><table><tr><td>x<table><tr><td>y</td></tr></table></td></tr></table></article>") == "a b\n\nx\n\ny"
+
+
 def test_html_names_of_wrappers():
     ps = paragraphs(*[200] * 6)
     article = "<h1>A title</h1>" + "".join(f"<p>{p}</p>" for p in ps)
@@ -466,7 +586,7 @@ def brute_topk(rows, k=5):
 
 @pytest.mark.parametrize("blocks", [2048, 2])
 def test_topk_against_brute_force(spark, monkeypatch, blocks):
-    monkeypatch.setattr(topk, "QUERIES_AT_ONCE", blocks)
+    monkeypatch.setattr(topk, "QUERIES", blocks)
     draw = random.Random(4)
     rows = [(i, [draw.choice([0.0, 0.0, draw.gauss(0, 1)]) for _ in range(8)]) for i in range(320)]
     rows += [(i, rows[7][1]) for i in range(400, 420)] + [(500, None), (550, [1.0, None] + [0.0] * 6), (551, [math.nan] * 8), (552, [math.inf] * 8), (None, [1.0] * 8), (600, [0.0] * 8), (601, [3e12] * 8)]
@@ -474,6 +594,12 @@ def test_topk_against_brute_force(spark, monkeypatch, blocks):
     got = sorted(tuple(r) for r in topk.search(frame, "pmod(vec_id, 50) = 0").collect())
     assert got == brute_topk(rows)
     assert topk.search(frame.limit(0), "pmod(vec_id, 50) = 0").count() == 0
+    large = [(0, [1.0, 0.0]), (1, [2e15, 0.0]), (2, [5e14, 0.0]), (3, [3e38, 0.0]), (4, [-3e38, 1.0]), (5, [1e19, 1.0]), (6, [1.0, 1.0]), (50, [3e38, -3e38]), (50, [3e38, -3e38]), (100, [1e-3, 1e9]), (101, [0.0, 1e16])]
+    got = [tuple(r) for r in topk.search(spark.createDataFrame(large, "vec_id long, embedding array<float>"), "pmod(vec_id, 50) = 0").collect()]
+    cut = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    assert len(got) == 15 and set(got) == {(q, r, v, cut(s)) for q, r, v, s in brute_topk(large)}
+    doubles = [(0, [1e300]), (1, [1e308]), (2, [1e307]), (3, [-1e308]), (4, [2.0**53 + 2])]
+    assert [r.vec_id for r in sorted(topk.search(spark.createDataFrame(doubles, "vec_id long, embedding array<double>"), "vec_id = 0").collect())] == [1, 2, 4, 3]
     few = [(0, [1.0, 2.0]), (1, [1.0, 1.0]), (2, [0.5, 3.0])]
     assert sorted(tuple(r) for r in topk.search(spark.createDataFrame(few, "vec_id long, embedding array<float>"), "pmod(vec_id, 50) = 0").collect()) == brute_topk(few)
 
@@ -485,7 +611,7 @@ def test_sql_of_the_queries(spark):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "conversations", "embeddings"):
+    for t in ("documents", "conversations", "embeddings", "benchmark"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     for name, sql in queries.oracle_sql().items():
         frame = queries.queries()[name](spark, SF)
@@ -521,7 +647,7 @@ def test_pipeline_stages(spark, tmp_path):
         rows = [(r.doc_id, r.text) for r in before.collect()]
         kept = {r.doc_id for r in docs.collect()}
         if name == "near_duplicates":
-            assert kept == {d for d, (_, c) in brute_components(rows).items() if c == d}
+            assert kept == {d for d, (_, c) in brute_components(rows, 5, 80).items() if c == d}
         if name == "decontamination":
             items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
             flagged = {d for d, t in rows if any(i in (t or "") for _, i in items)}
@@ -553,6 +679,26 @@ def test_near_duplicate_stage_on_repeated_rows(spark, monkeypatch, few):
     assert Counter(tuple(r) for r in kept.collect()) == Counter(want)
 
 
+def test_decontamination_stage_judges_rows_not_ids(spark):
+    import corpus_pipeline as pipeline
+
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rows = [(None, items[0][1], "en", "s", 1), (1, f"and so on {items[1][1]} as said", "en", "s", 1), (1, "a clean text of the same id", "en", "s", 1), (None, "clean", None, None, None), (2, None, None, None, None), (3, "", "en", "s", 0)]
+    kept = pipeline.decontamination_stage(spark, spark.createDataFrame(rows, DOCS).selectExpr("*", "7 as item_id", "1.0 as similarity"), SF)
+    assert kept.columns == list(pipeline.COLUMNS) and Counter(tuple(r) for r in kept.collect()) == Counter(tuple(r) for r in rows[2:])
+
+
+def test_stages_with_empty_side_tables(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    for t in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    docs = odd_docs(spark).select(*pipeline.COLUMNS)
+    assert pipeline.decontamination_stage(spark, docs, str(tmp_path)).count() == docs.count()
+    assert pipeline.toxicity_stage(spark, docs, str(tmp_path)).count() == docs.count()
+    assert pipeline.language_stage(spark, docs, str(tmp_path)).count() == 0  # nothing learnt, so nothing determined
+
+
 def test_entry_without_llm(tmp_path):
     import shutil
     import subprocess
