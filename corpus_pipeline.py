@@ -11,7 +11,7 @@ from tessera.llm.session import checkpoint, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")  # of documents; all stages but the last return them
 LEAST_SCORE = 0.5  # of the language stage
-FEW_IDS = 1_000_000  # repeated ids that are broadcast, at most; their number is counted first
+FEW_IDS = 1_000_000  # ids that are broadcast, at most; their number is counted first
 
 ORACLE_SQL = None  # fitted models and tokenisers are not expressible in SQL; tests hold the stages against brute force
 
@@ -30,25 +30,29 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays. Of rows alike in id and text one stays,
-    with the least other columns; rows that share an id but not the text stay, as do rows without an id."""
-    groups = checkpoint(ngram_join.jaccard_components(docs, size=4, percent=85))
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of documents linked at five words and 80 per cent the one with the smallest id stays. Of rows alike
+    in id and text one stays, with the least other columns; rows that share an id but not the text stay, as do rows
+    without an id."""
+    groups = checkpoint(ngram_join.jaccard_components(docs, size=5, percent=80))
+    kept = docs.join(_few(groups.where("component_id <> doc_id").select("doc_id").distinct()), "doc_id", "left_anti").select(*COLUMNS)
     repeated = checkpoint(groups.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"))
-    n = repeated.count()
-    if not n:
+    if repeated.isEmpty():
         return kept
-    few = F.broadcast(repeated) if n <= FEW_IDS else repeated
+    few = _few(repeated)
     others = [c for c in COLUMNS if c not in ("doc_id", "text")]
     once = kept.join(few, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("o"))
     return kept.join(few, "doc_id", "left_anti").unionByName(once.select("doc_id", "text", "o.*")).select(*COLUMNS)
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """Ids to be broadcast if they are counted to be few; else the join shuffles."""
+    ids = checkpoint(ids)
+    return F.broadcast(ids) if ids.count() <= FEW_IDS else ids
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage alike to a benchmark item go."""
-    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that hold a passage alike to a benchmark item go, each row by its own text, whatever its id."""
+    return decontaminate.without_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
