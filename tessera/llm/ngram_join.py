@@ -271,19 +271,23 @@ def _links(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _chunked(members: DataFrame, percent: int) -> DataFrame:
-    """Members of components of more than one set, with their place: a component of more than BLOCK sets is cut into
-    bands by size, so wide that linked sets stand in one band or in neighbours, and a band into chunks of about BLOCK
-    sets; with the numbers of chunks of the band before, of the own and of the band after."""
-    whole = members.groupBy("component").agg(F.count("*").alias("m")).where("m > 1")
+    """Members with their place: a component of more than BLOCK sets is cut into bands by size, so wide that linked sets
+    stand in one band or in neighbours, and a band into chunks of about BLOCK sets; with the numbers of chunks of the
+    band before, of the own and of the band after. Members are counted by partial sums and not brought together; the
+    bands of large components, some BLOCK times fewer rows, are broadcast up to a checked number."""
     width = float(-np.log(percent / 100)) * (1 + 1e-9) if percent < 100 else 1e-9
     band = F.floor(F.log("n") / F.lit(width)).cast("int") if percent < 100 else F.col("n").cast("int")
-    rows = members.join(whole, "component").withColumn("band", F.when(F.col("m") > BLOCK, band).otherwise(0))
-    w = Window.partitionBy("component").orderBy("band")  # of bands, of which a component has few whatever its size
-    chunks = rows.groupBy("component", "band").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("own"))
-    near = lambda other, gap: F.when(other(F.col("band")).over(w) == F.col("band") + gap, other(F.col("own")).over(w)).otherwise(0)
-    chunks = chunks.select("component", "band", "own", near(F.lag, -1).alias("before"), near(F.lead, 1).alias("after"))
-    placed = rows.join(chunks, ["component", "band"]).withColumn("chunk", F.expr("cast(pmod(xxhash64(rep), own) as int)"))
-    return placed.withColumn("place", F.struct("band", "chunk", "before", "own", "after")).select("component", "rep", "place", "fa", "fb")
+    rows = members.withColumn("band", band)
+    whole, inner = Window.partitionBy("component"), Window.partitionBy("component").orderBy("band")  # of bands, of which a component has few
+    counted = rows.groupBy("component", "band").agg(F.count("*").alias("m"))
+    large = counted.withColumn("all", F.sum("m").over(whole)).where(F.col("all") > BLOCK).withColumn("own", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int"))
+    near = lambda other, gap: F.when(other(F.col("band")).over(inner) == F.col("band") + gap, other(F.col("own")).over(inner)).otherwise(0)
+    large = checkpoint(large.select("component", "band", "own", near(F.lag, -1).alias("before"), near(F.lead, 1).alias("after")))
+    placed = rows.join(F.broadcast(large) if large.count() <= FEW_IDS else large, ["component", "band"], "left")
+    cut = F.col("own").isNotNull()
+    chunk = F.when(cut, F.expr("cast(pmod(xxhash64(rep), own) as int)")).otherwise(0)
+    one = lambda c, other: F.when(cut, F.col(c)).otherwise(other).alias(c)
+    return placed.withColumn("place", F.struct(one("band", 0), chunk.alias("chunk"), one("before", 0), one("own", 1), one("after", 0))).select("component", "rep", "place", "fa", "fb")
 
 
 def _blocks(sets: DataFrame) -> DataFrame:
