@@ -27,7 +27,7 @@ CUT, MID, SPACE, BLANK, LETTER, NUMBER, OTHER, QUOTE1, QUOTE2 = range(9)
 # states: what the token that holds the previous character is
 START, RUN, PREFIX, IN_LETTERS, IN_NUMBERS, IN_OTHER, ONE_MORE, TWO_MORE, CLOSED = range(9)
 
-CACHE = 1 << 19  # pieces kept by a worker
+CACHE = 1 << 18  # pieces kept by a worker
 WHITE_SPACE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]  # fixed: Unicode White_Space
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import hashing
-from tessera.llm.session import ship, spread
+from tessera.llm.session import ship, spread, trim
 
 SAMPLE_PER_LABEL = {1: 1200, 0: 3000}  # labelled texts that the model is fitted on, at most; the documented bound
 SAMPLE_BYTES = 48 << 20  # of those texts, in their hashed order, at most so many bytes a label (one text at least)
@@ -283,7 +283,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
             if not size[y] or size[y] + len(t) <= SAMPLE_BYTES:
                 taken.append((t, y))
                 size[y] += len(t)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([t for t, _ in taken], [y for _, y in taken]))], pa.binary())], ["model"])
+        model = pickle.dumps(fit([t for t, _ in taken], [y for _, y in taken]))
+        del held, taken
+        trim()  # the worker goes on to other tasks
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
     return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").first()["model"])
 
