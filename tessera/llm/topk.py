@@ -118,12 +118,12 @@ def search(vectors: DataFrame, is_query: str, k: int = 5, id_: str = "vec_id", v
     ship(spark)
     picked = vectors.select(F.col(id_).cast("long").alias("id"), F.expr(f"coalesce(({is_query}), false)").alias("q"), F.col(vector).cast("array<double>").alias("v"))
     sound = picked.where(F.col("id").isNotNull() & F.expr(finite("v")))
-    rows = sound.groupBy("id", "v").agg(F.max("q").alias("q"), F.least(F.count("*"), F.lit(k)).cast("int").alias("times"))  # more copies than k change nothing
+    rows = sound.groupBy("id", "v").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("times"))  # more copies than k change nothing
     facts = sound.agg(F.count("*").alias("n"), F.count_if("q").alias("q")).first()
     blocks = max(1, -(-facts["q"] // QUERIES))
     chunks = max(1, -(-facts["n"] // ROWS), min(4 * shuffle_partitions(spark), -(-facts["n"] // LEAST_ROWS)))
     place = F.xxhash64("id", "v")
-    asked = rows.where("q").select(F.pmod(place, F.lit(blocks)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("j"), F.lit(0).alias("times"), "id", "v")
+    asked = sound.where("q").select("id", "v").distinct().select(F.pmod(place, F.lit(blocks)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("j"), F.lit(0).alias("times"), "id", "v")
     offered = rows.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i"), F.pmod(place, F.lit(chunks)).cast("int").alias("j"), "times", "id", "v")
     cells = asked.unionByName(offered).repartition(max(shuffle_partitions(spark), min(blocks * chunks, 20_000)), "i", "j").sortWithinPartitions("i", "j", "times")
     names = ["query_id", id_, "score", "beyond"]
