@@ -61,6 +61,11 @@ def _leading(n: int, percent: int) -> int:
     return min(n, n - -(-percent * n // 100) + SHARED)
 
 
+def _linkable(n: int, percent: int) -> bool:
+    """Whether a set of n can reach the threshold with any other set at all: at best with one that has one more."""
+    return n > 0 and 100 * n >= percent * (n + 1)
+
+
 def _prints(docs: DataFrame, id_: str, text: str, size: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in hashing.pieces(batches, 1):
@@ -80,7 +85,7 @@ def _low_columns(docs: DataFrame, text: str, size: int, percent: int) -> DataFra
             n, fa, _ = sets.prints()
             new = []
             for s, f in zip(sets.sets, fa.tolist(), strict=True):
-                if len(s) and f not in seen:
+                if _linkable(len(s), percent) and f not in seen:
                     seen.add(f)
                     new.append(s[: 2 * _leading(len(s), percent)])
             if len(seen) > 1 << 20:
@@ -110,7 +115,7 @@ def _columns(docs: DataFrame, text: str, size: int, percent: int, late: np.ndarr
             n, fa, _ = sets.prints()
             hs, places, owners = [], [], []
             for s, f in zip(sets.sets, fa.tolist(), strict=True):
-                if not len(s) or f in seen:
+                if not _linkable(len(s), percent) or f in seen:
                     continue
                 seen.add(f)
                 lead = _leading(len(s), percent)
@@ -335,8 +340,8 @@ def jaccard_components(docs: DataFrame, id_: str = "doc_id", text: str = "text",
     sets = wanted.join(texts, "id").select("component", "id", "place", "t", "fa", "fb").mapInArrow(shingles, f"component long, id long, place {place}, shingles binary")
     links = _links(_blocks(sets.where("shingles is not null")), percent)
     groups = connected_components(links)
-    named = kinds.join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_print = named.join(least, "component").select("fa", "fb", "n", "component_id")
+    least = checkpoint(groups.groupBy("component").agg(F.min("id").alias("component_id")))  # of linked sets alone
+    linked = groups.join(F.broadcast(least) if least.count() <= FEW_IDS else least, "component").select(F.col("id").alias("rep"), "component_id")
+    by_print = kinds.join(linked, "rep", "left").select("fa", "fb", "n", F.coalesce("component_id", "rep").alias("component_id"))
     rows = prints.join(by_print, ["fa", "fb", "n"], "left")
     return rows.select(F.col("id").alias(id_), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
