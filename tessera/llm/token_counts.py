@@ -1,4 +1,4 @@
-"""Token counts of a document's sections from one encoding of the whole document.
+"""Token counts of a document's sections (lines, or fields) from one encoding of the whole document.
 
 The document is encoded once; each token's span joins the sections that it meets. A token that crosses a
 boundary is allocated by a rule: to the section that holds its first byte ("first", the default), its last byte
@@ -49,10 +49,27 @@ def section_counts(docs: DataFrame, vocabulary: str, rule: str = "first", id_: s
 
     A null or empty text has one empty section without tokens. Rows with a null id come through; repeated rows
     are counted each; extra columns take no part. One map over the scan."""
+    _checked(rule)
+    return _counted(docs.select(F.col(id_), F.col(text).cast("string").alias("__text")), vocabulary, rule, id_, None)
+
+
+def field_counts(docs: DataFrame, vocabulary: str, fields: list[str], rule: str = "first", id_: str = "doc_id", between: str = "\n") -> DataFrame:
+    """The same for the columns `fields`, joined by `between` (which belongs to the field before it) and encoded once:
+    section k is field k. A null field is empty; an empty one has no tokens, as a span without bytes holds none."""
+    _checked(rule)
+    parts = [F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]
+    parts = [F.concat(p, F.lit(between)) for p in parts[:-1]] + parts[-1:]
+    return _counted(docs.select(F.col(id_), F.concat(*parts).alias("__text"), F.array(*map(F.octet_length, parts)).alias("__sizes")), vocabulary, rule, id_, len(fields))
+
+
+def _checked(rule: str) -> None:
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
-    ship(docs.sparkSession)
-    part = spread(docs.select(F.col(id_), F.col(text).cast("string").alias("__text")))
+
+
+def _counted(rows: DataFrame, vocabulary: str, rule: str, id_: str, n_fields: int | None) -> DataFrame:
+    ship(rows.sparkSession)
+    part = spread(rows)
     names = [id_, "section", "first_byte", "end_byte", "n_tokens", "n_crossing"]
     schema = f"`{id_}` {part.schema[0].dataType.simpleString()}, section int, first_byte int, end_byte int, n_tokens long, n_crossing long"
 
@@ -60,11 +77,14 @@ def section_counts(docs: DataFrame, vocabulary: str, rule: str = "first", id_: s
         bpe = codec(vocabulary)
         for batch in batches:
             data, offsets = hashing.buffers(batch.column(1))
+            if n_fields:
+                sizes = np.asarray(batch.column(2).flatten()).astype(np.int64).reshape(-1, n_fields)
+                begins = np.cumsum(sizes, axis=1) - sizes
             for a, texts in text_runs(batch.column(1)):
                 rows, sections, firsts, lasts, counts, crossing = [], [], [], [], [], []
                 for k, packed in enumerate(bpe.encode(texts)):
                     body = data[offsets[a + k] : offsets[a + k + 1]]
-                    starts = line_sections(body)
+                    starts = begins[a + k] if n_fields else line_sections(body)
                     stops = np.append(starts[1:], len(body))
                     ends = bpe.ends(np.frombuffer(packed, "<u4"))
                     where = allocate(ends, starts, rule)
