@@ -23,7 +23,7 @@ SPELLINGS = {
 _NO_NAME = "notice|holder|owner|law|and\\b|or\\b|licen[cs]e|in\\b|of\\b|the\\b|to\\b|is\\b|are\\b|as\\b|statement|interest"  # go on a sentence
 COPYRIGHT_LINE = (  # a line that only states a copyright: with a sign, a year or a name of up to six words
     r"(^|\n)[ \t*#/;>-]*(copyright[ \t]*(\(c\)|©|:|[0-9<\[{])[^\n]*|copyright\b[^\n]*\b(19|20)[0-9]{2}\b[^\n]*"
-    rf"|copyright[ \t]+(?!{_NO_NAME})([^\s]+[ \t]*){{1,6}}(?=\r?\n|$)|\(c\)[ \t]*[0-9][^\n]*|©[^\n]*|all rights reserved[^\n]*)"
+    rf"|copyright[ \t]+(?!{_NO_NAME})[^\s]+([ \t]+[^\s]+){{0,5}}[ \t]*(?=\r?\n|$)|\(c\)[ \t]*[0-9][^\n]*|©[^\n]*|all rights reserved[^\n]*)"
 )
 TITLE = r"^\s*([^\s]+[ \t]+){0,6}[(]?licen[sc]e[^\n.]{0,30}(\n|$)"  # a first line such as 'The MIT License (MIT)'
 JOINED = "[-'’‘‐‑]"
@@ -136,7 +136,7 @@ def _sql_words(text: str) -> str:
     names = _NO_NAME.replace("\\b", "")
     stated = (
         r"regexp_matches(l, '^[ \t*#/;>-]*(copyright[ \t]*(\(c\)|©|:|[0-9<\[{])|\(c\)[ \t]*[0-9]|©|all rights reserved)') or regexp_matches(l, '^[ \t*#/;>-]*copyright\b.*\b(19|20)[0-9]{2}\b')"
-        rf" or (regexp_matches(l, '^[ \t*#/;>-]*copyright[ \t]+([^\s]+[ \t]*){{1,6}}\r?$') and not regexp_matches(l, '^[ \t*#/;>-]*copyright[ \t]+({names})'))"
+        rf" or (regexp_matches(l, '^[ \t*#/;>-]*copyright[ \t]+[^\s]+([ \t]+[^\s]+){{0,5}}[ \t]*\r?$') and not regexp_matches(l, '^[ \t*#/;>-]*copyright[ \t]+({names})'))"
     )
     lines = f"list_filter(string_split(lower(coalesce({text}, '')), chr(10)), lambda l: not ({stated}))"
     full = f"list_filter({lines}, lambda l: not regexp_matches(l, '^\\s*$'))"
