@@ -39,8 +39,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """Deal a table that arrives in fewer partitions than there are cores over all cores; larger inputs,
-    which the scan splits already, are left alone and not shuffled."""
+    which the scan splits already, are left alone and not shuffled, and so are those that come out of a shuffle (to count
+    the partitions of an adaptive plan would run it)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
