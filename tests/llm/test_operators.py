@@ -101,6 +101,22 @@ def test_token_counts(spark, reference, vocabulary):
     assert token_counts.section_counts(odd_docs(spark).limit(0), vocabulary).count() == 0
 
 
+def test_field_counts(spark, reference, vocabulary):
+    rows = [(1, "A title", "body of it\nsecond"), (None, None, "only body"), (2, "", ""), (2, "x", None), (3, "é" * 5, "wor" * 4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, title string, body string").selectExpr("*", "1 as section", "2 as n_tokens")
+    for rule in token_counts.RULES:
+        got = token_counts.field_counts(docs, vocabulary, ["title", "body"], rule).collect()
+        assert len(got) == 2 * len(rows)
+        by_section = Counter()
+        for r in got:
+            by_section[r.section] += r.n_tokens
+        assert sum(by_section.values()) == sum(len(reference.encode_ordinary(f"{t or ''}\n{b or ''}")) for _, t, b in rows)
+    first = {(r.doc_id, r.section): (r.first_byte, r.end_byte, r.n_tokens, r.n_crossing) for r in token_counts.field_counts(docs.where("doc_id = 1"), vocabulary, ["title", "body"]).collect()}
+    assert first == {(1, 0): (0, 8, 3, 0), (1, 1): (8, 25, len(reference.encode_ordinary("body of it\nsecond")), 0)}
+    glued = token_counts.field_counts(spark.createDataFrame([(1, "app", "le pie")], "doc_id long, a string, b string"), vocabulary, ["a", "b"], between="").collect()
+    assert sorted((r.section, r.n_tokens, r.n_crossing) for r in glued) == [(0, 1, 1), (1, 1, 0)]  # 'apple' begins in a
+
+
 def test_token_allocation_rules():
     ends, starts = np.array([2, 7, 9]), np.array([0, 3, 8])
     assert token_counts.allocate(ends, starts, "first").tolist() == [0, 0, 1]
@@ -145,6 +161,17 @@ def test_chat_formatting(spark):
     assert chat.paired(nulls).first().n_common == 1
 
 
+def test_chat_odd_turns(spark):
+    long = "word " * 40_000
+    rows = [(0, 1, "user", "b"), (0, 1, "user", "a"), (0, 2, "assistant", long), (1, 1, "user", "a"), (1, 1, "user", "b"), (1, 2, "assistant", "no"), (1, 2, "assistant", "no"), (2, 0, "user", "alone"), (None, 0, "user", "x"), (4, None, None, None), (5, None, None, None)]
+    [one, two] = sorted(chat.paired(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as prompt", "2 as chosen")).collect())
+    assert one.n_common == 2 and one.prompt == "<|user|>\na<|end|>\n<|user|>\nb<|end|>\n"  # turns of one number sort by role and text
+    assert one.chosen == f"<|assistant|>\n{long}<|end|>\n" and one.chosen_mask == f"14-{14 + len(long) + 7}"
+    assert one.rejected.count("no") == 2 and one.rejected_mask.count("-") == 2  # repeated turns stay
+    assert (two.pair_id, two.n_common, two.chosen, two.rejected) == (2, 1, "", "")
+    assert chat.paired(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
 # 3: licences
 
 
@@ -167,6 +194,8 @@ def test_licenses_in_other_dress(spark):
     got = {r.doc_id: r.license_id for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: "MIT", 2: "MIT", 3: "MIT", 4: "MIT", 5: "MIT", 6: None, 7: None, 8: "MIT"}
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    slow = [(1, "copyright " + "a" * 50_000 + " b c d e f g h"), (2, "copyright " + "a b " * 20_000 + "\n"), (3, "a " * 40_000 + "license"), (4, "* " * 40_000 + "\n" + "copyright" * 9000), (5, "\n" * 80_000 + "copyright x")]
+    assert [r.license_id for r in licenses.scan(spark.createDataFrame(slow, "doc_id long, text string")).collect()] == [None] * 5
     twice = spark.createDataFrame([("d", "b"), ("d", "a")], "digest string, license_id string")
     assert licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), twice).count() == len(rows)
 
@@ -190,9 +219,10 @@ def brute_leaks(docs, items, size=5, least=0.8):
     out = {}
     for d, text in docs:
         w = word(text)
+        whole = set(bag(w))
         for k, item in items:
             v = word(item)
-            if not v or not w:
+            if not v or not w or len(v) >= size and not whole & set(bag(v)):  # nothing shared, nothing alike
                 continue
             windows = [w[i : i + len(v)] for i in range(max(1, len(w) - len(v) + 1))]
             best = max(decontaminate.weighted_jaccard(bag(x), bag(v)) for x in windows)
@@ -227,6 +257,12 @@ def test_decontamination_against_brute_force(spark):
     assert decontaminate.leaks(odd_docs(spark).limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_decontamination_query_against_brute_force(spark):
+    docs, items = ([(r[0], r[1]) for r in spark.read.parquet(f"{SF}/{t}.parquet").collect()] for t in ("documents", "benchmark"))
+    found = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in queries.op4_decontamination(spark, SF).collect()}
+    assert found and found == brute_leaks(docs, items)
+
+
 def test_decontamination_without_fingerprints_and_in_slices(spark, monkeypatch):
     draw = random.Random(8)
     items = [(k // 2, " ".join(draw.choices("abcdefghijklmnop", k=draw.choice([4, 12, 20])))) for k in range(30)]  # ids are shared
@@ -397,6 +433,42 @@ def test_toxicity_learns_and_marks_spans(spark):
     assert 0 <= toxicity.train(docs.limit(0), spark.createDataFrame([], "doc_id long, toxic int")).score(np.zeros(0), np.array([0, 0]))[0] <= 1
 
 
+def plain_marginals(score, move, begin):
+    """Forward and backward sums, one token after the other."""
+    forward = [[math.exp(begin[0]), math.exp(begin[1] + score[0])]]
+    for s in score[1:]:
+        a, b = forward[-1]
+        now = [a * math.exp(move[0][0]) + b * math.exp(move[1][0]), (a * math.exp(move[0][1]) + b * math.exp(move[1][1])) * math.exp(s)]
+        forward.append([x / sum(now) for x in now])
+    backward = [[1.0, 1.0]]
+    for s in reversed(score[1:]):
+        a, b = backward[-1][0], backward[-1][1] * math.exp(s)
+        now = [math.exp(move[0][0]) * a + math.exp(move[0][1]) * b, math.exp(move[1][0]) * a + math.exp(move[1][1]) * b]
+        backward.append([x / sum(now) for x in now])
+    return [f[1] * b[1] / (f[0] * b[0] + f[1] * b[1]) for f, b in zip(forward, reversed(backward), strict=True)]
+
+
+def test_toxicity_query_against_plain_sums(spark):
+    documents, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = queries.toxicity_model(documents, labels)
+    got = {r.doc_id: r for r in queries.op6_toxicity(spark, SF).collect()}
+    move, begin = model.transition.tolist(), model.begin.tolist()
+    for r in documents.collect()[::7]:
+        words = re.findall(r"[^\W_]+", (r.text or "").lower())
+        row = [1, -12, -12, -3, -6]
+        if words:
+            weight = [max(-30, min(30, model.bias + sum(model.weights.get(f, 0.0) for f in toxicity.features(w)))) for w in words]
+            p = plain_marginals(weight, move, begin)
+            clean = sum(math.log1p(-min(x, 1 - 1e-9)) for x in p)
+            top = min(max(max(p), 1e-9), 1 - 1e-9)
+            any_odds = math.log(-math.expm1(min(clean, -1e-9))) - clean
+            row = [1, max(-12, min(12, any_odds)), max(-12, min(12, math.log(top / (1 - top)))), math.log(sum(p) + 0.05), math.log((sum(p) + 0.05) / (len(p) + 20))]
+            assert got[r.doc_id].n_spans == sum(x >= toxicity.SPAN for x in p)
+        want = 1 / (1 + math.exp(-max(-50, min(50, sum(a * b for a, b in zip(row, model.curve, strict=True))))))
+        assert got[r.doc_id].score == pytest.approx(want, abs=1e-6) and got[r.doc_id].predicted == int(want >= toxicity.THRESHOLD)
+        assert got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
 def test_toxicity_spans_of_letters_that_grow(spark):
     assert [("İstanbul bad", [(0, 1), (1, 8), (9, 12)]), ("aİb", [(0, 2), (2, 3)]), ("", [])] == [(t, toxicity.word_spans(t)) for t in ("İstanbul bad", "aİb", "")]
     model = toxicity.Model({"bad": 20.0}, -10.0, np.zeros((2, 2)), np.zeros(2), np.array([0, 0.5, 0.5, 0, 0]))
