@@ -44,3 +44,25 @@ JUDGED_SQL = "judged as (select l.doc_id, quality as predicted, 1 - toxic as pas
 
 def solutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("item"), F.col("turn").alias("idx"), F.col("text").alias("code"), "role")
+
+
+def result_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts as items of result documents: one row a user, with the list of their attempts."""
+    a = attempts(spark, sf_dir)
+    fields = {"code": F.col("code"), "cumulative_logprob": F.col("cumulative_logprob"), "num_tokens": F.col("num_tokens"), "orm_score": F.col("score"), "passing": F.col("passing") == 1, "output": F.col("output"), "passing_public": F.col("passing_public") == 1, "orm_label": F.col("label")}
+    listed = F.array_sort(F.collect_list(F.struct("idx", *[c.alias(n) for n, c in fields.items()])))
+    by_item = a.groupBy("item").agg(F.transform(listed, lambda r: F.struct(*[r[n].alias(n) for n in fields])).alias("results"))
+    name = F.concat(F.lit("u"), F.col("item").cast("string"))
+    difficulty = F.when(F.col("item") % 3 == 0, "EASY").when(F.col("item") % 3 == 1, "HARD").otherwise("MEDIUM")
+    return by_item.select(name.alias("unique_name"), F.concat(F.lit("question "), F.col("item").cast("string")).alias("prompt"), F.lit("").alias("starter_code"), difficulty.alias("difficulty"), "results")
+
+
+def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small program for each benchmark item, with a comment and a tab; those of every third item do not parse."""
+    n = F.col("item_id").cast("string")
+    code = F.concat(F.lit("x = "), n, F.lit("  # first\nif x > 3 and x < 90:\n\tprint(x + 1)\nelse:\n\tprint(x"), F.when(F.col("item_id") % 3 == 0, "").otherwise(")"), F.lit("\n"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), F.lit(1).alias("idx"), code.alias("code"), F.lit("").alias("starter_code"))
+
+
+PROGRAMS_SQL = """programs as (select item_id as item, 1 as idx,
+  'x = ' || item_id || '  # first' || chr(10) || 'if x > 3 and x < 90:' || chr(10) || chr(9) || 'print(x + 1)' || chr(10) || 'else:' || chr(10) || chr(9) || 'print(x' || case when item_id % 3 = 0 then '' else ')' end || chr(10) as code from benchmark)"""

@@ -5,12 +5,16 @@ from __future__ import annotations
 import ast
 import base64
 import difflib
+import functools
+import io
 import json
 import math
+import pickle
 import random
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -77,7 +81,7 @@ def bullets_on_top(code: str | None) -> str | None:
             run.append(line.lstrip()[1:].strip())
             continue
         if run:
-            rows.append("# " + " " * (indent // 2) + "- " + _joined(run))
+            rows.append(_joined(["# " + " " * indent + "- " + run[0], *run[1:]]))
             run = []
         if line is not None:
             rest.append(line)
@@ -124,13 +128,44 @@ def patched_tests(tests: str | None) -> str | None:
 
 
 def decoded_blob(blob: str | None) -> str | None:
-    """Text of base64 over zlib. Pickled payloads are not opened; what isn't UTF-8 text is null."""
+    """Text of base64 over zlib, as it is or pickled. Of a pickle only a plain value is read, never a class; what isn't
+    text is null."""
     try:
-        return None if blob is None else zlib.decompress(base64.b64decode(blob)).decode()
-    except (ValueError, zlib.error):
+        body = b"" if blob is None else zlib.decompress(base64.b64decode(blob))
+        if body[:1] == b"\x80":
+            value = _Plain(io.BytesIO(body)).load()
+            return value if isinstance(value, str) else None
+        return None if blob is None else body.decode()
+    except (ValueError, zlib.error, pickle.UnpicklingError, EOFError):
         return None
 
 
+def encoded_blob(text: str | None) -> str | None:
+    """The pickled text in zlib in base64."""
+    return None if text is None else base64.b64encode(zlib.compress(pickle.dumps(text))).decode()
+
+
+class _Plain(pickle.Unpickler):
+    def find_class(self, module: str, name: str):
+        raise pickle.UnpicklingError(f"{module}.{name} in a blob")
+
+
+def benchmark_tests(public: str | None, private: str | None, metadata: str | None) -> tuple[str | None, str | None]:
+    """(all tests, public tests) as JSON specs from JSON lists of {input, output}; private tests, which come first, may
+    be a blob. For a named function the input's lines and the output are JSON values, else both are texts."""
+    name = json.loads(metadata or "{}").get("func_name")
+    shown = json.loads(public or "[]")
+    hidden = json.loads(private if private and private.lstrip()[:1] == "[" else decoded_blob(private) or "[]")
+
+    def spec(cases: list[dict]) -> str:
+        read = (lambda c: ([json.loads(x) for x in c["input"].split("\n")], json.loads(c["output"]))) if name else (lambda c: (c["input"], c["output"]))
+        pairs = [read(c) for c in cases]
+        out = {"inputs": [i for i, _ in pairs], "outputs": [o for _, o in pairs]}
+        return json.dumps(out | {"fn_name": name} if name else out)
+
+    return spec(hidden + shown), spec(shown)
+
+
 def changed_step(code: str | None, mutated: str | None, ranges: list | None) -> tuple[int, int] | None:
     """The step range (start, end) that holds the first line in which two programs differ, or the line before it."""
     if code is None or mutated is None:
@@ -143,6 +178,7 @@ def changed_step(code: str | None, mutated: str | None, ranges: list | None) ->
     return next(((r[0], r[1]) for r in ranges or [] if r[0] <= same <= r[1] + 1), None)
 
 
+#: The operators that mutations swap among one another.
 SWAPS = {
     "AOR": (ast.Add, ast.Sub, ast.Mult, ast.FloorDiv, ast.Div, ast.Mod, ast.Pow),
     "LCR": (ast.And, ast.Or),
@@ -172,8 +208,8 @@ def _sites(tree: ast.AST) -> dict[str, list]:
 
 
 def mutate(code: str | None, seed: int = 0) -> str | None:
-    """One random change: an operator that can act, then one of its sites, each with equal chance. Code that does not
-    parse or has no site stays as it is; layout and comments are not kept."""
+    """One random change: an operator that can act, then one of its sites, each with equal chance. Only the site's own
+    text is written anew, so layout and comments around it stay. Code that does not parse or has no site stays as it is."""
     if not parses(code):
         return code
     draw, tree = random.Random(seed), ast.parse(code)
@@ -183,17 +219,28 @@ def mutate(code: str | None, seed: int = 0) -> str | None:
     kind = draw.choice(sorted(sites))
     node, field, at = draw.choice(sites[kind])
     value = getattr(node, field) if at is None else getattr(node, field)[at]
+    body = code.encode()
     if kind in SWAPS:
         new = draw.choice([o for o in SWAPS[kind] if not isinstance(value, o)])()
-    elif kind == "SBR":
-        new = ast.Pass()
-    else:
-        new = ast.UnaryOp(ast.Not(), value)
-    if at is None:
-        setattr(node, field, new)
+        if at is None:
+            setattr(node, field, new)
+        else:
+            getattr(node, field)[at] = new
+        begin, end = _span(body, node)
+        shown = ast.unparse(node)
     else:
-        getattr(node, field)[at] = new
-    return ast.unparse(ast.fix_missing_locations(tree))
+        begin, end = _span(body, value)
+        shown = "pass" if kind == "SBR" else f"not ({body[begin:end].decode()})"
+    out = (body[:begin] + shown.encode() + body[end:]).decode()
+    return out if parses(out) else code
+
+
+def _span(body: bytes, node: ast.AST) -> tuple[int, int]:
+    """Where a node's text begins and ends, in bytes."""
+    starts = [0]
+    for line in body.splitlines(keepends=True):
+        starts.append(starts[-1] + len(line))
+    return starts[node.lineno - 1] + node.col_offset, starts[node.end_lineno - 1] + node.end_col_offset
 
 
 def bleu(candidate: list[str], reference: list[str], order: int = 4) -> float:
@@ -228,6 +275,39 @@ def _udf(function, returns: T.DataType):
     return F.pandas_udf(f, returns)
 
 
+@F.pandas_udf(T.StructType().add("tests", "string").add("public", "string"))
+def benchmark_tests_udf(public: pd.Series, private: pd.Series, metadata: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([benchmark_tests(*row) for row in zip(public, private, metadata, strict=True)], columns=["tests", "public"])
+
+
+@F.pandas_udf(T.StructType().add("start", "integer").add("end", "integer"))
+def changed_step_udf(code: pd.Series, mutated: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
+    """The step range that a mutation hit; nulls where it hit none."""
+    found = [changed_step(c, m, list(zip(a, b, strict=True))) or (None, None) for c, m, a, b in zip(code, mutated, starts, ends, strict=True)]
+    return pd.DataFrame(found, columns=["start", "end"]).astype("Int32")
+
+
+def token_length(vocabulary: str, pattern: str):
+    """A length in tokens by a byte-level vocabulary of ranks at `vocabulary`; its own library reads it once a worker."""
+
+    @F.pandas_udf(T.IntegerType())
+    def length(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        coder = _coder(vocabulary, pattern)
+        for texts in batches:
+            yield pd.Series([None if t is None else len(coder.encode_ordinary(t)) for t in texts], dtype="Int32")
+
+    return length
+
+
+@functools.lru_cache(maxsize=4)
+def _coder(vocabulary: str, pattern: str):
+    import tiktoken
+
+    with open(vocabulary, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 parses_udf = _udf(parses, T.BooleanType())
 same_tree_udf = _udf(same_tree, T.BooleanType())
 leading_comments_udf = _udf(leading_comments, T.StringType())
@@ -237,5 +317,6 @@ bullets_after_docstring_udf = _udf(bullets_after_docstring, T.StringType())
 equal_json_udf = _udf(equal_json, T.BooleanType())
 patched_tests_udf = _udf(patched_tests, T.StringType())
 decoded_blob_udf = _udf(decoded_blob, T.StringType())
+encoded_blob_udf = _udf(encoded_blob, T.StringType())
 mutate_udf = _udf(mutate, T.StringType())
 mean_pairwise_bleu_udf = _udf(mean_pairwise_bleu, T.DoubleType())

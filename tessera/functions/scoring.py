@@ -61,6 +61,17 @@ def positive_share(negative, positive) -> Column:
     return 1.0 / (1.0 + F.exp(_c(negative) - _c(positive)))
 
 
+def mean_logprob(logprobs) -> Column:
+    """Mean of an array of token log-probabilities; null where it is empty."""
+    p = _c(logprobs)
+    return F.try_divide(F.aggregate(p, F.lit(0.0), lambda a, x: a + x), F.size(p))
+
+
+def to_time(text, pattern: str = "yyyy-MM-dd'T'HH:mm:ss") -> Column:
+    """A text's time by a pattern, without a zone; null where it does not fit."""
+    return F.try_to_timestamp(_c(text), F.lit(pattern)).cast("timestamp_ntz")
+
+
 def error_kind(output) -> Column:
     """The kind of a failing verdict's text."""
     o = _c(output)

@@ -29,9 +29,32 @@ def evolution_prompt(before, after=None) -> Column:
     return py_strip(F.concat(_c(before), F.lit(NL + "# ==== EVOLVED CODE ====" + NL), tail))
 
 
-def few_shot_prompt(shots: list[str], question, code=None) -> Column:
-    """Example texts, then the question's own docstring prompt, parted by empty lines."""
-    return F.concat_ws(NL + NL, *[F.lit(s) for s in shots], docstring_prompt(question, code))
+#: Fixed value: what starts each program of a few-shot prompt.
+NEW_CODE = "# START NEW CODE"
+#: Examples (question, program, reasoning) for programs that read input, and for functions that continue starter code.
+INPUT_SHOTS = [
+    ("Read an integer n and print the sum of 1 to n.", "n = int(input())\nprint(n * (n + 1) // 2)", "# - Read: the only line holds n.\n# - Sum: the closed form needs no loop."),
+    ("Read a line and print it backwards.", "print(input()[::-1])", "# - Reverse: a slice with step -1 turns the line around."),
+]
+FUNCTION_SHOTS = [
+    ("Return the larger of two numbers.", "def larger(a, b):\n    return a if a > b else b", "# - Compare: one condition decides."),
+    ("Count the vowels of a word.", "def vowels(word):\n    return sum(c in 'aeiou' for c in word)", "# - Count: each letter that is a vowel adds one."),
+]
+
+
+def _bare(starter) -> Column:
+    return F.coalesce(_c(starter), F.lit("")) == "" if starter is not None else F.lit(True)
+
+
+def few_shot_prompt(question, code=None, cot: bool = False, input_shots: list | None = None, function_shots: list | None = None) -> Column:
+    """Example programs, each under its question (and, with `cot`, its reasoning), then the question's own docstring
+    prompt. The examples read input where there is no starter code, and are functions where there is."""
+
+    def shown(shots: list) -> str:
+        return "".join(f"{NEW_CODE}\n{QUOTES}\n{q}\n{QUOTES}\n{why + NL + NL if cot else ''}{program}\n" for q, program, why in shots)
+
+    own = F.concat(F.lit(NEW_CODE + NL), docstring_prompt(question, code))
+    return F.concat(F.when(_bare(code), shown(INPUT_SHOTS if input_shots is None else input_shots)).otherwise(shown(FUNCTION_SHOTS if function_shots is None else function_shots)), py_strip(own))
 
 
 #: Fixed values of the chat prompts.
@@ -39,18 +62,51 @@ CHAT_TASK = "Please write a Python program that meets the following requirements
 CHAT_STARTER = "Your solution should utilize the following starter code:"
 
 
-def few_shot_chat(shots: list[tuple[str, str]], question, starter=None, system: str | None = None, answer_role: str = "system") -> Column:
-    """Turns (role, content): optional system text, task and fenced answer of each example, then the question with
-    its starter code, if there is any. Answers carry the role `answer_role`."""
-    turns = [(F.lit("system"), F.lit(system))] if system is not None else []
-    for asked, answer in shots:
+def _chat_turns(shots: list, answer_role: str) -> list[tuple[Column, Column]]:
+    turns = []
+    for asked, answer, *_ in shots:
         turns += [(F.lit("user"), F.lit(f"{CHAT_TASK}\n\n{asked}")), (F.lit(answer_role), F.lit(f"```python\n{answer}\n```"))]
+    return turns
+
+
+def few_shot_chat(shots: list, question, starter=None, system: str | None = None, answer_role: str = "system", function_shots: list | None = None) -> Column:
+    """Turns (role, content): optional system text, task and fenced answer of each example, then the question with
+    its starter code, if there is any. Answers carry the role `answer_role`; with starter code, the examples are
+    `function_shots` if given."""
     asked = F.concat(F.lit(f"{CHAT_TASK}\n\n"), F.replace(_c(question), F.lit(QUOTES), F.lit("\\" + QUOTES)))
     if starter is not None:
         given = F.concat(F.lit(f"\n\n{CHAT_STARTER}\n\n```python\n"), _c(starter), F.lit("\n```"))
-        asked = F.concat(asked, F.when(F.coalesce(_c(starter), F.lit("")) != "", given).otherwise(""))
-    turns.append((F.lit("user"), asked))
-    return F.array(*[F.struct(r.alias("role"), t.alias("content")) for r, t in turns])
+        asked = F.concat(asked, F.when(~_bare(starter), given).otherwise(""))
+
+    def turns(examples: list) -> Column:
+        listed = ([(F.lit("system"), F.lit(system))] if system is not None else []) + _chat_turns(examples, answer_role) + [(F.lit("user"), asked)]
+        return F.array(*[F.struct(r.alias("role"), t.alias("content")) for r, t in listed])
+
+    return turns(shots) if function_shots is None else F.when(_bare(starter), turns(shots)).otherwise(turns(function_shots))
+
+
+#: Fixed values of the rephrasing prompt's marks.
+ORIGINAL, REPHRASED = "# Original:", "# Rephrased:"
+REPHRASE_SHOTS = [("Print the largest of n numbers.", "Given n numbers, write out their maximum.")]
+
+
+def rephrase_prompt(question, shots: list[tuple[str, str]] | None = None, task: str = "Say the following task in other words; keep every technical detail.") -> Column:
+    """Task, examples (original, rephrased) parted by empty lines, then the question as an original to be rephrased."""
+    head = task + NL + "".join(f"{ORIGINAL}\n{a}\n{REPHRASED}\n{b}\n\n" for a, b in (REPHRASE_SHOTS if shots is None else shots))
+    return F.concat(F.lit(head + ORIGINAL + NL), _c(question), F.lit(NL + REPHRASED + NL))
+
+
+AUGMENT_TASK = "Add a comment line before each important step of this code, saying the step in words. Change no code."
+AUGMENT_ANSWER = "Here is the code with comments:"
+
+
+def augment_turns(code, shots: list[tuple[str, str]] = (), system: str | None = None) -> Column:
+    """Turns (role, content) that ask for comments on code, with examples (code, commented code)."""
+    turns = [("system", F.lit(system))] if system is not None else []
+    for asked, answer in shots:
+        turns += [("user", F.lit(f"{AUGMENT_TASK}\n```py\n{asked}\n```")), ("assistant", F.lit(f"{AUGMENT_ANSWER}\n```py\n{answer}\n```"))]
+    turns.append(("user", F.concat(F.lit(f"{AUGMENT_TASK}\n```py\n"), _c(code), F.lit("\n```"))))
+    return F.array(*[F.struct(F.lit(r).alias("role"), t.alias("content")) for r, t in turns])
 
 
 def chat_template(turns) -> Column:
@@ -169,19 +225,33 @@ def verdict(answer) -> tuple[Column, Column]:
     return F.when(enough, F.when(first.startswith("yes"), True).when(first.startswith("no"), False)), F.when(enough, F.array_join(F.slice(lines, F.lit(2), F.size(lines)), NL))
 
 
-STAR_IMPORT = r"from\s+\S+\s+import\s+\*"
+STAR_IMPORT = r"(?m)^[ \t]*from[ \t]+[\w.]+[ \t]+import[ \t]*\*"
+END_MARK = "___SENTINEL___"  # fixed: parts the outputs of a program's runs
+PRELUDE = "import io\nimport sys\n"
 
 
 def rewritten_exit(code) -> Column:
     """Calls that would end the interpreter return from the enclosing function instead."""
-    return F.regexp_replace(_c(code), r"(?:sys.)?(?:exit|quit)\([^\n]*\)", "return")
+    return F.regexp_replace(_c(code), r"\b(?:sys\.)?(?:exit|quit)\([^\n]*\)", "return")
 
 
 def stdin_harness(code, name: str = "__run_prog__") -> Column:
     """The program as a function, so that it can run once per input; star imports, which no function may hold, go first."""
-    stars = F.array_join(F.transform(F.regexp_extract_all(_c(code), F.lit(f"({STAR_IMPORT})")), lambda x: F.concat(x, F.lit(NL))), "")
+    stars = F.array_join(F.transform(F.regexp_extract_all(_c(code), F.lit(f"({STAR_IMPORT})")), lambda x: F.concat(F.trim(x), F.lit(NL))), "")
     body = rewritten_exit(F.regexp_replace(_c(code), STAR_IMPORT, ""))
-    return F.concat(stars, F.lit(f"def {name}():{NL}"), F.array_join(F.transform(F.split(body, NL), lambda x: F.concat(F.lit("    "), x)), NL))
+    return F.concat(F.lit(PRELUDE), stars, F.lit(f"def {name}():{NL}"), F.array_join(F.transform(F.split(body, NL), lambda x: F.concat(F.lit("    "), x)), NL))
+
+
+def stdin_runs(inputs, name: str = "__run_prog__") -> Column:
+    """Test code that runs the harnessed program once for each text of an array, an end mark after each output."""
+    loop = f"for __text__ in __inputs__:\n    sys.stdin = io.TextIOWrapper(io.BytesIO(__text__.encode()), encoding='utf8')\n    {name}()\n    print('{END_MARK}')\n"
+    return F.concat(F.lit("__inputs__ = "), F.to_json(_c(inputs)), F.lit(NL + loop))
+
+
+def run_outputs(output) -> Column:
+    """What each run printed: the parts before the end marks."""
+    parts = F.split(_c(output), END_MARK + "\n?")
+    return F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
 
 
 def md5_hex(text) -> Column:

@@ -20,17 +20,27 @@ def rows_not_in(b: DataFrame, a: DataFrame, key: str) -> DataFrame:
     return b.join(a.select(key).distinct(), key, "left_anti")
 
 
-def contains_any(docs: DataFrame, items: DataFrame, text: str, phrase: str, most_items: int = 10_000) -> DataFrame:
-    """Documents that hold one of the phrases as a substring. The phrases are counted first; up to the bound they
-    are sent along as one array. A longer list takes several passes, one slice of it each."""
-    phrases = items.select(F.col(phrase).alias("p")).where("p is not null").distinct()
-    slices = max(1, -(-phrases.count() // most_items))
-    out = None
+def contains_any(docs: DataFrame, items: DataFrame, text: str, phrase: str, most_short: int = 10_000) -> DataFrame:
+    """Documents that hold one of the phrases as a substring, each row once.
+
+    A phrase's inner words (all but its first and last) stand as whole words in any text that holds it, so the longest
+    of them joins phrases to the words of the texts, and only what it joins is searched. The join's side of phrases is
+    broadcast if the planner sees that it is small. Phrases of one or two words have no inner word; they are counted and
+    tried on every text in slices of bounded size."""
+    phrases = items.select(F.col(phrase).alias("__p")).where("__p is not null").distinct()
+    words = F.split("__p", r"\s+")
+    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = phrases.select("__p", longest.alias("__w"))
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    spoken = numbered.withColumn("__w", F.explode(F.array_distinct(F.split(text, r"\s+"))))
+    found = spoken.join(keyed.where("__w is not null"), "__w").where(F.col(text).contains(F.col("__p"))).drop("__w", "__p")
+    short = keyed.where("__w is null").select("__p")
+    slices = -(-short.count() // most_short)
     for s in range(slices):
-        listed = phrases.where(F.expr(f"pmod(xxhash64(p), {slices}) = {s}")).agg(F.collect_list("p").alias("__p"))
-        found = docs.crossJoin(F.broadcast(listed)).where(F.exists("__p", lambda p: F.col(text).contains(p))).drop("__p")  # one row, of bounded size
-        out = found if out is None else out.unionByName(found)
-    return out if slices == 1 else out.distinct()
+        listed = short.where(F.expr(f"pmod(xxhash64(__p), {slices}) = {s}")).agg(F.collect_list("__p").alias("__l"))
+        found = found.unionByName(numbered.crossJoin(F.broadcast(listed)).where(F.exists("__l", lambda p: F.col(text).contains(p))).drop("__l"))  # one row, of bounded size
+    return found.dropDuplicates(["__row"]).select(*docs.columns)
 
 
 def merge_solutions(synthetic: DataFrame, natural: DataFrame, key: str, solutions: str, order: str) -> DataFrame:
@@ -78,6 +88,20 @@ def zipped(rows: DataFrame, first: str, second: str, name: str) -> DataFrame:
     return rows.withColumn(name, F.when(same, F.arrays_zip(first, second)).otherwise(F.raise_error(F.lit("lists of different length"))))
 
 
+def merged_structs(rows: DataFrame, first: str, second: str, name: str) -> DataFrame:
+    """Two parallel arrays of structs as one of structs with the fields of both. The second may be empty (nothing was
+    run yet): its fields are null then; any other difference in length is an error."""
+    fields = lambda c: rows.schema[c].dataType.elementType.names
+    both = F.zip_with(first, second, lambda a, b: F.struct(*[a[f].alias(f) for f in fields(first)], *[b[f].alias(f) for f in fields(second)]))
+    fit = (F.size(first) == F.size(second)) | (F.size(second) == 0)
+    return rows.withColumn(name, F.when(fit, both).otherwise(F.raise_error(F.lit("lists of different length"))))
+
+
+def fallback_counts(pairs: DataFrame, chosen: str = "chosen") -> DataFrame:
+    """How many pairs are there, have a chosen side, took it from the natural solutions, or have none."""
+    return pairs.agg(F.count("*").alias("pairs"), F.count(chosen).alias("chosen"), F.count_if(F.col("used_natural") == 1).alias("natural"), F.count_if(F.col(chosen).isNull()).alias("lost"))
+
+
 def pairs_within(rows: DataFrame, item: str, idx: str, value: str) -> DataFrame:
     """All pairs i < j of an item's list. Meant for lists of bounded length: pairs grow with its square."""
     a = rows.select(item, F.col(idx).alias("i"), F.col(value).alias("a"))
@@ -91,6 +115,12 @@ def adjacent_pairs(rows: DataFrame, item: str, idx: str, value: str) -> DataFram
     return rows.select(item, idx, F.lag(value).over(w).alias("before"), F.col(value).alias("after")).where("before is not null")
 
 
+def adjacent_losses(rows: DataFrame, item: str) -> DataFrame:
+    """How many items give pairs, and how many have too few rows."""
+    n = rows.groupBy(item).agg(F.count("*").alias("n"))
+    return n.agg(F.count_if(F.col("n") >= 2).alias("kept"), F.count_if(F.col("n") < 2).alias("lost"))
+
+
 def parameter_grid(spark, **values: list) -> DataFrame:
     """Every combination of a few parameter lists."""
     out = spark.range(1).drop("id")

@@ -16,9 +16,17 @@ def _hit(name: str = "passing") -> Column:
     return F.coalesce(F.col(name).cast("int"), F.lit(0))
 
 
+def _known(*columns: str) -> Column:
+    """Whether every row of a group has its verdicts and scores; a figure over rows that lack one is null, not wrong."""
+    there = F.col(columns[0]).isNotNull()
+    for c in columns[1:]:
+        there &= F.col(c).isNotNull()
+    return F.bool_and(there)
+
+
 def item_counts(attempts: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """n attempts and c passing ones per item."""
-    return attempts.groupBy(*(by or []), "item").agg(F.count("*").alias("n"), F.sum(_hit()).alias("c"))
+    """n attempts and c passing ones per item, and whether all have a verdict (`known`)."""
+    return attempts.groupBy(*(by or []), "item").agg(F.count("*").alias("n"), F.sum(_hit()).alias("c"), _known("passing").alias("known"))
 
 
 def pass_at_k_by_item(attempts: DataFrame, k: int) -> DataFrame:
@@ -26,11 +34,11 @@ def pass_at_k_by_item(attempts: DataFrame, k: int) -> DataFrame:
 
 
 def pass_at_k_mean(attempts: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
-    """Mean pass@k in per cent. Items collapse to a histogram of (n, c) first."""
-    kinds = item_counts(attempts, by).groupBy(*(by or []), "n", "c").agg(F.count("*").alias("items"))
+    """Mean pass@k in per cent, null if an attempt has no verdict. Items collapse to a histogram of (n, c) first."""
+    kinds = item_counts(attempts, by).groupBy(*(by or []), "n", "c", "known").agg(F.count("*").alias("items"))
     value = pass_at_k("n", "c", k)
     out = kinds.groupBy(*(by or [])) if by else kinds
-    return out.agg((F.sum(value * F.col("items")) / F.sum("items") * 100).alias("pass_at_k"), F.sum("items").alias("items"))
+    return out.agg(F.when(F.bool_and("known"), F.sum(value * F.col("items")) / F.sum("items") * 100).alias("pass_at_k"), F.sum("items").alias("items"))
 
 
 def pass_at_k_curve(attempts: DataFrame, most: int) -> DataFrame:
@@ -67,11 +75,15 @@ def ranked(attempts: DataFrame, score: str | Column = "score", name: str = "rk")
 
 def reranked_accuracy(attempts: DataFrame, k: int = 1, score: str | Column = "score", public_only: bool = False) -> DataFrame:
     """Share of items with a passing attempt among the k best by score. `public_only` ranks the attempts that pass
-    the public tests; an item without any counts as failed."""
-    pool = attempts.where(_hit("passing_public") == 1) if public_only else attempts
-    best = ranked(pool, score).where(F.col("rk") <= k).groupBy("item").agg(F.max(_hit()).alias("hit"))
-    items = attempts.select("item").distinct()
-    return items.join(best, "item", "left").agg((F.avg(F.coalesce("hit", F.lit(0))) * 100).alias("accuracy"))
+    the public tests; an item without any counts as failed. Null if an attempt lacks a verdict, its score or, where
+    they count, its public verdict."""
+    pool = attempts.withColumn("__s", F.col(score) if isinstance(score, str) else score)
+    shown = _hit("passing_public") if public_only else F.lit(1)
+    order = Window.partitionBy("item").orderBy(shown.desc(), F.col("__s").desc_nulls_last(), "idx")
+    known = _known("passing", "__s", *(["passing_public"] if public_only else []))
+    top = pool.withColumn("__shown", shown).withColumn("__rk", F.row_number().over(order))
+    by_item = top.groupBy("item").agg(F.max(F.when((F.col("__rk") <= k) & (F.col("__shown") == 1), _hit()).otherwise(0)).alias("hit"), known.alias("known"))
+    return by_item.agg(F.when(F.bool_and("known"), F.avg("hit") * 100).alias("accuracy"))
 
 
 def reranked_curve(attempts: DataFrame, most: int, score: str | Column = "score") -> DataFrame:
@@ -108,7 +120,8 @@ def expected_grid(attempts: DataFrame, ks: list[int], sizes: list[int], score: s
 def sampled_best_of_n(attempts: DataFrame, n: int, k: int = 1, draws: int = 25, seed: int = 42, score: str = "score") -> DataFrame:
     """Monte-Carlo form: mean and population deviation over draws of n attempts by a hashed order."""
     drawn = attempts.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    order = Window.partitionBy("draw", "item").orderBy(F.xxhash64(F.lit(seed), "draw", "item", "idx"), "idx")
+    drawing = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col("item").cast("string"), F.col("idx").cast("string")).cast("binary"))
+    order = Window.partitionBy("draw", "item").orderBy(drawing, "idx")
     kept = drawn.withColumn("o", F.row_number().over(order)).where(F.col("o") <= n)
     best = Window.partitionBy("draw", "item").orderBy(F.col(score).desc_nulls_last(), "o")
     hits = kept.withColumn("rk", F.row_number().over(best)).where(F.col("rk") <= k).groupBy("draw", "item").agg(F.max(_hit()).alias("hit"))
@@ -124,21 +137,51 @@ def public_accuracy(attempts: DataFrame, n: int, k: int = 1) -> DataFrame:
     return by_item.agg((F.sum(F.col("hit") * F.col("weight")) / F.sum("weight") * 100).alias("accuracy"))
 
 
-def report(attempts: DataFrame, k: int, n: int) -> DataFrame:
-    """One row of all headline figures."""
-    parts = [
-        pass_at_k_mean(attempts, k).select("pass_at_k", "items"),
-        pass_one_stderr(attempts),
-        reranked_accuracy(attempts, k).select(F.col("accuracy").alias("rm")),
-        reranked_accuracy(attempts, k, public_only=True).select(F.col("accuracy").alias("rm_public")),
-        reranked_accuracy(attempts, k, "cumulative_logprob").select(F.col("accuracy").alias("ml")),
-        public_accuracy(attempts, n, k).select(F.col("accuracy").alias("public")),
-    ]
-    keyed = [p.withColumn("__one", F.lit(1)) for p in parts]  # each has one row
-    out = keyed[0]
-    for p in keyed[1:]:
-        out = out.join(p, "__one")
-    return out.drop("__one")
+def report(attempts: DataFrame, k: int, n: int, by: list[str] | None = None, score: str | Column = "score") -> DataFrame:
+    """All headline figures, one row, or one for each value of `by` (files, say). A figure is null if an attempt lacks
+    what it takes: a verdict, a score, a log-probability, a public verdict.
+
+    One pass ranks the attempts of each item four times within one partitioning and aggregates them by item; a second
+    takes the means by attempt index."""
+    by = by or []
+    item = Window.partitionBy(*by, "item")
+    last = F.col("idx") > n
+    orders = {
+        "rm": [F.col("__s").desc_nulls_last()],
+        "rm_public": [_hit("passing_public").desc(), F.col("__s").desc_nulls_last()],
+        "ml": [F.col("cumulative_logprob").desc_nulls_last()],
+        "public": [last.cast("int"), _hit("passing_public").desc()],
+    }
+    pool = attempts.withColumn("__s", F.col(score) if isinstance(score, str) else score)
+    placed = pool.withColumns({f"__{name}": F.row_number().over(item.orderBy(*order, "idx")) for name, order in orders.items()})
+    best = lambda name, also=F.lit(True): F.max(F.when((F.col(f"__{name}") <= k) & also, _hit()).otherwise(0)).alias(name)
+    shown = _hit("passing_public") == 1
+    items = placed.groupBy(*by, "item").agg(
+        F.count("*").alias("n"), F.sum(_hit()).alias("c"), best("rm"), best("rm_public", shown), best("ml"), best("public", ~last), F.count_if(~last).alias("w"),
+        _known("passing").alias("has_verdict"), _known("__s").alias("has_score"), _known("cumulative_logprob").alias("has_logprob"), _known("passing_public").alias("has_public"),
+    )
+    ok = lambda *names: F.expr(" and ".join(f"bool_and({x})" for x in ("has_verdict", *names)))
+    figures = items.groupBy(*by).agg(
+        F.when(ok(), F.avg(pass_at_k("n", "c", k)) * 100).alias("pass_at_k"), F.count("*").alias("items"),
+        F.when(ok("has_score"), F.avg("rm") * 100).alias("rm"), F.when(ok("has_score", "has_public"), F.avg("rm_public") * 100).alias("rm_public"),
+        F.when(ok("has_logprob"), F.avg("ml") * 100).alias("ml"), F.when(ok("has_public"), F.sum(F.col("public") * F.col("w")) / F.sum("w") * 100).alias("public"),
+    )
+    means = attempts.groupBy(*by, "idx").agg(F.avg(_hit()).alias("m"), _known("passing").alias("known")).groupBy(*by).agg(
+        F.when(F.bool_and("known"), F.avg("m") * 100).alias("pass_one"), F.when(F.bool_and("known"), F.stddev_pop("m") / F.sqrt(F.count("*")) * 100).alias("stderr"))
+    if by:
+        return figures.join(means, by)
+    return figures.withColumn("__one", F.lit(1)).join(means.withColumn("__one", F.lit(1)), "__one").drop("__one")  # one row each
+
+
+def file_report(documents: DataFrame, k: int, n: int, score: str = "orm_score") -> DataFrame:
+    """The report of each file of result documents (file, items; a file may have several documents): one without readable
+    items has a row that says so in `error` and no figures."""
+    items = documents.select("file", F.posexplode_outer("items").alias("row_idx", "i"))
+    rows = items.where("i is not null").select("file", F.col("i.unique_name").alias("item"), F.posexplode("i.results").alias("p", "r")).select("file", "item", (F.col("p") + 1).alias("idx"), "r.*")
+    figures = report(rows, k, n, ["file"], score)
+    found = documents.groupBy("file").agg(F.sum(F.coalesce(F.size("items"), F.lit(0))).alias("n"))
+    broken = F.when(F.col("n") <= 0, "no items").alias("error")
+    return found.select("file", broken).join(figures.withColumnRenamed("items", "size"), "file", "left")
 
 
 def confusion(judged: DataFrame, threshold: float = 0.9) -> DataFrame:
@@ -170,6 +213,12 @@ def accuracy_by_category(judged: DataFrame, category: str) -> DataFrame:
     return judged.rollup(category).agg(F.count("*").alias("n"), F.avg((p == t).cast("int")).alias("accuracy"), F.avg(F.when(t == 0, 1 - p)).alias("tn_rate"))
 
 
+def verdict_counts(attempts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """How many attempts passed, failed, or have no verdict."""
+    p = F.col("passing").cast("int")
+    return attempts.groupBy(*(by or [])).agg(F.count_if(p == 1).alias("passed"), F.count_if(p == 0).alias("failed"), F.count_if(p.isNull()).alias("unknown"))
+
+
 def error_histogram(attempts: DataFrame, output: str = "output") -> DataFrame:
     return attempts.where(_hit() == 0).groupBy(error_kind(output).alias("kind")).agg(F.count("*").alias("n"))
 

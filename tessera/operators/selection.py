@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+FEW_ROWS = 10_000  # rows that a sorted limit may bring to one task
+
 
 def hash_order(seed: int | str, *keys: str | Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]))
@@ -92,9 +94,17 @@ def head(rows: DataFrame, order: str, n: int) -> DataFrame:
     return rows.orderBy(order).limit(n)
 
 
+def first_rows(rows: DataFrame, order: Column, key: str, n: int) -> DataFrame:
+    """The first n rows by an order, ties by key: by a limit if n is small, and else by row numbers over ranges of the
+    order, as a sorted limit would bring all n rows to one task."""
+    if n <= FEW_ROWS:
+        return rows.orderBy(order, key).limit(n)
+    return numbered(rows.withColumn("__o", order), F.lit(0).cast("long"), "__o", "__n", ties=[key]).where(F.col("__n") < n).drop("__o", "__n")
+
+
 def hash_sample(rows: DataFrame, n: int, seed: int, key: str) -> DataFrame:
     """n rows without replacement: the first in hashed order."""
-    return rows.orderBy(hash_order(seed, key), key).limit(n)
+    return first_rows(rows, hash_order(seed, key), key, n)
 
 
 def hash_shuffled(rows: DataFrame, seed: int, key: str, position: str = "position") -> DataFrame:
@@ -124,13 +134,12 @@ def balanced_by_item(attempts: DataFrame, cap: int) -> DataFrame:
 
 
 def balanced(rows: DataFrame, label: str, key: str, seed: int | None = None) -> DataFrame:
-    """As many rows of label 1 as of label 0: the first in hashed order, or by key if no seed is given.
-
-    The rank within a class comes from a range partitioning by the order, so no class meets in one task."""
+    """As many rows of label 1 as of label 0: the first in hashed order, or by key if no seed is given. No class meets
+    in one task."""
     order = hash_order(seed, key) if seed is not None else F.col(key)
     counts = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count("*").alias("n")).collect()}
     least = min(counts.get(0, 0), counts.get(1, 0))
-    parts = [rows.where(F.col(label) == k).orderBy(order, key).limit(least) for k in (1, 0)]
+    parts = [first_rows(rows.where(F.col(label) == k), order, key, least) for k in (1, 0)]
     return parts[0].unionByName(parts[1])
 
 
@@ -153,12 +162,13 @@ def insertion_places(known: int, unknowns: int) -> tuple[Column, Column]:
     return r + before, loose
 
 
-def numbered(rows: DataFrame, group: Column, idx: str, name: str = "__r", parts: int = 64) -> DataFrame:
-    """Row numbers from 0 by group and idx over the whole table, the columns kept.
+def numbered(rows: DataFrame, group: Column, idx: str, name: str = "__r", parts: int = 64, ties: list[str] | None = None) -> DataFrame:
+    """Row numbers from 0 by group, idx and `ties` over the whole table, the columns kept.
 
     Ranges of idx, cut at a hashed sample of its values, are numbered apart and start where the ranges before them
     end, so no task takes all rows; what the driver holds is the cuts and the counts of the ranges."""
-    sample = hash_sample(rows.select(idx).where(F.col(idx).isNotNull()).distinct(), 32 * parts, 42, idx).orderBy(idx).collect()
+    values = rows.select(idx).where(F.col(idx).isNotNull()).distinct()
+    sample = values.orderBy(hash_order(42, idx)).limit(32 * parts).orderBy(idx).collect()
     cuts = [r[0] for r in sample[:: max(1, len(sample) // parts)]][:parts]
     above = F.lit(0) + sum((F.coalesce((F.col(idx) >= F.lit(c)).cast("int"), F.lit(0)) for c in cuts), F.lit(0))
     apart = rows.withColumn("__g", group).withColumn("__b", above)
@@ -167,7 +177,7 @@ def numbered(rows: DataFrame, group: Column, idx: str, name: str = "__r", parts:
     for g, b, n in counts:
         starts.append((g, b, total))
         total += n
-    within = F.row_number().over(Window.partitionBy("__g", "__b").orderBy(idx)) - 1
+    within = F.row_number().over(Window.partitionBy("__g", "__b").orderBy(idx, *(ties or []))) - 1
     offsets = rows.sparkSession.createDataFrame(starts, "__g long, __b int, __s long")
     out = apart.withColumn("__w", within).join(F.broadcast(offsets), ["__g", "__b"])
     return out.withColumn(name, F.col("__s") + F.col("__w")).select(*rows.columns, name)

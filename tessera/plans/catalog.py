@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +14,9 @@ from tessera.functions import pyudfs, scoring, text
 from tessera.operators import joins as J
 from tessera.operators import metrics as M
 from tessera.operators import selection as S
-from tessera.plans import evaluate as E
 from tessera.plans import pipelines as P
+from tessera.plans.lineage import scratch
+from tessera.sources import results as R
 from tessera.streaming import events as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,9 +101,13 @@ def rm_kn_grid(spark, d):
     return _rounded(M.expected_grid(X.attempts(spark, d), [1, 2, 5], [5, 10, 20, 40]), "accuracy", digits=5)
 
 
-@query()
+@query(
+    f"""{A}, r as (select item, score, passing, draw, row_number() over (partition by item, draw order by md5('42:' || draw || ':' || item || ':' || idx), idx) as o from attempts, (select unnest(range(1, 77)) as draw)),
+h as (select draw, item, max(row(case when score is null then 0 else 1 end, score, -o, passing))[4] as hit from r where o <= 10 group by draw, item), m as (select draw, avg(hit) as m from h group by draw)
+select round(avg(m) * 100, 6) as accuracy, round(stddev_pop(m) * 100, 6) as std from m"""
+)
 def rm_sampled(spark, d):
-    return M.sampled_best_of_n(X.attempts(spark, d), 10, 1, scoring.permutations_for(10, 40))
+    return _rounded(M.sampled_best_of_n(X.attempts(spark, d), 10, 1, scoring.permutations_for(10, 40)), "accuracy", "std")
 
 
 @query(f"{A}, r as (select item, passing, row_number() over (partition by item order by score desc nulls last, idx) as rk from attempts where passing_public = 1), i as (select distinct item from attempts), h as (select i.item, coalesce(max(case when rk <= 1 then passing else 0 end), 0) as hit from i left join r using (item) group by 1) select round(avg(hit) * 100, 6) as accuracy from h")
@@ -242,10 +248,20 @@ def grid_percentiles(spark, d):
     return _rounded(g.agg(F.percentile("v", F.lit(0.25)).alias("low"), F.percentile("v", F.lit(0.75)).alias("high")), "low", "high", digits=5)
 
 
-@query()
+@query(
+    """with t as (select conv_id as item, turn, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') as w from conversations),
+g as (select item, turn, n, array_to_string(w[i:i + n - 1], ' ') as g, count(*) as c from (select *, unnest(range(1, greatest(len(w) - n + 2, 1))) as i from t, (select unnest([1, 2, 3, 4]) as n)) group by all),
+p as (select a.item, a.turn as i, b.turn as j, len(a.w) as la, len(b.w) as lb, n from t a join t b on a.item = b.item and a.turn < b.turn, (select unnest([1, 2, 3, 4]) as n)),
+h as (select a.item, a.turn as i, b.turn as j, a.n, sum(least(a.c, b.c)) as hit from g a join g b on a.item = b.item and a.turn < b.turn and a.n = b.n and a.g = b.g group by all),
+l as (select p.item, p.i, p.j, any_value(la) as la, any_value(lb) as lb, min(coalesce(hit, 0) + cast(n > 1 as integer)) as least,
+  sum(case when coalesce(hit, 0) + cast(n > 1 as integer) > 0 then ln((coalesce(hit, 0) + cast(n > 1 as integer)) * 1e0 / (greatest(la - n + 1, 0) + cast(n > 1 as integer))) / 4 else 0 end) as s
+  from p left join h using (item, i, j, n) group by all),
+b as (select item, avg(case when la = 0 or lb = 0 or least = 0 then 0 else exp(least(0, 1 - lb * 1e0 / la) + s) end) as bleu from l group by item)
+select t.item, round(any_value(b.bleu), 9) as bleu from t left join b using (item) group by t.item"""
+)
 def pairwise_bleu(spark, d):
     lists = J.to_list(X.solutions(spark, d), "item", "idx", "code", "codes")
-    return lists.select("item", pyudfs.mean_pairwise_bleu_udf("codes").alias("bleu"))
+    return _rounded(lists.select("item", pyudfs.mean_pairwise_bleu_udf("codes").alias("bleu")), "bleu", digits=9)
 
 
 @query(f"{A}, r as (select *, cast(item % 3 as integer) as series, cast(idx // 10 as bigint) as step from attempts), v as (select series, step, item % 8 as run, avg(passing) as value from r group by 1, 2, 3) select series, step, round(avg(value), 6) as mean, round(stddev_pop(value), 6) as std, round(step * 1e2 / max(step) over (partition by series), 6) as percent from v group by series, step")
@@ -377,12 +393,18 @@ def union_parts(spark, d):
 
 
 @query(
-    """with k as (select o_orderkey, o_orderpriority, row_number() over (order by list_position(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED'], o_orderpriority), o_orderkey) - 1 as r from orders where o_orderpriority <> '5-LOW'),
-u as (select o_orderkey, o_orderpriority, row_number() over (order by o_orderkey) - 1 as r from orders where o_orderpriority = '5-LOW') select o_orderkey, o_orderpriority from k union all select o_orderkey, o_orderpriority from u"""
+    """with recursive k as (select o_orderkey, o_orderpriority, row_number() over (order by list_position(['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED'], o_orderpriority), o_orderkey) as r from orders where o_orderpriority <> '5-LOW'),
+u as (select o_orderkey, row_number() over (order by o_orderkey) - 1 as i from orders where o_orderpriority = '5-LOW'),
+n as (select (select count(*) from k) as known, (select count(*) from u) as unknown),
+grown as (select cast(0 as bigint) as i, coalesce((select list(o_orderkey order by r) from k), []) as rows
+  union all select g.i + 1, rows[1:g.i * ((known + g.i) // unknown)] || [u.o_orderkey] || rows[g.i * ((known + g.i) // unknown) + 1:] from grown g join u on u.i = g.i, n),
+last as (select arg_max(rows, i) as rows from grown)
+select o_orderkey, o_orderpriority, list_position(rows, o_orderkey) - 1 as position from orders, last"""
 )
 def curriculum_rows(spark, d):
     o = X.table(spark, d, "orders").select("o_orderkey", "o_orderpriority")
-    return S.curriculum(o, "o_orderpriority", ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"], "5-LOW", "o_orderkey").select("o_orderkey", "o_orderpriority")
+    out = S.curriculum(o, "o_orderpriority", ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"], "5-LOW", "o_orderkey")
+    return out.select("o_orderkey", "o_orderpriority", F.col("position").cast("long").alias("position"))
 
 
 # joins
@@ -394,6 +416,12 @@ def contamination_exact(spark, d):
     return J.shared_values(p.where("source < 'src5'"), p.where("source >= 'src5'"), "question").select(text.md5_hex("question").alias("question"))
 
 
+@query("select 'question' as \"column\", (select count(*) from (select text from documents where source < 'src5' intersect select text from documents where source >= 'src5')) as shared union all select 'difficulty', (select count(*) from (select lang from documents where source < 'src5' intersect select lang from documents where source >= 'src5'))")
+def contamination_table(spark, d):
+    p = X.problems(spark, d)
+    return P.contamination(p.where("source < 'src5'"), p.where("source >= 'src5'"), ["question", "difficulty"]).select("column", "shared")
+
+
 @query("select doc_id from documents d where exists (select 1 from benchmark b where contains(d.text, b.text))")
 def contamination_contains(spark, d):
     docs = X.table(spark, d, "documents")
@@ -561,9 +589,11 @@ def code_blocks(spark, d):
     return flat.select("conv_id", "turn", text.code_block(shown).alias("block"))
 
 
-@query("select url, regexp_extract(url, '/([0-9]+)', 1) as number, regexp_extract(url, '^https?://([^/]+)', 1) as host from pages")
+@query("select page_id, cast(page_id % 30 as integer) as checkpoint, cast(page_id % 8 as integer) as run, (page_id % 5) / 10e0 as temperature, case page_id % 2 when 0 then 'small' else 'large' end as generator, cast((page_id % 5) / 10e0 as varchar) as reward_model from pages")
 def path_columns(spark, d):
-    return X.table(spark, d, "pages").select("url", F.regexp_extract("url", r"/([0-9]+)", 1).alias("number"), F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("host"))
+    n = lambda k: F.expr(f"cast(page_id % {k} as string)")
+    name = F.concat(F.lit("/runs/run_"), n(8), F.lit("/checkpoint-"), n(30), F.lit("_of_"), F.when(F.col("page_id") % 2 == 0, "small").otherwise("large"), F.lit("_at_"), ((F.col("page_id") % 5) / 10).cast("string"), F.lit(".json.gz"))
+    return X.table(spark, d, "pages").select("page_id", *[c.alias(k) for k, c in R.run_columns(name).items()])
 
 
 @query("select doc_id, cast(length(text) - length(replace(text, chr(10), '')) + 1 as integer) as lines, case when text like '%the%' then 1 else 0 end as has_the from documents where length(text) >= 100 and lang = 'en'")
@@ -615,38 +645,30 @@ def sft_dataset(spark, d):
     return P.training_rows(p, "clip", clip=2).select("item", "idx", text.md5_hex("content").alias("content"))
 
 
-def _programs(spark, d):
-    n = F.col("item_id").cast("string")
-    code = F.concat(F.lit("x = "), n, F.lit("  # first\nif x > 3 and x < 90:\n\tprint(x + 1)\nelse:\n\tprint(x"), F.when(F.col("item_id") % 3 == 0, "").otherwise(")"), F.lit("\n"))
-    return X.table(spark, d, "benchmark").select(F.col("item_id").alias("item"), F.lit(1).alias("idx"), code.alias("code"), F.lit("").alias("starter_code"))
-
-
 @query("select item_id as item, item_id % 3 <> 0 as parses from benchmark")
 def parse_check(spark, d):
-    return _programs(spark, d).select("item", pyudfs.parses_udf("code").alias("parses"))
+    return X.programs(spark, d).select("item", pyudfs.parses_udf("code").alias("parses"))
 
 
 @query("select item_id as item, true as same from benchmark where item_id % 3 <> 0")
 def tree_match(spark, d):
-    p = _programs(spark, d).where("item % 3 <> 0")
+    p = X.programs(spark, d).where("item % 3 <> 0")
     return p.select("item", pyudfs.same_tree_udf("code", text.strip_comments("code")).alias("same"))
 
 
 @query()
 def mutated_programs(spark, d):
-    return _programs(spark, d).select("item", pyudfs.mutate_udf("code", F.col("item").cast("int")).alias("code"))
+    return X.programs(spark, d).select("item", pyudfs.mutate_udf("code", F.col("item").cast("int")).alias("code"))
 
 
-@query()
+_STEPPED = "x = ' || item || chr(10) || 'if x > 3 and x < 90:' || chr(10) || case when item % 3 = 0 then chr(9) else '    ' end || 'print(x + 1)' || chr(10) || 'else:' || chr(10) || case when item % 3 = 0 then chr(9) else '    ' end || 'print(x' || case when item % 3 = 0 then '' else ')' end || chr(10)"
+
+
+@query(f"with {X.PROGRAMS_SQL}, s as (select item, '# - first' || chr(10) || '{_STEPPED} as code from programs) select item, code from s where 1e0 / (length(replace(replace(replace(code, '# - first' || chr(10), ''), ' ', ''), chr(10), '')) + case when item % 3 = 0 then 0 else 2 end) <= 0.0243")
 def steps_cleaned(spark, d):
-    return P.steps_on_top(P.clean_steps(_programs(spark, d), 0.0, 1.0)).select("item", "code")
+    return P.steps_on_top(P.clean_steps(X.programs(spark, d), 0.01, 0.0243)).select("item", "code")
 
 
-@query()
-def evaluated(spark, d):
-    items = E.bind(X.table(spark, d, "benchmark").withColumn("t", F.col("item_id").cast("string")), "text", "t", "t", order="item_id")
-    done = E.score(E.evaluate(items, E.model_factory("base", "echo"), 4, public=True))
-    return done.select("item", "idx", "code", "passing", "passing_public", "orm_label")
 
 
 # extensions: windows over events
@@ -669,6 +691,63 @@ def ext_cube(spark, d):
     return _rounded(a.cube("g", "p").agg(F.avg("passing").alias("rate"), F.count("*").alias("n")), "rate")
 
 
+@query("select start, event_type, count(*) as n, round(sum(value), 4) as total from (select event_type, value, unnest([date_trunc('hour', ts), date_trunc('hour', ts) + interval 30 minutes * case when ts >= date_trunc('hour', ts) + interval 30 minutes then 1 else -1 end]) as start from events) group by 1, 2")
+def ext_sliding(spark, d):
+    return _rounded(V.tumbling(X.table(spark, d, "events"), "1 hour", slide="30 minutes", by=["event_type"]), "total", digits=4)
+
+
+@query(f"{A} select item % 3 as g, passing_public as p, count(*) as n, grouping(item % 3, passing_public) as level from attempts group by grouping sets ((1), (2), ())")
+def ext_grouping_sets(spark, d):
+    a = X.attempts(spark, d).select((F.col("item") % 3).alias("g"), F.col("passing_public").alias("p"))
+    return a.groupingSets([["g"], ["p"], []], "g", "p").agg(F.count("*").alias("n"), F.grouping_id("g", "p").alias("level"))
+
+
+@query("select event_type, true as near from events group by event_type")
+def ext_distinct_estimate(spark, d):
+    e = X.table(spark, d, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("a"), F.countDistinct("user_id").alias("n"))
+    return e.select("event_type", (F.abs(F.col("a") - F.col("n")) <= 0.1 * F.col("n")).alias("near"))
+
+
+@query(f"{A}, i as (select cast(item % 4 as integer) as checkpoint, item, count(*) as n, sum(passing) as c from attempts group by all), m as (select cast(item % 4 as integer) as checkpoint, idx, avg(passing) as m from attempts group by all) select checkpoint, items, round(p, 6) as pass_at_k, round(e, 6) as stderr from (select checkpoint, count(*) as items, avg(c / n) * 100 as p from i group by 1) join (select checkpoint, stddev_pop(m) / sqrt(count(*)) * 100 as e from m group by 1) using (checkpoint)")
+def checkpoint_sweep(spark, d):
+    a = X.attempts(spark, d)
+    name = F.concat(F.lit("out/checkpoint-"), F.expr("cast(item % 4 as string)"), F.lit("_m.json.gz"))
+    rows = a.withColumn("checkpoint", R.run_columns(name)["checkpoint"])
+    return _rounded(M.report(rows, 1, 20, ["checkpoint"]).select("checkpoint", "items", "pass_at_k", "stderr"), "pass_at_k", "stderr")
+
+
+def _streamed(spark, d, build, mode):
+    """What a stream over the event file has given when all of it is read; its batches go to Parquet."""
+    path = scratch(spark, "stream")
+
+    def keep(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={k}")
+
+    table = f"{d}/events.parquet"  # a folder of files, or one file in the folder of the tables
+    folder = R.exists(spark, f"{table}/*")
+    out = build(V.event_stream(spark, table if folder else d, glob="*.parquet" if folder else "events.parquet", schema=spark.read.parquet(table).schema))
+    run = out.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", scratch(spark, "progress")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(path)
+
+
+@query("select date_trunc('hour', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
+def ext_stream_windows(spark, d):
+    out = _streamed(spark, d, lambda e: V.tumbling(e, "1 hour", late="400 days", by=["event_type"]), "complete")
+    return _rounded(out.withColumn("start", F.col("start").cast("timestamp_ntz")), "total", digits=4)
+
+
+@query("select event_id, user_id from events")
+def ext_stream_distinct(spark, d):
+    return _streamed(spark, d, lambda e: V.distinct_events(e, late="400 days").select("event_id", "user_id"), "append").select("event_id", "user_id")
+
+
+@query("select user_id as item, count(*) as n, cast(sum(cast(event_type = 'purchase' as integer)) as bigint) as c from events group by 1")
+def ext_running_rate(spark, d):
+    rates = _streamed(spark, d, lambda e: V.running_pass_rate(e.select("user_id", (F.col("event_type") == "purchase").cast("int").alias("passing"))), "update")
+    return rates.groupBy("item").agg(F.max("n").alias("n"), F.max("c").alias("c"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

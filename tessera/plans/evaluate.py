@@ -6,15 +6,15 @@ below make results that depend on their input alone.
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import scoring, text
+from tessera.functions import pyudfs, scoring, text
 from tessera.operators import joins, selection
 from tessera.plans.lineage import checkpoint
 
@@ -25,7 +25,7 @@ Executor = Callable[[str, str], tuple[bool, str]]  # code and tests to (passing,
 
 @dataclass(frozen=True)
 class Model:
-    """A generator with how it wants its prompts and whether code continues the starter code."""
+    """A generator with how it wants its prompts (a key of PROMPTS) and whether code continues the starter code."""
 
     name: str
     generate: Generator
@@ -33,12 +33,16 @@ class Model:
     prompt: str = "docstring"
 
 
+def _digest(text: str) -> int:
+    return int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
+
+
 def echo_generator(prompts: list[str], attempts: list[int]) -> list[str]:
-    return [f"print({zlib.crc32(f'{p}:{a}'.encode()) % 10})" for p, a in zip(prompts, attempts, strict=True)]
+    return [f"print({_digest(f'{p}:{a}') % 10})" for p, a in zip(prompts, attempts, strict=True)]
 
 
-def length_scorer(contents: list[str]) -> list[tuple[float, float]]:
-    return [(1 - p, p) for p in ((zlib.crc32(c.encode()) % 1000) / 1000 for c in contents)]
+def hashed_scorer(contents: list[str]) -> list[tuple[float, float]]:
+    return [(1 - p, p) for p in (_digest(c) % 1000 / 1000 for c in contents)]
 
 
 def text_executor(code: str, tests: str) -> tuple[bool, str]:
@@ -47,8 +51,19 @@ def text_executor(code: str, tests: str) -> tuple[bool, str]:
     return (True, "") if digit and digit in (tests or "") else (False, "expected something but got another")
 
 
+SYSTEM = "You write Python programs. Answer with nothing but the program in a fenced block."
+#: How each kind words a prompt from a question and its starter code; a chat is sent as a JSON list of turns.
+PROMPTS: dict[str, Callable[[Column, Column], Column]] = {
+    "docstring": text.docstring_prompt,
+    "few-shot": text.few_shot_prompt,
+    "few-shot-cot": lambda q, c: text.few_shot_prompt(q, c, cot=True),
+    "chat": lambda q, c: F.to_json(text.few_shot_chat(text.INPUT_SHOTS, q, c, SYSTEM, function_shots=text.FUNCTION_SHOTS)),
+}
+
+
 def model_factory(kind: str, name: str, generate: Generator = echo_generator) -> Model:
-    kinds = {"base": ("docstring", True), "few-shot": ("few-shot", True), "few-shot-cot": ("few-shot-cot", True), "few-shot-chat": ("chat", False), "api-chat": ("chat", False), "evolver": ("evolve", True)}
+    """A model by kind. An evolver's first prompt is the plain one; `evolve` words the later ones."""
+    kinds = {"base": ("docstring", True), "few-shot": ("few-shot", True), "few-shot-cot": ("few-shot-cot", True), "few-shot-chat": ("chat", False), "api-chat": ("chat", False), "evolver": ("docstring", True)}
     if kind not in kinds:
         raise ValueError(f"unknown kind {kind!r}")
     prompt, prefix = kinds[kind]
@@ -66,8 +81,17 @@ def repeated_names(items: DataFrame) -> DataFrame:
 
 
 def generate(items: DataFrame, model: Model, limit: int, start: int | None = None, size: int | None = None) -> DataFrame:
-    """Attempts (item, idx, code) for the items of a slice; prompts are sent by Arrow batch."""
-    jobs = joins.completions_for(selection.row_slice(items, "row_idx", start, size).withColumn("asked", text.docstring_prompt("prompt", F.col("starter_code"))), limit)
+    """Attempts (item, idx, code) for the items of a slice; prompts, worded as the model wants them, are sent by Arrow batch."""
+    return _generated(asked(selection.row_slice(items, "row_idx", start, size), model), model, limit)
+
+
+def asked(items: DataFrame, model: Model) -> DataFrame:
+    """Items with the text that the model is sent, `asked`."""
+    return items.withColumn("asked", PROMPTS[model.prompt](F.col("prompt"), F.col("starter_code")))
+
+
+def _generated(worded: DataFrame, model: Model, limit: int) -> DataFrame:
+    jobs = joins.completions_for(worded, limit)
     make = model.generate
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,7 +137,7 @@ def redo(attempts: DataFrame, mode: str, execute_one: Executor = text_executor)
     return joins.merge_back(attempts, again, ["passing", "output"])
 
 
-def score(attempts: DataFrame, scorer: Scorer = length_scorer, prefix_starter: bool = True, strip_comments: bool = False) -> DataFrame:
+def score(attempts: DataFrame, scorer: Scorer = hashed_scorer, prefix_starter: bool = True, strip_comments: bool = False) -> DataFrame:
     """Reward columns for attempts (prompt, starter_code, code): both scores and the label (a tie counts as 1)."""
     code = F.concat("starter_code", "code") if prefix_starter else F.col("code")
     code = text.strip_comments(code) if strip_comments else code
@@ -128,21 +152,64 @@ def score(attempts: DataFrame, scorer: Scorer = length_scorer, prefix_starter: b
     return out.withColumn("orm_label", scoring.label_at_least("orm_0_score", "orm_1_score")).drop("__s", "__content")
 
 
-def evolve(items: DataFrame, model: Model, scorer: Scorer, rounds: int, strategy: str = "best", seed: int = 42) -> DataFrame:
-    """The best of `rounds` programs an item, each prompted with the best (or a random) one before it. A round is a
-    DataFrame stage; its lineage is cut by checkpoint() in the session's checkpoint folder."""
+def evolve(items: DataFrame, model: Model, scorer: Scorer, rounds: int, strategy: str = "best", seed: int = 42, candidates: int = 1) -> DataFrame:
+    """The best of `rounds` times `candidates` programs an item. A round's prompt is the item's own prompt followed by
+    the best (or a random) program before it and the mark of an evolution; a program is scored behind the item's own
+    prompt. Of equal scores the first counts. A round is a DataFrame stage; its lineage is cut by checkpoint() in the
+    session's checkpoint folder."""
     if strategy not in ("best", "random"):
         raise NotImplementedError(strategy)
-    base = items.select("item", "row_idx", "prompt", "starter_code", "tests", "public_tests", "difficulty")
+    base = asked(items.select("item", "row_idx", "prompt", "starter_code"), model).withColumnRenamed("asked", "own").select("item", "own")
     pool = None
+
+    @F.pandas_udf("double")
+    def positive(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield pd.Series([p for _, p in scorer(b.tolist())])
+
+    first = F.struct("orm_1_score", -F.col("round"), -F.col("idx"))
     for r in range(1, rounds + 1):
-        if pool is None:
-            asked = base
-        else:
-            order = F.struct("orm_1_score", -F.col("round")) if strategy == "best" else F.struct(selection.hash_order(f"{seed}:{r}", "item", "round"))
+        worded = base.withColumn("asked", F.col("own"))
+        if pool is not None:
+            order = first if strategy == "best" else F.struct(selection.hash_order(f"{seed}:{r}", "item", "round", "idx"))
             last = pool.groupBy("item").agg(F.max_by("code", order).alias("__b"))
-            asked = base.join(last, "item").withColumn("prompt", text.evolution_prompt(F.concat("prompt", F.lit("\n"), F.col("__b")))).drop("__b")
-        made = generate(asked, model, 1).select("item", "code").join(base, "item")
-        new = checkpoint(score(made, scorer).select("item", F.lit(r).alias("round"), "code", "orm_1_score"))
+            worded = base.join(last, "item").withColumn("asked", text.evolution_prompt(F.concat("own", "__b"))).drop("__b")
+        made = _generated(worded, model, candidates).join(base, "item")
+        new = checkpoint(made.select("item", F.lit(r).alias("round"), "idx", "code", positive(F.concat("own", "code")).alias("orm_1_score")))
         pool = new if pool is None else pool.unionByName(new)
-    return pool.groupBy("item").agg(F.max(F.struct("orm_1_score", (-F.col("round")).alias("o"), "code")).alias("b")).select("item", F.col("b.code").alias("code"), F.col("b.orm_1_score").alias("orm_1_score"))
+    return pool.groupBy("item").agg(F.max_by(F.struct("code", "orm_1_score"), first).alias("b")).select("item", "b.*")
+
+
+def augment(solutions: DataFrame, generate: Generator, retries: int = 3, turns: Callable[[Column], Column] = text.augment_turns, most: int | None = None) -> DataFrame:
+    """Commented code for solutions (item, idx, question, code): reasoning is what the generator answers if its syntax
+    tree is the code's own, else null. What failed is asked again `retries` times, and the last answer that matches
+    counts. `most`: only the first so many solutions of an item are asked about."""
+    rows = solutions if most is None else selection.prefix_per_item(solutions, most)
+    worded = checkpoint(rows.withColumn("asked", F.to_json(turns(text.docstring_prompt("question", F.col("code"))))))
+
+    @F.pandas_udf("string")
+    def answered(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for prompt, attempt in batches:
+            yield pd.Series(generate(prompt.tolist(), attempt.tolist()))
+
+    def tried(jobs: DataFrame) -> DataFrame:
+        return jobs.withColumn("out", answered("asked", "try")).withColumn("ok", pyudfs.same_tree_udf("code", "out"))
+
+    once = checkpoint(tried(worded.withColumn("try", F.lit(0))))
+    again = once.where("not ok").drop("try", "out", "ok").withColumn("try", F.explode(F.sequence(F.lit(1), F.lit(retries)))) if retries else None
+    late = tried(again).where("ok").groupBy("item", "idx").agg(F.max_by("out", "try").alias("late")) if retries else once.select("item", "idx", F.lit(None).cast("string").alias("late")).limit(0)
+    return once.join(late, ["item", "idx"], "left").withColumn("reasoning", F.when(F.col("ok"), F.col("out")).otherwise(F.col("late"))).drop("try", "out", "ok", "late", "asked")
+
+
+def rephrase(problems: DataFrame, generate: Generator, shots: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Problems (row_idx, question, solutions) with `rephrased`, one answer a solution to the rephrasing prompt."""
+    jobs = problems.select("row_idx", text.rephrase_prompt("question", shots).alias("asked"), F.explode(F.when(F.size("solutions") > 0, F.sequence(F.lit(1), F.size("solutions")))).alias("idx"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[["row_idx", "idx"]].assign(code=generate(b["asked"].tolist(), b["idx"].tolist()))
+
+    kind = problems.schema["row_idx"].dataType.simpleString()
+    made = jobs.mapInPandas(run, f"row_idx {kind}, idx int, code string")
+    listed = joins.to_list(made, "row_idx", "idx", "code", "rephrased")
+    return problems.join(listed, "row_idx", "left").withColumn("rephrased", F.coalesce("rephrased", F.array().cast("array<string>")))

@@ -32,6 +32,37 @@ def clean_problems(problems: DataFrame, min_tests: int = 10, max_tokens: int = 2
     return out.where(enough), out.where(~enough)
 
 
+def passing_solutions(items: DataFrame) -> DataFrame:
+    """Result items (unique_name, prompt, starter_code, difficulty, results) as problems with the list of their passing
+    programs; items without one drop out."""
+    codes = F.transform(F.filter("results", lambda r: F.coalesce(r["passing"], F.lit(False))), lambda r: r["code"])
+    rows = items.select(F.col("prompt").alias("question"), "difficulty", "unique_name", "starter_code", codes.alias("solutions"))
+    return rows.where(F.size("solutions") > 0)
+
+
+def step_counts(rows: DataFrame, steps: str = "reasoning_steps") -> DataFrame:
+    """Over all rows' lists: steps that are there, steps that are null, and rows with none that is there."""
+    there = F.size(F.filter(steps, lambda x: x.isNotNull()))
+    n = F.greatest(F.coalesce(F.size(steps), F.lit(0)), F.lit(0))
+    got = F.when(n > 0, there).otherwise(0)
+    return rows.agg(F.sum(got).cast("long").alias("passed"), F.sum(n - got).cast("long").alias("failed"), F.count_if(got == 0).alias("without"))
+
+
+def without_empty_lists(rows: DataFrame, column: str) -> DataFrame:
+    """Rows whose JSON list holds something."""
+    return rows.where(F.coalesce(F.json_array_length(column), F.lit(0)) > 0)
+
+
+def with_key(rows: DataFrame, column: str, key: str) -> DataFrame:
+    """Rows whose JSON object has the key, whatever its value."""
+    return rows.where(F.coalesce(F.array_contains(F.json_object_keys(column), key), F.lit(False)))
+
+
+def token_rows(prompts: DataFrame, length: Length, most: int) -> DataFrame:
+    """Prompts that a tokenizer counts as at most `most` tokens, with the count as `lengths`."""
+    return prompts.withColumn("lengths", length(F.col("prompt"))).where(F.col("lengths") <= most)
+
+
 def executing_solutions(solutions: DataFrame, run: Callable[[DataFrame], DataFrame], most: int, tries: int) -> DataFrame:
     """Solutions(item, idx, code) that pass, up to `most` of the first `tries`; items with none are left out."""
     return selection.first_successes(run(solutions.where(F.col("idx") <= tries)), most, tries)
@@ -126,13 +157,15 @@ def prompt_rows(problems: DataFrame, max_tokens: int, min_tests: int = 0, curric
 
 
 def mutated_rows(solutions: DataFrame, run: Callable[[DataFrame], DataFrame], tries: int = 10) -> DataFrame:
-    """Passing code (score 1) and, where one of `tries` mutations differs and fails, that one (score 0) with the step
-    that it hit."""
+    """Passing code (score 1) and, where one of `tries` mutations differs and fails and hits one of the code's commented
+    steps, that one (score 0) with the step's range of lines."""
     copies = solutions.withColumn("try", F.explode(F.sequence(F.lit(1), F.lit(tries)))).withColumn("mutated", pyudfs.mutate_udf("code", F.col("try")))
     tried = run(copies.where("mutated <> code").select("item", F.col("idx").alias("source"), "try", F.col("code").alias("original"), F.col("mutated").alias("code")).withColumn("idx", F.col("try")))
     failed = tried.where(~F.coalesce("passing", F.lit(False))).groupBy("item", "source").agg(F.min_by(F.struct("original", "code"), "try").alias("m"))
-    bad = failed.select("item", F.col("source").alias("idx"), F.col("m.code").alias("solution"), F.lit(0).alias("score"), text.reasoning_step_ranges(F.col("m.original")).alias("steps"), F.col("m.original").alias("original"))
-    good = solutions.select("item", "idx", F.col("code").alias("solution"), F.lit(1).alias("score"), F.lit(None).cast("array<struct<text:string,start:int,end:int>>").alias("steps"), F.lit(None).cast("string").alias("original"))
+    ranged = failed.select("item", F.col("source").alias("idx"), F.col("m.code").alias("solution"), F.col("m.original").alias("original"), text.reasoning_step_ranges(F.col("m.original")).alias("r"))
+    hit = pyudfs.changed_step_udf("original", "solution", F.transform("r", lambda x: x["start"]), F.transform("r", lambda x: x["end"]))
+    bad = ranged.withColumn("mutation_step", hit).where("mutation_step.start is not null").select("item", "idx", "solution", F.lit(0).alias("score"), "mutation_step", "original")
+    good = solutions.select("item", "idx", F.col("code").alias("solution"), F.lit(1).alias("score"), F.lit(None).cast("struct<start:int,end:int>").alias("mutation_step"), F.lit(None).cast("string").alias("original"))
     return good.unionByName(bad)
 
 
@@ -150,12 +183,13 @@ def test_bank(tests: DataFrame, column: str = "test") -> DataFrame:
     return tests.select(F.col(column).alias("test")).where("test is not null").distinct().withColumn("hash", text.md5_hex("test"))
 
 
+def harnessed_tests(problems: DataFrame, code: str = "code", inputs: str = "inputs") -> DataFrame:
+    """Problems with the program as a function and the test text that runs it on each input."""
+    return problems.withColumns({"program": text.stdin_harness(code), "test": text.stdin_runs(inputs)})
+
+
 def raw_benchmark_problems(rows: DataFrame) -> DataFrame:
-    """Raw benchmark rows (public and private tests as JSON lists, metadata) to one test spec: private after public
-    tests; a named function's inputs are JSON lines, decoded one by one."""
-    case = "array<struct<input:string,output:string>>"
-    both = F.concat(F.coalesce(F.from_json("public_test_cases", case), F.array().cast(case)), F.coalesce(F.from_json("private_test_cases", case), F.array().cast(case)))
-    name = F.get_json_object("metadata", "$.func_name")
-    inputs = F.transform(F.col("__t"), lambda t: F.when(name.isNotNull(), F.concat(F.lit("["), F.concat_ws(",", F.split(t["input"], "\n")), F.lit("]"))).otherwise(F.to_json(F.struct(t["input"].alias("v")))))
-    spec = F.struct(F.transform(F.col("__t"), lambda t: t["input"]).alias("inputs"), F.transform(F.col("__t"), lambda t: t["output"]).alias("outputs"), name.alias("fn_name"))
-    return rows.withColumn("__t", both).withColumn("input_list", inputs).withColumn("input_output", F.to_json(spec)).drop("__t")
+    """Raw benchmark rows (public tests as a JSON list, private ones as such or as a blob, metadata) to all tests, the
+    private ones first, and the public tests, as JSON specs."""
+    specs = pyudfs.benchmark_tests_udf("public_test_cases", "private_test_cases", "metadata")
+    return rows.withColumn("__s", specs).withColumns({"input_output": F.col("__s.tests"), "public_input_output": F.col("__s.public")}).drop("__s")

@@ -13,24 +13,39 @@ HEADER = "model string, max_tokens bigint, top_p double, temperature double, com
 DOCUMENT = f"{HEADER}, items array<struct<unique_name: string, prompt: string, starter_code: string, difficulty: string, results: array<struct<{re.sub(r'(\w+) (\w+)', r'\1: \2', ATTEMPT)}>>>>"
 
 
-def read_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Result documents (plain or gzip JSON, one a file or one a line) with an explicit schema: an absent key is
-    null. Files that are not JSON come as a row with null items, as do empty ones."""
-    return spark.read.schema(DOCUMENT).option("multiLine", True).option("mode", "PERMISSIVE").json(path).withColumn("file", F.input_file_name())
+def read_documents(spark: SparkSession, path: str | list[str], lines: bool = False) -> DataFrame:
+    """Result documents (plain or gzip JSON, one a file or, with `lines`, one a line) with an explicit schema: an absent
+    key is null. Files that are not JSON come as a row with null items, as do empty ones. Paths may be globs."""
+    return spark.read.schema(DOCUMENT).option("multiLine", not lines).option("mode", "PERMISSIVE").json(path).withColumn("file", F.input_file_name())
 
 
 def items_of(documents: DataFrame) -> DataFrame:
     return documents.select("file", F.posexplode("items").alias("row_idx", "i")).select("file", "row_idx", "i.*")
 
 
+def read_items(spark: SparkSession, path: str) -> DataFrame:
+    """Items that stand one a line."""
+    return spark.read.schema(ITEM).json(path).withColumn("file", F.input_file_name()).withColumn("row_idx", F.lit(None).cast("int"))
+
+
 def attempts_of(items: DataFrame) -> DataFrame:
     """One row an attempt, idx from 1."""
     a = items.select("file", F.col("unique_name").alias("item"), "row_idx", "difficulty", F.posexplode("results").alias("p", "r"))
     return a.select("file", "item", "row_idx", "difficulty", (F.col("p") + 1).alias("idx"), "r.*")
 
 
-def read_attempts(spark: SparkSession, path: str) -> DataFrame:
-    """Attempts from a JSON document (by suffix) or from a Parquet folder of items; other paths are an error."""
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether any Hadoop file system has the path, which may be a glob."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return found is not None and len(found) > 0
+
+
+def read_attempts(spark: SparkSession, path: str) -> DataFrame | None:
+    """Attempts from a JSON document (by suffix) or from a Parquet folder of items; None where there is nothing. A folder
+    without results is an error."""
+    if not exists(spark, path):
+        return None
     if re.search(r"\.json(\.gz)?/?$|\.json", path):
         return attempts_of(items_of(read_documents(spark, path)))
     items = spark.read.parquet(path)
@@ -53,17 +68,20 @@ def read_split(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 def resolve(spark: SparkSession, path: str, root: str) -> str:
     """The path itself if it is there, else the one under `root`. Any Hadoop file system will do."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return path if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) else f"{root.rstrip('/')}/{path}"
+    return path if exists(spark, path) else f"{root.rstrip('/')}/{path}"
 
 
 def read_test_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """(problem, test, input, output) from folders of test files: a file belongs to test i if its name starts with 'i.'
+    """(problem, test, input, output) of the test files below a folder, read whole, line ends as they are."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    return test_pairs(files.select("path", F.decode("content", "UTF-8").alias("body")))
+
+
+def test_pairs(files: DataFrame) -> DataFrame:
+    """(problem, test, input, output) from files (path, body) in folders named by problem: a file belongs to test i if its name starts with 'i.'
     or ends with '.i'; of the two, the one with an 'o' in its lower-cased name is the output. A test without
     exactly one of each is an error."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)  # whole files, line ends as they are
-    named = files.select(F.element_at(F.split("path", "/"), -2).alias("problem"), F.lower(F.element_at(F.split("path", "/"), -1)).alias("name"), F.decode("content", "UTF-8").alias("body"))
+    named = files.select(F.element_at(F.split("path", "/"), -2).alias("problem"), F.lower(F.element_at(F.split("path", "/"), -1)).alias("name"), "body")
     test = F.coalesce(F.nullif(F.regexp_extract("name", r"^(\d+)\.", 1), F.lit("")), F.nullif(F.regexp_extract("name", r"\.(\d+)$", 1), F.lit("")))
     kind = F.when(F.col("name").contains("o"), "output").when(F.col("name").contains("i"), "input")
     found = named.withColumn("test", test.cast("int")).where("test is not null").withColumn("kind", kind)
@@ -114,6 +132,35 @@ def write_items(items: DataFrame, path: str, fmt: str = "gzjson") -> None:
         raise ValueError(f"unknown format {fmt!r}")
 
 
+def documents(items: DataFrame, header: dict) -> DataFrame:
+    """Items as documents of one item each, every one with the whole header, so no list grows with the table."""
+    return items.select("*", *[F.lit(v).alias(k) for k, v in header.items()], F.array(F.struct(*items.columns)).alias("items"))
+
+
+def write_documents(items: DataFrame, header: dict, path: str, by: str = "difficulty") -> None:
+    """A folder for each value of a key, its items as documents, one a gzip JSON line, the header in each."""
+    docs = documents(items, header).select(F.col(by).alias("part"), F.to_json(F.struct(*header, "items")).alias("value"))
+    docs.write.mode("overwrite").option("compression", "gzip").partitionBy("part").text(path)
+
+
+def to_columnar(spark: SparkSession, source: str, target: str, lines: bool = False) -> None:
+    """Result documents as Parquet rows, one an item, header columns on each."""
+    docs = read_documents(spark, source, lines)
+    docs.select("file", *[c for c in docs.columns if c not in ("file", "items")], F.posexplode("items").alias("row_idx", "i")).select("*", "i.*").drop("i").write.mode("overwrite").parquet(target)
+
+
+def write_splits(splits: dict[str, DataFrame], path: str) -> None:
+    """Named splits of a data set under one path."""
+    for name, rows in splits.items():
+        rows.write.mode("overwrite").parquet(f"{path}/split={name}")
+
+
+def read_splits(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
+    """All splits, with the column `split`, or one of them without it."""
+    whole = spark.read.option("mergeSchema", True).parquet(path)
+    return whole if name is None else whole.where(F.col("split") == name).drop("split")
+
+
 def write_document(items: DataFrame, header: dict, path: str) -> None:
     """A single document with its header, for readers that want one; its items meet in one task."""
     head = [F.lit(v).alias(k) for k, v in header.items()]

@@ -12,12 +12,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 
-def event_stream(spark: SparkSession, path: str, files_at_once: int = 1, glob: str = "*.parquet") -> DataFrame:
+def event_stream(spark: SparkSession, path: str, files_at_once: int = 1, glob: str = "*.parquet", schema: StructType | None = None) -> DataFrame:
     """Event files as a stream; time zone free timestamps become timestamps, which watermarks need."""
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).option("pathGlobFilter", glob).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    return spark.readStream.schema(schema or spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_at_once).option("pathGlobFilter", glob).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def tumbling(events: DataFrame, size: str, late: str = "10 minutes", slide: str | None = None, by: list[str] | None = None) -> DataFrame:

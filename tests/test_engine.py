@@ -151,6 +151,17 @@ def test_curriculum(spark):
     assert [r.d for r in even if r.d != "U"] == ["EASY", "EASY", "HARD", "HARD"] and len(even) == 6
 
 
+@pytest.mark.parametrize("n", [0, 1, 17, 99, 200])
+def test_large_samples_are_those_of_the_limit(spark, monkeypatch, n):
+    rows = spark.createDataFrame([(i // 2, i % 2) for i in range(100)], "k long, label int")
+    want = sorted(tuple(r) for r in rows.orderBy(selection.hash_order(7, "k"), "k").limit(n - n % 2).collect())
+    monkeypatch.setattr(selection, "FEW_ROWS", -1)
+    assert sorted(tuple(r) for r in selection.hash_sample(rows, n - n % 2, 7, "k").collect()) == want
+    distinct = rows.groupBy("k").agg(F.expr("cast(k % 3 = 0 as int)").alias("label")) if n else rows.limit(0)
+    even = selection.balanced(distinct, "label", "k", 3)
+    assert even.where("label = 1").count() == even.where("label = 0").count() == (17 if n else 0)
+
+
 def test_merge_back_and_redo(spark):
     a = attempts(spark, {"a": [(0, 0, 0, 0), (0, 0, 0, 0)]}).withColumn("code", F.lit("same"))
     new = a.withColumn("passing", (F.col("idx") == 2).cast("int"))
@@ -263,7 +274,7 @@ def test_code_text(spark):
     yes, why = text.verdict("t")
     assert (one(spark, yes, t="Yes.\n\nbecause"), one(spark, why, t="Yes.\n\nbecause"), one(spark, yes, t="Yes")) == (True, "because", None)
     assert one(spark, text.rewritten_exit("t"), t="sys.exit(0)\nquit()") == "return\nreturn"
-    assert one(spark, text.stdin_harness("t"), t="from os import *\nprint(1)") == "from os import *\ndef __run_prog__():\n    \n    print(1)"
+    assert one(spark, text.stdin_harness("t"), t="from os import *\nprint(1)") == "import io\nimport sys\nfrom os import *\ndef __run_prog__():\n    \n    print(1)"
     assert one(spark, text.chat_template("t"), t=[{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]) in ("ab",)
     with pytest.raises(Exception, match="system"):
         one(spark, text.chat_template(F.array(F.struct(F.lit("system").alias("role"), F.lit("x").alias("content")))))
@@ -272,7 +283,7 @@ def test_code_text(spark):
 
 
 def test_python_functions():
-    assert pyudfs.bullets_on_top("# one.\n# two\ndef f():\n    # three\n    return 1") == "# - one, two\n#   - three\ndef f():\n    return 1"
+    assert pyudfs.bullets_on_top("# one.\n# two\ndef f():\n    # three\n    return 1") == "# - one, two\n#     - three\ndef f():\n    return 1"
     assert pyudfs.bullets_after_docstring('"""q"""\n# s\nx') == '"""q"""\n# - s\n\nx'
     assert pyudfs.spaces_for_tabs("if x:\n\ty") == "if x:\n    y" and pyudfs.spaces_for_tabs("if:\t", "") == "if:\t"
     assert pyudfs.equal_values([1, {"a": 2.00001}], [1, {"a": 2}]) and not pyudfs.equal_values(float("nan"), float("nan")) and not pyudfs.equal_values([1], [1, 2])
@@ -315,6 +326,7 @@ def test_documents_round_trip(spark, tmp_path):
     runs = results.read_runs(spark, str(tmp_path / "run_2"), "*.gz")
     assert runs.select("checkpoint", "run").first()[:] == (30, 2)
     assert results.resolve(spark, "nowhere", str(tmp_path)) == f"{tmp_path}/nowhere"
+    assert results.read_attempts(spark, str(tmp_path / "no.json.gz")) is None
     chunked = results.read_chunks(spark, str(tmp_path / "b"))
     assert chunked.count() == 4
     results.write_report(metrics.item_counts(got), str(tmp_path / "csv"))
@@ -345,12 +357,19 @@ def test_data_sets(spark):
     train = problems.withColumn("item", F.col("row_idx"))
     assert pipelines.training_rows(train, "all").count() == 4 and pipelines.training_rows(train, "random").count() == 3 and pipelines.training_rows(train, "high_loc").count() == 3
     assert pipelines.training_rows(train, "clip", 1, split_response=True).columns == ["item", "idx", "prompt", "response"]
-    raw = spark.createDataFrame([('[{"input": "1\\n2", "output": "3"}]', None, '{"func_name": "f"}')], "public_test_cases string, private_test_cases string, metadata string")
-    spec = pipelines.raw_benchmark_problems(raw).first()
-    assert json.loads(spec.input_output)["fn_name"] == "f" and spec.input_list == ["[1,2]"]
-    code = spark.createDataFrame([("i", 1, "x = 1 + 2\nprint(x)")], "item string, idx int, code string")
+    raw = spark.createDataFrame([('[{"input": "1\\n2", "output": "3"}]', None, '{"func_name": "f"}'), ('[{"input": "1", "output": "3"}]', '[{"input": "0", "output": "9"}]', None)], "public_test_cases string, private_test_cases string, metadata string")
+    specs = [(json.loads(r.input_output), json.loads(r.public_input_output)) for r in pipelines.raw_benchmark_problems(raw).collect()]
+    assert specs[0] == ({"inputs": [[1, 2]], "outputs": [3], "fn_name": "f"},) * 2
+    assert specs[1] == ({"inputs": ["0", "1"], "outputs": ["9", "3"]}, {"inputs": ["1"], "outputs": ["3"]})
+    code = spark.createDataFrame([("i", 1, "# add\nx = 1 + 2"), ("j", 1, "x = 1 + 2")], "item string, idx int, code string")
     out = pipelines.mutated_rows(code, lambda jobs: jobs.withColumn("passing", F.lit(False))).collect()
-    assert sorted(r.score for r in out) == [0, 1]
+    assert sorted((r.item, r.score) for r in out) == [("i", 0), ("i", 1), ("j", 1)]  # no step of j is hit
+    assert [tuple(r.mutation_step) for r in out if r.score == 0] == [(1, 1)]
+    short = spark.createDataFrame([(1, "pot"), (2, "a b"), (3, "x hello y"), (4, "hello"), (5, None)], "id int, t string")
+    listed = spark.createDataFrame([("o",), ("b",), ("x hell",), ("x hello y",), (None,)], "p string")
+    docs = spark.createDataFrame([(1, "zxx hello yy"), (2, "pot"), (2, "pot"), (3, "qqq"), (4, None), (5, "")], "id int, t string")
+    assert sorted(r.id for r in joins.contains_any(docs, listed, "t", "p").collect()) == [1, 2, 2]
+    assert joins.contains_any(docs, listed.limit(0), "t", "p").count() == 0 and short.count() == 5
 
 
 def test_evaluation(spark):
@@ -363,11 +382,13 @@ def test_evaluation(spark):
     again = evaluate.redo(done.select("item", "idx", "code", "starter_code", "tests", "passing", "output"), "failed", lambda c, t: (True, "now"))
     assert again.where("passing").count() == 18
     assert set(evaluate.score(done).columns) >= {"orm_0_score", "orm_1_score", "orm_label"}
-    best = evaluate.evolve(items, evaluate.model_factory("evolver", "e"), evaluate.length_scorer, 3)
+    best = evaluate.evolve(items, evaluate.model_factory("evolver", "e"), evaluate.hashed_scorer, 3)
     assert best.count() == 6
     for strategy, kind in (("other", NotImplementedError),):
         with pytest.raises(kind):
-            evaluate.evolve(items, evaluate.model_factory("evolver", "e"), evaluate.length_scorer, 1, strategy)
+            evaluate.evolve(items, evaluate.model_factory("evolver", "e"), evaluate.hashed_scorer, 1, strategy)
+    kinds = {k: evaluate.asked(items, evaluate.model_factory(k, "m")).first().asked for k in ("base", "few-shot", "few-shot-cot", "few-shot-chat", "api-chat", "evolver")}
+    assert len(set(kinds.values())) == 4 and kinds["base"] == kinds["evolver"] and kinds["few-shot-chat"] == kinds["api-chat"]
     broken = evaluate.execute(done.select("item", "idx", "code", "starter_code", "tests"), lambda c, t: 1 / 0).first()
     assert broken.passing is False and broken.output.startswith("Failed to execute program:")
     with pytest.raises(ValueError):
@@ -413,7 +434,7 @@ def test_query(spark, name):
         assert got
         return
     con = duckdb.connect()
-    for t in "customer orders events documents embeddings pages benchmark labels conversations".split():
+    for t in "region customer orders events documents embeddings pages benchmark labels conversations".split():
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.execute(catalog.SQL[name])
     names = [d[0] for d in want.description]
@@ -422,6 +443,37 @@ def test_query(spark, name):
     assert got == Counter(tuple(norm(r[i]) for i in at) for r in want.fetchall())
 
 
+def test_missing_verdicts_and_scores_give_no_figure(spark):
+    rows = spark.createDataFrame([("f", "a", 1, True, 0.5, -1.0, True), ("f", "a", 2, False, 0.9, -2.0, False), ("g", "a", 1, None, 0.1, -1.0, None), ("g", "b", 1, True, None, -1.0, True), ("h", "a", 1, True, None, -1.0, True)], "file string, item string, idx int, passing boolean, score double, cumulative_logprob double, passing_public boolean")
+    got = {r.file: r for r in metrics.report(rows, 1, 5, ["file"]).collect()}
+    assert (got["f"].pass_at_k, got["f"].rm, got["f"].rm_public, got["f"].ml, got["f"].public) == (50, 0, 100, 100, 100)
+    assert (got["g"].pass_at_k, got["g"].rm, got["g"].ml, got["g"].public, got["g"].pass_one) == (None,) * 5
+    assert (got["h"].pass_at_k, got["h"].rm, got["h"].ml, got["h"].public) == (100, None, 100, 100)
+    assert metrics.reranked_accuracy(rows.where("file = 'h'")).first()[0] is None and metrics.pass_at_k_mean(rows, 1).first()[0] is None
+    one = metrics.report(rows.where("file = 'f'"), 1, 5).first()
+    assert (one.rm, one.rm_public, one.items) == (0, 100, 1)
+
+
+def test_token_length_is_the_library_s(spark):
+    import public_tokenizers
+
+    length = pyudfs.token_length(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    texts = ["a plain text", "", None, "é 中文 <|endoftext|>"]
+    coder = pyudfs._coder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", length("t").alias("n")).collect()
+    assert [r.n for r in sorted(got)] == [None if t is None else len(coder.encode_ordinary(t)) for t in texts]
+
+
+def test_blobs_hold_no_code():
+    import base64
+    import pickle
+    import zlib
+
+    packed = lambda v: base64.b64encode(zlib.compress(pickle.dumps(v))).decode()
+    assert pyudfs.decoded_blob(packed("[1]")) == "[1]" and pyudfs.decoded_blob(pyudfs.encoded_blob("x")) == "x"
+    assert pyudfs.decoded_blob(packed(Path("x"))) is None and pyudfs.decoded_blob(packed(3)) is None
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 40
     assert set(entry.oracle_sql()) <= set(entry.queries())
