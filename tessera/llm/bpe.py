@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.hashing import buffers, runs
-from tessera.llm.session import ship, spread
+from tessera.llm.session import ship, spread, tidy
 
 # classes of characters
 CUT, MID, SPACE, BLANK, LETTER, NUMBER, OTHER, QUOTE1, QUOTE2 = range(9)
@@ -263,7 +263,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str
                     out.append(pa.array([bpe.ends(np.frombuffer(p, "<u4")).astype("<u4").tobytes() for p in packed], pa.binary()))
                 yield pa.RecordBatch.from_arrays(out, names)
 
-    return spread(part).mapInArrow(run, schema)
+    return spread(part).mapInArrow(tidy(run), schema)
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids", ends: str | None = "ends", to: str = "decoded") -> DataFrame:
@@ -287,4 +287,4 @@ def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids", ends: str | No
                             raise ValueError("the retained offsets do not belong to these ids")
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(out, pa.binary())], [*names, to])
 
-    return part.mapInArrow(run, schema)
+    return part.mapInArrow(tidy(run), schema)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import hashing
-from tessera.llm.session import ship, spread
+from tessera.llm.session import ship, spread, tidy
 
 SHINGLE = 5  # words
 SIMILARITY = 0.8
@@ -234,7 +234,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_: str = "doc_id", text: str
                         t, k, alike, first, end = zip(*found, strict=True)
                         yield pa.RecordBatch.from_arrays([pa.array([ids[a + x] for x in t], pa.int64()), pa.array(k, pa.int64()), pa.array(alike, pa.float64()), pa.array([f - int(at[x]) for f, x in zip(first, t, strict=True)], pa.int32()), pa.array([e - int(at[x]) for e, x in zip(end, t, strict=True)], pa.int32())], [id_, "item_id", "similarity", "first_byte", "end_byte"])
 
-        found = part.mapInArrow(run, schema)
+        found = part.mapInArrow(tidy(run), schema)
         out = found if len(indexes) == 1 else out.unionByName(found)
     return out
 
@@ -258,5 +258,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
                     clean[[a + t for t, *_ in known.matches(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])]] = False
                 yield batch.filter(pa.array(clean))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.mapInArrow(tidy(run), docs.schema)
     return out

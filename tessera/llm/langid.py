@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import hashing
-from tessera.llm.session import checkpoint, ship, spread
+from tessera.llm.session import checkpoint, ship, spread, tidy
 
 ORDER = 3  # longest context in bytes
 SAMPLE_PER_LANGUAGE = 400  # texts of a language that the statistics come from, at most; the documented bound
@@ -203,4 +203,4 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
                 named, score = decide(frozen, lengths, lettered)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(len(keep))), pa.array(named, pa.string()), pa.array(score, pa.float64())], names)
 
-    return part.mapInArrow(run, schema)
+    return part.mapInArrow(tidy(run), schema)

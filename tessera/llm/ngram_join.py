@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import hashing
 from tessera.llm.components import connected_components
-from tessera.llm.session import checkpoint, ship, shuffle_partitions, spread
+from tessera.llm.session import checkpoint, ship, shuffle_partitions, spread, tidy
 
 FREQUENT = 64  # a column in more sets than this comes late in the order; a column with more rows is chained
 SHARED = 4  # columns that two sets must share among their leading ones (all they need, if that is less)
@@ -72,7 +72,7 @@ def _prints(docs: DataFrame, id_: str, text: str, size: int) -> DataFrame:
             n, a, b = Sets(batch.column(1), size).prints()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(a), pa.array(b)], ["id", "n", "fa", "fb"])
 
-    return spread(docs.select(F.col(id_).cast("long").alias("id"), F.col(text).cast("string").alias("t"))).mapInArrow(run, "id long, n long, fa long, fb long")
+    return spread(docs.select(F.col(id_).cast("long").alias("id"), F.col(text).cast("string").alias("t"))).mapInArrow(tidy(run), "id long, n long, fa long, fb long")
 
 
 def _low_columns(docs: DataFrame, text: str, size: int, percent: int) -> DataFrame:
@@ -93,7 +93,7 @@ def _low_columns(docs: DataFrame, text: str, size: int, percent: int) -> DataFra
             if new:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(new).view(np.int64))], ["h"])
 
-    return spread(docs.select(F.col(text).cast("string").alias("t"))).mapInArrow(run, "h long")
+    return spread(docs.select(F.col(text).cast("string").alias("t"))).mapInArrow(tidy(run), "h long")
 
 
 def _late(low: DataFrame) -> np.ndarray:
@@ -132,7 +132,7 @@ def _columns(docs: DataFrame, text: str, size: int, percent: int, late: np.ndarr
             if hs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(places)), pa.array(np.concatenate(owners))], ["h", "place", "fa"])
 
-    return spread(docs.select(F.col(text).cast("string").alias("t"))).mapInArrow(run, "h long, place long, fa long")
+    return spread(docs.select(F.col(text).cast("string").alias("t"))).mapInArrow(tidy(run), "h long, place long, fa long")
 
 
 def _candidates(columns: DataFrame, percent: int) -> DataFrame:
@@ -194,7 +194,7 @@ def _candidates(columns: DataFrame, percent: int) -> DataFrame:
             yield pairs(*held)
 
     dealt = columns.repartition(shuffle_partitions(columns.sparkSession), "h").sortWithinPartitions("h", "place", "fa")
-    found = dealt.mapInArrow(run, "a long, b long, c int, sa int, sb int, need int")
+    found = dealt.mapInArrow(tidy(run), "a long, b long, c int, sa int, sb int, need int")
     shared = found.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("sa").alias("sa"), F.min("sb").alias("sb"), F.max("need").alias("need"))
     return shared.where((F.col("c") >= F.least("need", F.lit(SHARED))) & (F.col("c") + F.least("sa", "sb") >= F.col("need"))).select("a", "b")
 
@@ -272,7 +272,7 @@ def _links(rows: DataFrame, percent: int) -> DataFrame:
         yield from done()
 
     dealt = rows.repartition(shuffle_partitions(rows.sparkSession), "component", "i", "j").sortWithinPartitions("component", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(tidy(run), "a long, b long")
 
 
 def _chunked(members: DataFrame, percent: int) -> DataFrame:
@@ -337,7 +337,7 @@ def jaccard_components(docs: DataFrame, id_: str = "doc_id", text: str = "text",
         texts = texts.join(F.broadcast(members.select(F.col("rep").alias("id"))), "id", "left_semi")
     place = "struct<band:int,chunk:int,before:int,own:int,after:int>"
     wanted = members.select("component", F.col("rep").alias("id"), "place", "fa", "fb")
-    sets = wanted.join(texts, "id").select("component", "id", "place", "t", "fa", "fb").mapInArrow(shingles, f"component long, id long, place {place}, shingles binary")
+    sets = wanted.join(texts, "id").select("component", "id", "place", "t", "fa", "fb").mapInArrow(tidy(shingles), f"component long, id long, place {place}, shingles binary")
     links = _links(_blocks(sets.where("shingles is not null")), percent)
     groups = connected_components(links)
     least = checkpoint(groups.groupBy("component").agg(F.min("id").alias("component_id")))  # of linked sets alone

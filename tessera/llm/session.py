@@ -6,8 +6,10 @@ import ctypes
 import gc
 import os
 import tempfile
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -47,9 +49,22 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def tidy(run: Callable) -> Callable:
+    """A task's function over batches that gives its memory back when the task ends: the worker lives on, beside others."""
+
+    def tidied(batches: Iterable) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return tidied
+
+
 def trim() -> None:
     """Give memory that is free back to the system, where its C library can."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     library = ctypes.CDLL(None)
     if hasattr(library, "malloc_trim"):
         library.malloc_trim(0)

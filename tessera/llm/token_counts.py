@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import hashing
 from tessera.llm.bpe import codec, text_runs
-from tessera.llm.session import ship, spread
+from tessera.llm.session import ship, spread, tidy
 
 RULES = ("first", "last", "most")
 
@@ -100,4 +100,4 @@ def _counted(rows: DataFrame, vocabulary: str, rule: str, id_: str, n_fields: in
                 out += [pa.array(np.concatenate(x).astype(kind)) for x, kind in ((sections, np.int32), (firsts, np.int32), (lasts, np.int32), (counts, np.int64), (crossing, np.int64))]
                 yield pa.RecordBatch.from_arrays(out, names)
 
-    return part.mapInArrow(run, schema)
+    return part.mapInArrow(tidy(run), schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.session import ship, shuffle_partitions
+from tessera.llm.session import ship, shuffle_partitions, tidy
 
 QUERIES = 1 << 15  # rows of a block of queries, about
 ROWS = 1 << 18  # rows of a chunk of candidates, about; less where the cores would have nothing to do
@@ -181,6 +181,6 @@ def search(vectors: DataFrame, is_query: str, k: int = 5, id_: str = "vec_id", v
         if key is not None:
             yield from done()
 
-    found = cells.select("i", "j", "times", "id", "v").mapInArrow(run, f"query_id long, `{id_}` long, score long, beyond binary")
+    found = cells.select("i", "j", "times", "id", "v").mapInArrow(tidy(run), f"query_id long, `{id_}` long, score long, beyond binary")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), id_)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", id_, "score")

@@ -19,11 +19,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import hashing
-from tessera.llm.session import ship, spread, trim
+from tessera.llm.session import ship, spread, tidy
 
 SAMPLE_PER_LABEL = {1: 1200, 0: 3000}  # labelled texts that the model is fitted on, at most; the documented bound
 SAMPLE_BYTES = 48 << 20  # of those texts, in their hashed order, at most so many bytes a label (one text at least)
@@ -44,8 +45,8 @@ def features(word: str) -> list[str]:
     return out
 
 
-def marginals(score: np.ndarray, first: np.ndarray, transition: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
-    """Probability that each token is toxic, the log of the sum over taggings, and the expected transitions.
+def marginals(score: np.ndarray, first: np.ndarray, transition: np.ndarray, begin: np.ndarray, moves: bool = True) -> tuple[np.ndarray, float, np.ndarray | None]:
+    """Probability that each token is toxic, the log of the sum over taggings, and (with `moves`) the expected transitions.
 
     `score`: each token's log-potential of being toxic (of not being: 0); `first`: True where a text begins;
     `transition[i, j]` and `begin[j]`: log-potentials."""
@@ -97,6 +98,8 @@ def marginals(score: np.ndarray, first: np.ndarray, transition: np.ndarray, begi
     b = np.einsum("dijr,jr->dir", backward, beta)
     both = a * b
     flat = (both[:, 1] / both.sum(axis=1)).T.ravel()[:n]
+    if not moves:
+        return flat, log_sum, None
     before = a.transpose(2, 0, 1).reshape(-1, 2)[:n][:-1]
     after = b.transpose(2, 0, 1).reshape(-1, 2)[:n][1:]
     pair = before[:, :, None] * step[1:n] * after[:, None, :]
@@ -133,7 +136,7 @@ class Model:
         at = np.concatenate([[0], np.cumsum([len(w) for w in split])]).astype(np.int64)
         first = np.zeros(at[-1], bool)
         first[at[:-1][np.diff(at) > 0]] = True
-        return marginals(self.potentials([w for ws in split for w in ws]), first, self.transition, self.begin)[0], at
+        return marginals(self.potentials([w for ws in split for w in ws]), first, self.transition, self.begin, False)[0], at
 
     def score(self, marginal: np.ndarray, at: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(summary(marginal, at) @ self.curve, -50, 50)))
@@ -192,12 +195,14 @@ def fit(texts: list[str], toxic: list[int], rounds: int = ROUNDS) -> Model:
     tokens = np.concatenate(by_text)
     at = np.concatenate([[0], np.cumsum([len(w) for w in by_text])]).astype(np.int64)
     owner = np.repeat(np.arange(len(by_text)), np.diff(at))
-    names: dict[str, int] = {}
-    of = [np.array([names.setdefault(f, len(names)) for f in features(w)], np.int32) for w in words]
-    feature = np.concatenate(of)
-    word_of = np.repeat(np.arange(len(words), dtype=np.int32), [len(f) for f in of])
+    # features by hash: their texts would take most of the memory
+    per_word = np.fromiter((len(features(w)) for w in words), np.int64, len(words))
+    hashed, feature = np.unique(np.fromiter((xxhash.xxh64_intdigest(f) for w in words for f in features(w)), np.uint64, int(per_word.sum())), return_inverse=True)
+    feature = feature.astype(np.int32)
+    word_of = np.repeat(np.arange(len(words), dtype=np.int32), per_word)
+    of = np.split(feature, np.cumsum(per_word)[:-1])
     # document frequency of each feature among toxic and clean documents
-    a, b = np.zeros(len(names)), np.zeros(len(names))
+    a, b = np.zeros(len(hashed)), np.zeros(len(hashed))
     for k, ws in enumerate(by_text):
         if len(ws):
             (a if y[k] else b)[np.unique(np.concatenate([of[w] for w in np.unique(ws).tolist()]))] += 1
@@ -212,19 +217,20 @@ def fit(texts: list[str], toxic: list[int], rounds: int = ROUNDS) -> Model:
     used = np.cumsum(common) - 1
     of_word = common[feature]
     feature, word_of = used[feature[of_word]], word_of[of_word]
-    names = {f: int(used[k]) for f, k in names.items() if common[k]}
+    hashed = hashed[common]
+    del of
     # exact gradient of the conditional log-likelihood, with adaptive steps
     inner = ~first[1:]
     move = np.zeros((2, 2))
     np.add.at(move, (gold[:-1][inner].astype(int), gold[1:][inner].astype(int)), 1)
     start_gold = np.array([(~gold[first]).sum(), gold[first].sum()], float)
-    theta = np.concatenate([np.zeros(len(names)), [-4.0], np.zeros(6)])  # feature weights, bias, transitions, begins
+    theta = np.concatenate([np.zeros(len(hashed)), [-4.0], np.zeros(6)])  # feature weights, bias, transitions, begins
     square = np.zeros(len(theta))
     gold_words = np.bincount(tokens, weights=gold, minlength=len(words))
     cuts = np.unique(np.append(at[np.searchsorted(at, np.arange(0, at[-1], _TOKENS_AT_ONCE))], at[-1])).tolist()
 
     def parts(theta: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-        per_word = np.bincount(word_of, weights=theta[feature], minlength=len(words)) + theta[len(names)]
+        per_word = np.bincount(word_of, weights=theta[feature], minlength=len(words)) + theta[len(hashed)]
         for i, j in zip(cuts, cuts[1:], strict=False):
             p, _, moved = marginals(per_word[tokens[i:j]], first[i:j], theta[-6:-2].reshape(2, 2), theta[-2:])
             yield slice(i, j), p, moved
@@ -236,14 +242,13 @@ def fit(texts: list[str], toxic: list[int], rounds: int = ROUNDS) -> Model:
             moved += m
             started += [(1 - p[first[part]]).sum(), p[first[part]].sum()]
         gap = gold_words - expected
-        gradient = np.concatenate([np.bincount(feature, weights=gap[word_of], minlength=len(names)), [gap.sum()], (move - moved).ravel(), start_gold - started])
-        gradient -= np.concatenate([theta[: len(names)], np.zeros(1), theta[-6:]])
+        gradient = np.concatenate([np.bincount(feature, weights=gap[word_of], minlength=len(hashed)), [gap.sum()], (move - moved).ravel(), start_gold - started])
+        gradient -= np.concatenate([theta[: len(hashed)], np.zeros(1), theta[-6:]])
         square += gradient**2
         theta = theta + 0.7 * gradient / (np.sqrt(square) + 1e-6)
-    weights, bias, transition, begin = theta[: len(names)], float(theta[len(names)]), theta[-6:-2].reshape(2, 2), theta[-2:]
-    kept = np.flatnonzero(np.abs(weights) > 0.02)
-    listed = list(names)
-    model = Model({listed[k]: float(weights[k]) for k in kept}, bias, transition, begin, flat_curve)
+    weights, bias, transition, begin = theta[: len(hashed)], float(theta[len(hashed)]), theta[-6:-2].reshape(2, 2), theta[-2:]
+    telling = dict(zip(hashed[np.abs(weights) > 0.02].tolist(), weights[np.abs(weights) > 0.02].tolist(), strict=True))
+    model = Model({f: telling[h] for w in words for f in features(w) if (h := xxhash.xxh64_intdigest(f)) in telling}, bias, transition, begin, flat_curve)
     x = summary(np.concatenate([p for _, p, _ in parts(theta)]), at)
     curve = prior = np.array([0, 0.5, 0.5, 0, 0])
     for _ in range(100):  # Newton steps, none longer than one, with a penalty that keeps the curve finite
@@ -284,11 +289,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
                 taken.append((t, y))
                 size[y] += len(t)
         model = pickle.dumps(fit([t for t, _ in taken], [y for _, y in taken]))
-        del held, taken
-        trim()  # the worker goes on to other tasks
         yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
-    return pickle.loads(sample.repartition(1).mapInArrow(run, "model binary").first()["model"])
+    return pickle.loads(sample.repartition(1).mapInArrow(tidy(run), "model binary").first()["model"])
 
 
 def word_spans(text: str) -> list[tuple[int, int]]:
@@ -332,4 +335,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
                 out = [pa.array(value), pa.array((value >= threshold).astype(np.int32)), pa.array(marked, span_type)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(len(keep))), *out], names)
 
-    return part.mapInArrow(run, schema)
+    return part.mapInArrow(tidy(run), schema)
