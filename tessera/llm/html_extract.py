@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.session import ship, spread
+from tessera.llm.session import ship, spread, tidy
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -35,13 +35,14 @@ NO_CONTENT = re.compile(
     r"|comments?|commentlist|respond|replies|reply|disqus|widget|skip|hidden)",
     re.I,
 )
-BESIDE = frozenset("site page main global top bottom left right upper lower primary secondary first second third mobile desktop list lists item items link links bar box area section form block container wrapper wrap inner button buttons icon icons post posts article articles story stories content media text slot unit policy message toggle body to".split())  # with a listed word they name no content; with, no, has, overflow and so on turn its meaning
+BESIDE = frozenset("site page main global top bottom left right upper lower primary secondary first second third mobile desktop list lists item items link links bar box area section form block container wrapper wrap inner button buttons icon icons post posts article articles story stories content media text slot unit policy message toggle body to reader readers user users visitor visitors guest guests latest recent popular sticky fixed floating inline privacy".split())  # with a listed word they name no content; with, no, has, overflow and so on turn its meaning
 HEADS, OF_ARTICLES = frozenset("header masthead".split()), frozenset("article post story content".split())
 UNWRAPPED = frozenset("form nav header footer aside menu dialog".split())  # of DROPPED: may hold the article of a badly made page
 WEAK = re.compile(r"(?:related|recommended|widget|side|foot|toolbar|skip)", re.I)  # inside an article these drop a node only if it is mostly links
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 _TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</[^a-zA-Z][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 
 
@@ -57,7 +58,7 @@ class Node:
 def _no_content(value: str, article: bool) -> str:
     """The listed words of the class or id that is, as a whole, a listed word, or listed words with words beside them
     ('site-nav'); none: ''. What heads an article is its title."""
-    for token in value.lower().split():
+    for token in _HUMP.sub("-", value).lower().split():
         words = [w for w in re.split(r"[_-]+", token) if w]
         listed = [w for w in words if NO_CONTENT.fullmatch(w)]
         if listed and all(w in BESIDE or w.isdigit() or NO_CONTENT.fullmatch(w) for w in words) and not (HEADS.issuperset(listed) and (article or not OF_ARTICLES.isdisjoint(words))):
@@ -350,4 +351,4 @@ def extract(pages: DataFrame, html_: str = "html", keep: tuple[str, ...] = ("pag
                 texts = [main_text(p) for p in piece.column(len(keep)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(piece.column(k) for k in range(len(keep))), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names)
 
-    return part.mapInArrow(run, schema)
+    return part.mapInArrow(tidy(run), schema)
