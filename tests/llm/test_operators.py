@@ -540,6 +540,8 @@ def test_html_parts_lists_and_references():
     inside = html_extract.main_text(f"<article><p>{words(60, 'one')}</p><div class='notice-board'>{words(80, 'two')}</div><p class='related'>{words(60, 'three')}</p><div class=related><a href=1>{words(10, 'four')}</a> x</div><div class=ad>{words(9, 'five')}</div></article>")
     assert inside == "\n\n".join([words(60, "one"), words(80, "two"), words(60, "three")])
     assert html_extract.main_text("<p>a &<b>lt;</b> b</p>") == "a &lt; b"
+    for name in ("reader-comments", "userComments", "sticky-header", "siteNav", "cookie-notice"):
+        assert html_extract.main_text(f"<body><article><p>{words(60, 'one')}</p></article><div class='{name}'><p>{words(50, 'two')}</p></div></body>") == words(60, "one")
     assert html_extract.main_text("<article><pre>a\n  b</pre><table><tr><td>x<table><tr><td>y</td></tr></table></td></tr></table></article>") == "a b\n\nx\n\ny"
 
 
