@@ -140,6 +140,27 @@ def decoded_blob(blob: str | None) -> str | None:
         return None
 
 
+ALIKE = """def __alike__(a, b):
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(__alike__, a, b))
+    if isinstance(a, (int, float)) and isinstance(b, (int, float)):
+        return a == b or abs(a - b) < 1e-4
+    return a == b
+"""
+
+
+def named_asserts(code: str | None, spec: str | None) -> str | None:
+    """One assertion a case of a named function's tests, values written as Python's; methods of a class Solution are
+    called on a new object. `fn_name` is one name or one a case."""
+    if code is None or spec is None:
+        return None
+    tests = json.loads(spec)
+    names, cases = tests["fn_name"], list(zip(tests["inputs"], tests["outputs"], strict=True))
+    names = [names] * len(cases) if isinstance(names, str) else names
+    owner = "Solution()." if "class Solution:" in code else ""
+    return ALIKE + "".join(f"assert __alike__({owner}{name}({', '.join(map(repr, given))}), {wanted!r})\n" for name, (given, wanted) in zip(names, cases, strict=True))
+
+
 def encoded_blob(text: str | None) -> str | None:
     """The pickled text in zlib in base64."""
     return None if text is None else base64.b64encode(zlib.compress(pickle.dumps(text))).decode()
@@ -269,7 +290,7 @@ def _udf(function, returns: T.DataType):
         return pd.Series([function(*(None if v is None or v is pd.NA else v for v in row)) for row in zip(*columns, strict=True)], dtype="object")
 
     types = {1: lambda a: run(a), 2: lambda a, b: run(a, b), 3: lambda a, b, c: run(a, b, c)}
-    n = {"same_tree": 2, "spaces_for_tabs": 2, "equal_json": 2, "mutate": 2, "changed_step": 3}.get(function.__name__, 1)
+    n = {"same_tree": 2, "spaces_for_tabs": 2, "equal_json": 2, "mutate": 2, "changed_step": 3, "named_asserts": 2}.get(function.__name__, 1)
     f = types[n]
     f.__annotations__ = dict.fromkeys("abc"[:n], pd.Series) | {"return": pd.Series}
     return F.pandas_udf(f, returns)
@@ -317,6 +338,7 @@ bullets_after_docstring_udf = _udf(bullets_after_docstring, T.StringType())
 equal_json_udf = _udf(equal_json, T.BooleanType())
 patched_tests_udf = _udf(patched_tests, T.StringType())
 decoded_blob_udf = _udf(decoded_blob, T.StringType())
+named_asserts_udf = _udf(named_asserts, T.StringType())
 encoded_blob_udf = _udf(encoded_blob, T.StringType())
 mutate_udf = _udf(mutate, T.StringType())
 mean_pairwise_bleu_udf = _udf(mean_pairwise_bleu, T.DoubleType())

@@ -94,12 +94,14 @@ def reranked_curve(attempts: DataFrame, most: int, score: str | Column = "score"
 
 
 def expected_best_of_n(attempts: DataFrame, sizes: list[int], score: str | Column = "score") -> DataFrame:
-    """Expected accuracy of the best of n attempts drawn without replacement, exactly, for each n."""
+    """Expected accuracy of the best of n attempts drawn without replacement, exactly, for each n, and its deviation
+    from one drawing of all items to the next."""
     whole = ranked(attempts, score).withColumn("size", F.count("*").over(Window.partitionBy("item")))
     passing = whole.where(_hit() == 1).withColumn("n", F.explode(F.array(*map(F.lit, sizes)))).where("n <= size")
     items = attempts.groupBy("item").agg(F.count("*").alias("size")).withColumn("n", F.explode(F.array(*map(F.lit, sizes)))).where("n <= size")
     chances = passing.groupBy("item", "n").agg(F.sum(draw_weight("rk", "size", "n")).alias("p"))
-    return items.join(chances, ["item", "n"], "left").groupBy("n").agg((F.avg(F.coalesce("p", F.lit(0.0))) * 100).alias("accuracy"))
+    return items.join(chances, ["item", "n"], "left").withColumn("p", F.coalesce("p", F.lit(0.0))).groupBy("n").agg(
+        (F.avg("p") * 100).alias("accuracy"), (F.sqrt(F.sum(F.greatest(F.col("p") * (1 - F.col("p")), F.lit(0.0)))) / F.count("*") * 100).alias("std"))
 
 
 def expected_grid(attempts: DataFrame, ks: list[int], sizes: list[int], score: str | Column = "score") -> DataFrame:

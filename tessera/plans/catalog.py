@@ -86,9 +86,9 @@ def _lchoose(n: str, k: str) -> str:
     return _LCHOOSE.format(n=n, k=k)
 
 
-@query(f"{_RANKED}, p as (select item, n, sum(case when passing = 1 and size - rk >= n - 1 then exp({_lchoose('(size - rk)', '(n - 1)')} - {_lchoose('size', 'n')}) else 0 end) as p from r, (select unnest(range(1, 41)) as n) group by item, n) select cast(n as integer) as n, round(avg(p) * 100, 5) as accuracy from p group by n")
+@query(f"{_RANKED}, p as (select item, n, sum(case when passing = 1 and size - rk >= n - 1 then exp({_lchoose('(size - rk)', '(n - 1)')} - {_lchoose('size', 'n')}) else 0 end) as p from r, (select unnest(range(1, 41)) as n) group by item, n) select cast(n as integer) as n, round(avg(p) * 100, 5) as accuracy, round(sqrt(sum(greatest(p * (1 - p), 0))) / count(*) * 100, 5) as std from p group by n")
 def rm_at_n_expected(spark, d):
-    return _rounded(M.expected_best_of_n(X.attempts(spark, d), list(range(1, 41))), "accuracy", digits=5)
+    return _rounded(M.expected_best_of_n(X.attempts(spark, d), list(range(1, 41))), "accuracy", "std", digits=5)
 
 
 @query(

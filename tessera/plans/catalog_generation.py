@@ -177,6 +177,22 @@ def json_and_steps(spark, d):
     return b.select("item_id", pyudfs.equal_json_udf(left, right).alias("same"), before.alias("before"), after.alias("after")).select("item_id", "same", step["start"].alias("start"))
 
 
+@query("select item_id as item, item_id % 3 <> 0 as parses, item_id % 3 <> 0 as differs, true as keeps from benchmark")
+def mutation_properties(spark, d):
+    """What holds of any mutation: it parses and differs where the program parses, and what is beside the change stays."""
+    m = X.programs(spark, d).withColumn("mutated", pyudfs.mutate_udf("code", F.col("item").cast("int")))
+    return m.select("item", pyudfs.parses_udf("mutated").alias("parses"), (F.col("mutated") != F.col("code")).alias("differs"), F.col("mutated").contains("# first").alias("keeps"))
+
+
+@query("select item_id as item, score, case when score = 0 then 1 end as start, case when score = 0 then 1 end as end from benchmark, (select unnest([0, 1]) as score) where score = 1 or item_id % 2 = 0")
+def mutated_dataset(spark, d):
+    n = F.col("item_id").cast("string")
+    code = F.concat(F.when(F.col("item_id") % 2 == 0, "# add\n").otherwise(""), F.lit("x = y + "), n)
+    rows = X.table(spark, d, "benchmark").select(F.col("item_id").alias("item"), F.lit(1).alias("idx"), code.alias("code"))
+    out = P.mutated_rows(rows, lambda jobs: jobs.withColumn("passing", F.lit(False)))
+    return out.select("item", "score", "mutation_step.start", "mutation_step.end")
+
+
 # scores
 
 
@@ -246,6 +262,30 @@ def redone(spark, d):
     return again.select("item", "idx", "code", "passing")
 
 
+def tracing(program: str, test: str) -> tuple[bool, str]:
+    """Stands in for a sandbox: takes the digit that the program prints, runs nothing."""
+    digit = program.rsplit("print(", 1)[1][:1]
+    if digit == "9":
+        return False, "boom"
+    if test.startswith("__inputs__"):
+        return True, f"{digit}\n{text.END_MARK}\n" * len(json.loads(test.split("\n", 1)[0].split(" = ", 1)[1]))
+    return True, text.END_MARK if digit > "4" else ""
+
+
+_SPECS = f"""{_MADE}, k as (select *, case cast(item as bigint) % 3 when 0 then 'stdin' when 1 then 'named' else 'script' end as kind, substr(code, 7, 1) as g from made),
+o as (select *, case when g = '9' then 'errored with ' || chr(39) || 'boom' || chr(39) || chr(10) when kind <> 'stdin' then case when g > '4' then '' else 'missing ___SENTINEL___ in output' end
+  when cast(item as bigint) % 2 = 0 then 'expected 1 outputs but got 2' || chr(10) when g <> '3' then '[0] expected ' || chr(39) || '3' || chr(39) || ' but got ' || chr(39) || g || chr(10) || chr(39) || chr(10) else '[1] expected ' || chr(39) || 'x' || chr(39) || ' but got ' || chr(39) || '3' || chr(10) || chr(39) || chr(10) end as output from k)"""
+
+
+@query(f"with {_SPECS} select item, idx, kind, output = '' as passing, output from o")
+def executed_specs(spark, d):
+    n = F.col("item_id") % 3
+    spec = F.when(n == 0, F.when(F.col("item_id") % 2 == 0, '{"inputs": ["a", "b"], "outputs": ["3"]}').otherwise('{"inputs": ["a", "b"], "outputs": ["3", "x"]}')).when(n == 1, '{"inputs": [[1, [2]]], "outputs": [true], "fn_name": "f"}').otherwise("assert True")
+    items = E.bind(X.table(spark, d, "benchmark").withColumn("t", spec), "text", "t", order="item_id")
+    made = E.generate(items, E.model_factory("base", "echo"), 4).join(items.select("item", "starter_code", "tests"), "item")
+    return E.execute_specs(made, tracing).select("item", "idx", "kind", "passing", "output")
+
+
 _OWN = _doc("text")
 
 

@@ -123,6 +123,47 @@ def execute(attempts: DataFrame, execute_one: Executor = text_executor, prefix_s
     return keyed.join(verdicts, "__k").drop("__k", "__p")
 
 
+def runnable(attempts: DataFrame, code: str = "code", tests: str = "tests") -> DataFrame:
+    """Attempts with what a sandbox is given, by the form of their tests: `kind`, `program`, `test`, and `expected`
+    outputs. A JSON spec with a function's name is asserted case by case; one without runs the program once for each
+    input; any other text is a script that follows the program. All print an end mark."""
+    spec = F.when(F.trim(tests).startswith("{"), F.col(tests))
+    inputs, outputs = (F.from_json(F.get_json_object(spec, f"$.{x}"), "array<string>") for x in ("inputs", "outputs"))
+    kind = F.when(F.get_json_object(spec, "$.fn_name").isNotNull(), "named").when(F.get_json_object(spec, "$.inputs").isNotNull(), "stdin").otherwise("script")
+    marked = attempts.withColumn("kind", kind).withColumn("expected", F.when(F.col("kind") == "stdin", outputs))
+    end = F.lit(f"print('{text.END_MARK}')\n")
+    named = pyudfs.named_asserts_udf(F.when(F.col("kind") == "named", F.col(code)), F.when(F.col("kind") == "named", F.col(tests)))
+    test = F.when(F.col("kind") == "stdin", text.stdin_runs(inputs)).when(F.col("kind") == "named", F.concat(named, end)).otherwise(F.concat(F.coalesce(tests, F.lit("")), F.lit("\n"), end))
+    program = F.when(F.col("kind") == "stdin", text.stdin_harness(code)).otherwise(F.concat(F.lit(text.PRELUDE), code))
+    return marked.withColumns({"program": program, "test": test})
+
+
+def judged(runs: DataFrame, ran: str = "ran", printed: str = "printed", passing: str = "passing", output: str = "output") -> DataFrame:
+    """Verdicts for runs (kind, expected, ran, printed): a program that broke off fails with what it printed; outputs are
+    compared one by one, the first that differs is named; scripts and assertions must have reached the end mark."""
+    got = text.run_outputs(printed)
+    pairs = F.zip_with(got, "expected", lambda a, e: F.struct(a.alias("a"), e.alias("e"), text.same_output(a, e).alias("same")))
+    wrong = (F.array_position(F.transform(pairs, lambda p: p["same"]), False) - 1).cast("int")
+    shown = F.get(pairs, wrong)
+    quoted = lambda c: F.concat(F.lit("'"), c, F.lit("'"))
+    said = (
+        F.when(~F.col(ran), F.concat(F.lit("errored with "), quoted(F.col(printed)), F.lit("\n")))
+        .when((F.col("kind") != "stdin") & ~F.col(printed).contains(text.END_MARK), f"missing {text.END_MARK} in output")
+        .when((F.col("kind") == "stdin") & (F.size(got) != F.size("expected")), F.concat(F.lit("expected "), F.size("expected").cast("string"), F.lit(" outputs but got "), F.size(got).cast("string"), F.lit("\n")))
+        .when((F.col("kind") == "stdin") & (wrong >= 0), F.concat(F.lit("["), wrong.cast("string"), F.lit("] expected "), quoted(shown["e"]), F.lit(" but got "), quoted(shown["a"]), F.lit("\n")))
+        .otherwise("")
+    )
+    return runs.withColumn(output, said).withColumn(passing, F.col(output) == "")
+
+
+def execute_specs(attempts: DataFrame, sandbox: Executor, code: str = "code", tests: str = "tests") -> DataFrame:
+    """Verdicts by a sandbox that takes a program and its test and gives (ran, printed). Equal pairs run once."""
+    made = runnable(attempts, code, tests)
+    done = execute(made.withColumn("__code", F.col("program")).withColumn("__none", F.lit("")).drop("passing", "output").withColumnsRenamed({code: "__own", "starter_code": "__starter"} if "starter_code" in made.columns else {code: "__own"}).withColumnRenamed("__code", "code"), sandbox, False, "test", "ran", "printed")
+    back = done.drop("code", "__none").withColumnsRenamed({"__own": code, "__starter": "starter_code"})
+    return judged(back).drop("program", "test", "expected", "ran", "printed")
+
+
 def evaluate(items: DataFrame, model: Model, limit: int, execute_one: Executor = text_executor, public: bool = False, start: int | None = None, size: int | None = None) -> DataFrame:
     """Generate, then execute on the tests and, if asked, on the public tests."""
     made = generate(items, model, limit, start, size).join(items.select("item", "row_idx", "prompt", "starter_code", "tests", "public_tests", "difficulty"), "item")

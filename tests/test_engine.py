@@ -464,6 +464,26 @@ def test_token_length_is_the_library_s(spark):
     assert [r.n for r in sorted(got)] == [None if t is None else len(coder.encode_ordinary(t)) for t in texts]
 
 
+def test_runnable_tests_by_form(spark):
+    rows = [(1, "print(input())", '{"inputs": ["a\\n"], "outputs": ["a"]}'), (2, "class Solution:\n    def f(self, x): return x", '{"inputs": [[[1, "q"]]], "outputs": [[1, "q"]], "fn_name": "f"}'), (3, "x = 1", "assert x == 1")]
+    made = {r.i: r for r in evaluate.runnable(spark.createDataFrame(rows, "i int, code string, tests string")).collect()}
+    for i, outputs in ((1, ["a\n"]), (2, []), (3, [])):  # the texts of these three rows are ours and harmless
+        import contextlib
+        import io
+        import sys
+
+        out, own = io.StringIO(), sys.stdin
+        try:
+            with contextlib.redirect_stdout(out):
+                exec(made[i].program + "\n" + made[i].test, {})
+        finally:
+            sys.stdin = own
+        assert text.END_MARK in out.getvalue() and out.getvalue().split(text.END_MARK)[:-1] == (outputs or [""])
+    assert [made[i].kind for i in (1, 2, 3)] == ["stdin", "named", "script"] and made[1].expected == ["a"]
+    runs = spark.createDataFrame([("stdin", ["a"], True, "a\n___SENTINEL___\n"), ("stdin", ["a"], True, "b\n___SENTINEL___\n"), ("stdin", ["a", "b"], True, "a\n___SENTINEL___\n"), ("stdin", ["a"], False, "x"), ("script", None, True, "___SENTINEL___"), ("named", None, True, "")], "kind string, expected array<string>, ran boolean, printed string")
+    assert [r.passing for r in evaluate.judged(runs).collect()] == [True, False, False, False, True, False]
+
+
 def test_blobs_hold_no_code():
     import base64
     import pickle
