@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.hashing import buffers, runs
+from tessera.llm.hashing import CHUNK_BYTES, buffers, runs
 from tessera.llm.session import ship, spread, tidy
 
 # classes of characters
@@ -27,7 +27,7 @@ CUT, MID, SPACE, BLANK, LETTER, NUMBER, OTHER, QUOTE1, QUOTE2 = range(9)
 # states: what the token that holds the previous character is
 START, RUN, PREFIX, IN_LETTERS, IN_NUMBERS, IN_OTHER, ONE_MORE, TWO_MORE, CLOSED = range(9)
 
-CACHE = 1 << 18  # pieces kept by a worker
+CACHE = 1 << 17  # pieces kept by a worker
 WHITE_SPACE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]  # fixed: Unicode White_Space
 
 
@@ -233,9 +233,9 @@ def codec(path: str) -> Codec:
 
 
 def text_runs(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
-    """(first row, texts) of runs of about a megabyte; a null is an empty text."""
+    """(first row, texts) of runs of about half a megabyte; a null is an empty text."""
     _, offsets = buffers(column)
-    for a, b in runs(offsets):
+    for a, b in runs(offsets, CHUNK_BYTES // 2):
         yield a, ["" if t is None else t for t in column.slice(a, b - a).to_pylist()]
 
 
@@ -245,7 +245,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str
 
     A null or empty text has no ids. Rows come through one to one, repeated rows too; columns outside `keep`
     are dropped, so extra columns cannot clash. One map over the scan: no shuffle, memory bounded by a run of
-    about a megabyte of text (or one longer text) and the piece cache. `vocabulary` is a path that workers can read.
+    about half a megabyte of text (or one longer text) and the piece cache. `vocabulary` is a path that workers can read.
     """
     ship(docs.sparkSession)
     part = docs.select(*keep, F.col(text).cast("string").alias("__text"))
