@@ -2,7 +2,8 @@
 
 The document by n-gram incidence matrix A is never multiplied whole. Under one order of all shingles (those
 found frequent come last, the rest by hash) two sets can only reach the threshold if they share a shingle in
-several leading columns, so a first product over the leading columns alone, one block of columns a task,
+several leading columns (in one, for a set that is nearly all frequent ones, so those are left out as long as they
+can be), so a first product over the leading columns alone, one block of columns a task,
 accumulates how many a pair shares: a pair is discarded where that count, the sizes and the position of the
 last shared column bound the overlap below what the threshold needs. Connected candidates make blocks of rows; in each block
 the sparse product A A' is accumulated exactly, row by row, and pairs below the threshold are discarded.
@@ -25,7 +26,7 @@ from tessera.llm.components import connected_components
 from tessera.llm.session import checkpoint, ship, shuffle_partitions, spread, tidy
 
 FREQUENT = 64  # a column in more sets than this comes late in the order; a column with more rows is chained
-SHARED = 4  # columns that two sets must share among their leading ones (all they need, if that is less)
+SHARED = 4  # columns that two sets must share among their leading ones (all they need, if that is less); fewer for a set whose last leading ones would be frequent
 LATE_COLUMNS = 100_000  # at most this many columns are moved to the end (order only; no pair depends on it)
 FEW_IDS = 1_000_000  # ids that are broadcast, at most; their number is counted first
 BLOCK = 128  # rows of a chunk; a block of the product is one chunk or a pair
@@ -56,9 +57,18 @@ class Sets:
         return n, sums[0], sums[1]
 
 
-def _leading(n: int, percent: int) -> int:
-    """Columns of a set of n that must hold SHARED shared ones, whatever size the partner has."""
-    return min(n, n - -(-percent * n // 100) + SHARED)
+def _leading(n: int, percent: int, shared: int = SHARED) -> int:
+    """Columns of a set of n that must hold `shared` shared ones, whatever size the partner has."""
+    return min(n, n - -(-percent * n // 100) + shared)
+
+
+def _wanted(n: int, rare: int, percent: int) -> int:
+    """How many shared columns are asked of a set of n of which `rare` are not frequent: SHARED, or as many less as keep
+    frequent columns out of its leading ones, one at least. Two sets share the lesser number in their leading columns."""
+    wanted = SHARED
+    while wanted > 1 and _leading(n, percent, wanted) > rare:
+        wanted -= 1
+    return wanted
 
 
 def _linkable(n: int, percent: int) -> bool:
@@ -104,7 +114,8 @@ def _late(low: DataFrame) -> np.ndarray:
 
 
 def _columns(docs: DataFrame, text: str, size: int, percent: int, late: np.ndarray) -> DataFrame:
-    """(h, place, fa): each set's leading columns with the set's size and the column's position, size * 2^32 + position."""
+    """(h, place, fa): each set's leading columns with the set's size, the number of shared columns asked of it, and the
+    column's position: (size * 8 + number) * 2^32 + position."""
     order = np.argsort(late)
     by_hash = late[order]
 
@@ -118,14 +129,17 @@ def _columns(docs: DataFrame, text: str, size: int, percent: int, late: np.ndarr
                 if not _linkable(len(s), percent) or f in seen:
                     continue
                 seen.add(f)
-                lead = _leading(len(s), percent)
+                rare = len(s)
                 if len(by_hash):
                     at = np.minimum(np.searchsorted(by_hash, s), len(by_hash) - 1)
                     is_late = by_hash[at] == s
                     moved = np.sort(order[at[is_late]])
                     s = np.concatenate([s[~is_late], late[moved]])
+                    rare -= len(moved)
+                wanted = _wanted(len(s), rare, percent)
+                lead = _leading(len(s), percent, wanted)
                 hs.append(s[:lead])
-                places.append((len(s) << 32) + np.arange(lead, dtype=np.int64))
+                places.append(((len(s) * 8 + wanted) << 32) + np.arange(lead, dtype=np.int64))
                 owners.append(np.full(lead, f, np.int64))
             if len(seen) > 1 << 20:
                 seen.clear()
@@ -142,7 +156,7 @@ def _candidates(columns: DataFrame, percent: int) -> DataFrame:
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (place[1:] != place[:-1]) | (fa[1:] != fa[:-1])])[: len(h)]
         return [h[new], place[new], fa[new]]
 
-    names = ["a", "b", "c", "sa", "sb", "need"]
+    names = ["a", "b", "c", "sa", "sb", "need", "wanted"]
 
     def pairs(h: np.ndarray, place: np.ndarray, fa: np.ndarray) -> pa.RecordBatch:
         """Of whole columns, sorted by (h, place, fa), each row once: pairs with the columns they share here, what is
@@ -151,13 +165,13 @@ def _candidates(columns: DataFrame, percent: int) -> DataFrame:
         rows = np.diff(edge)
         many = np.repeat(rows, rows)
         keep = many > 1
-        h, n, i, fa, many = h[keep], place[keep] >> 32, place[keep] & 0xFFFFFFFF, fa[keep], many[keep]
+        h, n, k, i, fa, many = h[keep], place[keep] >> 35, place[keep] >> 32 & 7, place[keep] & 0xFFFFFFFF, fa[keep], many[keep]
         same = h[1:] == h[:-1]
         chain = np.flatnonzero(same & (many[1:] > FREQUENT) & (percent * n[1:] <= 100 * n[:-1]))
         whole = np.full(len(chain), 1 << 20, np.int64)  # a chain's edge stands as it is
-        out = [np.stack([fa[chain], fa[chain + 1], whole, whole, whole, np.zeros(len(chain), np.int64)])]
+        out = [np.stack([fa[chain], fa[chain + 1], whole, whole, whole, np.zeros(len(chain), np.int64), np.ones(len(chain), np.int64)])]
         few = np.flatnonzero(many <= FREQUENT)
-        h, n, i, fa = h[few], n[few], i[few], fa[few]
+        h, n, k, i, fa = h[few], n[few], k[few], i[few], fa[few]
         for d in range(1, FREQUENT):
             x = np.flatnonzero(h[d:] == h[:-d])
             if not len(x):
@@ -166,16 +180,16 @@ def _candidates(columns: DataFrame, percent: int) -> DataFrame:
             need = -(-percent * (n[x] + n[y]) // (100 + percent))
             ok = (np.minimum(n[x] - i[x], n[y] - i[y]) > need - SHARED) & (percent * n[y] <= 100 * n[x]) & (fa[x] != fa[y])
             x, y, need = x[ok], y[ok], need[ok]
-            out.append(np.stack([fa[x], fa[y], np.ones(len(x), np.int64), n[x] - 1 - i[x], n[y] - 1 - i[y], need]))
-        a, b, c, sa, sb, need = np.concatenate(out, axis=1)
+            out.append(np.stack([fa[x], fa[y], np.ones(len(x), np.int64), n[x] - 1 - i[x], n[y] - 1 - i[y], need, np.minimum(k[x], k[y])]))
+        a, b, c, sa, sb, need, wanted = np.concatenate(out, axis=1)
         turned = a > b
         a, b, sa, sb = np.where(turned, b, a), np.where(turned, a, b), np.where(turned, sb, sa), np.where(turned, sa, sb)
         order = np.lexsort((b, a))
-        a, b, c, sa, sb, need = (v[order] for v in (a, b, c, sa, sb, need))
+        a, b, c, sa, sb, need, wanted = (v[order] for v in (a, b, c, sa, sb, need, wanted))
         first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
         if len(first):
-            c, sa, sb, need = np.add.reduceat(c, first), np.minimum.reduceat(sa, first), np.minimum.reduceat(sb, first), np.maximum.reduceat(need, first)
-        return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), *(pa.array(np.minimum(v, 1 << 20).astype(np.int32)) for v in (c, sa, sb, need))], names)
+            c, sa, sb, need, wanted = np.add.reduceat(c, first), np.minimum.reduceat(sa, first), np.minimum.reduceat(sb, first), np.maximum.reduceat(need, first), np.minimum.reduceat(wanted, first)
+        return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), *(pa.array(np.minimum(v, 1 << 20).astype(np.int32)) for v in (c, sa, sb, need, wanted))], names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
@@ -194,9 +208,9 @@ def _candidates(columns: DataFrame, percent: int) -> DataFrame:
             yield pairs(*held)
 
     dealt = columns.repartition(shuffle_partitions(columns.sparkSession), "h").sortWithinPartitions("h", "place", "fa")
-    found = dealt.mapInArrow(tidy(run), "a long, b long, c int, sa int, sb int, need int")
-    shared = found.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("sa").alias("sa"), F.min("sb").alias("sb"), F.max("need").alias("need"))
-    return shared.where((F.col("c") >= F.least("need", F.lit(SHARED))) & (F.col("c") + F.least("sa", "sb") >= F.col("need"))).select("a", "b")
+    found = dealt.mapInArrow(tidy(run), "a long, b long, c int, sa int, sb int, need int, wanted int")
+    shared = found.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("sa").alias("sa"), F.min("sb").alias("sb"), F.max("need").alias("need"), F.min("wanted").alias("wanted"))
+    return shared.where((F.col("c") >= F.least("need", "wanted")) & (F.col("c") + F.least("sa", "sb") >= F.col("need"))).select("a", "b")
 
 
 def product_links(ids: list, chunk: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple]:
