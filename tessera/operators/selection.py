@@ -11,6 +11,20 @@ from pyspark.sql import functions as F
 FEW_ROWS = 10_000  # rows that a sorted limit may bring to one task
 
 
+def since(rows: DataFrame, column: str, cutoff: str) -> DataFrame:
+    """Rows from a point in time on; the cutoff takes the column's type, so the scan can skip what is older."""
+    return rows.where(F.col(column) >= F.lit(cutoff).cast(rows.schema[column].dataType))
+
+
+def of_category(rows: DataFrame, column: str, *values: str) -> DataFrame:
+    return rows.where(F.col(column).isin(*values))
+
+
+def holding(rows: DataFrame, column: str, part: str) -> DataFrame:
+    """Rows whose text holds a part, as it is written."""
+    return rows.where(F.col(column).contains(part))
+
+
 def hash_order(seed: int | str, *keys: str | Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]))
 

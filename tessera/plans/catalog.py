@@ -596,15 +596,15 @@ def path_columns(spark, d):
     return X.table(spark, d, "pages").select("page_id", *[c.alias(k) for k, c in R.run_columns(name).items()])
 
 
-@query("select doc_id, cast(length(text) - length(replace(text, chr(10), '')) + 1 as integer) as lines, case when text like '%the%' then 1 else 0 end as has_the from documents where length(text) >= 100 and lang = 'en'")
+@query("select doc_id, cast(length(text) - length(replace(text, chr(10), '')) + 1 as integer) as lines from documents where lang in ('en', 'de') and text like '%the%'")
 def text_filters(spark, d):
-    t = X.table(spark, d, "documents").where("length(text) >= 100 and lang = 'en'")
-    return t.select("doc_id", text.line_count("text").alias("lines"), F.col("text").contains("the").cast("int").alias("has_the"))
+    t = S.holding(S.of_category(X.table(spark, d, "documents"), "lang", "en", "de"), "text", "the")
+    return t.select("doc_id", text.line_count("text").alias("lines"))
 
 
 @query("select event_id from events where ts >= timestamp '2024-01-05'")
 def since_cutoff(spark, d):
-    return X.table(spark, d, "events").where(F.col("ts") >= F.lit("2024-01-05").cast("timestamp_ntz")).select("event_id")
+    return S.since(X.table(spark, d, "events"), "ts", "2024-01-05").select("event_id")
 
 
 # data sets
