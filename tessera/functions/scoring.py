@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,26 +15,34 @@ def _c(x) -> Column:
 def pass_at_k(n, c, k) -> Column:
     """1 - C(n-c, k) / C(n, k): the chance that k of n attempts, c of them passing, hold a passing one.
 
-    Null where k is over n. No passing attempt gives 0 (a descending sequence must never be built)."""
+    Null where k is over n. A product of k factors, so an item may have any number of attempts."""
     n, c, k = _c(n), _c(c), _c(k)
-    miss = F.aggregate(F.sequence(n - c + 1, n), F.lit(1.0), lambda a, i: a * (1.0 - k / i))
+    miss = F.aggregate(F.sequence(F.lit(0).cast("long"), k.cast("long") - 1), F.lit(1.0), lambda a, i: a * ((n - c - i) / (n - i)))
     return F.when(n < k, None).when(c == 0, 0.0).when(n - c < k, 1.0).otherwise(1.0 - miss)
 
 
-def draw_weight(rank, size, n) -> Column:
-    """C(size - rank, n - 1) / C(size, n): the chance that the attempt of that rank (from 1) is the best of n drawn.
-
-    By the recurrence w1 = n / size, w(r+1) = w(r) * (size - r - n + 1) / (size - r); 0 where too few rank below."""
-    rank, size, n = _c(rank), _c(size), _c(n)
-    steps = F.slice(F.sequence(F.lit(1), size), F.lit(1), rank - 1)
-    return F.when(size - rank < n - 1, 0.0).otherwise(F.aggregate(steps, n / size, lambda a, r: a * (size - r - n + 1) / (size - r)))
+def log_gamma(x) -> Column:
+    """ln Gamma(x) for x >= 1, by Stirling's series at x + 8: plain arithmetic, whatever the size of x."""
+    x = _c(x).cast("double")
+    y = x + 8.0
+    steps = x
+    for k in range(1, 8):
+        steps = steps * (x + float(k))
+    series = 1.0 / (12.0 * y) - 1.0 / (360.0 * y * y * y) + 1.0 / (1260.0 * y * y * y * y * y) - 1.0 / (1680.0 * y * y * y * y * y * y * y)
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - F.log(steps)
 
 
 def log_binomial(n, k) -> Column:
     """ln C(n, k) for 0 <= k <= n, else null."""
     n, k = _c(n), _c(k)
-    terms = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k.cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    return F.when((k < 0) | (k > n), None).otherwise(F.aggregate(terms, F.lit(0.0), lambda a, i: a + F.log((n - k + i) / i)))
+    return F.when((k >= 0) & (k <= n), log_gamma(n + 1) - log_gamma(k + 1) - log_gamma(n - k + 1))
+
+
+def draw_weight(rank, size, n) -> Column:
+    """C(size - rank, n - 1) / C(size, n): the chance that the attempt of that rank (from 1) is the best of n drawn; 0
+    where too few rank below."""
+    rank, size, n = _c(rank), _c(size), _c(n)
+    return F.when(size - rank < n - 1, 0.0).otherwise(F.exp(log_binomial(size - rank, n - 1) - log_binomial(size, n)))
 
 
 def shaped_score(score, cumulative_logprob, num_tokens, shape: str | None) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FEW_ROWS = 10_000  # rows that a sorted limit may bring to one task
+FEW_ROWS = 100_000  # rows that a sorted limit may bring to one task
 
 
 def since(rows: DataFrame, column: str, cutoff: str) -> DataFrame:

@@ -43,6 +43,14 @@ def test_pass_at_k(spark, n, c, k, want):
     assert math.isclose(want, 1 - math.comb(n - c, k) / math.comb(n, k))
 
 
+@pytest.mark.parametrize(("n", "k"), [(0, 0), (1, 1), (5, 2), (40, 20), (1000, 3), (100_000, 50_000)])
+def test_log_binomial(spark, n, k):
+    want = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    assert math.isclose(one(spark, scoring.log_binomial("n", "k"), n=n, k=k), want, rel_tol=1e-10, abs_tol=1e-9)
+    assert one(spark, scoring.log_binomial("n", "k"), n=n, k=n + 1) is None
+    assert math.isclose(one(spark, scoring.pass_at_k("n", "c", 1), n=10**12, c=10**11), 0.1)
+
+
 def test_pass_at_k_grows_with_k(spark):
     rows = spark.range(1, 13).withColumnRenamed("id", "k").withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(12)))).withColumn("v", scoring.pass_at_k(F.lit(12), "c", "k")).collect()
     for c in range(13):
