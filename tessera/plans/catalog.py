@@ -399,7 +399,7 @@ n as (select (select count(*) from k) as known, (select count(*) from u) as unkn
 grown as (select cast(0 as bigint) as i, coalesce((select list(o_orderkey order by r) from k), []) as rows
   union all select g.i + 1, rows[1:g.i * ((known + g.i) // unknown)] || [u.o_orderkey] || rows[g.i * ((known + g.i) // unknown) + 1:] from grown g join u on u.i = g.i, n),
 last as (select arg_max(rows, i) as rows from grown)
-select o_orderkey, o_orderpriority, list_position(rows, o_orderkey) - 1 as position from orders, last"""
+select o_orderkey, o_orderpriority, cast(list_position(rows, o_orderkey) - 1 as bigint) as position from orders, last"""
 )
 def curriculum_rows(spark, d):
     o = X.table(spark, d, "orders").select("o_orderkey", "o_orderpriority")

@@ -156,14 +156,14 @@ _HARNESS = "'import io' || chr(10) || 'import sys' || chr(10) || 'from math impo
 _RUNS = "'__inputs__ = [' || to_json(text) || ',\"' || item_id || '\"]' || chr(10) || 'for __text__ in __inputs__:' || chr(10) || '    sys.stdin = io.TextIOWrapper(io.BytesIO(__text__.encode()), encoding=''utf8'')' || chr(10) || '    __run_prog__()' || chr(10) || '    print(''___SENTINEL___'')' || chr(10)"
 
 
-@query(f"select md5({_RUNS}) as hash, item_id, {_HARNESS} as program, ['1' || chr(10), item_id || chr(10)] as outputs from benchmark")
+@query(f"select md5({_RUNS}) as hash, item_id, {_HARNESS} as program, '1' || chr(10) || '|' || item_id || chr(10) as outputs from benchmark")
 def input_harness(spark, d):
     n = F.col("item_id").cast("string")
     code = F.concat(F.lit("from math import *\nn = int(input())\nif n > "), n, F.lit(":\n    sys.exit(0)\nprint(n)"))
     made = P.harnessed_tests(X.table(spark, d, "benchmark").withColumn("code", code).withColumn("inputs", F.array("text", n)))
     hashes = P.test_bank(made).select(F.col("test").alias("t"), "hash")
     printed = text.run_outputs(F.concat(F.lit("1\n___SENTINEL___\n"), n, F.lit("\n___SENTINEL___\n")))
-    return made.join(hashes, F.col("test") == F.col("t")).select("hash", "item_id", "program", printed.alias("outputs"))
+    return made.join(hashes, F.col("test") == F.col("t")).select("hash", "item_id", "program", F.array_join(printed, "|").alias("outputs"))
 
 
 @query("select item_id, item_id % 2 = 0 as same, case when item_id % 2 = 0 then 1 else 2 end as start from benchmark")
