@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, decontaminate, html_extract, langid, licenses, ngram_join, token_counts, topk, toxicity
+from tessera.llm import bpe, chat, decontaminate, html_extract, langid, licenses, ngram_join, substring_dedup, token_counts, topk, toxicity
 from tessera.llm.session import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -88,6 +88,10 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), "pmod(vec_id, 50) = 0", k=5)
 
 
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("spans").alias("n_spans"))
+
+
 OP8_SQL = r"""
 with recursive w as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
@@ -121,9 +125,26 @@ select query_id, cast(rank as integer) as rank, vec_id, score from r where rank
 """
 
 
+OP13_SQL = r"""
+with w as (
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+), win as (
+  select doc_id, i, array_to_string(w[i:i + 12], ' ') as k from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from w)
+), least as (select k, min(doc_id) as m from win group by 1
+), gone as (select distinct doc_id, unnest(range(i, i + 13)) as p from win join least using (k) where m < doc_id
+), per as (select doc_id, list(p) as ps, list_sort(list(p)) as s from gone group by 1
+), spans as (select doc_id, len(list_filter(s, lambda x, i: i = 1 or s[i - 1] < x - 1)) as n from per
+), kept as (
+  select w.doc_id, len(w.w) as n, coalesce(len(per.ps), 0) as g, list_filter(w.w, lambda x, i: per.ps is null or not list_contains(per.s, i)) as k from w left join per using (doc_id)
+)
+select kept.doc_id, cast(kept.n as bigint) as n_words, cast(g as bigint) as n_removed, sha256(array_to_string(k, ' ')) as kept_sha256, cast(coalesce(spans.n, 0) as integer) as n_spans
+from kept left join spans using (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_chat_formatting, op3_license_scan, op4_decontamination, op5_language_id, op6_toxicity, op7_html_extraction, op8_ngram_jaccard, op9_token_counts, op10_exact_topk, license_variants)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_chat_formatting, op3_license_scan, op4_decontamination, op5_language_id, op6_toxicity, op7_html_extraction, op8_ngram_jaccard, op9_token_counts, op10_exact_topk, op13_substring_dedup, license_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": chat.SQL, "op3_license_scan": licenses.sql(), "op8_ngram_jaccard": OP8_SQL, "op10_exact_topk": op10_sql(), "license_variants": licenses.variants_sql()}
+    return {"op2_chat_formatting": chat.SQL, "op3_license_scan": licenses.sql(), "op8_ngram_jaccard": OP8_SQL, "op10_exact_topk": op10_sql(), "op13_substring_dedup": OP13_SQL, "license_variants": licenses.variants_sql()}
