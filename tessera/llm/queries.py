@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, decontaminate, html_extract, langid, licenses, ngram_join, substring_dedup, token_counts, topk, toxicity
+from tessera.llm import alignment, bpe, chat, decontaminate, html_extract, langid, licenses, ngram_join, prefix_trie, substring_dedup, token_counts, topk, toxicity
 from tessera.llm.session import table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 
 
 def vocabulary_path() -> str:
@@ -88,6 +89,18 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), "pmod(vec_id, 50) = 0", k=5)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    paths = (public_tokenizers.path(name) for name in ALIGNED)
+    hashed = lambda c: F.when(F.length(c) > 0, F.sha2(c, 256)).otherwise("")
+    return alignment.link_strength(table(spark, sf_dir, "documents"), *paths, groups="groups_sha256", shown=hashed)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.shared_prefixes(table(spark, sf_dir, "conversations"))
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), F.size("spans").alias("n_spans"))
 
@@ -125,6 +138,36 @@ select query_id, cast(rank as integer) as rank, vec_id, score from r where rank
 """
 
 
+OP12_SQL = r"""
+with filled as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
+), t as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as p from filled
+), c as (  -- crc32 by its definition: one shift a bit of the digits
+  select conv_id, list_reduce(list_concat([4294967295::ubigint], flatten(list_transform(string_split(conv_id::varchar, ''), lambda x: [ascii(x)::ubigint, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, x: xor(xor(a, x) >> 1, (xor(a, x) & 1) * 3988292384::ubigint)) as crc, conv_id - conv_id % 20 as head, max(p) as n from t group by conv_id
+), h as (select conv_id, head, n, xor(crc, 4294967295::ubigint)::bigint % 4 as h from c
+), rebuilt as (
+  select h.conv_id, t.p, t.role, t.text from h join t on t.conv_id = h.head and t.p <= h.h
+  union all select h.conv_id, t.p - h.h + least(h.h, coalesce(o.n, 0)), t.role, t.text from h join t on t.conv_id = h.conv_id and t.p > h.h left join h o on o.conv_id = h.head
+), lists as (
+  select h.conv_id, coalesce(list(sha256(concat(strlen(r.role), ':', r.role, r.text)) order by r.p) filter (r.p is not null), []) as l from h left join rebuilt r using (conv_id) group by 1
+), paths as (
+  select conv_id, d, sha256(array_to_string(l[1:d], ',')) as k, case when d > 0 then sha256(array_to_string(l[1:d - 1], ',')) end as up, d = len(l) as ends
+  from (select conv_id, l, unnest(range(0, len(l) + 1)) as d from lists)
+), nodes as (
+  select d, k, any_value(up) as up, min(paths.conv_id) as conv, count(*) as n, any_value(case when d > 0 then len(regexp_extract_all(r.text, '[^\x20\x09-\x0D]+')) else 0 end) as words,
+    sha256(coalesce(string_agg(paths.conv_id::varchar, ',' order by paths.conv_id) filter (ends), '')) as ends_sha256
+  from paths left join rebuilt r on r.conv_id = paths.conv_id and r.p = d group by d, k
+), kids as (select up, d - 1 as d, count(*) as n from nodes group by all
+), under as (select distinct a.d, a.k, b.d as bd, b.k as bk from paths a join paths b on a.conv_id = b.conv_id and a.d <= b.d
+), sums as (
+  select u.d, u.k, sum((b.n - 1) * b.words) as saved, count(*) filter (kids.n is null) as leaves
+  from under u join nodes b on b.d = u.bd and b.k = u.bk left join kids on kids.up = b.k and kids.d = b.d group by all
+)
+select x.conv as conv_id, x.d as depth, p.conv as parent_conv_id, x.n as n_convs, coalesce(kids.n, 0) as n_children, s.leaves as n_leaves, cast(s.saved as bigint) as saved_tokens, x.ends_sha256
+from nodes x join sums s on s.d = x.d and s.k = x.k left join nodes p on p.d = x.d - 1 and p.k = x.up left join kids on kids.up = x.k and kids.d = x.d
+"""
+
 OP13_SQL = r"""
 with w as (
   select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
@@ -143,8 +186,8 @@ from kept left join spans using (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_chat_formatting, op3_license_scan, op4_decontamination, op5_language_id, op6_toxicity, op7_html_extraction, op8_ngram_jaccard, op9_token_counts, op10_exact_topk, op13_substring_dedup, license_variants)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_chat_formatting, op3_license_scan, op4_decontamination, op5_language_id, op6_toxicity, op7_html_extraction, op8_ngram_jaccard, op9_token_counts, op10_exact_topk, op11_token_alignment, op12_prefix_trie, op13_substring_dedup, license_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_formatting": chat.SQL, "op3_license_scan": licenses.sql(), "op8_ngram_jaccard": OP8_SQL, "op10_exact_topk": op10_sql(), "op13_substring_dedup": OP13_SQL, "license_variants": licenses.variants_sql()}
+    return {"op2_chat_formatting": chat.SQL, "op3_license_scan": licenses.sql(), "op8_ngram_jaccard": OP8_SQL, "op10_exact_topk": op10_sql(), "op12_prefix_trie": OP12_SQL, "op13_substring_dedup": OP13_SQL, "license_variants": licenses.variants_sql()}
