@@ -6,6 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+FEW = 1000
+
+
+def skewed_join(rows: DataFrame, side: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
+    """rows joined with `side`, which has one row a key and, in column `size`, how many rows the key has. Keys that hold
+    a thousandth of the `total` rows or more, a thousand at most, are broadcast, so their rows stay where they are."""
+    heavy = F.broadcast(side.where(F.col(size) * FEW >= total))
+    rest = rows.join(heavy.select(*on), on, "left_anti").join(side.where(F.col(size) * FEW < total), on)
+    return rows.join(heavy, on).unionByName(rest)
+
+
 def shared_values(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     """Distinct values of a column that both have."""
     return a.select(column).intersect(b.select(column))
