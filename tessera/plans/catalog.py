@@ -18,6 +18,7 @@ from tessera.plans import pipelines as P
 from tessera.plans.lineage import scratch
 from tessera.sources import results as R
 from tessera.streaming import events as V
+from tessera.streaming import running as W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -744,7 +745,7 @@ def ext_stream_distinct(spark, d):
 
 @query("select user_id as item, count(*) as n, cast(sum(cast(event_type = 'purchase' as integer)) as bigint) as c from events group by 1")
 def ext_running_rate(spark, d):
-    rates = _streamed(spark, d, lambda e: V.running_pass_rate(e.select("user_id", (F.col("event_type") == "purchase").cast("int").alias("passing"))), "update")
+    rates = _streamed(spark, d, lambda e: W.pass_rates(e.select("user_id", "ts", (F.col("event_type") == "purchase").cast("int").alias("passing"))), "update")
     return rates.groupBy("item").agg(F.max("n").alias("n"), F.max("c").alias("c"))
 
 

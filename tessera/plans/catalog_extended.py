@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from tessera import fixtures as X
 from tessera.operators import near_duplicates as N
-from tessera.plans.catalog import A, query
+from tessera.plans.catalog import A, _rounded, _streamed, query
 from tessera.plans.catalog_sources import _documents
+from tessera.plans.lineage import scratch
 from tessera.sources import documents as D
 from tessera.sources import results as R
+from tessera.streaming import events as V
+from tessera.streaming import late as L
+from tessera.streaming import running as W
 
 _SETS = r"""w as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
@@ -51,3 +55,54 @@ def document_headers(spark, d):
     rows = D.read_items_streamed(spark, path, F.col("file").contains("part=EASY")).unionByName(D.read_items_streamed(spark, path, F.col("file").contains("part=HARD")))
     part = F.regexp_extract("file", "part=([A-Z]+)", 1).alias("part")
     return rows.groupBy(part).agg(F.max(F.get_json_object("header", "$.model")).alias("model"), F.count("header").alias("documents"), F.sum(F.coalesce(F.size("results"), F.lit(0))).alias("attempts"))
+
+
+# streams: events arrive by time in three parts; every seventh event is held back and comes last
+
+_MARK = "mark as (select date_trunc('milliseconds', max(ts) filter (event_id % 7 <> 0)) - interval 2 days as m from events), late as (select event_id from events, mark where event_id % 7 = 0 and ts <= m)"
+
+
+def _fed(spark, d, build):
+    """(what came out, rows dropped as late) of a stream that is fed part by part."""
+    folder, out, progress = scratch(spark, "fed"), scratch(spark, "out"), scratch(spark, "progress")
+    e = X.table(spark, d, "events")
+    held = F.col("event_id") % 7 == 0
+    days = [F.col("ts") < "2024-01-11", (F.col("ts") >= "2024-01-11") & (F.col("ts") < "2024-01-21"), F.col("ts") >= "2024-01-21"]
+    dropped = 0
+    for part in [*[~held & day for day in days], held]:
+        e.where(part).write.mode("append").parquet(folder)
+        dropped += L.drain(build(V.event_stream(spark, folder, 100, schema=e.schema)), out, progress).late
+    return spark.read.parquet(out), dropped
+
+
+@query(f"with {_MARK}, d as (select date_trunc('day', ts) as start, * from events where event_id not in (from late)) select start, event_type, count(*) as n, round(sum(value), 4) as total from d, mark where start + interval 1 day <= m group by start, event_type")
+def ext_late_windows(spark, d):
+    out, _ = _fed(spark, d, lambda e: L.closed_windows(e, "1 day", "2 days", ["event_type"]))
+    return _rounded(out.withColumn("start", F.col("start").cast("timestamp_ntz")), "total", digits=4)
+
+
+@query(f"with {_MARK} select event_id, (select count(*) from late) as dropped from late")
+def ext_late_rows(spark, d):
+    out, dropped = _fed(spark, d, lambda e: L.accepted(e, "2 days").select("event_id"))
+    return X.table(spark, d, "events").join(out, "event_id", "left_anti").select("event_id", F.lit(dropped).cast("long").alias("dropped"))
+
+
+def _passing(events):
+    return events.select("user_id", "ts", (F.col("event_type") == "purchase").cast("int").alias("passing"))
+
+
+@query("select user_id as item, count(*) as n, cast(sum(cast(event_type = 'purchase' as integer)) as bigint) as c from events group by 1")
+def ext_running_rate_from_table(spark, d):
+    """The first ten days are counted by a batch job, the rest arrives as a stream."""
+    e = X.table(spark, d, "events")
+    first = _passing(e.where("ts < '2024-01-11'")).groupBy("user_id").agg(F.count("*").alias("n"), F.sum("passing").alias("c"))
+    rates = _streamed(spark, d, lambda s: W.pass_rates(_passing(s.where("ts >= timestamp_ntz '2024-01-11'")), first=first), "update")
+    known = rates.groupBy("item").agg(F.max("n").alias("n"), F.max("c").alias("c"))
+    rest = first.select(F.col("user_id").alias("item"), "n", "c").join(known, "item", "left_anti")  # of whom the stream has nothing
+    return known.unionByName(rest)
+
+
+@query("select user_id as item, count(*) as n, cast(sum(cast(event_type = 'purchase' as integer)) as bigint) as c from events group by 1 having epoch_ms(max(ts)) + 7200000 <= (select epoch_ms(max(ts)) - 1800000 from events)")
+def ext_closed_items(spark, d):
+    rates = _streamed(spark, d, lambda s: W.pass_rates(_passing(s), gap_ms=7_200_000, late="30 minutes"), "update")
+    return rates.where("closed").select("item", "n", "c")

@@ -1,4 +1,4 @@
-"""Streaming extensions over event files: windows with watermarks, de-duplication, running pass rates.
+"""Streaming extensions over event files: windows with watermarks, sessions, de-duplication.
 
 These go beyond batch evaluation: results that are appended while a run goes on can be followed by the same
 aggregations. All of them work on batch tables too.
@@ -6,12 +6,8 @@ aggregations. All of them work on batch tables too.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 
@@ -34,16 +30,3 @@ def sessions(events: DataFrame, gap: str, key: str = "user_id", late: str = "10
 
 def distinct_events(events: DataFrame, key: str = "event_id", late: str = "10 minutes") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
-
-
-def running_pass_rate(attempts: DataFrame, key: str = "user_id") -> DataFrame:
-    """Attempts (key, passing) as a stream: after each batch the item's counts so far."""
-
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, c = state.get if state.exists else (0, 0)
-        for b in batches:
-            n, c = n + len(b), c + int(b["passing"].sum())
-        state.update((n, c))
-        yield pd.DataFrame({"item": [k[0]], "n": [n], "c": [c]})
-
-    return attempts.groupBy(key).applyInPandasWithState(step, "item long, n long, c long", "n long, c long", "update", GroupStateTimeout.NoTimeout)

@@ -18,7 +18,7 @@ from tessera.functions import pyudfs, scoring, text
 from tessera.operators import joins, metrics, selection
 from tessera.plans import catalog, evaluate, pipelines
 from tessera.sources import results
-from tessera.streaming import events
+from tessera.streaming import events, running
 
 SF = "/root/testdata/sf0.01"
 
@@ -415,7 +415,7 @@ def test_streams(spark, tmp_path):
     windows = run(events.tumbling(stream, "1 day", late="400 days"), "complete", "w")
     assert windows.agg(F.sum("n")).first()[0] == 10_000
     assert run(events.distinct_events(stream, late="400 days"), "append", "u").count() == 10_000
-    rates = run(events.running_pass_rate(stream.select("user_id", (F.col("event_type") == "purchase").cast("int").alias("passing"))), "update", "r")
+    rates = run(running.pass_rates(stream.select("user_id", "ts", (F.col("event_type") == "purchase").cast("int").alias("passing"))), "update", "r")
     last = rates.groupBy("item").agg(F.max("n").alias("n"), F.max("c").alias("c")).agg(F.sum("n"), F.sum("c")).first()
     assert last[0] == 10_000 and last[1] == spark.read.parquet(f"{SF}/events.parquet").where("event_type = 'purchase'").count()
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import near_duplicates
 from tessera.sources import documents, results
+from tessera.streaming import late, running
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -178,3 +179,48 @@ def test_files_are_chosen_and_frames_used_again(spark, tmp_path):
     odd = one.where("row_idx = 2").first().results
     assert (odd[0].passing, odd[0].num_tokens, odd[1]) == (None, None, None)
     assert documents.read_items_streamed(spark, f"{tmp_path}/none*").count() == 0
+
+
+# streams
+
+
+def events_at(spark, rows):
+    """(event_id, seconds, user_id, passing)"""
+    return spark.createDataFrame(rows, "event_id long, s long, user_id long, passing int").select("event_id", F.timestamp_seconds("s").alias("ts"), "user_id", "passing", F.lit(1.0).alias("value"))
+
+
+def test_late_rows_are_dropped_and_counted(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    parts = [[(1, 100_000, 1, 1), (2, 100_500, 1, 0), (2, 100_500, 1, 0)], [(3, 104_000, 1, 1)], [(4, 103_400, 2, 1), (5, 103_399, 2, 1), (6, 10, 2, 1), (7, 103_600, 2, None)]]
+    gone = []
+    for part in parts:
+        events_at(spark, part).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(events_at(spark, part).schema).parquet(folder)
+        gone.append(late.drain(late.closed_windows(stream, "1000 seconds", "10 minutes"), str(tmp_path / "out"), str(tmp_path / "progress")))
+    assert [g.late for g in gone] == [0, 0, 3]  # 103400 is the watermark itself
+    assert [g.rows for g in gone] == [3, 1, 4] and gone[1].watermark == "1970-01-02T04:43:20.000Z"
+    out = spark.read.parquet(str(tmp_path / "out")).select(F.unix_seconds("start").alias("s"), "n").collect()
+    assert sorted(tuple(r) for r in out) == [(100_000, 2)]  # later windows are open still
+
+
+def test_running_rates_go_on_after_a_restart(spark, tmp_path):
+    folder, got = str(tmp_path / "in"), []
+    first = spark.createDataFrame([(1, 10, 4), (9, 1, 1)], "user_id long, n long, c long")
+    for k, part in enumerate([[(1, 0, 1, 1), (2, 1, 2, 0), (3, 2, 2, 1)], [(4, 3, 2, None), (5, 4, 1, 1)], [(6, 5, 9, 0)]]):
+        events_at(spark, part).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(events_at(spark, part).schema).parquet(folder)
+        run = running.pass_rates(stream, first=first).writeStream.outputMode("update").foreachBatch(lambda b, _: got.append(sorted(tuple(r) for r in b.collect())))
+        run.option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination()
+    assert [g for g in got if g] == [[(1, 11, 5, False), (2, 2, 1, False)], [(1, 12, 6, False), (2, 3, 1, False)], [(9, 2, 1, False)]]
+
+
+def test_items_close_by_timer_and_begin_anew(spark, tmp_path):
+    folder, got = str(tmp_path / "in"), []
+    for part in [[(1, 0, 1, 1), (2, 50, 1, 0), (3, 100, 2, 1)], [(4, 145, 2, 0)], [(5, 1000, 3, 1)], [(6, 1001, 1, 1)]]:
+        events_at(spark, part).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(events_at(spark, part).schema).parquet(folder)
+        run = running.pass_rates(stream, gap_ms=60_000, late="1 seconds").writeStream.outputMode("update").foreachBatch(lambda b, _: got.extend(tuple(r) for r in b.collect()))
+        run.option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination()
+    closed = [g[:3] for g in got if g[3]]
+    assert sorted(closed) == [(1, 2, 1), (2, 2, 1)]
+    assert (1, 1, 1, False) in got  # after it was closed
