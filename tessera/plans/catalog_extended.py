@@ -6,10 +6,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera import fixtures as X
+from tessera.operators import asof as Z
 from tessera.operators import near_duplicates as N
+from tessera.operators import shape as H
+from tessera.operators import sketches as K
+from tessera.operators import verdicts as Y
 from tessera.plans.catalog import A, _rounded, _streamed, query
 from tessera.plans.catalog_sources import _documents
 from tessera.plans.lineage import scratch
+from tessera.sources import batches as B
 from tessera.sources import documents as D
 from tessera.sources import results as R
 from tessera.streaming import events as V
@@ -106,3 +111,103 @@ def ext_running_rate_from_table(spark, d):
 def ext_closed_items(spark, d):
     rates = _streamed(spark, d, lambda s: W.pass_rates(_passing(s), gap_ms=7_200_000, late="30 minutes"), "update")
     return rates.where("closed").select("item", "n", "c")
+
+
+# stores that grow from run to run
+
+
+@query("select cast(b as integer) as batch, count(*) as n, cast(sum(conv_id) as bigint) as total from conversations, (select unnest([0, 1, 2]) as b) where turn % 3 = b group by b")
+def batches_committed(spark, d):
+    path, c = scratch(spark, "committed"), X.table(spark, d, "conversations").select("conv_id", "turn")
+    B.write_batch(c, path, 0)  # a run that was cut off before its commit leaves rows that nobody sees
+    B.commit(spark, path, 0, B.write_batch(c.where("turn % 3 = 0"), path, 0))
+    B.write_batch(c, path, 1)
+    B.resumed(spark, path, 3, lambda k: c.where(f"turn % 3 = {k}"))
+    return B.committed(spark, path, "conv_id long, turn long").groupBy("batch").agg(F.count("*").alias("n"), F.sum("conv_id").alias("total"))
+
+
+@query(f"{A} select item, idx, 'code ' || (event_id % 7) as code, 'spec ' || (item % 3) as tests, length('code ' || (event_id % 7) || 'spec ' || (item % 3)) % 2 = 0 as passing, 'ran code ' || (event_id % 7) as output, (select count(*) from (select distinct event_id % 7, item % 3 from attempts)) as executed from attempts")
+def verdicts_stored(spark, d):
+    """Half of the attempts are judged by one run and all by the next; both together execute each pair of program and tests once."""
+    path = scratch(spark, "verdicts")
+    a = X.attempts(spark, d).select("item", "idx", "code", F.concat(F.lit("spec "), F.expr("cast(item % 3 as string)")).alias("tests"))
+    ran = lambda rows: rows.withColumns({"passing": F.expr("length(concat(code, tests)) % 2 = 0"), "output": F.concat(F.lit("ran "), "code")})  # noqa: E731  in place of a sandbox
+    Y.with_verdicts(a.where("item % 2 = 0"), path, ran, parts=2)
+    out = Y.with_verdicts(a, path, ran, parts=3)
+    return out.withColumn("executed", F.lit(B.committed(spark, path, Y.SCHEMA).count()).cast("long"))
+
+
+_SKETCH_SQL = """with e as (select *, date_trunc('day', ts) as day from events), g as (select event_type, count(*) as n, count(distinct user_id) as u from e group by 1 union all select 'all', count(*), count(distinct user_id) from e)
+select event_type, n, u as users, true as users_near, true as ranks_near from g"""
+
+
+@query(_SKETCH_SQL)
+def sketches_rolled_up(spark, d):
+    """Sketches of each day's file and type are stored in two runs, then united by type, and those of types into one. Estimates are held against the exact
+    figures: distinct users within 4 per cent, the ranks of three estimated quantiles within 3 per cent."""
+    folder, path = scratch(spark, "days"), scratch(spark, "sketches")
+    e = X.table(spark, d, "events")
+    e.where("ts < '2024-01-16'").repartition(4, F.to_date("ts")).write.parquet(folder)
+    K.refresh(spark.read.parquet(folder), path, ["event_type"], "user_id", "value")
+    e.where("ts >= '2024-01-16'").repartition(4, F.to_date("ts")).write.mode("append").parquet(folder)
+    rows = spark.read.parquet(folder)
+    K.refresh(rows, path, ["event_type"], "user_id", "value")
+    K.refresh(rows, path, ["event_type"], "user_id", "value")  # nothing new
+    by_type = K.rolled_up(K.stored(rows, path, ["event_type"]), ["event_type"])
+    levels = by_type.unionByName(K.rolled_up(by_type, []).withColumn("event_type", F.lit("all")))
+    shares = (0.1, 0.5, 0.9)
+    known = levels.select("event_type", "n", K.distinct().alias("u"), F.array(*map(K.quantile, shares)).alias("q"))
+    both = F.explode(F.array(F.col("event_type"), F.lit("all"))).alias("event_type")
+    exact = rows.select(both, "user_id", "value").join(F.broadcast(known.select("event_type", "q")), "event_type")  # a row a type
+    ranks = [F.avg((F.col("value") <= F.col("q")[k]).cast("int")).alias(f"r{k}") for k in range(3)]
+    held = exact.groupBy("event_type").agg(F.countDistinct("user_id").alias("users"), *ranks)
+    near = [F.abs(F.col(f"r{k}") - s) <= 0.03 for k, s in enumerate(shares)]
+    return known.join(held, "event_type").select("event_type", "n", "users", (F.abs(F.col("u") - F.col("users")) <= 0.04 * F.col("users")).alias("users_near"), (near[0] & near[1] & near[2]).alias("ranks_near"))
+
+
+@query("with l as (select event_id % 3 as series, event_id as step, value as loss, event_type as phase from events), c as (select o_orderkey, o_orderkey % 3 as series, o_orderkey * 2 - 5000 as step from orders) select c.o_orderkey, c.series, c.step, l.step as log_step, l.loss, l.phase from c asof left join l on c.series = l.series and c.step >= l.step")
+def checkpoints_as_of(spark, d):
+    """Checkpoints with the last row of the training log at or before their step."""
+    log = X.table(spark, d, "events").select(F.expr("event_id % 3").alias("series"), F.col("event_id").alias("step"), F.col("value").alias("loss"), F.col("event_type").alias("phase"))
+    points = X.table(spark, d, "orders").select("o_orderkey", F.expr("o_orderkey % 3").alias("series"), F.expr("o_orderkey * 2 - 5000").alias("step"))
+    return Z.last_at_or_before(points, log, "series", "step", ["loss", "phase"])
+
+
+# shapes of JSON, smoothed lattices
+
+_TREE = """t as (select regexp_replace(fullkey, '\\[[0-9]+\\]', '[*]', 'g') as path, case type when 'OBJECT' then 'object' when 'ARRAY' then 'array' when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'NULL' then 'null'
+  when 'UBIGINT' then 'integer' when 'BIGINT' then 'integer' else 'number' end as type from j, json_tree(j.x)) select path, type, count(*) as n from t group by all"""
+
+
+@query(f"with j as (select props as x from events), {_TREE}")
+def json_paths(spark, d):
+    return H.json_inventory(X.table(spark, d, "events"), "props")
+
+
+_NESTED = """'{"id": ' || event_id || ', "of": {"user": ' || user_id || ', "kind": "' || event_type || '", "props": [' || props || ', ' || case event_id % 4 when 0 then 'null' when 1 then 'true' when 2 then '"x"' else '[1, {"y": 2}]' end || ']}, "mixed": ' || case event_id % 3 when 0 then '1' when 1 then '"1"' else '{}' end || '}'"""
+
+
+@query(f"with j as (select {_NESTED} as x from events), {_TREE}")
+def json_paths_nested(spark, d):
+    return H.json_inventory(X.table(spark, d, "events").select(F.expr(_NESTED).alias("x")), "x")
+
+
+_SMOOTH_SQL = f"""{A}, g as (select idx % 5 as x, idx % 12 as y, avg(score) as v from attempts group by 1, 2), w as (select o, exp(-0.5 * o * o) / sum(exp(-0.5 * o * o)) over () as w from (select unnest(range(-4, 5)) as o)),
+a as (select g.x, g.y, sum(w * h.v) as v from g, w, g h where h.y = g.y and h.x = case when ((g.x + o) % 10 + 10) % 10 < 5 then ((g.x + o) % 10 + 10) % 10 else 9 - ((g.x + o) % 10 + 10) % 10 end group by 1, 2),
+b as (select a.x, a.y, sum(w * h.v) as v from a, w, a h where h.x = a.x and h.y = case when ((a.y + o) % 24 + 24) % 24 < 12 then ((a.y + o) % 24 + 24) % 24 else 23 - ((a.y + o) % 24 + 24) % 24 end group by 1, 2)"""
+
+
+def _lattice(spark, d):
+    cells = X.attempts(spark, d).groupBy(F.expr("idx % 5").alias("x"), F.expr("idx % 12").alias("y")).agg(F.avg("score").alias("v"))
+    return H.smoothed(cells, "x", "y", "v", 5, 12)
+
+
+@query(f"{_SMOOTH_SQL} select cast(x as integer) as x, cast(y as integer) as y, round(v, 6) as v from b")
+def grid_smoothed(spark, d):
+    return _rounded(_lattice(spark, d), "v")
+
+
+@query(f"{_SMOOTH_SQL} select round(quantile_cont(v, 0.15), 6) as low, round(max(v), 6) as high from b")
+def grid_smoothed_percentiles(spark, d):
+    """The bounds of the contour levels: the 15th percentile and the maximum of the smoothed grid."""
+    return _rounded(_lattice(spark, d).agg(F.percentile("v", F.lit(0.15)).alias("low"), F.max("v").alias("high")), "low", "high")

@@ -5,14 +5,15 @@ from __future__ import annotations
 import gzip
 import io
 import json
+import math
 import random
 import resource
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import near_duplicates
-from tessera.sources import documents, results
+from tessera.operators import asof, near_duplicates, shape, sketches, verdicts
+from tessera.sources import batches, documents, results
 from tessera.streaming import late, running
 
 SMALL = "/root/testdata/sf0.001"
@@ -216,7 +217,7 @@ def test_running_rates_go_on_after_a_restart(spark, tmp_path):
 
 def test_items_close_by_timer_and_begin_anew(spark, tmp_path):
     folder, got = str(tmp_path / "in"), []
-    for part in [[(1, 0, 1, 1), (2, 50, 1, 0), (3, 100, 2, 1)], [(4, 145, 2, 0)], [(5, 1000, 3, 1)], [(6, 1001, 1, 1)]]:
+    for part in [[(1, 1000, 1, 1), (2, 1050, 1, 0), (3, 1100, 2, 1)], [(4, 1145, 2, 0)], [(5, 2000, 3, 1)], [(6, 2001, 1, 1)]]:
         events_at(spark, part).write.mode("append").parquet(folder)
         stream = spark.readStream.schema(events_at(spark, part).schema).parquet(folder)
         run = running.pass_rates(stream, gap_ms=60_000, late="1 seconds").writeStream.outputMode("update").foreachBatch(lambda b, _: got.extend(tuple(r) for r in b.collect()))
@@ -224,3 +225,157 @@ def test_items_close_by_timer_and_begin_anew(spark, tmp_path):
     closed = [g[:3] for g in got if g[3]]
     assert sorted(closed) == [(1, 2, 1), (2, 2, 1)]
     assert (1, 1, 1, False) in got  # after it was closed
+
+
+# batches and verdicts
+
+
+def numbers(spark, k, n=4):
+    return spark.range(n).select(F.lit(k).alias("k"), F.col("id").cast("int").alias("v"))
+
+
+def test_a_run_cut_before_its_commit_leaves_nothing(spark, tmp_path):
+    path, made = str(tmp_path / "b"), []
+    assert batches.committed(spark, path, "k int, v int").count() == 0 and batches.next_batch(spark, path) == 0
+
+    def make(k, broken=2):
+        made.append(k)
+        if k == broken:
+            batches.write_batch(numbers(spark, 99), path, k)
+            raise RuntimeError("cut off")
+        return numbers(spark, k)
+
+    with pytest.raises(RuntimeError):
+        batches.resumed(spark, path, 4, make)
+    assert sorted({r.batch for r in batches.committed(spark, path, "k int, v int").collect()}) == [0, 1]
+    assert batches.resumed(spark, path, 4, lambda k: make(k, None)) == [2, 3]
+    assert made == [0, 1, 2, 2, 3] and batches.resumed(spark, path, 4, make) == []
+    rows = batches.committed(spark, path, "k int, v int").collect()
+    assert sorted((r.k, r.v, r.batch) for r in rows) == [(k, v, k) for k in range(4) for v in range(4)]
+
+
+def test_a_batch_is_committed_once(spark, tmp_path):
+    path = str(tmp_path / "b")
+    folders = [batches.write_batch(numbers(spark, k), path, 0) for k in (1, 2)]
+    batches.commit(spark, path, 0, folders[0])
+    with pytest.raises(batches.Taken):
+        batches.commit(spark, path, 0, folders[1])
+    assert {r.k for r in batches.committed(spark, path, "k int, v int").collect()} == {1}
+    batches.commit(spark, path, 2, folders[1])
+    assert batches.next_batch(spark, path) == 1 and {(r.k, r.batch) for r in batches.committed(spark, path, "k int, v int").collect()} == {(1, 0), (2, 2)}
+
+
+def test_verdicts_are_computed_once(spark, tmp_path):
+    path, seen = str(tmp_path / "v"), []
+    rows = [(1, "a", "t"), (2, "a", "t"), (3, "b", "t"), (4, "a", "u"), (5, None, None), (6, "", "")]
+    attempts = spark.createDataFrame(rows, "item int, code string, tests string")
+
+    def execute(new, breaks=False):
+        asked = sorted((r.code or "", r.tests or "") for r in new.collect())
+        if breaks and seen:
+            raise RuntimeError("cut off")
+        seen.extend(asked)
+        return new.withColumns({"passing": F.coalesce("code", F.lit("")) == "a", "output": F.concat(F.coalesce("code", F.lit("")), F.lit("!"))})
+
+    with pytest.raises(RuntimeError):
+        verdicts.with_verdicts(attempts, path, lambda n: execute(n, True), parts=7)
+    first = len(seen)
+    assert 0 < first < 4
+    out = verdicts.with_verdicts(attempts, path, execute, parts=3).collect()
+    assert sorted(seen) == sorted({(c or "", t or "") for _, c, t in rows})  # nothing twice
+    assert sorted((r["item"], r.passing, r.output) for r in out) == [(i, c == "a", f"{c or ''}!") for i, c, _ in rows]
+    verdicts.with_verdicts(attempts, path, lambda n: 1 / 0)
+    assert verdicts.with_verdicts(attempts.limit(0), path, lambda n: 1 / 0).count() == 0
+
+
+# sketches
+
+
+def test_sketches_by_file_and_their_unions(spark, tmp_path):
+    folder, store = str(tmp_path / "in"), str(tmp_path / "s")
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), rng.randint(0, 20_000) if rng.random() < 0.9 else None, rng.gauss(0, 1)) for _ in range(60_000)]
+    spark.createDataFrame(rows[:40_000], "g string, k long, v double").repartition(3).write.parquet(folder)
+    assert sketches.refresh(spark.read.parquet(folder), store, ["g"], "k", "v") == 3
+    assert sketches.refresh(spark.read.parquet(folder), store, ["g"], "k", "v") == 0
+    spark.createDataFrame(rows[40_000:], "g string, k long, v double").repartition(2).write.mode("append").parquet(folder)
+    scan = spark.read.parquet(folder)
+    assert sketches.refresh(scan, store, ["g"], "k", "v") == 2
+    by_group = sketches.rolled_up(sketches.stored(scan, store, ["g"]), ["g"])
+    whole = sketches.rolled_up(by_group, [])
+    for frame, groups in ((by_group, "ab"), (whole, ["ab"])):
+        for r, g in zip(sorted(frame.select("*", sketches.distinct().alias("d"), *[sketches.quantile(q).alias(f"q{q}") for q in (0.05, 0.5, 0.95)]).collect(), key=lambda r: r.asDict().get("g", "")), groups, strict=True):
+            mine = [x for x in rows if x[0] in g]
+            assert r.n == len(mine)
+            exact = len({x[1] for x in mine} - {None})
+            assert abs(r.d - exact) <= 0.05 * exact
+            for q in (0.05, 0.5, 0.95):
+                assert abs(sum(x[2] <= r[f"q{q}"] for x in mine) / len(mine) - q) <= 0.03
+    assert sketches.rolled_up(sketches.stored(scan, str(tmp_path / "none"), ["g"]), ["g"]).count() == 0
+
+
+# as of
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 16])
+def test_as_of_against_a_scan(spark, partitions):
+    rng = random.Random(partitions)
+    log = [(rng.choice([0, 0, 0, 1, 2, None]), rng.choice([rng.randint(0, 300), None]), rng.choice([rng.random(), None])) for _ in range(250)] + [(5, 1, 0.5)]
+    rows = [(k, rng.choice([0, 0, 1, 3, None]), rng.choice([rng.randint(-20, 320), rng.randint(-20, 320), None])) for k in range(300)] + [(900 + k, 5, 7) for k in range(200)] + [(1, 0, 50), (1, 0, 50)]
+    low = lambda v: (v is not None, v or 0)
+    want = []
+    for k, s, t in rows:
+        known = [(x[1], low(x[2]), x[2]) for x in log if s is not None and t is not None and x[0] == s and x[1] is not None and x[1] <= t]
+        best = max(known, default=None, key=lambda x: x[:2])
+        want.append((k, s, t, best and best[0], best and best[2]))
+    out = asof.last_at_or_before(spark.createDataFrame(rows, "k int, s int, t int"), spark.createDataFrame(log, "s int, t int, v double"), "s", "t", ["v"], partitions)
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == sorted(want, key=repr)
+    empty = spark.createDataFrame([], "s int, t int, v double")
+    assert {(r.log_step, r.v) for r in asof.last_at_or_before(spark.createDataFrame(rows, "k int, s int, t int"), empty, "s", "t", ["v"]).collect()} == {(None, None)}
+
+
+# shapes and lattices
+
+
+def test_inventory_of_nested_and_mixed_json(spark):
+    texts = ['{"a": 1, "b": [1, "x", null, {"c": [[true]]}]}', '{"a": "s", "b": {}, "a b": 1.5}', "[]", "3", "null", '"t"', "{", "", None, '{"a": 12345678901234567890}', '{"b": []}']
+    want = {}
+
+    def walk(v, path):
+        kind = "object" if isinstance(v, dict) else "array" if isinstance(v, list) else "string" if isinstance(v, str) else "null" if v is None else "boolean" if isinstance(v, bool) else "integer" if isinstance(v, int) and abs(v) < 1 << 63 else "number"
+        want[path, kind] = want.get((path, kind), 0) + 1
+        for k, x in v.items() if isinstance(v, dict) else []:
+            walk(x, f"{path}.{k}")
+        for x in v if isinstance(v, list) else []:
+            walk(x, f"{path}[*]")
+
+    for t in texts:
+        if t is not None:
+            try:
+                walk(json.loads(t), "$")
+            except ValueError:
+                want["$", "broken"] = want.get(("$", "broken"), 0) + 1
+    rows = spark.createDataFrame([(t,) for t in texts], "x string")
+    assert {(r.path, r.type): r.n for r in shape.json_inventory(rows, "x").collect()} == want
+    assert shape.json_inventory(rows.limit(0), "x").collect() == []
+
+
+@pytest.mark.parametrize(("w", "h", "sigma"), [(1, 1, 1.0), (3, 2, 1.0), (9, 5, 1.7)])
+def test_smoothing_against_plain_sums(spark, w, h, sigma):
+    rng = random.Random(w)
+    grid = {(x, y): rng.random() for x in range(w) for y in range(h)}
+    weights = shape.gaussian_weights(sigma)
+    r = len(weights) // 2
+    assert math.isclose(sum(weights), 1)
+
+    def mirrored(i, n):
+        i %= 2 * n
+        return i if i < n else 2 * n - 1 - i
+
+    for axis, n in ((0, w), (1, h)):
+        grid = {c: sum(wt * grid[(mirrored(c[0] + k - r, n), c[1]) if axis == 0 else (c[0], mirrored(c[1] + k - r, n))] for k, wt in enumerate(weights)) for c in grid}
+    rng = random.Random(w)
+    cells = spark.createDataFrame([(x, y, rng.random()) for x in range(w) for y in range(h)], "x int, y int, v double")
+    got = {(c.x, c.y): c.v for c in shape.smoothed(cells, "x", "y", "v", w, h, sigma).collect()}
+    assert all(math.isclose(got[c], v) for c, v in grid.items()) and len(got) == len(grid)
+    assert shape.smoothed(cells.where("x > 0 or y > 0"), "x", "y", "v", w, h, sigma).where("v is null").count() > 0
