@@ -24,9 +24,13 @@ def docstring_prompt(question, code=None) -> Column:
     return py_strip(F.concat(F.lit(QUOTES + NL), shown, F.lit(NL + QUOTES + NL), F.coalesce(_c(code), F.lit("")) if code is not None else F.lit("")))
 
 
+#: Fixed value: what parts a program from its evolved form in a prompt.
+EVOLVED = "# ==== EVOLVED CODE ===="
+
+
 def evolution_prompt(before, after=None) -> Column:
     tail = _c(after) if after is not None else F.lit("")
-    return py_strip(F.concat(_c(before), F.lit(NL + "# ==== EVOLVED CODE ====" + NL), tail))
+    return py_strip(F.concat(_c(before), F.lit(NL + EVOLVED + NL), tail))
 
 
 #: Fixed value: what starts each program of a few-shot prompt.
@@ -277,7 +281,8 @@ def same_output(actual, expected) -> Column:
     la, le = F.when(differ, solid(la)).otherwise(la), F.when(differ, solid(le)).otherwise(le)
 
     def alike(x: Column, y: Column) -> Column:
-        gap = F.abs(x.try_cast("double") - y.try_cast("double"))
+        number = lambda v: F.when(~v.rlike(r"[0-9.][dDfF]$"), v).try_cast("double")  # noqa: E731  a type's letter is no part of a number
+        gap = F.abs(number(x) - number(y))
         return F.coalesce((F.lower(x) == F.lower(y)) | (~F.isnan(gap) & (gap < 1e-4)), F.lit(False))
 
     by_line = (F.size(la) == F.size(le)) & F.forall(F.zip_with(la, le, alike), lambda x: x)

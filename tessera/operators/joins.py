@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.lineage import checkpoint
+
 
 FEW = 1000
 
@@ -31,27 +33,55 @@ def rows_not_in(b: DataFrame, a: DataFrame, key: str) -> DataFrame:
     return b.join(a.select(key).distinct(), key, "left_anti")
 
 
-def contains_any(docs: DataFrame, items: DataFrame, text: str, phrase: str, most_short: int = 10_000) -> DataFrame:
+def contains_any(docs: DataFrame, items: DataFrame, text: str, phrase: str) -> DataFrame:
     """Documents that hold one of the phrases as a substring, each row once.
 
-    A phrase's inner words (all but its first and last) stand as whole words in any text that holds it, so the longest
-    of them joins phrases to the words of the texts, and only what it joins is searched. The join's side of phrases is
-    broadcast if the planner sees that it is small. Phrases of one or two words have no inner word; they are counted and
-    tried on every text in slices of bounded size."""
+    A phrase's inner words (all but its first and last) stand as whole words in any text that holds it. They are counted in the
+    texts, a phrase is keyed by its rarest inner word, and only a text's hash travels with its words; texts are fetched for what
+    is left, the candidates. A phrase without an inner word is keyed by the words of the texts that its first or last word may be a
+    part of. Texts are told apart by 128 bits of hash."""
+    key = ["__a", "__b"]
+    texts = docs.where(F.col(text).isNotNull()).select(F.xxhash64(text).alias("__a"), F.xxhash64(F.lit(1), F.reverse(text)).alias("__b"), F.col(text).alias("__t"))
+    said = texts.select(*key, F.explode(F.array_distinct(F.split("__t", r"\s+"))).alias("__w"))
     phrases = items.select(F.col(phrase).alias("__p")).where("__p is not null").distinct()
-    words = F.split("__p", r"\s+")
-    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = phrases.select("__p", longest.alias("__w"))
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    spoken = numbered.withColumn("__w", F.explode(F.array_distinct(F.split(text, r"\s+"))))
-    found = spoken.join(keyed.where("__w is not null"), "__w").where(F.col(text).contains(F.col("__p"))).drop("__w", "__p")
-    short = keyed.where("__w is null").select("__p")
-    slices = -(-short.count() // most_short)
-    for s in range(slices):
-        listed = short.where(F.expr(f"pmod(xxhash64(__p), {slices}) = {s}")).agg(F.collect_list("__p").alias("__l"))
-        found = found.unionByName(numbered.crossJoin(F.broadcast(listed)).where(F.exists("__l", lambda p: F.col(text).contains(p))).drop("__l"))  # one row, of bounded size
-    return found.dropDuplicates(["__row"]).select(*docs.columns)
+    parts = F.split("__p", r"\s+")
+    every = checkpoint(phrases.select("__p", parts.alias("__parts"), F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))).alias("__inner")))
+    inner = every.select("__p", F.explode("__inner").alias("__w"))
+    short = every.where(F.size("__inner") == 0)
+    if not short.isEmpty():
+        blank = texts.select(*key, F.explode(F.array_distinct(F.regexp_extract_all("__t", F.lit(r"(\s+)"), F.lit(1)))).alias("__w"))
+        said = said.unionByName(blank)  # for phrases of nothing but blanks
+        inner = inner.unionByName(_parts_of_words(said, short))
+    counts = checkpoint(said.join(inner.select("__w").distinct(), "__w", "left_semi").groupBy("__w").agg(F.count("*").alias("__n")))
+    long = every.where(F.size("__inner") > 0).select("__p")
+    ranked = inner.join(counts, "__w", "left")
+    rarest = ranked.join(long, "__p", "left_semi").groupBy("__p").agg(F.min(F.struct(F.coalesce("__n", F.lit(0)).alias("n"), F.col("__w").alias("w"))).alias("r"))
+    keyed = rarest.where("r.n > 0").select("__p", F.col("r.w").alias("__w"), F.col("r.n").alias("__n"))  # a word that no text has rules its phrase out
+    keyed = keyed.unionByName(ranked.where("__n is not null").join(short, "__p", "left_semi").select("__p", "__w", "__n"))
+    side = keyed.groupBy("__w").agg(F.collect_set("__p").alias("__ps"), F.max("__n").alias("__n"))
+    pairs = skewed_join(said, side, ["__w"], "__n", said.count()).select(*key, F.explode("__ps").alias("__p")).distinct()
+    held = texts.join(pairs, key).where(F.col("__t").contains(F.col("__p"))).select(*key).distinct()
+    if not every.where("__p = ''").isEmpty():
+        held = texts.select(*key).distinct()  # every text holds the empty phrase
+    named = docs.withColumns({"__a": F.xxhash64(text), "__b": F.xxhash64(F.lit(1), F.reverse(text))}).where(F.col(text).isNotNull())
+    return named.join(held, key, "left_semi").drop(*key)
+
+
+def _parts_of_words(said: DataFrame, short: DataFrame) -> DataFrame:
+    """(phrase, word) for phrases of one or two words: of two, the words that end with the first, or begin with the second if the first is
+    empty; else those that hold the one. Distinct words offer their parts of the lengths that are asked for, so this is an equi-join."""
+    first, last = F.get("__parts", F.lit(0)), F.get("__parts", F.size("__parts") - 1)
+    kind = F.when((first == "") & (last == ""), "inside").when(F.size("__parts") == 1, "inside").when(first != "", "tail").otherwise("head")
+    asked = short.select("__p", kind.alias("__kind"), F.when((first == "") & (last == ""), F.col("__p")).when(first != "", first).otherwise(last).alias("__x")).where("__p <> ''")
+    asked = asked.withColumn("__l", F.length("__x"))
+    lengths = asked.groupBy("__kind").agg(F.collect_set("__l").alias("__ls"))  # three rows
+    listed = [F.struct(F.lit(r["__kind"]).alias("k"), F.lit(sorted(r["__ls"])).alias("ls")) for r in lengths.collect()]
+    cut = said.select("__w").distinct().select("__w", F.explode(F.array(*listed)).alias("__k")).select("__w", F.col("__k.k").alias("__kind"), F.col("__k.ls").alias("__ls")).select("__w", "__kind", F.explode("__ls").alias("__l")).where(F.length("__w") >= F.col("__l"))
+    tails = F.array(F.expr("right(__w, __l)"))
+    heads = F.array(F.expr("left(__w, __l)"))
+    inside = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("__w") - F.col("__l") + 1), lambda i: F.substring("__w", i, F.col("__l"))))
+    offered = cut.select("__w", "__kind", F.explode(F.when(F.col("__kind") == "tail", tails).when(F.col("__kind") == "head", heads).otherwise(inside)).alias("__x"))
+    return offered.join(asked, ["__kind", "__x"]).select("__p", "__w").distinct()
 
 
 def merge_solutions(synthetic: DataFrame, natural: DataFrame, key: str, solutions: str, order: str) -> DataFrame:

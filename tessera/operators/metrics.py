@@ -42,15 +42,18 @@ def pass_at_k_mean(attempts: DataFrame, k: int, by: list[str] | None = None) ->
 
 
 def pass_at_k_curve(attempts: DataFrame, most: int) -> DataFrame:
-    """Mean pass@k for k = 1..most, from the histogram of (n, c): its size does not depend on the items."""
-    kinds = item_counts(attempts).groupBy("n", "c").agg(F.count("*").alias("items"))
-    return kinds.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(most)))).groupBy("k").agg((F.sum(pass_at_k("n", "c", "k") * F.col("items")) / F.sum("items") * 100).alias("pass_at_k"))
+    """Mean pass@k for k = 1..most, from the histogram of (n, c): its size does not depend on the items. Null if an attempt
+    has no verdict."""
+    kinds = item_counts(attempts).groupBy("n", "c", "known").agg(F.count("*").alias("items"))
+    value = F.sum(pass_at_k("n", "c", "k") * F.col("items")) / F.sum("items") * 100
+    return kinds.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(most)))).groupBy("k").agg(F.when(F.bool_and("known"), value).alias("pass_at_k"))
 
 
 def pass_one_stderr(attempts: DataFrame) -> DataFrame:
-    """Mean and standard error, in per cent, of the pass rates of the attempt indexes."""
-    means = attempts.groupBy("idx").agg(F.avg(_hit()).alias("m"))
-    return means.agg((F.avg("m") * 100).alias("pass_one"), (F.stddev_pop("m") / F.sqrt(F.count("*")) * 100).alias("stderr"))
+    """Mean and standard error, in per cent, of the pass rates of the attempt indexes; null if an attempt has no verdict."""
+    means = attempts.groupBy("idx").agg(F.avg(_hit()).alias("m"), _known("passing").alias("known"))
+    all_known = F.bool_and("known")
+    return means.agg(F.when(all_known, F.avg("m") * 100).alias("pass_one"), F.when(all_known, F.stddev_pop("m") / F.sqrt(F.count("*")) * 100).alias("stderr"))
 
 
 def pass_one_by_item(attempts: DataFrame) -> DataFrame:
@@ -58,13 +61,17 @@ def pass_one_by_item(attempts: DataFrame) -> DataFrame:
 
     An index adds the sum of (passing - c / n) / n over the items that have it, divided by the items; the error is the
     root of the sum of their squares. If all items have n attempts, that is the deviation of the n indexes' pass rates
-    divided by the root of n."""
+    divided by the root of n. Null if an attempt has no verdict."""
     counts = item_counts(attempts)
     off = (_hit() - F.col("c") / F.col("n")) / F.col("n")
     by_index = attempts.select("item", "idx", "passing").join(counts, "item").groupBy("idx").agg(F.sum(off).alias("d"))
     spread = by_index.agg(F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("e")).withColumn("__one", F.lit(1))
-    mean = counts.agg(F.avg(F.col("c") / F.col("n")).alias("m"), F.count("*").alias("items")).withColumn("__one", F.lit(1))
-    return mean.join(spread, "__one").select((F.col("m") * 100).alias("pass_one"), (F.col("e") / F.col("items") * 100).alias("stderr"))
+    mean = counts.agg(F.avg(F.col("c") / F.col("n")).alias("m"), F.count("*").alias("items"), F.bool_and("known").alias("known")).withColumn("__one", F.lit(1))
+    return mean.join(spread, "__one").select(F.when(F.col("known"), F.col("m") * 100).alias("pass_one"), F.when(F.col("known"), F.col("e") / F.col("items") * 100).alias("stderr"))
+
+
+def _scored(attempts: DataFrame, score: str | Column) -> DataFrame:
+    return attempts.withColumn("__s", F.col(score) if isinstance(score, str) else score)
 
 
 def ranked(attempts: DataFrame, score: str | Column = "score", name: str = "rk") -> DataFrame:
@@ -87,56 +94,70 @@ def reranked_accuracy(attempts: DataFrame, k: int = 1, score: str | Column = "sc
 
 
 def reranked_curve(attempts: DataFrame, most: int, score: str | Column = "score") -> DataFrame:
-    """Accuracy for k = 1..most: an item is right from the rank of its best passing attempt on."""
-    first = ranked(attempts, score).groupBy("item").agg(F.min(F.when(_hit() == 1, F.col("rk"))).alias("first"))
-    kinds = first.groupBy("first").agg(F.count("*").alias("items"))
-    return kinds.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(most)))).groupBy("k").agg((F.sum(F.when(F.col("first") <= F.col("k"), F.col("items")).otherwise(0)) / F.sum("items") * 100).alias("accuracy"))
+    """Accuracy for k = 1..most: an item is right from the rank of its best passing attempt on. Null if an attempt lacks its
+    verdict or score."""
+    first = ranked(_scored(attempts, score), "__s").groupBy("item").agg(F.min(F.when(_hit() == 1, F.col("rk"))).alias("first"), _known("passing", "__s").alias("known"))
+    kinds = first.groupBy("first", "known").agg(F.count("*").alias("items"))
+    right = F.sum(F.when(F.col("first") <= F.col("k"), F.col("items")).otherwise(0)) / F.sum("items") * 100
+    return kinds.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(most)))).groupBy("k").agg(F.when(F.bool_and("known"), right).alias("accuracy"))
 
 
 def expected_best_of_n(attempts: DataFrame, sizes: list[int], score: str | Column = "score") -> DataFrame:
     """Expected accuracy of the best of n attempts drawn without replacement, exactly, for each n, and its deviation
-    from one drawing of all items to the next."""
-    whole = ranked(attempts, score).withColumn("size", F.count("*").over(Window.partitionBy("item")))
-    passing = whole.where(_hit() == 1).withColumn("n", F.explode(F.array(*map(F.lit, sizes)))).where("n <= size")
-    items = attempts.groupBy("item").agg(F.count("*").alias("size")).withColumn("n", F.explode(F.array(*map(F.lit, sizes)))).where("n <= size")
+    from one drawing of all items to the next. Null for an n if an attempt of an item that it draws from lacks its verdict or score."""
+    drawn = F.explode(F.array(*map(F.lit, sizes)))
+    whole = ranked(_scored(attempts, score), "__s").withColumn("size", F.count("*").over(Window.partitionBy("item")))
+    passing = whole.where(_hit() == 1).withColumn("n", drawn).where("n <= size")
+    items = _scored(attempts, score).groupBy("item").agg(F.count("*").alias("size"), _known("passing", "__s").alias("known")).withColumn("n", drawn).where("n <= size")
     chances = passing.groupBy("item", "n").agg(F.sum(draw_weight("rk", "size", "n")).alias("p"))
-    return items.join(chances, ["item", "n"], "left").withColumn("p", F.coalesce("p", F.lit(0.0))).groupBy("n").agg(
-        (F.avg("p") * 100).alias("accuracy"), (F.sqrt(F.sum(F.greatest(F.col("p") * (1 - F.col("p")), F.lit(0.0)))) / F.count("*") * 100).alias("std"))
+    every = items.join(chances, ["item", "n"], "left").withColumn("p", F.coalesce("p", F.lit(0.0)))
+    spread = F.sqrt(F.sum(F.greatest(F.col("p") * (1 - F.col("p")), F.lit(0.0)))) / F.count("*") * 100
+    return every.groupBy("n").agg(F.when(F.bool_and("known"), F.avg("p") * 100).alias("accuracy"), F.when(F.bool_and("known"), spread).alias("std"))
 
 
 def expected_grid(attempts: DataFrame, ks: list[int], sizes: list[int], score: str | Column = "score") -> DataFrame:
     """Expected share of items with a passing attempt among the k best of n drawn, for every k <= n <= attempts.
 
-    1 - sum over failing attempts r of C(f, k-1) * C(N-r, n-k) / C(N, n), with f failing attempts ranked above r."""
+    1 - sum over failing attempts r of C(f, k-1) * C(N-r, n-k) / C(N, n), with f failing attempts ranked above r. The sum is
+    linear, so failing attempts collapse to a histogram of (r, f, N) before they meet the cells. Null for a cell if an attempt of an
+    item that it draws from lacks its verdict or score."""
     above = Window.partitionBy("item").orderBy("rk").rowsBetween(Window.unboundedPreceding, -1)
-    whole = ranked(attempts, score).withColumn("size", F.count("*").over(Window.partitionBy("item")))
+    scored = _scored(attempts, score)
+    whole = ranked(scored, "__s").withColumn("size", F.count("*").over(Window.partitionBy("item")))
     failing = whole.withColumn("f", F.coalesce(F.sum(1 - _hit()).over(above), F.lit(0))).where(_hit() == 0)
+    kinds = failing.groupBy("rk", "f", "size").agg(F.count("*").alias("m"))
     cells = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("n")) for k in ks for n in sizes if k <= n]))
-    crossed = failing.select("item", "rk", "f", "size", cells.alias("cell")).select("item", "rk", "f", "size", "cell.*").where("n <= size")
+    crossed = kinds.select("*", cells.alias("cell")).select("rk", "f", "size", "m", "cell.*").where("n <= size")
     lost = F.exp(log_binomial(F.col("f"), F.col("k") - 1) + log_binomial(F.col("size") - F.col("rk"), F.col("n") - F.col("k")) - log_binomial(F.col("size"), F.col("n")))
-    missed = crossed.groupBy("item", "k", "n").agg(F.sum(F.coalesce(lost, F.lit(0.0))).alias("missed"))
-    items = attempts.groupBy("item").agg(F.count("*").alias("size")).select("item", "size", cells.alias("cell")).select("item", "size", "cell.*").where("n <= size")
-    return items.join(missed, ["item", "k", "n"], "left").groupBy("k", "n").agg((F.avg(1 - F.coalesce("missed", F.lit(0.0))) * 100).alias("accuracy"))
+    missed = crossed.groupBy("k", "n").agg(F.sum(F.coalesce(lost, F.lit(0.0)) * F.col("m")).alias("missed"))
+    items = scored.groupBy("item").agg(F.count("*").alias("size"), _known("passing", "__s").alias("known")).groupBy("size", "known").agg(F.count("*").alias("m"))
+    there = items.select("*", cells.alias("cell")).select("size", "known", "m", "cell.*").where("n <= size").groupBy("k", "n").agg(F.sum("m").alias("items"), F.bool_and("known").alias("known"))
+    return there.join(missed, ["k", "n"], "left").select("k", "n", F.when(F.col("known"), (1 - F.coalesce("missed", F.lit(0.0)) / F.col("items")) * 100).alias("accuracy"))
 
 
 def sampled_best_of_n(attempts: DataFrame, n: int, k: int = 1, draws: int = 25, seed: int = 42, score: str = "score") -> DataFrame:
-    """Monte-Carlo form: mean and population deviation over draws of n attempts by a hashed order."""
+    """Monte-Carlo form: mean and population deviation over draws of n attempts by a hashed order. Null if an attempt lacks
+    its verdict or score."""
+    known = attempts.agg(_known("passing", score).alias("known"))  # one row
     drawn = attempts.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
     drawing = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col("item").cast("string"), F.col("idx").cast("string")).cast("binary"))
     order = Window.partitionBy("draw", "item").orderBy(drawing, "idx")
     kept = drawn.withColumn("o", F.row_number().over(order)).where(F.col("o") <= n)
     best = Window.partitionBy("draw", "item").orderBy(F.col(score).desc_nulls_last(), "o")
     hits = kept.withColumn("rk", F.row_number().over(best)).where(F.col("rk") <= k).groupBy("draw", "item").agg(F.max(_hit()).alias("hit"))
-    return hits.groupBy("draw").agg(F.avg("hit").alias("m")).agg((F.avg("m") * 100).alias("accuracy"), (F.stddev_pop("m") * 100).alias("std"))
+    means = hits.groupBy("draw").agg(F.avg("hit").alias("m")).agg((F.avg("m") * 100).alias("accuracy"), (F.stddev_pop("m") * 100).alias("std"))
+    both = means.withColumn("__one", F.lit(1)).join(known.withColumn("__one", F.lit(1)), "__one")
+    return both.select(*[F.when(F.col("known"), F.col(c)).alias(c) for c in ("accuracy", "std")])
 
 
 def public_accuracy(attempts: DataFrame, n: int, k: int = 1) -> DataFrame:
     """Of the first n attempts those that pass the public tests come first, in order; share of items with a passing
-    one among the first k. Items weigh as many attempts as they have among the first n."""
+    one among the first k. Items weigh as many attempts as they have among the first n. Null if one of those lacks a
+    verdict, public or not."""
     order = Window.partitionBy("item").orderBy(_hit("passing_public").desc(), "idx")
     best = attempts.where(F.col("idx") <= n).withColumn("rk", F.row_number().over(order))
-    by_item = best.groupBy("item").agg(F.max(F.when(F.col("rk") <= k, _hit()).otherwise(0)).alias("hit"), F.count("*").alias("weight"))
-    return by_item.agg((F.sum(F.col("hit") * F.col("weight")) / F.sum("weight") * 100).alias("accuracy"))
+    by_item = best.groupBy("item").agg(F.max(F.when(F.col("rk") <= k, _hit()).otherwise(0)).alias("hit"), F.count("*").alias("weight"), _known("passing", "passing_public").alias("known"))
+    return by_item.agg(F.when(F.bool_and("known"), F.sum(F.col("hit") * F.col("weight")) / F.sum("weight") * 100).alias("accuracy"))
 
 
 def report(attempts: DataFrame, k: int, n: int, by: list[str] | None = None, score: str | Column = "score") -> DataFrame:

@@ -30,8 +30,12 @@ def hash_order(seed: int | str, *keys: str | Column) -> Column:
 
 
 def first_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(order)
-    return rows.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+    """The first row of each key, nulls in the order first; of several at the same place the least by a hash of their other columns.
+    Partial minima come before the shuffle, so a key that is everywhere sends a row a task."""
+    others = [c for c in rows.columns if c not in (key, order)]
+    ties = [F.xxhash64(*others)] if others else []
+    kept = rows.groupBy(key).agg(F.min_by(F.struct(order, *others), F.struct(order, *ties)).alias("__r"))
+    return kept.select(*[F.col(c) if c == key else F.col(f"__r.`{c}`") for c in rows.columns])
 
 
 def last_wins(rows: DataFrame, key: str, order: str, position: str = "position") -> DataFrame:

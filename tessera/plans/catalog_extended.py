@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from tessera import fixtures as X
 from tessera.operators import asof as Z
+from tessera.operators import metrics as M
 from tessera.operators import near_duplicates as N
 from tessera.operators import shape as H
 from tessera.operators import sketches as K
 from tessera.operators import verdicts as Y
+from tessera.plans import pipelines as P
 from tessera.plans.catalog import A, _rounded, _streamed, query
 from tessera.plans.catalog_sources import _documents
 from tessera.plans.lineage import scratch
@@ -211,3 +213,47 @@ def grid_smoothed(spark, d):
 def grid_smoothed_percentiles(spark, d):
     """The bounds of the contour levels: the 15th percentile and the maximum of the smoothed grid."""
     return _rounded(_lattice(spark, d).agg(F.percentile("v", F.lit(0.15)).alias("low"), F.max("v").alias("high")), "low", "high")
+
+
+# figures over attempts without a verdict, trainer's rows, runs below a folder
+
+
+@query("select name, cast(null as double) as lacking, true as whole_is_known from (select unnest(['pass_at_k_curve', 'pass_one_stderr', 'pass_one_by_item', 'reranked_curve', 'expected_best_of_n', 'expected_grid', 'sampled_best_of_n', 'public_accuracy', 'pass_at_k_mean', 'reranked_accuracy']) as name)")
+def figures_without_verdicts(spark, d):
+    """Each figure over attempts of which those of one item lack their verdict, and over whole ones."""
+    whole = X.attempts(spark, d)
+    parts = whole.withColumn("passing", F.when(F.col("item") != 3, F.col("passing")))
+    figures = {
+        "pass_at_k_curve": lambda a: M.pass_at_k_curve(a, 3).agg(F.max("pass_at_k").alias("v")), "pass_one_stderr": lambda a: M.pass_one_stderr(a).select(F.col("stderr").alias("v")),
+        "pass_one_by_item": lambda a: M.pass_one_by_item(a).select(F.col("pass_one").alias("v")), "reranked_curve": lambda a: M.reranked_curve(a, 3).agg(F.max("accuracy").alias("v")),
+        "expected_best_of_n": lambda a: M.expected_best_of_n(a, [1, 2]).agg(F.max("accuracy").alias("v")), "expected_grid": lambda a: M.expected_grid(a, [1], [2]).select(F.col("accuracy").alias("v")),
+        "sampled_best_of_n": lambda a: M.sampled_best_of_n(a, 2, draws=2).select(F.col("accuracy").alias("v")), "public_accuracy": lambda a: M.public_accuracy(a, 20).select(F.col("accuracy").alias("v")),
+        "pass_at_k_mean": lambda a: M.pass_at_k_mean(a, 2).select(F.col("pass_at_k").alias("v")), "reranked_accuracy": lambda a: M.reranked_accuracy(a).select(F.col("accuracy").alias("v")),
+    }
+    out = None
+    for name, figure in figures.items():
+        both = figure(parts).select(F.lit(name).alias("name"), F.col("v").alias("lacking")).join(figure(whole).select(F.lit(name).alias("name"), F.col("v").isNotNull().alias("whole_is_known")), "name")
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
+_WORDS = "w as (select conv_id, turn, regexp_extract_all(text, '\\w+|[^\\w\\s]') as ws from conversations), v as (select word, row_number() over (order by n desc, word) as id from (select unnest(ws) as word, count(*) as n from w group by 1 order by n desc, word limit 300))"
+
+
+@query(f"with {_WORDS}, i as (select conv_id, turn, unnest(ws) as word, generate_subscripts(ws, 1) as pos from w where len(ws) <= 60), j as (select conv_id, turn, list(coalesce(v.id, 0) order by pos) as ids from i left join v using (word) group by all) select w.conv_id, w.turn, coalesce(array_to_string(ids, ' '), '') as input_ids, cast(len(ws) as integer) as lengths from w left join j using (conv_id, turn) where len(ws) <= 60")
+def encoded_prompts(spark, d):
+    c = X.table(spark, d, "conversations")
+    rows = P.encoded_rows(c, P.word_vocabulary(c, "text", 300), ["conv_id", "turn"], 60, "text")
+    return rows.select("conv_id", "turn", F.array_join(F.transform("input_ids", lambda i: i.cast("string")), " ").alias("input_ids"), "lengths")
+
+
+@query(f"{A}, i as (select item, cast(item % 2 + 1 as integer) as run, cast(100 * (item % 3) as integer) as checkpoint, count(*) as n from attempts group by item) select run, checkpoint, 'm' as model, count(*) as items, cast(sum(n) as bigint) as attempts from i group by all")
+def runs_read(spark, d):
+    """A document for each run and checkpoint, below folders that are named by them."""
+    root, items = scratch(spark, "runs"), X.result_items(spark, d)
+    number = F.substring("unique_name", 2, 20).cast("long")
+    for run in (1, 2):
+        for step in (0, 1, 2):
+            R.write_document(items.where((number % 2 + 1 == run) & (number % 3 == step)), {"model": "m"}, f"{root}/run_{run}/checkpoint-{100 * step}_m.json")
+    rows = R.read_runs(spark, root, "part-*").select("run", "checkpoint", "model", F.explode("items").alias("i"))
+    return rows.groupBy("run", "checkpoint", "model").agg(F.count("*").alias("items"), F.sum(F.size("i.results")).alias("attempts"))

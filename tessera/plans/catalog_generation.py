@@ -101,9 +101,10 @@ def rephrased_questions(spark, d):
     return J.to_rows(E.rephrase(p, E.echo_generator).select("row_idx", "rephrased"), "rephrased", name="rephrased").select("row_idx", "idx", "rephrased")
 
 
-@query(f"select conv_id, turn, md5({_doc('text')} || case when turn % 2 = 0 then '' else chr(10) || 'x = 1' end) as prompt, case when turn % 2 = 0 then '' else chr(10) || 'x = 1' end as response from conversations where not contains(text, {_Q})")
+@query(f"with c as (select *, {_doc('text', "case when turn % 2 = 0 then '' else 'x = 1' end")} as c from conversations), p as (select *, array_to_string(string_split(c, {_Q})[1:2], {_Q}) || {_Q} as p from c) select conv_id, turn, md5(c) as prompt, substr(c, length(p) + 1) as response from p")
 def prompt_response_split(spark, d):
-    c = X.table(spark, d, "conversations").where(~F.col("text").contains(text.QUOTES))
+    """A text's own triple quotes are escaped and still end the prompt: what follows them is the response."""
+    c = X.table(spark, d, "conversations")
     content = text.docstring_prompt("text", F.when(F.col("turn") % 2 == 0, "").otherwise(F.lit("x = 1")))
     prompt, response = text.prompt_and_response("content")
     return c.withColumn("content", content).select("conv_id", "turn", text.md5_hex(F.concat(prompt, response)).alias("prompt"), response.alias("response"))
@@ -123,9 +124,11 @@ def loss_marks(spark, d):
     return c.select("conv_id", "turn", text.md5_hex(marked).alias("marked"), text.md5_hex(text.unmarked(marked)).alias("back"), text.md5_hex(text.escaped_question("text", starter)).alias("escaped"))
 
 
-@query("select conv_id, turn, case when turn % 3 = 0 then true when turn % 3 = 1 then false end as verdict, case when turn % 3 < 2 then md5(text) end as why from conversations where not contains(text, chr(10)) and trim(text) <> ''")
+@query("""with a as (select *, case turn % 3 when 0 then 'Yes.' || chr(10) || chr(10) || text when 1 then chr(10) || 'no way' || chr(10) || text else 'yes' end as a from conversations),
+l as (select *, list_filter(string_split(a, chr(10)), lambda x: trim(x, ' ') <> '') as l from a)
+select conv_id, turn, case when len(l) < 2 then null when starts_with(lower(trim(l[1], ' ')), 'yes') then true when starts_with(lower(trim(l[1], ' ')), 'no') then false end as verdict, case when len(l) > 1 then md5(array_to_string(l[2:], chr(10))) end as why from l""")
 def verdict_answers(spark, d):
-    c = X.table(spark, d, "conversations").where(~F.col("text").contains("\n") & (F.trim("text") != ""))
+    c = X.table(spark, d, "conversations")
     shown = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Yes.\n\n"), "text")).when(F.col("turn") % 3 == 1, F.concat(F.lit("\nno way\n"), "text")).otherwise(F.lit("yes"))
     verdict, why = text.verdict(shown)
     return c.select("conv_id", "turn", verdict.alias("verdict"), text.md5_hex(why).alias("why"))
@@ -375,9 +378,9 @@ def sft_random_marked(spark, d):
     return rows.select("item", "idx", text.md5_hex("content").alias("content"))
 
 
-@query(f"with {_LISTED} select item, cast(idx as integer) as idx, md5({_doc('question', 'code')}) as both from s join q using (item) where not contains(question, {_Q})")
+@query(f"with {_LISTED} select item, cast(idx as integer) as idx, md5({_doc('question', 'code')}) as both from s join q using (item)")
 def sft_all_split(spark, d):
-    p = _lists(spark, d).where(~F.col("question").contains(text.QUOTES))
+    p = _lists(spark, d)
     return P.training_rows(p, "all", split_response=True).select("item", "idx", text.md5_hex(F.concat("prompt", "response")).alias("both"))
 
 
@@ -417,11 +420,32 @@ def dpo_random(spark, d):
 
 @query("with p as (select doc_id, text, md5('42:' || doc_id) as position, row_number() over (partition by text order by doc_id) as r from documents where text is not null) select doc_id, position, md5(" + _doc("replace(text, '\\', '\\\\')") + " || chr(10)) as prompt from p where r = 1 and len(regexp_extract_all(text, '\\w+|[^\\w\\s]')) < 300")
 def rl_prompts(spark, d):
-    p = X.table(spark, d, "documents").select(F.col("doc_id").alias("row_idx"), F.col("text").alias("question"), F.lit("").alias("starter_code"), F.col("lang").alias("difficulty"), F.lit("{}").alias("input_output"), F.col("doc_id").alias("solutions")).where("question is not null")
-    out = P.prompt_rows(p, 300, curriculum=False)
+    out = P.prompt_rows(_questions(spark, d, F.col("lang")), 300, curriculum=False)
     return out.select(F.col("solutions").alias("doc_id"), "position", text.md5_hex("prompt").alias("prompt"))
 
 
+def _questions(spark, d, difficulty):
+    p = X.table(spark, d, "documents").where("text is not null")
+    return p.select(F.col("doc_id").alias("row_idx"), F.col("text").alias("question"), F.lit("").alias("starter_code"), difficulty.alias("difficulty"), F.lit("{}").alias("input_output"), F.col("doc_id").alias("solutions"))
+
+
+@query(
+    """with recursive p as (select doc_id, text, ['EASY', 'MEDIUM', 'MEDIUM_HARD', 'HARD', 'VERY_HARD', 'UNKNOWN_DIFFICULTY', 'OTHER'][doc_id % 7 + 1] as difficulty, row_number() over (partition by text order by doc_id) as r from documents where text is not null),
+e as (select * from p where r = 1 and len(regexp_extract_all(text, '\\w+|[^\\w\\s]')) < 300),
+k as (select doc_id, row_number() over (order by list_position(['EASY', 'MEDIUM', 'MEDIUM_HARD', 'HARD', 'VERY_HARD'], difficulty), doc_id) as r from e where difficulty not in ('UNKNOWN_DIFFICULTY', 'OTHER')),
+u as (select doc_id, row_number() over (order by doc_id) - 1 as i from e where difficulty = 'UNKNOWN_DIFFICULTY'),
+n as (select (select count(*) from k) as known, (select count(*) from u) as unknown),
+grown as (select cast(0 as bigint) as i, coalesce((select list(doc_id order by r) from k), []) as rows
+  union all select g.i + 1, rows[1:g.i * ((known + g.i) // unknown)] || [u.doc_id] || rows[g.i * ((known + g.i) // unknown) + 1:] from grown g join u on u.i = g.i, n),
+last as (select arg_max(rows, i) as rows from grown)
+select doc_id, difficulty, cast(list_position(rows, doc_id) - 1 as bigint) as position from e, last where difficulty <> 'OTHER'"""
+)
+def rl_prompts_curriculum(spark, d):
+    kinds = F.array(*map(F.lit, [*P.ORDER, "UNKNOWN_DIFFICULTY", "OTHER"]))
+    out = P.prompt_rows(_questions(spark, d, F.get(kinds, (F.col("doc_id") % 7).cast("int"))), 300)
+    return out.select(F.col("solutions").alias("doc_id"), "difficulty", F.col("position").cast("long").alias("position"))
+
+
 @query("select conv_id, turn, len(regexp_extract_all(text, '\\w+|[^\\w\\s]')) as lengths from conversations where len(regexp_extract_all(text, '\\w+|[^\\w\\s]')) <= 20")
 def token_filtered(spark, d):
     c = X.table(spark, d, "conversations").withColumn("prompt", F.col("text"))

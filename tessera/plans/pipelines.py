@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import pyudfs, text
@@ -63,6 +63,28 @@ def token_rows(prompts: DataFrame, length: Length, most: int) -> DataFrame:
     return prompts.withColumn("lengths", length(F.col("prompt"))).where(F.col("lengths") <= most)
 
 
+def word_vocabulary(texts: DataFrame, column: str, most: int, pattern: str = r"\w+|[^\w\s]") -> DataFrame:
+    """(word, id, n): the `most` most frequent words of a text column, ids from 1 by falling count, then by word. Bounded by `most`."""
+    words = texts.select(F.explode(F.regexp_extract_all(column, F.lit(f"({pattern})"), F.lit(1))).alias("word"))
+    kept = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(most)
+    return kept.select("word", F.row_number().over(Window.orderBy(F.desc("n"), "word")).alias("id"), "n")
+
+
+def encoded_rows(prompts: DataFrame, vocabulary: DataFrame, key: list[str], most: int, column: str = "prompt", pattern: str = r"\w+|[^\w\s]") -> DataFrame:
+    """Trainer's rows: `input_ids`, the ids of a prompt's words in order (0 for a word that the vocabulary lacks), and their number as
+    `lengths`; prompts of more than `most` are left out, rows repeated under one key count once. A null prompt has none.
+
+    Words are looked up once for each row that has them; the words that are everywhere meet a broadcast part of the vocabulary."""
+    words = F.coalesce(F.regexp_extract_all(column, F.lit(f"({pattern})"), F.lit(1)), F.array().cast("array<string>"))
+    rows = prompts.dropDuplicates(key).select(*key, words.alias("__ws")).where(F.size("__ws") <= most)
+    said = rows.select(*key, F.posexplode("__ws").alias("__at", "word"))
+    known = joins.skewed_join(said, vocabulary, ["word"], "n", said.count())
+    ids = known.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("__at", "id"))).alias("__ids"))
+    placed = F.transform("__ws", lambda w, i: F.coalesce(F.col("__ids")[i], F.lit(0)))
+    empty = F.array().cast("array<int>")
+    return rows.join(ids, key, "left").select(*key, F.when(F.size("__ws") > 0, F.coalesce(placed, empty)).otherwise(empty).alias("input_ids"), F.size("__ws").alias("lengths"))
+
+
 def executing_solutions(solutions: DataFrame, run: Callable[[DataFrame], DataFrame], most: int, tries: int) -> DataFrame:
     """Solutions(item, idx, code) that pass, up to `most` of the first `tries`; items with none are left out."""
     return selection.first_successes(run(solutions.where(F.col("idx") <= tries)), most, tries)

@@ -12,7 +12,9 @@ import resource
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import asof, near_duplicates, shape, sketches, verdicts
+from tessera.functions import text
+from tessera.operators import asof, joins, metrics, near_duplicates, selection, shape, sketches, verdicts
+from tessera.plans import pipelines
 from tessera.sources import batches, documents, results
 from tessera.streaming import late, running
 
@@ -379,3 +381,61 @@ def test_smoothing_against_plain_sums(spark, w, h, sigma):
     got = {(c.x, c.y): c.v for c in shape.smoothed(cells, "x", "y", "v", w, h, sigma).collect()}
     assert all(math.isclose(got[c], v) for c, v in grid.items()) and len(got) == len(grid)
     assert shape.smoothed(cells.where("x > 0 or y > 0"), "x", "y", "v", w, h, sigma).where("v is null").count() > 0
+
+
+# weak points of the core
+
+
+def test_phrases_of_all_kinds_against_a_scan(spark):
+    rng = random.Random(11)
+    letters = ["ab", "b", "a b", " ", "  ", "\n", "cab", "x", "the", "", "é"]
+    docs = [(i, rng.choice([None, "", *["".join(rng.choices(letters, k=rng.randint(0, 12))) for _ in range(8)]])) for i in range(60)]
+    docs += docs[:5]
+    for seed in range(4):
+        rng = random.Random(seed)
+        phrases = ["".join(rng.choices(letters, k=rng.randint(1, 6))) for _ in range(6)] + [None]
+        phrases = [p for p in phrases if p != ""] + ([""] if seed == 3 else [])
+        frames = spark.createDataFrame(docs, "id int, t string"), spark.createDataFrame([(p,) for p in phrases], "p string")
+        want = sorted(i for i, t in docs if t is not None and any(p is not None and p in t for p in phrases))
+        assert sorted(r.id for r in joins.contains_any(*frames, "t", "p").collect()) == want
+
+
+def test_rare_words_key_phrases_without_cross_joins(spark):
+    docs = spark.createDataFrame([(i, f"common words all around w{i} here") for i in range(50)], "id int, t string")
+    found = joins.contains_any(docs, spark.createDataFrame([("words all around w7 here",), ("w9 h",)], "p string"), "t", "p")
+    assert sorted(r.id for r in found.collect()) == [7, 9]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Window" not in plan
+
+
+def test_first_row_of_each_key(spark):
+    rows = [("a", 2, [1]), ("a", 1, [5]), ("b", None, [1]), ("b", 1, None), (None, 3, []), (None, 4, [1])]
+    frame = spark.createDataFrame(rows, "k string, o int, v array<int>")
+    out = selection.first_wins(frame, "k", "o")
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == sorted([("a", 1, [5]), ("b", None, [1]), (None, 3, [])], key=repr)
+    assert out.columns == frame.columns and "Window" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_encoded_rows(spark):
+    rows = [(1, "b a b c"), (2, None), (3, ""), (4, "a, a"), (5, "a a a a a a"), (4, "a, a")]
+    prompts = spark.createDataFrame(rows, "i int, prompt string")
+    vocabulary = pipelines.word_vocabulary(prompts, "prompt", 2)
+    assert sorted((r.word, r.id) for r in vocabulary.collect()) == [(",", 2), ("a", 1)]  # of two at two the first by name
+    words = spark.createDataFrame([("a", 1, 11), ("b", 2, 2)], "word string, id int, n long")
+    got = {r.i: (r.input_ids, r.lengths) for r in pipelines.encoded_rows(prompts, words, ["i"], 5).collect()}
+    assert got == {1: ([2, 1, 2, 0], 4), 2: ([], 0), 3: ([], 0), 4: ([1, 0, 1], 3)}
+
+
+@pytest.mark.parametrize(("a", "b", "same"), [("1d", "1.0", False), ("1f", "1.0", False), ("1.00001", "1", True), ("1e0", "1.0", True), ("inf", "inf", True), ("1D", "1d", True)])
+def test_letters_of_types_are_no_numbers(spark, a, b, same):
+    assert spark.range(1).select(text.same_output(F.lit(a), F.lit(b)).alias("v")).first().v is same
+
+
+def test_figures_are_null_where_a_verdict_or_score_lacks(spark):
+    rows = [(i, k, (k % 2) if (i, k) != (2, 1) else None, k % 2, float(k) if (i, k) != (1, 2) else None) for i in range(3) for k in range(1, 5)]
+    a = spark.createDataFrame(rows, "item int, idx int, passing int, passing_public int, score double")
+    scored = a.withColumn("passing", F.coalesce("passing", F.lit(1)))
+    assert metrics.pass_at_k_curve(scored, 2).where("pass_at_k is null").count() == 0
+    assert metrics.reranked_curve(scored, 2).where("accuracy is not null").count() == 0  # a score lacks
+    assert metrics.expected_grid(scored, [1, 2], [2, 3]).where("accuracy is not null").count() == 0
+    assert metrics.public_accuracy(a, 4).first().accuracy is None and metrics.public_accuracy(scored, 4).first().accuracy is not None
