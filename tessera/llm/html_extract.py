@@ -37,11 +37,14 @@ NO_CONTENT = re.compile(
 )
 BESIDE = frozenset("site page main global top bottom left right upper lower primary secondary first second third mobile desktop list lists item items link links bar box area section form block container wrapper wrap inner button buttons icon icons post posts article articles story stories content media text slot unit policy message toggle body to reader readers user users visitor visitors guest guests latest recent popular sticky fixed floating inline privacy".split())  # with a listed word they name no content; with, no, has, overflow and so on turn its meaning
 HEADS, OF_ARTICLES = frozenset("header masthead".split()), frozenset("article post story content".split())
+CONTENT = frozenset("content article post story entry main body text".split())
 UNWRAPPED = frozenset("form nav header footer aside menu dialog".split())  # of DROPPED: may hold the article of a badly made page
 WEAK = re.compile(r"(?:related|recommended|widget|side|foot|toolbar|skip)", re.I)  # inside an article these drop a node only if it is mostly links
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
-_TOKEN = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</[^a-zA-Z][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+# A quote opens a value only right after '='; possessive repeats never give back, so no page takes more than linear time.
+_VALUE = r"""=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+)"""
+_TOKEN = re.compile(rf"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:{_VALUE}|[^>=])*+)(?:>|\Z)|</[^a-zA-Z][^>]*+(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s=/>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 
@@ -58,7 +61,10 @@ class Node:
 def _no_content(value: str, article: bool) -> str:
     """The listed words of the class or id that is, as a whole, a listed word, or listed words with words beside them
     ('site-nav'); none: ''. What heads an article is its title."""
-    for token in _HUMP.sub("-", value).lower().split():
+    tokens = _HUMP.sub("-", value).lower().split()
+    if article and not CONTENT.isdisjoint(tokens):
+        return ""  # one name says content
+    for token in tokens:
         words = [w for w in re.split(r"[_-]+", token) if w]
         listed = [w for w in words if NO_CONTENT.fullmatch(w)]
         if listed and all(w in BESIDE or w.isdigit() or NO_CONTENT.fullmatch(w) for w in words) and not (HEADS.issuperset(listed) and (article or not OF_ARTICLES.isdisjoint(words))):
@@ -134,67 +140,83 @@ def _gone(node: Node) -> bool:
     return node.out and node.tag in DROPPED and node.tag not in UNWRAPPED
 
 
+SCOPES = ("td", "th", "table", "button", "object", "article", "section", "div")
+BARRIERS = ("article", "main", "section", "td")
+
+
+class Open:
+    """The open nodes, and for each tag where it stands among them, so what closes what is known without a walk."""
+
+    def __init__(self, body: Node):
+        self.nodes, self.places = [body], {}
+
+    @property
+    def now(self) -> Node:
+        return self.nodes[-1]
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, place: int) -> None:
+        """Closes the node at `place` and all within it."""
+        while len(self.nodes) > place:
+            self.places[self.nodes.pop().tag].pop()
+
+    def last(self, *tags: str) -> int:
+        """Where the innermost open node of these tags stands; 0, the body's place, if there is none."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def paragraph(self) -> int:
+        """Where the open paragraph stands that a block would close; 0 if there is none."""
+        p = self.last("p")
+        return p if p > self.last(*SCOPES) else 0
+
+
 def parse(page: str) -> Node:
-    """A tree that follows the rules of HTML for what closes what, as far as text needs them."""
+    """A tree that follows the rules of HTML for what closes what, as far as text needs them; in linear time."""
     root = Node("html", None, False)
     body = Node("body", root, False)
     root.children.append(body)
-    now, at = body, 0
+    open_, at = Open(body), 0
     match = _TOKEN.search(page)
     while match:
         if match.start() > at:
-            now.children.append(page[at : match.start()])
+            open_.now.children.append(page[at : match.start()])
         at = match.end()
         tag = match[2]
         if tag:
             tag = tag.lower()
             if match[1]:
-                if tag == "p" and not _inside(now, "p"):
-                    now.children.append(Node("p", now, False))
+                if tag == "p" and not open_.paragraph():
+                    open_.now.children.append(Node("p", open_.now, False))
                 elif tag == "br":
-                    now.children.append(Node("br", now, False))
-                elif tag not in ("html", "body"):
-                    up = now
-                    while up is not body and up.tag != tag and not (up.tag in ("article", "main", "section", "td") and tag not in BLOCKS):
-                        up = up.parent
-                    if up is not body and up.tag == tag:
-                        now = up.parent
+                    open_.now.children.append(Node("br", open_.now, False))
+                elif tag not in ("html", "body") and (place := open_.last(tag)) and (tag in BLOCKS or place >= open_.last(*BARRIERS)):
+                    open_.cut(place)
             elif tag not in ("html", "body"):
-                if tag in CLOSES_P and _inside(now, "p"):
-                    while now.tag != "p":
-                        now = now.parent
-                    now = now.parent
+                if tag in CLOSES_P and (place := open_.paragraph()):
+                    open_.cut(place)
                 if tag in CLOSED_BY:
                     closed, stop = CLOSED_BY[tag]
-                    up = now
-                    while up is not body and up.tag not in closed and up.tag not in stop:
-                        up = up.parent
-                    if up.tag in closed:
-                        now = up.parent
-                        if tag in ("tr", "td", "th") and now.tag in closed and tag == "tr":
-                            now = now.parent
-                node = Node(tag, now, *_named_away(tag, match[3], now.article))
-                now.children.append(node)
+                    if (place := open_.last(*closed)) > open_.last(*stop):
+                        open_.cut(place)
+                        if tag == "tr" and open_.now.tag in closed:
+                            open_.cut(len(open_.nodes) - 1)
+                node = Node(tag, open_.now, *_named_away(tag, match[3], open_.now.article))
+                open_.now.children.append(node)
                 if tag in RAW:
-                    end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                    end = re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.I).search(page, at)
                     node.children.append(page[at : end.start() if end else len(page)])
                     at = end.end() if end else len(page)
                 elif tag not in VOID and not match[3].rstrip().endswith("/") or tag not in VOID and tag in BLOCKS:
-                    now = node
+                    open_.push(node)
         match = _TOKEN.search(page, at)
     if at < len(page):
-        now.children.append(page[at:])
+        open_.now.children.append(page[at:])
     return body
 
 
-def _inside(node: Node, tag: str) -> bool:
-    while node is not None and node.tag not in ("td", "th", "table", "button", "object", "article", "section", "div", "body"):
-        if node.tag == tag:
-            return True
-        node = node.parent
-    return False
-
-
 def measure(body: Node) -> None:
     """Characters, tags, linked characters and tags, densities and density sums, children before parents."""
     order, todo = [], [body]
@@ -233,7 +255,9 @@ def density(node: Node, body: Node) -> float:
 
 def content(body: Node) -> list[Node]:
     """The kept subtrees, in page order. The node of maximum density sum gives the threshold, the least density on its
-    path from the body; from the body down, through nodes that reach it, each node's subtree of maximum sum is kept."""
+    path from the body; from the body down, through nodes that reach it, each node's subtree of maximum sum is kept.
+    Of equal sums the outer node counts, then the first in page order, but the body last. Parts beside a kept part in
+    one holder below the body go with it if their text is mostly unlinked, however short, and so do headings before it."""
     order, todo = [], [body]
     while todo:
         node = todo.pop()
@@ -261,7 +285,12 @@ def content(body: Node) -> list[Node]:
         if top[node] is not best and top[node].c:
             kept.add(top[node])
         todo += [c for c in node.children if isinstance(c, Node) and not c.out]
-    kept |= {h for node in kept for h in _headings(node)}
+    holders = {node.parent: None for node in kept if node.parent is not None}
+    for holder in holders:
+        if holder is not body and holder.parent is not None:
+            kept |= {c for c in holder.children if isinstance(c, Node) and not c.out and 2 * (c.c - c.lc) > c.c}
+    for holder in holders:
+        kept |= _headings(holder, kept)
     out, todo = [], [body]
     while todo:
         node = todo.pop()
@@ -277,17 +306,36 @@ def _article(path: list[Node]) -> Node | None:
     return next((node for node in path if node.tag == "article"), None)
 
 
-def _headings(node: Node) -> list[Node]:
-    """The headings that stand right before a node."""
-    found: list[Node] = []
-    for child in node.parent.children if node.parent else ():
-        if child is node:
-            return found
-        if isinstance(child, Node) and not child.out and child.tag in HEADINGS:
-            found.append(child)
-        elif isinstance(child, Node) and not child.out and child.c or isinstance(child, str) and not child.isspace():
+def _headings(holder: Node, kept: set[Node]) -> set[Node]:
+    """The holder's headings, or nodes of nothing but headings, that stand right before a kept node."""
+    out, found = set(), []
+    for child in holder.children:
+        if isinstance(child, str):
+            found = found if child.isspace() else []
+        elif child in kept:
+            out.update(found)
             found = []
-    return []
+        elif not child.out and child.c:
+            if _titles(child):
+                found.append(child)
+            else:
+                found = []
+    return out
+
+
+def _titles(node: Node) -> bool:
+    """Whether all text of a node stands in headings."""
+    todo = [node]
+    while todo:
+        node = todo.pop()
+        if node.tag in HEADINGS or isinstance(node, Node) and node.out:
+            continue
+        for child in node.children:
+            if isinstance(child, Node):
+                todo.append(child)
+            elif not child.isspace():
+                return False
+    return True
 
 
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
