@@ -24,6 +24,7 @@ from tessera.llm.session import checkpoint, ship, spread, tidy
 ORDER = 3  # longest context in bytes
 SAMPLE_PER_LANGUAGE = 400  # texts of a language that the statistics come from, at most; the documented bound
 SAMPLE_IN_ALL = 20_000  # texts of all languages together, at most
+SAMPLE_BYTES = 64 << 20  # of those texts, UTF-8 bytes in all, at most; shared evenly by the languages (one text each at least)
 UNDETERMINED = "und"
 _LEAD = b"\n" * ORDER  # what stands before every text
 
@@ -162,10 +163,11 @@ def has_letter(text: str | None) -> bool:
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE, most: int = SAMPLE_IN_ALL, order: int = ORDER) -> Model:
     """Fit on at most `per_language` whole texts of each language, and on `most` in all (fewer a language, one at
     least, where there are many languages): those that come first in a hashed order of `key` and
-    text. Rows with a null text or language are left out; rows that share a key are taken one by one. The ranked
-    sample, which no repetition of keys or texts makes longer, is the only thing collected."""
+    text, as far as SAMPLE_BYTES goes. Rows with a null text or language are left out; rows that share a key are taken one by
+    one, those that share key and text once. The ranked and bounded sample, which no repetition makes longer, is the
+    only thing collected."""
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("h"))
-    counts = checkpoint(rows.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")))
+    counts = checkpoint(rows.groupBy("lang", "h").count().groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")))
     languages = counts.count()
     if not languages:
         return Model({}, order)
@@ -173,7 +175,10 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     # a share that leaves about twice the wanted rows, and the first row in any case; then the first of them by the hash
     share = F.col("h").cast("double") / 2.0**64 + 0.5 <= F.lit(2.0 * wanted) / F.col("n")
     near = rows.join(F.broadcast(counts) if languages <= most else counts, "lang").where(share | (F.col("h") == F.col("least")))
-    first = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= wanted)
+    once = near.groupBy("lang", "h").agg(F.min("text").alias("text"))  # a row that repeats sends one a task
+    ahead = Window.partitionBy("lang").orderBy("h")
+    ranked = once.withColumn("r", F.row_number().over(ahead)).withColumn("bytes", F.sum(F.octet_length("text")).over(ahead))
+    first = ranked.where((F.col("r") <= wanted) & ((F.col("bytes") <= SAMPLE_BYTES // languages) | (F.col("r") == 1)))
     texts: dict[str, list[bytes]] = {}
     for r in sorted(first.select("lang", "r", "text").collect()):
         texts.setdefault(r["lang"], []).append(r["text"].encode())

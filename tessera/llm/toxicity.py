@@ -20,14 +20,14 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import hashing
 from tessera.llm.session import ship, spread, tidy
 
 SAMPLE_PER_LABEL = {1: 1200, 0: 3000}  # labelled texts that the model is fitted on, at most; the documented bound
-SAMPLE_BYTES = 48 << 20  # of those texts, in their hashed order, at most so many bytes a label (one text at least)
+SAMPLE_BYTES = 48 << 20  # of those texts, the first in their hashed order that have at most so many UTF-8 bytes together a label (one text at least)
 TIMES = 8  # a feature that marks toxic tokens has a share of toxic documents over so many times its share of clean ones
 ROUNDS = 20
 THRESHOLD = 0.3  # a score from here on is toxic
@@ -278,20 +278,19 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
     if drawn is None:
         return fit([], [])
     met = texts.join(F.broadcast(drawn), key)  # at most per_label rows are broadcast
-    sample = met.groupBy(key, "__y", "__h").agg(F.min(F.struct(F.xxhash64("__t").alias("h"), F.col("__t").alias("t"))).alias("x")).select("__y", "__h", F.col("x.t").alias("__t"))
+    ahead = Window.partitionBy("__y").orderBy("__h", key)
+    sample = met.groupBy(key, "__y", "__h").agg(F.min(F.struct(F.xxhash64("__t").alias("h"), F.col("__t").alias("t"))).alias("x")).select(key, "__y", "__h", F.col("x.t").alias("__t"))
+    # drawn rows are few; their texts are bounded here, before a task holds them
+    sized = sample.withColumn("__n", F.sum(F.octet_length("__t")).over(ahead)).withColumn("__r", F.row_number().over(ahead))
+    bounded = sized.where((F.col("__n") <= SAMPLE_BYTES) | (F.col("__r") == 1)).select("__y", "__h", "__t")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
         held.sort(key=lambda r: (-r[0], *r[1:]))  # toxic texts first: of a toxic copy of a clean text, the toxic one counts
-        taken, size = [], {0: 0, 1: 0}
-        for y, _, t in held:
-            if not size[y] or size[y] + len(t) <= SAMPLE_BYTES:
-                taken.append((t, y))
-                size[y] += len(t)
-        model = pickle.dumps(fit([t for t, _ in taken], [y for _, y in taken]))
+        model = pickle.dumps(fit([t for _, _, t in held], [y for y, _, _ in held]))
         yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
-    return pickle.loads(sample.repartition(1).mapInArrow(tidy(run), "model binary").first()["model"])
+    return pickle.loads(bounded.repartition(1).mapInArrow(tidy(run), "model binary").first()["model"])
 
 
 def word_spans(text: str) -> list[tuple[int, int]]:

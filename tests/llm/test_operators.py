@@ -485,12 +485,30 @@ def test_toxicity_sample_with_repeated_ids(spark):
     assert met.count() < 70 and not seen
 
 
+def test_samples_are_bounded_in_bytes(spark, monkeypatch):
+    rows = [(i, "é" * 500 + f" word{i} {'vile' if i % 2 else 'kind'}", "en" if i < 30 else "fr") for i in range(60)] + [(99, "same text", "en")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = []
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 10_400)
+    monkeypatch.setattr(langid, "Model", lambda texts, order: held.append(texts))
+    langid.train(docs)
+    assert all(sum(map(len, t)) <= 5200 and len(t) >= 4 for t in held[0].values()) and held[0].keys() == {"en", "fr"} and held[0]["en"].count(b"same text") <= 1
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 10)
+    langid.train(docs)
+    assert all(len(t) == 1 for t in held[1].values())
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 5200)
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic, **_: toxicity.Model({f"{sum(map(len, (t.encode() for t in texts)))}-{len(texts)}": 1.0}, 0.0, np.zeros((2, 2)), np.zeros(2), np.zeros(5)))
+    size, n = map(int, next(iter(toxicity.train(docs, labels).weights)).split("-"))
+    assert size <= 2 * 5200 and n >= 8
+
+
 def test_toxicity_query(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     held = [r for r in queries.op6_toxicity(spark, sf).join(labels, "doc_id").collect() if r.held_out]
     hits = sum(r.predicted == 1 and r.toxic == 1 for r in held)
-    assert hits >= 0.85 * sum(r.toxic for r in held) and hits >= 0.95 * sum(r.predicted for r in held)
+    assert hits >= 0.9 * sum(r.toxic for r in held) and hits >= 0.95 * sum(r.predicted for r in held)
     assert all((r.n_spans == 0) == (r.span_offsets == "") for r in held)
 
 
