@@ -278,6 +278,19 @@ def bleu(candidate: list[str], reference: list[str], order: int = 4) -> float:
     return math.exp(min(0.0, 1 - len(reference) / len(candidate)) + logs)
 
 
+def bleu_sums(rows: list[dict]) -> tuple[float, int]:
+    """Sum and number of the scores of a block's pairs: all of one chunk, or those across two."""
+    ordered = sorted(((r["idx"], r["half"], r["value"].split()) for r in rows), key=lambda r: r[0])
+    two = rows[0]["across"]
+    scores = [bleu(a, b) for k, (_, x, a) in enumerate(ordered) for _, y, b in ordered[k + 1 :] if not two or x != y]
+    return math.fsum(scores), len(scores)
+
+
+@F.pandas_udf(T.StructType().add("total", "double").add("pairs", "long"))
+def bleu_sums_udf(blocks: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([bleu_sums(list(b)) for b in blocks], columns=["total", "pairs"])
+
+
 def mean_pairwise_bleu(texts: list[str] | None) -> float | None:
     """Mean BLEU over all pairs i < j of a list; null for fewer than two."""
     words = [t.split() for t in texts if t is not None] if texts is not None else []
@@ -341,4 +354,3 @@ decoded_blob_udf = _udf(decoded_blob, T.StringType())
 named_asserts_udf = _udf(named_asserts, T.StringType())
 encoded_blob_udf = _udf(encoded_blob, T.StringType())
 mutate_udf = _udf(mutate, T.StringType())
-mean_pairwise_bleu_udf = _udf(mean_pairwise_bleu, T.DoubleType())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,11 +145,37 @@ def fallback_counts(pairs: DataFrame, chosen: str = "chosen") -> DataFrame:
     return pairs.agg(F.count("*").alias("pairs"), F.count(chosen).alias("chosen"), F.count_if(F.col("used_natural") == 1).alias("natural"), F.count_if(F.col(chosen).isNull()).alias("lost"))
 
 
+CHUNK = 64  # rows of a list in one chunk
+
+
+def chunk_pairs(rows: DataFrame, item: str, idx: str, chunk: int = CHUNK) -> DataFrame:
+    """Each row in every block (item, __i, __j), __i <= __j, of two chunks of its item that its own chunk, `__half`, is one
+    of. Lists longer than `chunk` are cut, so no block holds more than about two chunks, however long a list is. All pairs of a list
+    meet in a block, those within a chunk in the block of that chunk alone."""
+    sizes = rows.groupBy(item).agg(F.count("*").alias("__m"))
+    many = F.ceil(F.col("__m") / chunk)
+    placed = skewed_join(rows, sizes, [item], "__m", rows.count()).withColumn("__half", F.pmod(F.xxhash64(idx), many))
+    others = F.explode(F.sequence(F.lit(0).cast("long"), many - 1))
+    met = placed.select("*", others.alias("__o"))
+    return met.select(*rows.columns, F.least("__half", "__o").alias("__i"), F.greatest("__half", "__o").alias("__j"), "__half")
+
+
 def pairs_within(rows: DataFrame, item: str, idx: str, value: str) -> DataFrame:
-    """All pairs i < j of an item's list. Meant for lists of bounded length: pairs grow with its square."""
-    a = rows.select(item, F.col(idx).alias("i"), F.col(value).alias("a"))
-    b = rows.select(item, F.col(idx).alias("j"), F.col(value).alias("b"))
-    return a.join(b, item).where("i < j")
+    """All pairs i < j of an item's list, made block by block (see `chunk_pairs`). Their number grows with the square of a
+    list: that is what is asked for."""
+    blocks = chunk_pairs(rows.select(item, idx, value), item, idx, CHUNK)
+    a = blocks.select(item, "__i", "__j", F.col("__half").alias("__a"), F.col(idx).alias("i"), F.col(value).alias("a"))
+    b = blocks.select(item, "__i", "__j", F.col("__half").alias("__b"), F.col(idx).alias("j"), F.col(value).alias("b"))
+    return a.join(b, [item, "__i", "__j"]).where("i < j and (__i = __j or __a <> __b)").select(item, "i", "a", "j", "b")
+
+
+def mean_pairwise(rows: DataFrame, item: str, idx: str, value: str, scored: Callable[[Column], Column], name: str = "mean") -> DataFrame:
+    """The mean over all pairs i < j of each item's list of a score of two texts; null for fewer than two. `scored` takes a block's rows,
+    an array of (across, half, idx, value), and gives (total, pairs) of the pairs that the block is for. Null texts take no part."""
+    full = rows.where(F.col(value).isNotNull()).select(item, idx, value)
+    blocks = chunk_pairs(full, item, idx, CHUNK).groupBy(item, "__i", "__j").agg(F.collect_list(F.struct((F.col("__i") != F.col("__j")).alias("across"), F.col("__half").alias("half"), F.col(idx).alias("idx"), F.col(value).alias("value"))).alias("rows"))
+    sums = blocks.select(item, scored(F.col("rows")).alias("s")).groupBy(item).agg((F.sum("s.total") / F.nullif(F.sum("s.pairs"), F.lit(0))).alias(name))
+    return rows.select(item).distinct().join(sums, item, "left")
 
 
 def adjacent_pairs(rows: DataFrame, item: str, idx: str, value: str) -> DataFrame:

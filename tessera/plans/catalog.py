@@ -261,8 +261,7 @@ b as (select item, avg(case when la = 0 or lb = 0 or least = 0 then 0 else exp(l
 select t.item, round(any_value(b.bleu), 9) as bleu from t left join b using (item) group by t.item"""
 )
 def pairwise_bleu(spark, d):
-    lists = J.to_list(X.solutions(spark, d), "item", "idx", "code", "codes")
-    return _rounded(lists.select("item", pyudfs.mean_pairwise_bleu_udf("codes").alias("bleu")), "bleu", digits=9)
+    return _rounded(J.mean_pairwise(X.solutions(spark, d), "item", "idx", "code", pyudfs.bleu_sums_udf, "bleu"), "bleu", digits=9)
 
 
 @query(f"{A}, r as (select *, cast(item % 3 as integer) as series, cast(idx // 10 as bigint) as step from attempts), v as (select series, step, item % 8 as run, avg(passing) as value from r group by 1, 2, 3) select series, step, round(avg(value), 6) as mean, round(stddev_pop(value), 6) as std, round(step * 1e2 / max(step) over (partition by series), 6) as percent from v group by series, step")

@@ -12,7 +12,7 @@ import resource
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import text
+from tessera.functions import pyudfs, text
 from tessera.operators import asof, joins, metrics, near_duplicates, selection, shape, sketches, verdicts
 from tessera.plans import pipelines
 from tessera.sources import batches, documents, results
@@ -439,3 +439,21 @@ def test_figures_are_null_where_a_verdict_or_score_lacks(spark):
     assert metrics.reranked_curve(scored, 2).where("accuracy is not null").count() == 0  # a score lacks
     assert metrics.expected_grid(scored, [1, 2], [2, 3]).where("accuracy is not null").count() == 0
     assert metrics.public_accuracy(a, 4).first().accuracy is None and metrics.public_accuracy(scored, 4).first().accuracy is not None
+
+
+def test_pairs_of_lists_of_any_length(spark, monkeypatch):
+    monkeypatch.setattr(joins, "CHUNK", 3)
+    rng = random.Random(9)
+    rows = [(9, k, "same words") for k in range(4)] + [(0, k, f"a {rng.choice('bcd')} c {rng.choice('de')} e") for k in range(25)] + [(8, 100 * k, f"v {k % 3} w") for k in range(11)] + [(1, 0, "x"), (2, 0, None), (3, 0, "a b"), (3, 1, "a b"), (3, 2, None), (4, 5, ""), (4, 6, "q")]
+    frame = spark.createDataFrame(rows, "item int, idx int, code string")
+    blocks = joins.chunk_pairs(frame, "item", "idx", 3)
+    assert blocks.groupBy("item", "__i", "__j").count().agg(F.max("count")).first()[0] < 25
+    got = {r["item"]: r.bleu for r in joins.mean_pairwise(frame, "item", "idx", "code", pyudfs.bleu_sums_udf, "bleu").collect()}
+    lists = {}
+    for i, _, t in rows:
+        lists.setdefault(i, []).append(t)
+    for i, texts in lists.items():
+        want = pyudfs.mean_pairwise_bleu(texts)
+        assert got[i] is None if want is None else math.isclose(got[i], want)
+    pairs = joins.pairs_within(frame, "item", "idx", "code").collect()
+    assert sorted((r["item"], r.i, r.j) for r in pairs) == sorted((a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1])
