@@ -97,6 +97,12 @@ def time_limit(limit, default: int = 30, factor: int = 2) -> Column:
     return F.when(s.isNull(), default).otherwise(F.coalesce((F.floor(number.try_cast("double")) + 1) * factor, F.lit(default))).cast("int")
 
 
+def draws(n, size, least: int = 25, most: int = 100) -> Column:
+    """How many random draws of n of `size` a Monte-Carlo estimate takes, as a column (see `permutations_for`)."""
+    share = F.col(n) / F.col(size)
+    return F.greatest(F.lit(least), F.least(F.lit(most), F.floor(most * (1 - share) + 1))).cast("long")
+
+
 def permutations_for(n: int | None, size: int, least: int = 25, most: int = 100) -> int:
     """How many random draws of n of `size` a Monte-Carlo estimate takes."""
     share = 1.0 if n is None else n / size

@@ -190,9 +190,9 @@ def adjacent_losses(rows: DataFrame, item: str) -> DataFrame:
     return n.agg(F.count_if(F.col("n") >= 2).alias("kept"), F.count_if(F.col("n") < 2).alias("lost"))
 
 
-def parameter_grid(spark, **values: list) -> DataFrame:
-    """Every combination of a few parameter lists."""
-    out = spark.range(1).drop("id")
+def fan_out(rows: DataFrame, **values: list) -> DataFrame:
+    """Each row once for every combination of a few parameter lists."""
+    out = rows
     for name, listed in values.items():
         out = out.withColumn(name, F.explode(F.array(*map(F.lit, listed))))
     return out

@@ -286,6 +286,18 @@ def histogram(rows: DataFrame, value: str, low: float, high: float, bins: int) -
     return dense(counts, "bin", bins)
 
 
+def frequency(rows: DataFrame, *by: str, name: str = "n") -> DataFrame:
+    """How often each value, or combination of values, occurs; null is one of them."""
+    return rows.groupBy(*by).agg(F.count("*").alias(name))
+
+
+def combined_lengths(rows: DataFrame, heads: DataFrame, key: str, own: Column, head: Column, width: int) -> DataFrame:
+    """(bucket, n): rows by their own length plus that of their key's head, in buckets of `width`; rows without a head are left out."""
+    lengths = heads.select(key, head.alias("__h"))
+    total = rows.select(key, own.alias("__o")).join(lengths, key).select((F.col("__o") + F.col("__h")).cast("long").alias("__l"))
+    return frequency(total.select(F.expr(f"__l div {width}").alias("bucket")), "bucket")
+
+
 def dense(counts: DataFrame, key: str, size: int) -> DataFrame:
     """Every key of 0..size-1 with its count, 0 where it has none."""
     domain = counts.sparkSession.range(size).select(F.col("id").cast("int").alias(key))

@@ -226,21 +226,19 @@ def score_histogram(spark, d):
 
 @query("""select k as key, count(*) as n from (select unnest(json_keys(props)) as k from events) group by k""")
 def distinct_keys(spark, d):
-    return X.table(spark, d, "events").select(F.explode(F.json_object_keys("props")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    return M.frequency(X.table(spark, d, "events").select(F.explode(F.json_object_keys("props")).alias("key")), "key")
 
 
 @query("with c as (select label, count(*) as n from embeddings group by label) select cast(i as integer) as token, coalesce(n, 0) as n from (select unnest(range(16)) as i) left join c on c.label = i")
 def token_frequency_dense(spark, d):
-    counts = X.table(spark, d, "embeddings").groupBy(F.col("label").alias("token")).agg(F.count("*").alias("n"))
+    counts = M.frequency(X.table(spark, d, "embeddings").withColumnRenamed("label", "token"), "token")
     return M.dense(counts, "token", 16)
 
 
 @query("with q as (select conv_id, text from conversations where turn = 0), s as (select c.conv_id, length(q.text) + length(c.text) as len from conversations c join q using (conv_id) where c.turn > 0) select len // 100 as bucket, count(*) as n from s group by 1")
 def combined_length_freq(spark, d):
     s = X.solutions(spark, d)
-    q = s.where("idx = 0").select("item", F.length("code").alias("q"))
-    both = s.where("idx > 0").join(q, "item").withColumn("len", (F.col("q") + F.length("code")).cast("long"))
-    return both.groupBy(F.expr("len div 100").alias("bucket")).agg(F.count("*").alias("n"))
+    return M.combined_lengths(s.where("idx > 0"), s.where("idx = 0"), "item", F.length("code"), F.length("code"), 100)
 
 
 @query(f"{A}, g as (select idx % 5 as k, idx // 10 as step, avg(score) as v from attempts group by 1, 2) select round(quantile_cont(v, 0.25), 5) as low, round(quantile_cont(v, 0.75), 5) as high from g")
@@ -488,9 +486,11 @@ def evol_pairs(spark, d):
     return P.evolution_rows(s).select("item", "idx", text.md5_hex("content").alias("content"))
 
 
-@query("select k, n, t from (select unnest([1, 2, 5]) as k), (select unnest([10, 20]) as n), (select unnest(['a', 'b']) as t)")
+@query("with s as (select lang, source, count(*) as size from documents group by all) select lang, source, size, k, n from s, (select unnest([1, 2, 5]) as k), (select unnest([10, 20]) as n) where k <= n and n <= size")
 def parameter_grid(spark, d):
-    return J.parameter_grid(spark, k=[1, 2, 5], n=[10, 20], t=["a", "b"])
+    """The jobs of a sweep: each part of the documents with every setting that it is large enough for."""
+    sizes = M.frequency(X.table(spark, d, "documents"), "lang", "source", name="size")
+    return J.fan_out(sizes, k=[1, 2, 5], n=[10, 20]).where("k <= n and n <= size")
 
 
 @query("select item_id, cast(i as integer) as idx from benchmark, (select unnest(range(1, 4)) as i)")

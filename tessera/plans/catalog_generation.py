@@ -206,10 +206,11 @@ def label_rules(spark, d):
     return e.select("event_id", F.round(scoring.positive_share("neg", "pos"), 9).alias("share"), scoring.label_at_least("neg", "pos").alias("at_least"), scoring.label_above("neg", "pos").alias("above"), F.round(means, 9).alias("logprob"))
 
 
-@query("select n, size, cast(greatest(25, least(100, cast(floor(100 * (1 - n * 1e0 / size) + 1) as bigint))) as bigint) as draws from (select unnest([1, 10, 50, 75, 99]) as n), (select unnest([100, 250]) as size)")
+@query(f"{A}, s as (select item, count(*) as size from attempts group by item) select item, size, n, cast(greatest(25, least(100, cast(floor(100 * (1 - n * 1e0 / size) + 1) as bigint))) as bigint) as draws from s, (select unnest([1, 10, 50, 75, 99]) as n) where n <= size")
 def draw_budget(spark, d):
-    rows = [(n, size, scoring.permutations_for(n, size)) for n in (1, 10, 50, 75, 99) for size in (100, 250)]
-    return spark.createDataFrame(rows, "n int, size int, draws long")
+    """How many draws each item's estimate takes, for each size of draw that it allows."""
+    sizes = J.fan_out(M.frequency(X.attempts(spark, d), "item", name="size"), n=[1, 10, 50, 75, 99]).where("n <= size")
+    return sizes.withColumn("draws", scoring.draws("n", "size"))
 
 
 @query(f"{A}, v as (select item, case when output = 'signup' then null else passing end as passing from attempts) select cast(item % 3 as bigint) as file, count(*) filter (where passing = 1) as passed, count(*) filter (where passing = 0) as failed, count(*) filter (where passing is null) as unknown from v group by 1")

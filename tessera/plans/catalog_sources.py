@@ -210,4 +210,4 @@ def parsed_times(spark, d):
 
 @query("select md5(text) as hash, count(*) as n from conversations group by 1")
 def hashed_texts(spark, d):
-    return X.table(spark, d, "conversations").groupBy(text.md5_hex("text").alias("hash")).agg(F.count("*").alias("n"))
+    return M.frequency(X.table(spark, d, "conversations").withColumn("hash", text.md5_hex("text")), "hash")
