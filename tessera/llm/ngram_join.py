@@ -8,8 +8,9 @@ accumulates how many a pair shares: a pair is discarded where that count, the si
 last shared column bound the overlap below what the threshold needs. Connected candidates make blocks of rows; in each block
 the sparse product A A' is accumulated exactly, row by row, and pairs below the threshold are discarded.
 A frequent column emits a chain over its rows in order of size instead of all its pairs, and copies of one
-set are one row, so nothing grows with the square of a group outside the block products, which are split
-into pairs of bounded chunks of like sizes; chunks too far apart in size never meet.
+set are one row. In a component of many sets pivots come first: one set a round is held against all others, and those that link to
+it are one class, whose sets need not meet again, so a group of near copies takes a pass over it for each pivot. What is
+left meets in pairs of bounded chunks of like sizes; chunks too far apart in size, or of one class, never meet.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import hashing
@@ -30,6 +31,9 @@ SHARED = 4  # columns that two sets must share among their leading ones (all the
 LATE_COLUMNS = 100_000  # at most this many columns are moved to the end (order only; no pair depends on it)
 FEW_IDS = 1_000_000  # ids that are broadcast, at most; their number is counted first
 BLOCK = 128  # rows of a chunk; a block of the product is one chunk or a pair
+PIVOTS = 6  # rounds in which sets of large components are held against one of them
+PIVOT_MOST = 4096  # shingles of a pivot
+HEAVY = 1000  # a component with this share of the sets, one in HEAVY, meets its pivot by a broadcast
 
 
 class Sets:
@@ -289,33 +293,79 @@ def _links(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(tidy(run), "a long, b long")
 
 
-def _chunked(members: DataFrame, percent: int) -> DataFrame:
-    """Members with their place: a component of more than BLOCK sets is cut into bands by size, so wide that linked sets
-    stand in one band or in neighbours, and a band into chunks of about BLOCK sets; with the numbers of chunks of the
-    band before, of the own and of the band after. Members are counted by partial sums and not brought together; the
-    bands of large components, some BLOCK times fewer rows, are broadcast up to a checked number."""
+def _few(rows: DataFrame) -> DataFrame:
+    """Rows to be broadcast if they are counted to be few; else the join shuffles."""
+    return F.broadcast(rows) if rows.count() <= FEW_IDS else rows
+
+
+def _pivoted(large: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of sets (component, id, n, shingles) of components with more than BLOCK of them: (id, cls) of those that link to the pivot
+    of some round, and these links (a, b). In a round one set of each component that still has many without a class is
+    held against all of them; sets of one class are connected by their pivot and need not meet again."""
+
+    def compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [hashing.buffers(batch.column(k)) for k in (2, 3)]
+            linked = []
+            for r in range(batch.num_rows):
+                x, y = (np.frombuffer(data[at[r] : at[r + 1]].tobytes(), np.uint64) for data, at in sides)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                linked.append((100 + percent) * shared >= percent * (len(x) + len(y)))
+            kept = np.flatnonzero(linked)
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(kept)) for k in (0, 1)], ["a", "b"])
+
+    spark = large.sparkSession
+    classes, links = spark.createDataFrame([], "id long, cls int"), spark.createDataFrame([], "a long, b long")
+    left = large
+    for r in range(1, PIVOTS + 1):
+        found = left.where(F.col("n") <= PIVOT_MOST).groupBy("component").agg(F.min_by("id", F.xxhash64("id", F.lit(r))).alias("pivot"))
+        many = left.groupBy("component").agg(F.count("*").alias("u")).where(F.col("u") > BLOCK)
+        chosen = checkpoint(found.join(many, "component"))
+        if chosen.isEmpty():
+            break
+        held = large.join(_few(chosen.select(F.col("pivot").alias("id"))), "id", "left_semi").select(F.col("id").alias("pivot"), F.col("shingles").alias("p"))
+        side = chosen.join(held, "pivot")
+        total = many.agg(F.sum("u")).first()[0]
+        heavy = F.broadcast(side.where(F.col("u") * HEAVY >= total))  # at most HEAVY pivots of PIVOT_MOST shingles
+        rest = left.join(heavy.select("component"), "component", "left_anti").join(side.where(F.col("u") * HEAVY < total), "component")
+        met = left.join(heavy, "component").unionByName(rest).select("pivot", "id", "p", "shingles")
+        new = checkpoint(met.mapInArrow(tidy(compared), "a long, b long"))
+        links = links.unionByName(new.where("a <> b"))
+        named = checkpoint(new.select(F.col("b").alias("id"), F.lit(r).alias("cls")))
+        classes = classes.unionByName(named)
+        left = left.join(_few(named.select("id")), "id", "left_anti")
+    return classes, links
+
+
+def _placed(sets: DataFrame, classes: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Sets with their place: those of a component of more than BLOCK sets are cut into bands by size, so wide that linked sets
+    stand in one band or in neighbours, and a band's sets of one class into chunks of about BLOCK; with the groups (band, class, chunks) that
+    the set must meet: all of near bands, but for those of its own class, if it has one. The others are one chunk.
+
+    Groups, some BLOCK times fewer rows than large components have, and classes are broadcast up to a checked number."""
     width = float(-np.log(percent / 100)) * (1 + 1e-9) if percent < 100 else 1e-9
     band = F.floor(F.log("n") / F.lit(width)).cast("int") if percent < 100 else F.col("n").cast("int")
-    rows = members.withColumn("band", band)
-    whole, inner = Window.partitionBy("component"), Window.partitionBy("component").orderBy("band")  # of bands, of which a component has few
-    counted = rows.groupBy("component", "band").agg(F.count("*").alias("m"))
-    large = counted.withColumn("all", F.sum("m").over(whole)).where(F.col("all") > BLOCK).withColumn("own", F.ceil(F.col("m") / F.lit(BLOCK)).cast("int"))
-    near = lambda other, gap: F.when(other(F.col("band")).over(inner) == F.col("band") + gap, other(F.col("own")).over(inner)).otherwise(0)
-    large = checkpoint(large.select("component", "band", "own", near(F.lag, -1).alias("before"), near(F.lead, 1).alias("after")))
-    placed = rows.join(F.broadcast(large) if large.count() <= FEW_IDS else large, ["component", "band"], "left")
-    cut = F.col("own").isNotNull()
-    chunk = F.when(cut, F.expr("cast(pmod(xxhash64(rep), own) as int)")).otherwise(0)
-    one = lambda c, other: F.when(cut, F.col(c)).otherwise(other).alias(c)
-    return placed.withColumn("place", F.struct(one("band", 0), chunk.alias("chunk"), one("before", 0), one("own", 1), one("after", 0))).select("component", "rep", "place", "fa", "fb")
-
-
-def _blocks(sets: DataFrame) -> DataFrame:
+    large = sets.join(_few(sizes), "component", "left_semi")
+    named = large.join(_few(classes), "id", "left").select("component", "id", "shingles", band.alias("band"), F.coalesce("cls", F.lit(0)).alias("cls"))
+    counted = checkpoint(named.groupBy("component", "band", "cls").agg(F.count("*").alias("m")).withColumn("chunks", F.ceil(F.col("m") / BLOCK).cast("int")))
+    other = counted.select("component", F.struct(F.col("band").alias("band"), F.col("cls").alias("cls"), F.col("chunks").alias("chunks")).alias("o"))
+    near = (F.abs(F.col("o.band") - F.col("band")) <= 1) & ((F.col("o.cls") != F.col("cls")) | (F.col("cls") == 0))
+    groups = counted.join(other, "component").where(near).groupBy("component", "band", "cls").agg(F.any_value("chunks").alias("chunks"), F.collect_list("o").alias("others"))
+    met = named.join(_few(checkpoint(groups)), ["component", "band", "cls"])  # a group that meets no other one has no place
+    chunk = F.expr("cast(pmod(xxhash64(id), chunks) as int)")
+    cut = met.select("component", "id", "shingles", _code(F.col("band"), F.col("cls"), chunk).alias("chunk"), "others")
+    single = sets.join(_few(sizes), "component", "left_anti").select("component", "id", "shingles", F.lit(0).cast("long").alias("chunk"), F.array(F.struct(F.lit(0).alias("band"), F.lit(0).alias("cls"), F.lit(1).alias("chunks"))).alias("others"))
+    return cut.unionByName(single)
+
+
+def _code(band, cls, chunk):
+    return band.cast("long") * F.lit(1 << 36) + cls.cast("long") * F.lit(1 << 32) + chunk
+
+
+def _blocks(placed: DataFrame) -> DataFrame:
     """(component, i, j, id, chunk, shingles): each set in every block of two chunks that its own chunk is half of."""
-    code = lambda band, chunk: band.cast("long") * F.lit(1 << 32) + chunk
-    p = F.col("place")
-    mine = code(p["band"], p["chunk"])
-    listed = lambda n, gap: F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda o: code(p["band"] + gap, o))).otherwise(F.array().cast("array<bigint>"))
-    others = sets.withColumn("chunk", mine).withColumn("o", F.explode(F.concat(listed(p["own"], 0), listed(p["before"], -1), listed(p["after"], 1))))
+    met = F.flatten(F.transform("others", lambda o: F.transform(F.sequence(F.lit(0), o["chunks"] - 1), lambda k: _code(o["band"], o["cls"], k))))
+    others = placed.withColumn("o", F.explode(met))
     return others.select("component", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "id", "chunk", "shingles")
 
 
@@ -335,8 +385,7 @@ def jaccard_components(docs: DataFrame, id_: str = "doc_id", text: str = "text",
     late = _late(_low_columns(docs, text, size, percent))
     met = connected_components(_candidates(_columns(docs, text, size, percent, late), percent))
     kinds = prints.where("n > 0 and id is not null").groupBy("fa", "fb", "n").agg(F.min("id").alias("rep"))
-    members = kinds.join(met.select(F.col("id").alias("fa"), "component"), "fa")
-    members = checkpoint(_chunked(members, percent))
+    members = checkpoint(kinds.join(met.select(F.col("id").alias("fa"), "component"), "fa"))
 
     def shingles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in hashing.pieces(batches, 3):
@@ -344,15 +393,17 @@ def jaccard_components(docs: DataFrame, id_: str = "doc_id", text: str = "text",
             n, fa, fb = sets.prints()
             right = (fa == np.asarray(part.column(4))) & (fb == np.asarray(part.column(5)))  # of a repeated id, the row that is meant
             sent = pa.array([s.tobytes() if ok else None for s, ok in zip(sets.sets, right.tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), sent], ["component", "id", "place", "shingles"])
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), sent], ["component", "id", "n", "shingles"])
 
     texts = docs.select(F.col(id_).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
     if members.count() <= FEW_IDS:  # few sets to fetch: the other texts needn't be shuffled
         texts = texts.join(F.broadcast(members.select(F.col("rep").alias("id"))), "id", "left_semi")
-    place = "struct<band:int,chunk:int,before:int,own:int,after:int>"
-    wanted = members.select("component", F.col("rep").alias("id"), "place", "fa", "fb")
-    sets = wanted.join(texts, "id").select("component", "id", "place", "t", "fa", "fb").mapInArrow(tidy(shingles), f"component long, id long, place {place}, shingles binary")
-    links = _links(_blocks(sets.where("shingles is not null")), percent)
+    wanted = members.select("component", F.col("rep").alias("id"), F.col("n").cast("long").alias("n"), "fa", "fb")
+    sets = wanted.join(texts, "id").select("component", "id", "n", "t", "fa", "fb").mapInArrow(tidy(shingles), "component long, id long, n long, shingles binary")
+    sets = checkpoint(sets.where("shingles is not null"))
+    sizes = checkpoint(members.groupBy("component").agg(F.count("*").alias("m")).where(F.col("m") > BLOCK).select("component"))
+    classes, links = _pivoted(sets.join(_few(sizes), "component", "left_semi"), percent)
+    links = links.unionByName(_links(_blocks(_placed(sets, classes, sizes, percent)), percent))
     groups = connected_components(links)
     least = checkpoint(groups.groupBy("component").agg(F.min("id").alias("component_id")))  # of linked sets alone
     linked = groups.join(F.broadcast(least) if least.count() <= FEW_IDS else least, "component").select(F.col("id").alias("rep"), "component_id")

@@ -628,6 +628,26 @@ def test_join_against_brute_force(spark, seed, monkeypatch):
         assert got == want
 
 
+@pytest.mark.parametrize("edits", [2, 5])
+def test_large_groups_of_near_copies_meet_pivots(spark, monkeypatch, edits):
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    draw = random.Random(edits)
+    bases = [[f"w{draw.randrange(5000)}" for _ in range(200)] for _ in range(2)]
+    rows = []
+    for i in range(500):
+        w = list(bases[i % 5 == 0])
+        for _ in range(draw.randint(1, edits)):
+            w[draw.randrange(len(w))] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    met = []
+    blocks = ngram_join._blocks
+    monkeypatch.setattr(ngram_join, "_blocks", lambda placed: met.append(blocks(placed)) or met[-1])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+    if edits == 2:  # nearly all link to a pivot; without pivots a set goes to some 30 blocks
+        assert met[0].count() < 6 * len(rows)
+
+
 def test_join_odd_rows(spark):
     rows = [(None, "a b c d e"), (1, "a b c d e"), (1, "x y z"), (2, "x y z"), (3, "a b c d e"), (4, None)]
     got = Counter(tuple(r) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
