@@ -185,8 +185,8 @@ class Codec:
                     heapq.heappush(heap, (r, k, parts[k], parts[i]))
         return [self.ranks[p] for p in parts if p]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids, packed as little-endian unsigned 32-bit integers."""
+    def encode(self, texts: list[str], most: int = CACHE) -> list[bytes]:
+        """Each text's ids, packed as little-endian unsigned 32-bit integers; the cache is emptied beyond `most` pieces."""
         joined = "\0".join(texts)
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -199,7 +199,7 @@ class Codec:
         at, stop = at[token], stop[token]
         pieces = [joined[i:j] for i, j in zip(at.tolist(), stop.tolist(), strict=True)]
         cache = self.cache
-        if len(cache) > CACHE:
+        if len(cache) > most:
             cache.clear()
         packed = list(map(cache.get, pieces))
         if None in packed:
@@ -239,13 +239,13 @@ def text_runs(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield a, ["" if t is None else t for t in column.slice(a, b - a).to_pylist()]
 
 
-def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: str = "ids", ends: str | None = "ends") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: str = "ids", ends: str | None = "ends", cache: int = CACHE) -> DataFrame:
     """The columns `keep`, and for each row the ids of its whole text (binary, little-endian unsigned 32-bit
     integers) and each token's end as a byte offset into the UTF-8 text (same packing; `ends` None leaves it out).
 
     A null or empty text has no ids. Rows come through one to one, repeated rows too; columns outside `keep`
     are dropped, so extra columns cannot clash. One map over the scan: no shuffle, memory bounded by a run of
-    about half a megabyte of text (or one longer text) and the piece cache. `vocabulary` is a path that workers can read.
+    about half a megabyte of text (or one longer text) and a cache of `cache` pieces. `vocabulary` is a path that workers can read.
     """
     ship(docs.sparkSession)
     part = docs.select(*keep, F.col(text).cast("string").alias("__text"))
@@ -257,7 +257,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: tuple[str
         for batch in batches:
             column = batch.column(len(keep))
             for a, texts in text_runs(column):
-                packed = bpe.encode(texts)
+                packed = bpe.encode(texts, cache)
                 out = [batch.column(k).slice(a, len(texts)) for k in range(len(keep))] + [pa.array(packed, pa.binary())]
                 if ends:
                     out.append(pa.array([bpe.ends(np.frombuffer(p, "<u4")).astype("<u4").tobytes() for p in packed], pa.binary()))
