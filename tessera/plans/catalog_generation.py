@@ -421,11 +421,11 @@ def dpo_random(spark, d):
 
 @query("with p as (select doc_id, text, md5('42:' || doc_id) as position, row_number() over (partition by text order by doc_id) as r from documents where text is not null) select doc_id, position, md5(" + _doc("replace(text, '\\', '\\\\')") + " || chr(10)) as prompt from p where r = 1 and len(regexp_extract_all(text, '\\w+|[^\\w\\s]')) < 300")
 def rl_prompts(spark, d):
-    out = P.prompt_rows(_questions(spark, d, F.col("lang")), 300, curriculum=False)
+    out = P.prompt_rows(_problems(spark, d, F.col("lang")), 300, curriculum=False)
     return out.select(F.col("solutions").alias("doc_id"), "position", text.md5_hex("prompt").alias("prompt"))
 
 
-def _questions(spark, d, difficulty):
+def _problems(spark, d, difficulty):
     p = X.table(spark, d, "documents").where("text is not null")
     return p.select(F.col("doc_id").alias("row_idx"), F.col("text").alias("question"), F.lit("").alias("starter_code"), difficulty.alias("difficulty"), F.lit("{}").alias("input_output"), F.col("doc_id").alias("solutions"))
 
@@ -443,7 +443,7 @@ select doc_id, difficulty, cast(list_position(rows, doc_id) - 1 as bigint) as po
 )
 def rl_prompts_curriculum(spark, d):
     kinds = F.array(*map(F.lit, [*P.ORDER, "UNKNOWN_DIFFICULTY", "OTHER"]))
-    out = P.prompt_rows(_questions(spark, d, F.get(kinds, (F.col("doc_id") % 7).cast("int"))), 300)
+    out = P.prompt_rows(_problems(spark, d, F.get(kinds, (F.col("doc_id") % 7).cast("int"))), 300)
     return out.select(F.col("solutions").alias("doc_id"), "difficulty", F.col("position").cast("long").alias("position"))
 
 
