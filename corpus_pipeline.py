@@ -12,6 +12,7 @@ from tessera.llm.session import checkpoint, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")  # of documents; all stages but the last return them
 LEAST_SCORE = 0.5  # of the language stage
 FEW_IDS = 1_000_000  # ids that are broadcast, at most; their number is counted first
+FEW_PIECES = 1 << 17  # of the encoding stage, whose workers hold what the other stages keep as well
 
 ORACLE_SQL = None  # fitted models and tokenisers are not expressible in SQL; tests hold the stages against brute force
 
@@ -57,7 +58,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, with the offsets that decoding needs."""
-    encoded = bpe.encode(docs, vocabulary_path(), keep=("doc_id", "lang", "source"))
+    encoded = bpe.encode(docs, vocabulary_path(), keep=("doc_id", "lang", "source"), cache=FEW_PIECES)
     return encoded.withColumn("n_tokens", F.expr("cast(length(ids) div 4 as bigint)"))
 
 
