@@ -316,7 +316,7 @@ def _pivoted(large: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 
     spark = large.sparkSession
     classes, links = spark.createDataFrame([], "id long, cls int"), spark.createDataFrame([], "a long, b long")
-    left = large
+    left, unnamed = checkpoint(large.select("component", "id", "n")), large  # every round's plan starts from a checkpoint
     for r in range(1, PIVOTS + 1):
         found = left.where(F.col("n") <= PIVOT_MOST).groupBy("component").agg(F.min_by("id", F.xxhash64("id", F.lit(r))).alias("pivot"))
         many = left.groupBy("component").agg(F.count("*").alias("u")).where(F.col("u") > BLOCK)
@@ -325,15 +325,16 @@ def _pivoted(large: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
             break
         held = large.join(_few(chosen.select(F.col("pivot").alias("id"))), "id", "left_semi").select(F.col("id").alias("pivot"), F.col("shingles").alias("p"))
         side = chosen.join(held, "pivot")
-        total = many.agg(F.sum("u")).first()[0]
+        total = chosen.agg(F.sum("u")).first()[0]
         heavy = F.broadcast(side.where(F.col("u") * HEAVY >= total))  # at most HEAVY pivots of PIVOT_MOST shingles
-        rest = left.join(heavy.select("component"), "component", "left_anti").join(side.where(F.col("u") * HEAVY < total), "component")
-        met = left.join(heavy, "component").unionByName(rest).select("pivot", "id", "p", "shingles")
+        rest = unnamed.join(heavy.select("component"), "component", "left_anti").join(side.where(F.col("u") * HEAVY < total), "component")
+        met = unnamed.join(heavy, "component").unionByName(rest).select("pivot", "id", "p", "shingles")
         new = checkpoint(met.mapInArrow(tidy(compared), "a long, b long"))
         links = links.unionByName(new.where("a <> b"))
         named = checkpoint(new.select(F.col("b").alias("id"), F.lit(r).alias("cls")))
-        classes = classes.unionByName(named)
-        left = left.join(_few(named.select("id")), "id", "left_anti")
+        classes = checkpoint(classes.unionByName(named))
+        left = checkpoint(left.join(_few(named.select("id")), "id", "left_anti"))
+        unnamed = large.join(_few(classes.select("id")), "id", "left_anti")
     return classes, links
 
 
