@@ -1,4 +1,5 @@
-"""A corpus pipeline over `documents`: each stage works on all that its predecessor kept."""
+"""A corpus pipeline over `documents`: each stage works on all that its predecessor kept, and learns from nothing else of it,
+so the table itself may go once the first stage is written."""
 
 from __future__ import annotations
 
@@ -18,15 +19,14 @@ ORACLE_SQL = None  # fitted models and tokenisers are not expressible in SQL; te
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored as toxic go. The model learns from the labelled documents of the whole table."""
-    model = toxicity_model(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    """Documents scored as toxic go. The model learns from the labelled ones."""
+    model = toxicity_model(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs.withColumn("__text_", F.col("text")), model, "__text_", COLUMNS).where("predicted = 0").select(*COLUMNS)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a determinable language go."""
-    model = language_model(table(spark, sf_dir, "documents"))
-    kept = langid.predict(docs.withColumn("__text_", F.col("text")), model, "__text_", COLUMNS)
+    """Documents without a determinable language go. The model learns from those that came this far."""
+    kept = langid.predict(docs.withColumn("__text_", F.col("text")), language_model(docs), "__text_", COLUMNS)
     return kept.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
 
 

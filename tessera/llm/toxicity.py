@@ -290,7 +290,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
         model = pickle.dumps(fit([t for _, _, t in held], [y for y, _, _ in held]))
         yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
-    return pickle.loads(bounded.repartition(1).mapInArrow(tidy(run), "model binary").first()["model"])
+    fitted = bounded.repartition(1).mapInArrow(tidy(run), "model binary").first()
+    return pickle.loads(fitted["model"]) if fitted else fit([], [])  # none of the labels' documents is there
 
 
 def word_spans(text: str) -> list[tuple[int, int]]:

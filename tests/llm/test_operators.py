@@ -769,6 +769,22 @@ def test_pipeline_stages(spark, tmp_path):
     assert kept == {d for d, _ in rows}
 
 
+def test_pipeline_without_the_documents_table(spark, tmp_path):
+    import shutil
+
+    import corpus_pipeline as pipeline
+
+    for t in ("documents", "labels", "benchmark"):
+        shutil.copy(f"{SF}/{t}.parquet", tmp_path / f"{t}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (_, stage) in enumerate(pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        if k == 0:
+            (tmp_path / "documents.parquet").unlink()
+    assert Counter(tuple(r) for r in docs.collect()) == Counter(tuple(r) for r in pipeline.run(spark, SF).collect()) != Counter()
+
+
 def test_pipeline_on_odd_and_empty_tables(spark):
     import corpus_pipeline as pipeline
 
