@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scoring import draw_weight, error_kind, log_binomial, pass_at_k
 
+DRAWN = 4096  # attempts of an item in a list, from which draws are made
+
 
 def _hit(name: str = "passing") -> Column:
     return F.coalesce(F.col(name).cast("int"), F.lit(0))
@@ -137,15 +139,32 @@ def expected_grid(attempts: DataFrame, ks: list[int], sizes: list[int], score: s
 
 def sampled_best_of_n(attempts: DataFrame, n: int, k: int = 1, draws: int = 25, seed: int = 42, score: str = "score") -> DataFrame:
     """Monte-Carlo form: mean and population deviation over draws of n attempts by a hashed order. Null if an attempt lacks
-    its verdict or score."""
+    its verdict or score.
+
+    The attempts of an item stand in lists of some DRAWN at most, and each draw is made inside a list, so no row is copied for a
+    draw. Of an item with more attempts each list gives its first n of a draw, and the first of those are ranked."""
     known = attempts.agg(_known("passing", score).alias("known"))  # one row
-    drawn = attempts.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    drawing = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col("item").cast("string"), F.col("idx").cast("string")).cast("binary"))
-    order = Window.partitionBy("draw", "item").orderBy(drawing, "idx")
-    kept = drawn.withColumn("o", F.row_number().over(order)).where(F.col("o") <= n)
-    best = Window.partitionBy("draw", "item").orderBy(F.col(score).desc_nulls_last(), "o")
-    hits = kept.withColumn("rk", F.row_number().over(best)).where(F.col("rk") <= k).groupBy("draw", "item").agg(F.max(_hit()).alias("hit"))
-    means = hits.groupBy("draw").agg(F.avg("hit").alias("m")).agg((F.avg("m") * 100).alias("accuracy"), (F.stddev_pop("m") * 100).alias("std"))
+    size = F.count("*").over(Window.partitionBy("item"))
+    name = F.concat_ws(":", F.col("item").cast("string"), F.col("idx").cast("string"))
+    rows = attempts.select("item", "idx", name.alias("name"), F.col(score).alias("score"), _hit().alias("hit"), size.alias("size"))
+    part = F.when(F.col("size") > DRAWN, F.pmod(F.xxhash64("idx"), F.ceil(F.col("size") / DRAWN))).otherwise(0)
+    lists = rows.groupBy("item", part.alias("part")).agg(F.first("size").alias("size"), F.collect_list(F.struct("name", "idx", "score", "hit")).alias("list"))
+    numbers = F.sequence(F.lit(1), F.lit(draws))
+
+    def first(draw: Column) -> Column:
+        by = lambda x: F.md5(F.concat(F.lit(f"{seed}:"), draw.cast("string"), F.lit(":"), x["name"]).cast("binary"))
+        return F.slice(F.array_sort(F.transform("list", lambda x: F.struct(by(x).alias("by"), x["idx"].alias("idx"), x["score"].alias("score"), x["hit"].alias("hit")))), 1, n)
+
+    def hit(drawn: Column) -> Column:
+        ranked = F.reverse(F.array_sort(F.transform(drawn, lambda x, o: F.struct(x["score"].alias("score"), (-o).alias("o"), x["hit"].alias("hit")))))
+        return F.array_max(F.transform(F.slice(ranked, 1, k), lambda x: x["hit"]))
+
+    few = lists.where(F.col("size") <= DRAWN).select(F.posexplode(F.transform(numbers, lambda d: hit(first(d)))).alias("draw", "hit")).select((F.col("draw") + 1).alias("draw"), "hit")
+    drawn = lists.where(F.col("size") > DRAWN).select("item", "list", F.explode(numbers).alias("draw")).select("item", "draw", F.explode(first(F.col("draw"))).alias("x")).select("item", "draw", "x.*")
+    kept = drawn.withColumn("o", F.row_number().over(Window.partitionBy("draw", "item").orderBy("by", "idx"))).where(F.col("o") <= n)
+    best = Window.partitionBy("draw", "item").orderBy(F.col("score").desc_nulls_last(), "o")
+    many = kept.withColumn("rk", F.row_number().over(best)).where(F.col("rk") <= k).groupBy("draw", "item").agg(F.max("hit").alias("hit")).select("draw", "hit")
+    means = few.unionByName(many).groupBy("draw").agg(F.avg("hit").alias("m")).agg((F.avg("m") * 100).alias("accuracy"), (F.stddev_pop("m") * 100).alias("std"))
     both = means.withColumn("__one", F.lit(1)).join(known.withColumn("__one", F.lit(1)), "__one")
     return both.select(*[F.when(F.col("known"), F.col(c)).alias(c) for c in ("accuracy", "std")])
 
