@@ -18,6 +18,7 @@ HASHES = 96  # minima in a signature; more than a hundred columns would leave ge
 ROUNDS = 4
 CHUNK = 64  # members of a bucket that meet members of another chunk in one task
 COPIES = 4096  # pairs that one copy of a pivot's shingles serves
+FEW = 2_000_000  # ids of candidates that are broadcast, at most, 64 bits each; their number is counted first
 SURE = 0.95  # least chance that a pair right at the threshold shares a bucket
 
 
@@ -62,6 +63,8 @@ def buckets(signed: DataFrame, bands: int, rows: int) -> DataFrame:
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Of candidate pairs (a, b, m) those whose Jaccard similarity reaches the threshold, as (a, b, shared, total); m
     bounds the pairs that an `a` has in its bucket, and its shingles are copied for every COPIES of them."""
+    pairs = checkpoint(pairs)
+    sets = _of_pairs(sets, pairs)
     named = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / COPIES)).alias("copy"))
     held = pairs.groupBy("a").agg(F.max(F.ceil(F.col("m") / COPIES)).alias("copies"))
     left = sets.join(held, sets["id"] == held["a"]).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.col("set").alias("x"))
@@ -71,6 +74,15 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return sure.where(F.col("shared") >= F.lit(threshold) * F.col("total"))
 
 
+def _of_pairs(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets of the pairs' ids, so that no others are shuffled; all sets if those ids are too many for a broadcast. Ids are told by
+    a hash of 64 bits: a set too many is dropped by the joins on ids."""
+    ids = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("id")).select(F.xxhash64("id").alias("h")).distinct())
+    if ids.count() > FEW:
+        return sets
+    return sets.join(F.broadcast(ids), F.xxhash64(sets["id"]) == ids["h"], "left_semi")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): the smallest id that is reachable over edges, for each id that has one.
 
@@ -107,7 +119,6 @@ def linked(index: DataFrame, sets: DataFrame, threshold: float, rounds: int = RO
     that share a bucket and reach the threshold, and the links that were verified to find them. Pairs inside a class that is
     known already are not compared, so no class is lost and no group is multiplied by itself."""
     classes = checkpoint(index.select("id").distinct().select("id", F.col("id").alias("class")))
-    sets = sets.join(classes.select("id"), "id", "left_semi")
     links, left = [], index.select("bucket", "id")
     for k in range(rounds):
         placed = checkpoint(left.join(classes, "id"))

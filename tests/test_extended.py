@@ -97,6 +97,17 @@ def test_large_groups_of_near_copies(spark, rounds, monkeypatch):
         assert links.count() < 3 * len(rows)  # not all pairs
 
 
+@pytest.mark.parametrize("few", [1000, 0])
+def test_sets_of_candidates_alone_are_shuffled(spark, monkeypatch, few):
+    monkeypatch.setattr(near_duplicates, "FEW", few, raising=False)
+    sets = spark.createDataFrame([(f"k{i}", list(range(i, i + 20))) for i in range(50)], "id string, set array<long>")
+    pairs = spark.createDataFrame([("k0", "k1", 1), ("k0", "k30", 1)], "a string, b string, m long")
+    found = near_duplicates.verified(pairs, sets, 0.8)
+    assert [tuple(r) for r in found.collect()] == [("k0", "k1", 19, 21)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert ("LeftSemi, BuildRight" in plan) == (few > 0)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     text = " ".join(f"w{i}" for i in range(50))
     rows = [(1, text), (2, text.upper()), (2, "other words " + text), (3, None), (4, ""), (5, "a b"), (6, "A  b"), (None, text), (7, "x" * 100_000), (8, " ".join(f"v{i % 777}" for i in range(20_000))), (9, text)]
