@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import Codec
+from tessera.llm.bpe import Codec, packed_ids
 from tessera.llm.hashing import CHUNK_BYTES
 from tessera.llm.session import ship, spread, trim
 
@@ -68,7 +68,7 @@ class Pieces:
 
     def _checked(self, ids: list[int], text: str) -> bytes:
         """The ids, packed, or LOST if they do not give the bytes of `text`."""
-        return np.array(ids, "<u4").tobytes() if b"".join(map(self.tokens.__getitem__, ids)) == text.encode() else LOST
+        return packed_ids(ids) if b"".join(map(self.tokens.__getitem__, ids)) == text.encode() else LOST
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, none of them empty (the model adds a space), packed as little-endian unsigned 32-bit

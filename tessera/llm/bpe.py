@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import base64
 import heapq
+import itertools
+import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 
@@ -130,6 +132,14 @@ def boundaries(kinds: np.ndarray) -> np.ndarray:
     return _STARTS[before.T.ravel()[:n], kinds]
 
 
+_BYTES = [bytes([b]) for b in range(256)]
+
+
+def packed_ids(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers; for few ids faster than an array."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Codec:
     """Encodes and decodes with merge ranks: a dict from a token's bytes to its id."""
 
@@ -139,6 +149,7 @@ class Codec:
         for token, rank in ranks.items():
             self.tokens[rank] = token
         self.lengths = np.array([len(t) for t in self.tokens], np.int64)
+        self.two = [ranks.get(bytes((a, b)), len(self.tokens)) for a in range(256) for b in range(256)]  # where merging starts
         self.cache: dict[str, bytes] = {}
 
     @classmethod
@@ -152,10 +163,11 @@ class Codec:
         if whole is not None:
             return [whole]
         rank, n = self.ranks.get, len(piece)
-        parts: list[bytes] = [piece[i : i + 1] for i in range(n)]
+        parts: list[bytes] = list(map(_BYTES.__getitem__, piece))
         if n <= 64:
             never = len(self.tokens)
-            ranked = [rank(a + b, never) for a, b in zip(parts, parts[1:], strict=False)]
+            two = self.two
+            ranked = [two[a << 8 | b] for a, b in itertools.pairwise(piece)]
             while ranked and (best := min(ranked)) != never:
                 i = ranked.index(best)
                 parts[i] += parts.pop(i + 1)
@@ -208,7 +220,7 @@ class Codec:
                     piece = pieces[i]
                     known = cache.get(piece)
                     if known is None:
-                        known = np.array(self.merge(piece.encode()), "<u4").tobytes()
+                        known = packed_ids(self.merge(piece.encode()))
                         if len(piece) <= 64:
                             cache[piece] = known
                     packed[i] = known

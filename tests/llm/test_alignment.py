@@ -100,3 +100,12 @@ def test_pair_counts(spark):
     pairs = spark.createDataFrame([(1 << 32 | 5, 2), (1 << 32 | 5, 1), (2 << 32 | 5, 3), (3 << 32 | 5, 1), (3 << 32 | 6, 1)], "pair long, n long")
     got = {(r.pair >> 32, r.pair & 0xFFFFFFFF): (r["count"], r.best) for r in alignment.pair_counts(pairs).collect()}
     assert got == {(1, 5): (3, True), (2, 5): (3, True), (3, 5): (1, False), (3, 6): (1, True)}
+
+
+def test_packed_ids_and_first_pairs():
+    from tessera.llm import bpe
+
+    codec = bpe.Codec({bytes([i]): i for i in range(256)} | {b"ab": 256, b"bc": 257, b"abc": 258, b"\xff\x00": 259})
+    assert codec.two[ord("a") << 8 | ord("b")] == 256 and codec.two[0xFF00] == 259 and codec.two[0] == len(codec.tokens)
+    assert codec.merge(b"xabcbc\xff\x00a") == [ord("x"), 258, 257, 259, ord("a")] and codec.merge(b"") == []
+    assert bpe.packed_ids([1, 2**32 - 1]) == b"\x01\0\0\0\xff\xff\xff\xff" and bpe.packed_ids([]) == b""
