@@ -3,12 +3,13 @@
 Documents with the same shingles are one kind. A kind's signature is the minimum of many hashes over its shingles, one
 aggregation over exploded shingles; runs of its minima (bands) are the buckets of the index. In a bucket not all pairs
 are made: round after round a pivot is held against those members that are not yet in its class, so a group of m near copies
-takes about m comparisons. What still shares a bucket but no class after ROUNDS rounds is compared in pairs of chunks.
+takes about m comparisons. What still shares a bucket but no class after ROUNDS rounds meets in pairs of chunks, as sizes and
+bitmaps, which bound what two sets can share; only pairs that may reach the threshold are shuffled and verified.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.joins import skewed_join
@@ -16,9 +17,10 @@ from tessera.plans.lineage import checkpoint, scratch
 
 HASHES = 96  # minima in a signature; more than a hundred columns would leave generated code
 ROUNDS = 4
-CHUNK = 64  # members of a bucket that meet members of another chunk in one task
+CHUNK = 4096  # members of a bucket that meet members of another chunk in one task
 COPIES = 4096  # pairs that one copy of a pivot's shingles serves
 FEW = 2_000_000  # ids of candidates that are broadcast, at most, 64 bits each; their number is counted first
+WORDS = 32  # of 64 bits, in the bitmap of a set
 SURE = 0.95  # least chance that a pair right at the threshold shares a bucket
 
 
@@ -46,7 +48,8 @@ def kinds_of(sets: DataFrame) -> DataFrame:
 
 
 def signatures(sets: DataFrame, hashes: int = HASHES) -> DataFrame:
-    """(id, sig): for each of `hashes` seeds the least hash of the set's members; sets without any are left out."""
+    """(id, sig): for each of `hashes` seeds the least hash of the set's members; sets without any are left out, repeated ones
+    count once."""
     minima = [F.min(F.xxhash64("s", F.lit(i))).alias(f"h{i}") for i in range(hashes)]
     spread = sets.select("id", F.explode("set").alias("s")).groupBy("id").agg(*minima)
     return spread.select("id", F.array(*[f"h{i}" for i in range(hashes)]).alias("sig"))
@@ -62,9 +65,10 @@ def buckets(signed: DataFrame, bands: int, rows: int) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Of candidate pairs (a, b, m) those whose Jaccard similarity reaches the threshold, as (a, b, shared, total); m
-    bounds the pairs that an `a` has in its bucket, and its shingles are copied for every COPIES of them."""
+    bounds the pairs that an `a` has in its bucket, and its shingles are copied for every COPIES of them. An id's set may be
+    there several times."""
     pairs = checkpoint(pairs)
-    sets = _of_pairs(sets, pairs)
+    sets = _of(sets, pairs.select(F.explode(F.array("a", "b")).alias("id"))).groupBy("id").agg(F.any_value("set").alias("set"))
     named = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / COPIES)).alias("copy"))
     held = pairs.groupBy("a").agg(F.max(F.ceil(F.col("m") / COPIES)).alias("copies"))
     left = sets.join(held, sets["id"] == held["a"]).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.col("set").alias("x"))
@@ -74,15 +78,36 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return sure.where(F.col("shared") >= F.lit(threshold) * F.col("total"))
 
 
-def _of_pairs(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The sets of the pairs' ids, so that no others are shuffled; all sets if those ids are too many for a broadcast. Ids are told by
+def _of(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The sets of some ids, so that no others are shuffled; all sets if those ids are too many for a broadcast. Ids are told by
     a hash of 64 bits: a set too many is dropped by the joins on ids."""
-    ids = checkpoint(pairs.select(F.explode(F.array("a", "b")).alias("id")).select(F.xxhash64("id").alias("h")).distinct())
+    ids = checkpoint(ids.select(F.xxhash64("id").alias("h")).distinct())
     if ids.count() > FEW:
         return sets
     return sets.join(F.broadcast(ids), F.xxhash64(sets["id"]) == ids["h"], "left_semi")
 
 
+def bitmaps(sets: DataFrame) -> DataFrame:
+    """(id, n, over, bits): a set's size, a bit for each remainder that its members have by the number of bits, and by how much
+    the size is over the bits set. Two sets share as many members as bits and the lesser `over`, at most."""
+    spread = sets.select("id", F.size("set").alias("n"), F.explode("set").alias("s")).select("id", "n", F.expr(f"cast(pmod(s, {64 * WORDS}) as int)").alias("bit"))
+    of_word = [F.bit_or(F.when(F.expr(f"bit div 64 = {k}"), F.expr("shiftleft(1L, bit % 64)")).otherwise(F.lit(0).cast("long"))).alias(f"w{k}") for k in range(WORDS)]
+    words = spread.groupBy("id").agg(F.max("n").alias("n"), *of_word).select("id", "n", F.array(*[f"w{k}" for k in range(WORDS)]).alias("bits"))
+    return words.select("id", "n", (F.col("n") - _ones(F.col("bits"))).alias("over"), "bits")
+
+
+def _ones(bits: Column) -> Column:
+    return F.aggregate(bits, F.lit(0), lambda so_far, word: so_far + F.bit_count(word))
+
+
+def _may_reach(threshold: float) -> Column:
+    """Of bitmaps and of others' (columns with a v before their names): whether the two sets can be `threshold` alike. What shares
+    more is more alike, so no pair is lost that `verified` would keep."""
+    most = _ones(F.zip_with("bits", "vbits", lambda x, y: x.bitwiseAND(y))) + F.least("over", "vover")
+    least = F.lit(threshold) * (F.col("n") + F.col("vn")) - F.lit(1e-6)  # of (1 + threshold) times what they share, with room for rounding
+    return (F.lit(1 + threshold) * F.least("n", "vn") >= least) & (F.lit(1 + threshold) * most >= least)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): the smallest id that is reachable over edges, for each id that has one.
 
@@ -133,10 +158,13 @@ def linked(index: DataFrame, sets: DataFrame, threshold: float, rounds: int = RO
         classes = _relabelled(classes, links[-1])
     placed = checkpoint(left.join(classes, "id"))
     apart = placed.groupBy("bucket").agg(F.count("*").alias("m"), F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
-    told = skewed_join(placed, apart.select("bucket", "m"), ["bucket"], "m", placed.count()).withColumn("chunks", F.ceil(F.col("m") / CHUNK)).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(-1)), F.col("chunks")))
-    one = told.select("bucket", "id", "class", "m", F.col("chunk").alias("i"), F.explode(F.sequence(F.col("chunk"), F.col("chunks") - 1)).alias("j"))
-    other = told.select("bucket", F.col("id").alias("b"), F.col("class").alias("c"), F.col("chunk").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunk"))).alias("i"))
-    rest = one.join(other, ["bucket", "i", "j"]).where("class <> c and (i <> j or id < b)").select(F.col("id").alias("a"), "b", "m").groupBy("a", "b").agg(F.max("m").alias("m"))
+    told = checkpoint(skewed_join(placed, apart.select("bucket", "m"), ["bucket"], "m", placed.count()))
+    known = checkpoint(bitmaps(_of(sets, told.select("id"))))
+    told = told.join(known, "id").withColumn("chunks", F.ceil(F.col("m") / CHUNK)).withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(-1)), F.col("chunks")))
+    one = told.select("bucket", "id", "class", "m", *known.columns[1:], F.col("chunk").alias("i"), F.explode(F.sequence(F.col("chunk"), F.col("chunks") - 1)).alias("j"))
+    other = told.select("bucket", F.col("id").alias("b"), F.col("class").alias("c"), *[F.col(c).alias(f"v{c}") for c in known.columns[1:]], F.col("chunk").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunk"))).alias("i"))
+    rest = one.join(other, ["bucket", "i", "j"]).where(F.expr("class <> c and (i <> j or id < b)") & _may_reach(threshold))
+    rest = rest.select(F.col("id").alias("a"), "b", "m").groupBy("a", "b").agg(F.max("m").alias("m"))
     links.append(checkpoint(verified(rest, sets, threshold)))
     return _relabelled(classes, links[-1]), _united(links, sets)
 
@@ -166,11 +194,11 @@ def near_duplicates(docs: DataFrame, id_: str = "doc_id", text: str = "text", si
 
 
 def indexed(docs: DataFrame, id_: str, text: str, size: int, threshold: float, hashes: int = HASHES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows (id, n, kind), sets of the kinds (id, set), banded index (bucket, id)), where the id of a set is its kind's name."""
+    """(rows (id, n, kind), sets of the kinds (id, set), banded index (bucket, id)), where the id of a set is its kind's name. Sets
+    are written once, row by row, so a kind of several rows has its set several times; no set is shuffled for that."""
     spark = docs.sparkSession
-    path, chosen = scratch(spark, "shingles"), scratch(spark, "kinds")
+    path = scratch(spark, "shingles")
     kinds_of(shingle_sets(docs, id_, text, size)).write.parquet(path)
     rows = spark.read.parquet(path)
-    rows.where("n > 0").groupBy(F.col("kind").alias("id")).agg(F.any_value("set").alias("set")).write.parquet(chosen)
-    sets = spark.read.parquet(chosen)
+    sets = rows.where("n > 0").select(F.col("kind").alias("id"), "set")
     return rows.drop("set"), sets, buckets(signatures(sets, hashes), *banding(threshold, hashes))

@@ -108,6 +108,28 @@ def test_sets_of_candidates_alone_are_shuffled(spark, monkeypatch, few):
     assert ("LeftSemi, BuildRight" in plan) == (few > 0)
 
 
+@pytest.mark.parametrize("chunk", [4096, 7])
+def test_pairs_that_cannot_reach_the_threshold_are_not_verified(spark, monkeypatch, chunk):
+    monkeypatch.setattr(near_duplicates, "CHUNK", chunk)
+    rng, seen, verified = random.Random(5), [], near_duplicates.verified
+    line = [rng.getrandbits(62) for _ in range(30)]
+    sets = {i: set(line) | {rng.getrandbits(62) for _ in range(rng.choice([20, 60, 300]))} for i in range(60)}
+    for i in range(60, 75):  # some at the threshold, one over it, one below
+        base = sorted(sets[i - 60])
+        shared = len(base) * 2 // 3 + i % 3 - 1
+        sets[i] = set(base[:shared]) | {rng.getrandbits(62) for _ in range(len(base) - shared)}
+    sets[75], sets[76] = {1}, {1 + 2048}  # the same bit, nothing shared
+    names = {f"k{i:02}": x for i, x in sets.items()}
+    given = spark.createDataFrame([(k, list(x)) for k, x in names.items()] * 2, "id string, set array<long>")  # each of them twice
+    index = spark.createDataFrame([(b, k) for k in names for b in (1, 2)], "bucket long, id string")
+    monkeypatch.setattr(near_duplicates, "verified", lambda pairs, *more: (seen.append(pairs.count()), verified(pairs, *more))[1])
+    _, links = near_duplicates.linked(index, given, 0.5, 0)
+    got = sorted((min(r.a, r.b), max(r.a, r.b), r.shared, r.total) for r in links.collect())
+    want = [(a, b, len(x & y), len(x | y)) for a, x in names.items() for b, y in names.items() if a < b and len(x & y) >= 0.5 * len(x | y)]
+    assert got == sorted(want) and len(want) >= 5
+    assert seen[-1] < len(names) * (len(names) - 1) / 2 / 3
+
+
 def test_near_duplicates_of_odd_rows(spark):
     text = " ".join(f"w{i}" for i in range(50))
     rows = [(1, text), (2, text.upper()), (2, "other words " + text), (3, None), (4, ""), (5, "a b"), (6, "A  b"), (None, text), (7, "x" * 100_000), (8, " ".join(f"v{i % 777}" for i in range(20_000))), (9, text)]
