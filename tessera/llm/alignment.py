@@ -7,6 +7,7 @@ each batch of documents is told the counts of the pairs that it holds, and which
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -70,6 +71,17 @@ class Pieces:
         """The ids, packed, or LOST if they do not give the bytes of `text`."""
         return packed_ids(ids) if b"".join(map(self.tokens.__getitem__, ids)) == text.encode() else LOST
 
+    def _all_checked(self, ids: list[list[int]], texts: list[str]) -> list[bytes]:
+        """`_checked` of each, at once: texts whose tokens fill them and give their bytes. If any does not, each is looked at alone."""
+        flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64)
+        upto = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        body = [t.encode() for t in texts]
+        filled = np.cumsum(self.lengths[flat])[upto - 1] == np.cumsum(np.fromiter(map(len, body), np.int64, len(body)))
+        if not filled.all() or b"".join(map(self.tokens.__getitem__, flat.tolist())) != b"".join(body):
+            return [self._checked(x, t) for x, t in zip(ids, texts, strict=True)]
+        packed, upto = flat.astype("<u4").tobytes(), (4 * upto).tolist()
+        return [packed[i:j] for i, j in zip([0, *upto], upto, strict=False)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, none of them empty (the model adds a space), packed as little-endian unsigned 32-bit
         integers; LOST is among them if they do not give the bytes of a space and the text."""
@@ -98,7 +110,7 @@ class Pieces:
         if None in packed:
             new = list(dict.fromkeys(p for p, known in zip(parts, packed, strict=True) if known is None))
             ids = [x or [self.model.piece_to_id(SPACE)] for x in self.model.encode([p[1:] for p in new], num_threads=1)]
-            found = {p: self._checked(x, p) for p, x in zip(new, ids, strict=True)}
+            found = dict(zip(new, self._all_checked(ids, new), strict=True))
             cache |= {p: ids for p, ids in found.items() if len(p) <= 64}
             packed = [found[p] if known is None else known for p, known in zip(parts, packed, strict=True)]
         by = np.append(np.searchsorted(at, begins), len(at)).tolist()

@@ -4,7 +4,8 @@ Pre-tokenisation has no regex: an array of code-point classes (with what little
 folded into the class) drives a small automaton, and because its transition functions form a finite monoid,
 the state before every character comes from an associative scan of function numbers through a composition
 table, block by block over whole batches. The slices between boundaries are looked up in a cache of merged
-pieces; a piece not seen yet is merged by rank, with a heap, in O(n log n).
+pieces; those not seen yet are merged by rank, many at once in arrays of pieces of one length, a long one with a
+heap, in O(n log n).
 """
 
 from __future__ import annotations
@@ -78,7 +79,10 @@ _class_table: list[np.ndarray] = []
 
 def class_table() -> np.ndarray:
     if not _class_table:
-        kinds = np.fromiter(({"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
+        names = "".join(map(unicodedata.category, map(chr, range(0x110000))))[::2]  # the first letters of two
+        kinds = np.full(0x110000, OTHER, np.uint8)
+        for letter, kind in (("L", LETTER), ("N", NUMBER)):
+            kinds[np.frombuffer(names.encode(), np.uint8) == ord(letter)] = kind
         kinds[WHITE_SPACE] = MID
         _class_table.append(kinds)
     return _class_table[0]
@@ -135,6 +139,13 @@ def boundaries(kinds: np.ndarray) -> np.ndarray:
 _BYTES = [bytes([b]) for b in range(256)]
 
 
+NEVER = 1 << 40  # in place of the id of a pair that is no token
+
+
+def _place(keys: np.ndarray, shift: int) -> np.ndarray:
+    return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(shift)).astype(np.int64)
+
+
 def packed_ids(ids: list[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit integers; for few ids faster than an array."""
     return struct.pack(f"<{len(ids)}I", *ids)
@@ -151,6 +162,88 @@ class Codec:
         self.lengths = np.array([len(t) for t in self.tokens], np.int64)
         self.two = [ranks.get(bytes((a, b)), len(self.tokens)) for a in range(256) for b in range(256)]  # where merging starts
         self.cache: dict[str, bytes] = {}
+        self.pairs: tuple | None = None
+
+    def _table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """(each byte's id or -1, keys, ids, shift): an open hash table of the pairs of ids whose bytes together are a token."""
+        if self.pairs is None:
+            rank = self.ranks.get
+            found = [(a << 32 | b, r) for token, r in self.ranks.items() for k in range(1, len(token)) if (a := rank(token[:k])) is not None and (b := rank(token[k:])) is not None]
+            shift = 62 - max(1, len(found)).bit_length()  # a quarter to an eighth of the places are taken
+            keys, ids = np.full((1 << 64 - shift) + 64, -1, np.int64), np.full((1 << 64 - shift) + 64, NEVER, np.int64)
+            left = np.array(found, np.int64).reshape(-1, 2)
+            at = _place(left[:, 0], shift)
+            while len(left):
+                free = keys[at] == -1
+                keys[at[free]] = left[free, 0]
+                ids[at[free]] = left[free, 1]
+                stay = keys[at] != left[:, 0]
+                ids[at[~stay]] = left[~stay, 1]  # of those that tried one place the last has it; its id goes with it
+                left, at = left[stay], at[stay] + 1
+            self.pairs = np.array([rank(b, -1) for b in _BYTES], np.int64), keys, ids, shift
+        return self.pairs
+
+    def _ranked(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The id of each pair of ids put together, NEVER if that is no token."""
+        _, keys, ids, shift = self._table()
+        wanted = left << 32 | right
+        at = _place(wanted, shift)
+        out = np.where(keys[at] == wanted, ids[at], NEVER)
+        more = np.flatnonzero((keys[at] != wanted) & (keys[at] != -1))
+        at = at[more]
+        while len(more):
+            at += 1
+            here = keys[at]
+            hit = here == wanted[more]
+            out[more[hit]] = ids[at[hit]]
+            go = ~hit & (here != -1)
+            more, at = more[go], at[go]
+        return out
+
+    def merge_all(self, pieces: list[bytes]) -> list[bytes]:
+        """What `merge` gives for each piece, packed: pieces of like length are rows of one array, and each step merges one pair
+        of every row. Long pieces, and those of bytes that are no tokens, are merged alone."""
+        alphabet = self._table()[0]
+        whole = list(map(self.ranks.get, pieces))
+        out: list[bytes] = [b"" if known is None else packed_ids([known]) for known in whole]
+        lengths = np.fromiter((len(p) if known is None else -1 for p, known in zip(pieces, whole, strict=True)), np.int64, len(pieces))
+        for n in np.unique(lengths[lengths >= 0]).tolist():
+            rows = np.flatnonzero(lengths == n)
+            if n > 64 or n < 2 or len(rows) < 16 or (alphabet < 0).any():
+                for i in rows.tolist():
+                    out[i] = packed_ids(self.merge(pieces[i]))
+                continue
+            ids = alphabet[np.frombuffer(b"".join(map(pieces.__getitem__, rows.tolist())), np.uint8)].reshape(-1, n)
+            ranked = self._ranked(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(-1, n - 1)
+            while len(rows):
+                if ranked.shape[1]:
+                    i = ranked.argmin(axis=1)
+                    every = np.arange(len(rows))
+                    best = ranked[every, i]
+                    done = best == NEVER
+                else:
+                    done = np.ones(len(rows), bool)
+                if done.any():
+                    width = 4 * ids.shape[1]
+                    packed = ids[done].astype("<u4").tobytes()
+                    for k, row in enumerate(rows[done].tolist()):
+                        out[row] = packed[k * width : (k + 1) * width]
+                    rows, ids, ranked = rows[~done], ids[~done], ranked[~done]
+                    if not len(rows):
+                        break
+                    i, best, every = i[~done], best[~done], np.arange(len(rows))
+                ids[every, i] = best
+                keep = np.ones(ids.shape, bool)
+                keep[every, i + 1] = False
+                ids = ids[keep].reshape(len(rows), -1)
+                keep = np.ones(ranked.shape, bool)
+                keep[every, i] = False
+                ranked = ranked[keep].reshape(len(rows), -1)
+                before, after = np.flatnonzero(i > 0), np.flatnonzero(i < ranked.shape[1])
+                at = np.concatenate([i[before] - 1, i[after]])
+                who = np.concatenate([before, after])
+                ranked[who, at] = self._ranked(ids[who, at], ids[who, at + 1])
+        return out
 
     @classmethod
     def load(cls, path: str) -> Codec:
@@ -215,15 +308,10 @@ class Codec:
             cache.clear()
         packed = list(map(cache.get, pieces))
         if None in packed:
-            for i, known in enumerate(packed):
-                if known is None:
-                    piece = pieces[i]
-                    known = cache.get(piece)
-                    if known is None:
-                        known = packed_ids(self.merge(piece.encode()))
-                        if len(piece) <= 64:
-                            cache[piece] = known
-                    packed[i] = known
+            new = list(dict.fromkeys(itertools.compress(pieces, [known is None for known in packed])))
+            found = dict(zip(new, self.merge_all([p.encode() for p in new]), strict=True))
+            cache.update(found if max(map(len, new)) <= 64 else {p: ids for p, ids in found.items() if len(p) <= 64})
+            packed = [found[p] if known is None else known for p, known in zip(pieces, packed, strict=True)]
         by_text = np.searchsorted(at, np.concatenate([[0], ends + 1])).tolist()
         return [b"".join(packed[i:j]) for i, j in zip(by_text, by_text[1:], strict=False)]
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -14,6 +15,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tessera.llm import alignment, queries
+from tessera.llm.bpe import Codec, packed_ids
 
 SF = "/root/testdata/sf0.001"
 A, B = (public_tokenizers.path(name) for name in queries.ALIGNED)
@@ -109,3 +111,21 @@ def test_packed_ids_and_first_pairs():
     assert codec.two[ord("a") << 8 | ord("b")] == 256 and codec.two[0xFF00] == 259 and codec.two[0] == len(codec.tokens)
     assert codec.merge(b"xabcbc\xff\x00a") == [ord("x"), 258, 257, 259, ord("a")] and codec.merge(b"") == []
     assert bpe.packed_ids([1, 2**32 - 1]) == b"\x01\0\0\0\xff\xff\xff\xff" and bpe.packed_ids([]) == b""
+
+
+def test_pieces_are_merged_many_at_once(monkeypatch):
+    """One step a row gives what merging each piece alone gives: ties, repeats, whole tokens out of reach of merges, long pieces."""
+    codec = alignment.byte_codec(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(3)
+    pieces = [bytes(rng.choice(b"aeinorst") for _ in range(rng.randint(1, 20))) for _ in range(3000)]
+    pieces += [bytes(rng.randrange(256) for _ in range(rng.randint(0, 9))) for _ in range(1000)] + [b"a" * n for n in range(1, 200)] * 2 + [b"ab" * 32] * 20
+    want = [packed_ids(codec.merge(p)) for p in pieces]
+    small = Codec({bytes([b]): b for b in range(256)} | {b"aaa": 300, b"ab": 301, b"abab": 302, b"bc": 299, b"abc": 310})
+    few = [b"aaa", b"aaaa", b"abcab", b"ababab", b"abca"] * 20
+    assert small.merge_all(few) == [packed_ids(small.merge(p)) for p in few]
+    alone, merge = [], Codec.merge
+    monkeypatch.setattr(Codec, "merge", lambda self, piece: (alone.append(piece), merge(self, piece))[1])
+    assert codec.merge_all(pieces) == want
+    assert len(alone) < len(pieces) / 5
+    assert codec.merge_all([]) == []
+    assert Codec({b"a": 0, b"b": 1, b"ab": 2}).merge_all([b"ab", b"ba"] * 20) == [packed_ids([2]), packed_ids([1, 0])] * 20
